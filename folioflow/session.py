@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,13 @@ def get_session(name: str = "folioflow", cores: int | None = None, shuffle_parti
         .config("spark.sql.parquet.filterPushdown", "true")
         .getOrCreate()
     )
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver did (local mode, or a cluster that shares the path; elsewhere use --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    return spark
