@@ -14,7 +14,7 @@ apart; wholly equal rows count as so many documents with the same place in the o
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -219,3 +219,95 @@ def runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
         size += batch.num_rows - start
     if have:
         yield pa.Table.from_batches(have)
+
+
+ROW = "h long, doc long, at long, low long, left long, body binary"
+FIELDS = ["doc", "tag", "low", "high", "h", "seg", "at", "left", "body"]
+MARK = "doc long, tag long, low long, high long, h long, seg long, at long, left long, body binary"
+
+
+def _spilled(table: pa.Table, unit: Unit) -> Iterator[pa.RecordBatch]:
+    """The anchors of the next, longer gram in the stretches of those groups that other salts share."""
+    several = table.filter(table.column("several"))
+    for a in range(0, several.num_rows, 2000):
+        part = several.slice(a, 2000)
+        data, offsets = W.buffers(part.column("body").combine_chunks())
+        if unit.words:
+            units, keys, offsets = data.view(np.int64), data.view(U), offsets // 8
+        else:
+            units, keys = data, W.BYTE[data]
+        row, place, h, seg = find(keys, offsets, unit)
+        if not len(row):
+            continue
+        doc, at, low = (part.column(c).to_numpy() for c in ("doc", "at", "low"))
+        start = np.maximum(place - unit.flank, 0)
+        end = np.minimum(place + unit.k + unit.flank, (offsets[1:] - offsets[:-1])[row])
+        body = [units[x:y].tobytes() for x, y in zip(offsets[row] + start, offsets[row] + end)]
+        none = pa.nulls(len(row), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[row]), none, pa.array(low[row] + start), none, pa.array(h), pa.array(seg), pa.array((at[row] >> SHIFT << SHIFT) | (low[row] + place)), pa.array(place - start), pa.array(body, pa.binary())], FIELDS
+        )
+
+
+def _marked(marks: np.ndarray) -> pa.RecordBatch:
+    """Rows (doc, tag, from, to) as a batch, joined where they touch."""
+    marks = marks[np.lexsort((marks[:, 2], marks[:, 1], marks[:, 0]))]
+    group = np.ones(len(marks), dtype=bool)
+    group[1:] = (marks[1:, 0] != marks[:-1, 0]) | (marks[1:, 1] != marks[:-1, 1])
+    which = np.cumsum(group)
+    reach = np.maximum.accumulate(marks[:, 3] + which * (1 << 40)) - which * (1 << 40)
+    new = group.copy()
+    new[1:] |= marks[1:, 2] > reach[:-1]
+    head = np.flatnonzero(new)
+    out = marks[head]
+    out[:, 3] = np.maximum.reduceat(marks[:, 3], head)
+    n = len(out)
+    return pa.RecordBatch.from_arrays([*(pa.array(out[:, c]) for c in range(4)), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary())], FIELDS)
+
+
+def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], shard: int, batch_rows: int, name: str, once: bool, inside: Callable[[pa.Table], list[np.ndarray]]) -> DataFrame:
+    """(doc, tag, low, high): what windows that repeat cover.
+
+    ``inside`` finds the windows that repeat inside a shard of stretches. ``once``: the
+    first of equal stretches stays unmarked for its own sake. A group of more than
+    ``shard`` different stretches around one anchor is salted over several shards; windows
+    that repeat only across its shards are found by the next of ``grams``, a longer anchor
+    in the same stretches, the last being the whole window, so no group meets in one task.
+    """
+    spark = docs.sparkSession
+    unit = Unit(words, length, grams[0])
+    found = repeated(docs, unit, name)
+    kinds = stored(found.groupBy("h", "seg").agg(F.min(F.struct("doc", "at")).alias("head"), F.count("*").alias("n")), f"{name}-kinds")
+    again = F.struct("doc", "at") > F.col("head") if once else F.col("n") > 1
+    same = points(found.join(kinds.where("n > 1").hint("merge"), ["h", "seg"]).where(again))
+    marks = same.select("doc", "tag", (F.col("place") - unit.flank).alias("low"), (F.col("place") + unit.k + unit.flank).alias("high"))
+    groups = kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1")
+    heads = kinds.join(groups.hint("merge"), "h", "left_semi").select("h", "head.doc", "head.at")
+    rows = stretches(heads, docs, unit)
+    for gram in grams[1:]:
+        unit = Unit(words, length, gram)
+        large = bool(groups.where(F.col("n_seg") > shard).head(1))
+
+        def run(batches: Iterator[pa.RecordBatch], unit: Unit = unit, large: bool = large) -> Iterator[pa.RecordBatch]:
+            for table in runs(batches, batch_rows):
+                got = inside(table)
+                if got:
+                    yield _marked(np.concatenate(got))
+                if large:
+                    yield from _spilled(table, unit)
+
+        out = stored(sharded(rows, groups, shard).mapInArrow(run, MARK), f"{name}-marks")
+        marks = marks.unionByName(out.where("h is null").select("doc", "tag", "low", "high"))
+        if not large:
+            break
+        spilled = out.where("h is not null").select("h", "seg", "doc", "at", "low", "left", "body")
+        kinds = spilled.groupBy("h", "seg").agg(F.min(F.struct("doc", "at")).alias("head"), F.count_distinct("doc", "at").alias("n"), F.first("left").alias("left"), F.first("body").alias("body"))
+        kinds = stored(kinds, f"{name}-kinds")
+        again = F.struct("doc", "at") > F.col("head") if once else F.col("n") > 1
+        size = F.octet_length("body") / (8 if words else 1)
+        same = spilled.select("h", "seg", "doc", "at", "low").join(kinds.where("n > 1").select("h", "seg", "head", "n", size.cast("long").alias("size")).hint("merge"), ["h", "seg"]).where(again)
+        marks = marks.unionByName(points(same).select("doc", "tag", "low", (F.col("low") + F.col("size")).alias("high")))
+        groups = kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1")
+        rows = kinds.select("h", "head.doc", "head.at", "left", "body").withColumn("low", F.col("at").bitwiseAND(F.lit((1 << SHIFT) - 1)) - F.col("left"))
+        rows = rows.join(groups.hint("merge"), "h", "left_semi").select("h", "doc", "at", "low", "left", "body")
+    return marks

@@ -8,8 +8,8 @@ documents times shards.) In a shard one generalised suffix automaton is built ov
 word hashes of its stretches; each state keeps the first place at which its strings end.
 Streaming a stretch through it gives matching statistics cut off at the window length,
 and a window is removable where its state's first place lies before the window itself.
-A group of more than ``SHARD`` stretches is salted over several automata, and the first
-places of their windows are compared by an aggregation afterwards.
+A group of more than ``SHARD`` stretches is salted over several automata; windows that
+repeat only across them are found with longer anchors (`_anchors.cascade`).
 
 Cases: null and empty texts and those shorter than a window keep all their words (none);
 a null doc_id orders first; rows with equal doc_id and text are the same place in the
@@ -25,14 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import _words as W
-from ._anchors import SHIFT, Unit, by_document, points, repeated, runs, sharded, stretches, unpack
-from ._store import stored
+from ._anchors import SHIFT, by_document, cascade, unpack
 
-GRAM = 5
-SHARD = 4096
+GRAMS = (5, 12, 17)
+SHARD = 8192
 FAR = (1 << 63) - 1
 
 
@@ -126,92 +124,42 @@ class SuffixAutomaton:
         return out
 
 
-def _shard(table: pa.Table, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Marks (doc, tag, from, to) of a shard, and the first windows (key, doc, at, tag, from, to) of groups that have other salts."""
+def _shard(table: pa.Table, length: int) -> list[np.ndarray]:
+    """Marks (doc, tag, from, to) of the windows in a shard that also start earlier in it."""
     doc, at, low = (table.column(c).to_numpy() for c in ("doc", "at", "low"))
-    h, several = table.column("h").to_numpy(), table.column("several").to_numpy()
     body = [np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("body")]
-    order = np.lexsort((low, at >> SHIFT, doc))
+    order = np.lexsort((low, at >> SHIFT, doc)).tolist()
     machine = SuffixAutomaton()
-    base, place, seen = np.zeros(len(body), np.int64), 0, {}
-    for i in order.tolist():  # places rise in the corpus's order; overlapping stretches of one document share them
-        key = (int(doc[i]), int(at[i]) >> SHIFT)
-        if seen.get("key") != key:
-            seen = {"key": key, "zero": place - int(low[i])}
-        base[i] = seen["zero"] + int(low[i])
+    base, place, zero, key = np.zeros(len(body), np.int64), 0, 0, None
+    for i in order:  # places rise in the corpus's order; overlapping stretches of one document share them
+        if key != (key := (int(doc[i]), int(at[i]) >> SHIFT)):
+            zero = place - int(low[i])
+        base[i] = zero + int(low[i])
         machine.add(body[i].tolist(), int(base[i]))
         place = max(place, int(base[i]) + len(body[i]))
     machine.close()
-    marks, firsts = [], []
-    for i in order.tolist():
+    marks = []
+    for i in order:
         got = np.array(machine.firsts(body[i].tolist(), length), dtype=np.int64)
-        ends = np.arange(len(got)) + base[i]
-        later = np.flatnonzero(got < ends)
+        later = np.flatnonzero(got < np.arange(len(got)) + base[i])
         if len(later):
             marks.append(np.stack([np.full(len(later), doc[i]), np.full(len(later), at[i] >> SHIFT), low[i] + later - length + 1, low[i] + later + 1], 1))
-        if several[i]:
-            own = np.flatnonzero(got == ends)
-            if len(own):
-                keys = W.gram_hashes(body[i].view(np.uint64), length).view(np.int64)[own - length + 1]
-                tag = int(at[i]) >> SHIFT
-                firsts.append(np.stack([keys, np.full(len(own), h[i]), np.full(len(own), doc[i]), (tag << SHIFT) | (low[i] + own - length + 1)], 1))
-    return marks, firsts
-
-
-def _merged(marks: np.ndarray) -> np.ndarray:
-    """Intervals (doc, tag, from, to) of equal length, joined where they touch."""
-    marks = marks[np.lexsort((marks[:, 2], marks[:, 1], marks[:, 0]))]
-    new = np.ones(len(marks), dtype=bool)
-    new[1:] = (marks[1:, 0] != marks[:-1, 0]) | (marks[1:, 1] != marks[:-1, 1]) | (marks[1:, 2] > marks[:-1, 3])
-    head = np.flatnonzero(new)
-    out = marks[head]
-    out[:, 3] = np.maximum.reduceat(marks[:, 3], head)
-    return out
-
-
-def duplicate_marks(docs: DataFrame, length: int = 20, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(doc, tag, low, high): word intervals that windows cover which also start earlier."""
-    unit = Unit(True, length, gram)
-    anchors = repeated(docs, unit, "words")
-    kinds = anchors.groupBy("h", "seg").agg(F.min(F.struct("doc", "at")).alias("head"))
-    kinds = stored(kinds, "words-kinds")
-    groups = kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1")
+    return marks
+
 
-    # Every stretch that occurred whole before is covered whole, from its left flank to its right one.
-    later = anchors.join(kinds.hint("merge"), ["h", "seg"]).where(F.struct("doc", "at") > F.col("head"))
-    whole = points(later).select("doc", "tag", (F.col("place") - unit.flank).alias("low"), (F.col("place") + gram + unit.flank).alias("high"))
+def duplicate_marks(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAMS, shard: int = SHARD) -> DataFrame:
+    """(doc, tag, low, high): word intervals that windows cover which also start earlier."""
+    return cascade(docs, True, length, (*grams, length), shard, 1000, "words", True, lambda table: _shard(table, length))
 
-    # The first of each kind of stretch can still share windows with other kinds.
-    heads = kinds.join(groups.hint("merge"), "h", "left_semi").select("h", "head.doc", "head.at")
-    rows = sharded(stretches(heads, docs, unit), groups, shard)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, 2000):
-            marks, firsts = _shard(table, length)
-            if marks:
-                m = _merged(np.concatenate(marks))
-                none = pa.nulls(len(m), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(m[:, c]) for c in range(4)), none, none, none], ["doc", "tag", "low", "high", "w", "h", "at"])
-            if firsts:
-                f = np.concatenate(firsts)
-                none = pa.nulls(len(f), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(f[:, 2]), none, none, none, pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 3])], ["doc", "tag", "low", "high", "w", "h", "at"])
-
-    out = stored(rows.mapInArrow(run, "doc long, tag long, low long, high long, w long, h long, at long"), "words-marks")
-    spread = out.where("w is not null").select("w", "h", "doc", "at")
-    least = spread.groupBy("w", "h").agg(F.min(F.struct("doc", "at")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    across = points(spread.join(least.hint("merge"), ["w", "h"]).where(F.struct("doc", "at") > F.col("head"))).select("doc", "tag", F.col("place").alias("low"), (F.col("place") + length).alias("high"))
-    return whole.unionByName(out.where("w is null").select("doc", "tag", "low", "high")).unionByName(across)
-
-
-def dedup_words(docs: DataFrame, length: int = 20, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+def dedup_words(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAMS, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256, kept_text and removed_spans (word intervals) of every document.
 
     A word goes if a window of ``length`` words covers it whose word sequence also starts
     earlier: at a smaller doc_id, or in the same document before. Windows are judged on the
     input. See the module's docstring for nulls, empty texts and repeated rows.
     """
-    marks = duplicate_marks(docs, length, gram, shard)
+    marks = duplicate_marks(docs, length, grams, shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

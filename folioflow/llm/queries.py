@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton
+from ..session import reachable
+from . import automaton, bwt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op10_matching_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,7 @@ def op10_matching_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_interval_expansion": op7_interval_expansion,
         "op10_matching_statistics": op10_matching_statistics,
     }
 
