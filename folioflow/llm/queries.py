@@ -4,27 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reachable
-from . import automaton, bwt
+from . import automaton, bwt, cube, fst_tokens, kdtree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fst_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_matching_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.dedup_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_cube_mixing": op5_cube_mixing,
+        "op6_kd_tree_shards": op6_kd_tree_shards,
         "op7_interval_expansion": op7_interval_expansion,
+        "op9_finite_state_counts": op9_finite_state_counts,
         "op10_matching_statistics": op10_matching_statistics,
     }
 
