@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reachable
-from . import automaton, bwt, cube, fst_tokens, kdtree
+from . import automaton, bwt, cube, fst_tokens, kdtree, ordinal, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -27,6 +31,10 @@ def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,9 +45,11 @@ def op10_matching_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_warc_round_trip": op4_warc_round_trip,
         "op5_cube_mixing": op5_cube_mixing,
         "op6_kd_tree_shards": op6_kd_tree_shards,
         "op7_interval_expansion": op7_interval_expansion,
+        "op8_ordinal_severity": op8_ordinal_severity,
         "op9_finite_state_counts": op9_finite_state_counts,
         "op10_matching_statistics": op10_matching_statistics,
     }
