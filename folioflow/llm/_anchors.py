@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,7 +173,7 @@ def stretches(chosen: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
                     keys, offsets = data, offs
                 part = found.slice(i, j - i)
                 lists = part.flatten()
-                row = np.repeat(np.arange(j - i), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
+                row = np.repeat(np.arange(j - i), pc.list_value_length(part).to_numpy(zero_copy_only=False))
                 h, place = lists.field(0).to_numpy(), lists.field(1).to_numpy()
                 at = offsets[row] + place
                 low, high = np.maximum(at - unit.flank, offsets[row]), np.minimum(at + unit.k + unit.flank, offsets[row + 1])

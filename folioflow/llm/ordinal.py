@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         got = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
             found = batch.column("found")
-            sizes = pa.compute.list_value_length(found).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False)
             which = np.repeat(batch.column("toxic").to_numpy(), sizes)
             for t in (0, 1):
                 got[t] += np.bincount(found.flatten().to_numpy()[which == t], minlength=BUCKETS)
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("found")
-            sizes = pa.compute.list_value_length(found).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False)
             values = found.flatten().to_numpy()
             at = np.minimum(np.searchsorted(buckets, values), max(0, len(buckets) - 1))
             keep = buckets[at] == values if len(buckets) else np.zeros(len(values), bool)
