@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reachable
-from . import automaton, bwt, cube, fst_tokens, kdtree, ordinal, vafile, warc
+from . import automaton, bwt, cube, fst_tokens, kdtree, lshforest, ordinal, vafile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -69,6 +73,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_va_file": op1_va_file,
+        "op2_lsh_forest": op2_lsh_forest,
         "op4_warc_round_trip": op4_warc_round_trip,
         "op5_cube_mixing": op5_cube_mixing,
         "op6_kd_tree_shards": op6_kd_tree_shards,
