@@ -192,3 +192,18 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     return by_source(out, targets).select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "source", "size", "source_size", "target", "taken", "salt")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs``, all columns, each row as often as the mix takes it; rows without words stay once. Rows equal in doc_id, source and text share what is taken of them evenly."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.coalesce("source", F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("")))
+    drawn = mix(docs, block).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.coalesce("source", F.lit("\0")).alias("_source"), F.col("salt").alias("_salt"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("long").alias("_copies"))
+    drawn = stored(drawn.groupBy("_doc", "_source", "_salt").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows")), "cube-drawn")
+    same = (key[0] == F.col("_doc")) & (key[1] == F.col("_source")) & (key[2] == F.col("_salt"))
+    rows = docs.join(drawn.where("_copies > 0"), same)
+    one = rows.where("_rows = 1").withColumn("_n", F.col("_copies"))
+    if drawn.where("_rows > 1").head(1):
+        rank = F.row_number().over(Window.partitionBy("_doc", "_source", "_salt").orderBy("_doc"))
+        several = rows.where("_rows > 1").withColumn("_k", rank).withColumn("_n", F.call_function("div", F.col("_copies") + F.col("_rows") - F.col("_k"), F.col("_rows"))).drop("_k")
+        one = one.unionByName(several.where("_n > 0"))
+    return one.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

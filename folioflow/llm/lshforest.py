@@ -79,7 +79,7 @@ def signatures(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, digest, sig) of every document; digest and sig are null for empty sets."""
+    """(doc, text_hash, n, digest, sig) of every document; digest and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +95,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 if len(full):
                     for r, s in zip(full.tolist(), signatures(hashes, edge)):
                         sig[r] = s.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), pa.array(number), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(number), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc", "text_hash", "n", "digest", "sig"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text").mapInArrow(run, "doc long, n long, digest binary, sig binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc long, text_hash long, n long, digest binary, sig binary")
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +317,24 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document: documents are linked where 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles; component_id is the least doc_id reachable, and kept tells whether it is the document's own."""
+    """doc_id, n_shingles, component_id, kept and text_hash (Spark's xxhash64) of every document: documents are linked where 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles; component_id is the least doc_id reachable, and kept tells whether it is the document's own."""
     sketch = stored(sketches(docs, size), "forest-sketches")
     classes = stored(sketch.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "forest-classes")
     joined = components(links(docs, classes, size, percent), "links").select(F.col("node").alias("rep"), "label")
     reps = classes.select("digest", "rep").join(joined.hint("merge"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    out = sketch.select("doc", "n", "digest").join(reps.hint("merge"), "digest", "left")
+    out = sketch.select("doc", "n", "digest", "text_hash").join(reps.hint("merge"), "digest", "left")
     doc, component = F.when(F.col("doc") != NULL_ID, F.col("doc")), F.coalesce("component", "doc")
-    return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"), (F.col("doc") == component).alias("kept"))
+    return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"), (F.col("doc") == component).alias("kept"), "text_hash")
+
+
+def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the least doc_id. Of rows equal in doc_id and text one stays."""
+    id_, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64("text")
+    found = stored(near_duplicates(docs, size, percent).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("text_hash").alias("_hash"), "kept"), "forest-kept")
+    gone = found.where("not kept").select("_doc", "_hash").distinct()
+    rows = docs.join(gone, (id_ == F.col("_doc")) & (text_hash == F.col("_hash")), "left_anti")
+    twice = stored(found.where("kept").groupBy("_doc", "_hash").count().where("count > 1").select("_doc", "_hash"), "forest-twice")
+    if not twice.head(1):
+        return rows
+    same = (id_ == F.col("_doc")) & (text_hash == F.col("_hash"))
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -156,25 +156,43 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(buckets, w, theta)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with expected_severity (0 to 3), grade, p_toxic and toxic (p_toxic >= 0.5). Null and empty texts have no features and so the least severity."""
+def _chances(column: pa.Array, weights: np.ndarray, model: Model) -> np.ndarray:
+    """P(grade >= k) of every text."""
+    total = np.zeros(len(column))
+    for i, j, row, bucket in _weighed(column, weights):
+        total[i:j] = np.bincount(row, weights[bucket], j - i)
+    return model.at_least(total)
+
+
+def _shared(docs: DataFrame, model: Model):
     dense = np.zeros(BUCKETS, dtype=np.float32)
     dense[model.buckets] = model.weights
-    shared = docs.sparkSession.sparkContext.broadcast((dense, model))  # BUCKETS floats
-    names = ["doc_id", "expected_severity", "grade", "p_toxic"]
+    return docs.sparkSession.sparkContext.broadcast((dense, model))  # BUCKETS floats
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, expected_severity (0 to 3), grade, p_toxic and toxic (p_toxic >= 0.5) of every document. Null and empty texts have no features and so the least severity."""
+    shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, fitted = shared.value
         for batch in batches:
-            total = np.zeros(batch.num_rows)
-            for i, j, row, bucket in _weighed(batch.column("text"), weights):
-                total[i:j] = np.bincount(row, weights[bucket], j - i)
-            p = fitted.at_least(total)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1), pa.int32()), pa.array(p[:, 0])], names)
+            p = _chances(batch.column("text"), *shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1), pa.int32()), pa.array(p[:, 0])], ["doc_id", "expected_severity", "grade", "p_toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs``, all columns, without the rows that ``score`` calls toxic."""
+    shared = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_chances(batch.column("text"), *shared.value)[:, 0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _weighed(column: pa.Array, weights: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """As ``_sparse``, but only of buckets with a weight."""
     data, offsets = W.buffers(column)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reachable
-from . import automaton, bwt, cube, fst_tokens, kdtree, lshforest, ordinal, vafile, warc
+from . import automaton, bwt, cube, fst_tokens, kdtree, lshforest, ordinal, spacedseed, vafile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lshforest.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spacedseed.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("overlaps")
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -70,16 +74,25 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_va_file": op1_va_file,
         "op2_lsh_forest": op2_lsh_forest,
+        "op3_spaced_seeds": op3_spaced_seeds,
         "op4_warc_round_trip": op4_warc_round_trip,
         "op5_cube_mixing": op5_cube_mixing,
         "op6_kd_tree_shards": op6_kd_tree_shards,
         "op7_interval_expansion": op7_interval_expansion,
         "op8_ordinal_severity": op8_ordinal_severity,
         "op9_finite_state_counts": op9_finite_state_counts,
+        "pipeline": pipeline,
         "op10_matching_statistics": op10_matching_statistics,
     }
 
