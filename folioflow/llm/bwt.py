@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from ._anchors import SHIFT, by_document, cascade, unpack
 
-GRAMS = (40, 120, 180)
+GRAMS = (100, 160, 190)
 SHARD = 8192
 BATCH = 2000
 
