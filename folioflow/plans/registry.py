@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import relational, segments, structures, text
+
+MODULES = [relational, text, segments, structures]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.Q.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.O.items()}
