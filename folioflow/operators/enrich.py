@@ -28,8 +28,9 @@ def generate_scripts(df: DataFrame, text: str, backend: Callable[[str], str] | N
 
     # The model is asked only for texts long enough, and the rules run only where it gave nothing.
     asked = df.where(~short).withColumn("scripts", ask(text))
-    good = asked.where(F.size("scripts") > 0)
-    poor = asked.where(~(F.size("scripts") > 0)).withColumn("scripts", rules)
+    some = F.coalesce(F.size("scripts"), F.lit(0)) > 0
+    good = asked.where(some)
+    poor = asked.where(~some).withColumn("scripts", rules)
     return good.unionByName(poor).unionByName(df.where(short | F.col(text).isNull()).withColumn("scripts", none))
 
 

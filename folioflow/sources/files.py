@@ -23,12 +23,12 @@ def scan_library(spark: SparkSession, root: str, known: DataFrame | None = None)
 
 def read_configs(spark: SparkSession, root: str) -> DataFrame:
     """A row per JSON document under ``root``: (id, config_json), id being the document's or the file's name."""
-    x = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(root).select(F.col("_metadata.file_name").alias("file"), "value")
+    x = spark.read.option("pathGlobFilter", "*.json").text(root, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return x.select(F.coalesce(F.get_json_object("value", "$.id"), F.regexp_replace("file", r"\.json$", "")).alias("id"), F.col("value").alias("config_json"))
 
 
 def read_whole_texts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def list_newest(df: DataFrame, n: int = 1) -> DataFrame:

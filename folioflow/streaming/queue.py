@@ -30,16 +30,21 @@ def queue_states(events: DataFrame) -> DataFrame:
 
 def watch_folder(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF}", recursive: bool = True) -> DataFrame:
     """New files under ``path`` as a stream of (path, modificationTime, length); a checkpoint makes each file count once."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).drop("content")
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).drop("content")
+
+
+def _late(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark, which needs a time with a zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts and sums of events by type in tumbling windows; works on a stream and on a table."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = _late(events, late)
     return x.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Sessions of each user: first and last event and their number."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = _late(events, late)
     return x.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("user_id", "first_ts", "last_ts", "n")

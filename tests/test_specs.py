@@ -72,7 +72,7 @@ def test_boxes():
 
 def test_box_queries_follow_their_rules(spark, sf):
     pages = {}
-    for r in sorted(tables.v_boxes(spark, sf).collect(), key=lambda r: (r.y0, r.x0, r.grp, r.seq)):
+    for r in sorted(tables.v_boxes(spark, sf).collect(), key=lambda r: (r.y0, r.x0, r.grp, r.seq, r.x1, r.y1)):
         pages.setdefault((r.doc, r.page), []).append(r)
     want = sorted((*k, r.grp, r.seq) for k, v in pages.items() for r, ok in zip(v, boxes.dedupe_page([(r.x0, r.y0, r.x1, r.y1) for r in v])) if ok)
     assert sorted(map(tuple, registry.QUERIES["box_dedupe"](spark, sf).collect())) == want
