@@ -192,7 +192,20 @@ def _queue_events(spark, d):
     return v_queue(spark, d).select("item", "ts", "event_id", s.alias("status"), F.concat(F.lit("agent-"), (F.col("event_id") % 3).cast("string")).alias("agent"))
 
 
-@query(None)
+FOLD = (
+    "lambda a, x: CASE WHEN x.s = 'queued' THEN {'status': x.s, 'version': a.version, 'agent': NULL::VARCHAR, 'claims': a.claims, 'rejected': a.rejected, 's': '', 'g': ''} "
+    "WHEN x.s = 'claimed' AND a.status = 'queued' THEN {'status': x.s, 'version': a.version, 'agent': x.g, 'claims': a.claims + 1, 'rejected': a.rejected, 's': '', 'g': ''} "
+    "WHEN x.s = 'preview_rejected' THEN {'status': x.s, 'version': a.version + 1, 'agent': NULL::VARCHAR, 'claims': a.claims, 'rejected': a.rejected, 's': '', 'g': ''} "
+    "WHEN x.s IN ('" + "', '".join(queue.AGENT_STATES) + "') THEN {'status': x.s, 'version': a.version, 'agent': a.agent, 'claims': a.claims, 'rejected': a.rejected, 's': '', 'g': ''} "
+    "ELSE {'status': a.status, 'version': a.version, 'agent': a.agent, 'claims': a.claims, 'rejected': a.rejected + 1, 's': '', 'g': ''} END"
+)
+
+
+@query(
+    ", e AS (SELECT item, list({'status': 'none', 'version': 1::INTEGER, 'agent': NULL::VARCHAR, 'claims': 0::INTEGER, 'rejected': 0::INTEGER, 's': CASE WHEN status = 'failed' AND event_id % 2 = 0 THEN 'preview_rejected' ELSE status END, 'g': 'agent-' || CAST(event_id % 3 AS VARCHAR)} ORDER BY ts, event_id) AS e FROM v_queue GROUP BY item), "
+    "r AS (SELECT item, list_reduce(list_prepend({'status': 'none', 'version': 1::INTEGER, 'agent': NULL::VARCHAR, 'claims': 0::INTEGER, 'rejected': 0::INTEGER, 's': '', 'g': ''}, e), " + FOLD + ") AS a FROM e) SELECT item, a.status AS status, a.version AS version, a.agent AS agent, a.claims AS claims, a.rejected AS rejected FROM r",
+    "v_queue",
+)
 def queue_state(spark, d):
     return queue.states(_queue_events(spark, d))
 

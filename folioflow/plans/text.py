@@ -53,7 +53,12 @@ def clean_text(spark, d):
     return v_docs(spark, d).select("id", T.clean_text(F.col("raw_text")).alias("clean"))
 
 
-@query(None)
+@query(
+    ", a AS (SELECT id, regexp_replace(regexp_replace(raw_text, '[□▪•●■◆»›]', '', 'g'), '\\bsquare6\\b', '', 'g') AS t FROM v_docs), b AS (SELECT id, regexp_replace(regexp_replace(t, 'Activity \\d+\\.\\d+Activity \\d+\\.\\d+(Activity \\d+\\.\\d+)*', 'Activity:', 'g'), '(Figure|Table) [\\d.]+.?', '<figure>', 'g') AS t FROM a), c AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(t, '\\s+[a-zA-Z]\\s+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '  +', ' ', 'g') AS t FROM b) SELECT id, "
+    + STRIP.format("t")
+    + " AS clean FROM c",
+    "v_docs",
+)
 def preclean_text(spark, d):
     return v_docs(spark, d).select("id", T.preclean(F.col("raw_text")).alias("clean"))
 
@@ -159,10 +164,12 @@ def script_guard(spark, d):
     return v_docs(spark, d).select("id", T.script_guard(F.col("title")).alias("ok"))
 
 
-@query(
-    ", s AS (SELECT id, " + STRIP.format("left(raw_text, 1500)") + " AS sample FROM v_docs), t AS (SELECT id, sample, list_filter(regexp_split_to_array(sample, '\\s+'), lambda w: w <> '') AS tok FROM s), a AS (SELECT *, list_filter(tok, lambda w: regexp_matches(w, '^[a-zA-Z]+$')) AS alpha FROM t), n AS (SELECT id, sample, len(tok) AS n, len(alpha) AS na, len(list_filter(alpha, lambda w: regexp_matches(lower(w), '[^aeiouy]{3,}'))) AS cl, len(list_filter(alpha, lambda w: NOT regexp_matches(lower(w), '[aeiouy]'))) AS dry, len(list_filter(tok, lambda w: regexp_matches(w, '^[a-zA-Z]{3,}$'))) AS plain FROM a) SELECT id, CASE WHEN sample = '' THEN true WHEN na > 0 AND cl / na > 0.20::DOUBLE THEN true WHEN na > 0 AND dry / na > 0.40::DOUBLE THEN true WHEN length(regexp_replace(sample, '[^\\x{0900}-\\x{097F}]', '', 'g')) > 15 THEN false ELSE NOT (plain / n > 0.35::DOUBLE) END AS garbled FROM n",
-    "v_docs",
+GARBLED = (
+    ", s AS (SELECT id, " + STRIP.format("left(raw_text, 1500)") + " AS sample FROM v_docs), t AS (SELECT id, sample, list_filter(regexp_split_to_array(sample, '\\s+'), lambda w: w <> '') AS tok FROM s), a AS (SELECT *, list_filter(tok, lambda w: regexp_matches(w, '^[a-zA-Z]+$')) AS alpha FROM t), n AS (SELECT id, sample, len(tok) AS n, len(alpha) AS na, len(list_filter(alpha, lambda w: regexp_matches(lower(w), '[^aeiouy]{3,}'))) AS cl, len(list_filter(alpha, lambda w: NOT regexp_matches(lower(w), '[aeiouy]'))) AS dry, len(list_filter(tok, lambda w: regexp_matches(w, '^[a-zA-Z]{3,}$'))) AS plain FROM a) SELECT id, CASE WHEN sample = '' THEN true WHEN na > 0 AND cl / na > 0.20::DOUBLE THEN true WHEN na > 0 AND dry / na > 0.40::DOUBLE THEN true WHEN length(regexp_replace(sample, '[^\\x{0900}-\\x{097F}]', '', 'g')) > 15 THEN false ELSE NOT (plain / n > 0.35::DOUBLE) END AS garbled FROM n"
 )
+
+
+@query(GARBLED, "v_docs")
 def garbled_detect(spark, d):
     return v_docs(spark, d).select("id", T.is_garbled(F.col("raw_text")).alias("garbled"))
 
@@ -256,10 +263,10 @@ def identify_cascade(spark, d):
     return v_docs(spark, d).select("id", name.alias("name"), method.alias("method"))
 
 
-@query(None)
+@query(GARBLED.replace(") SELECT id, CASE", "), g AS (SELECT id, CASE") + ") SELECT d.id, CASE WHEN g.garbled THEN 'ocr' ELSE 'text' END AS method, CAST(length(raw_text) + CASE WHEN g.garbled THEN 4 ELSE 0 END AS INTEGER) AS n FROM g JOIN v_docs d ON d.id = g.id", "v_docs")
 def extract_cascade(spark, d):
     """The text layer where it is sound; only the others are read again."""
-    return votes.cheap_first(v_docs(spark, d).select("id", "raw_text"), F.col("raw_text"), ~T.is_garbled(F.col("raw_text")), lambda x: F.upper(x)).select("id", F.length("text").alias("n"), "method")
+    return votes.cheap_first(v_docs(spark, d).select("id", "raw_text"), F.col("raw_text"), ~T.is_garbled(F.col("raw_text")), lambda x: F.concat(F.lit("ocr:"), x)).select("id", F.length("text").alias("n"), "method")
 
 
 @query(None)
