@@ -79,7 +79,7 @@ def signatures(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, text_hash, n, digest, sig) of every document; digest and sig are null for empty sets."""
+    """(doc, text_hash, n, digest, rep, sig) of every document; rep is 64 bits of the digest and stands for the class; digest, rep and sig are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +95,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 if len(full):
                     for r, s in zip(full.tolist(), signatures(hashes, edge)):
                         sig[r] = s.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(number), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc", "text_hash", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(number), pa.array(digest, pa.binary()), pa.array([x and int.from_bytes(x[:8], "big", signed=True) for x in digest], pa.int64()), pa.array(sig, pa.binary())], ["doc", "text_hash", "n", "digest", "rep", "sig"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc long, text_hash long, n long, digest binary, sig binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc long, text_hash long, n long, digest binary, rep long, sig binary")
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = W.buffers(batch.column("text"))
         for i, j in W.slices(offsets, 4 << 20):
             z = [press.compress(data[a:b].tobytes()) for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1])]
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(z, pa.binary())], ["node", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(z, pa.binary())], ["doc", "text_hash", "z"])
 
 
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
@@ -285,11 +285,12 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     """Confirmed links (a, b) between classes that join whatever is linked."""
     n = 2 * parts(docs.sparkSession)
     groups = stored(components(candidate_edges(classes, percent / 100), "forest"), "forest-groups").withColumnRenamed("label", "c")
-    blocks = groups.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    blocks = stored(groups.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "forest-blocks")
     members = groups.join(blocks.hint("merge"), "c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    # A class's text is that of any of its rows; rows that share an id may have several texts, so the digest decides.
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), "text").where("text is not null").mapInArrow(_pressed, "node long, z binary")
-    members = stored(members.join(texts.hint("merge"), "node").select("c", "block", "node", "blocks", "z"), "forest-members")
+    # A class's text is that of its least row.
+    members = members.join(classes.select(F.col("rep").alias("node"), "doc", "text_hash"), "node")
+    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pressed, "doc long, text_hash long, z binary")
+    members = stored(members.join(texts.hint("merge"), ["doc", "text_hash"]).select("c", "block", "node", "blocks", "z"), "forest-members")
     dealt = members.repartition(n, "c", "block").sortWithinPartitions("c", "block", "node")
     local = stored(dealt.mapInArrow(_inside(size, percent), "node long, label long, c long, blocks long"), "forest-parts")
     out = local.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -319,9 +320,12 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (Spark's xxhash64) of every document: documents are linked where 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles; component_id is the least doc_id reachable, and kept tells whether it is the document's own."""
     sketch = stored(sketches(docs, size), "forest-sketches")
-    classes = stored(sketch.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "forest-classes")
-    joined = components(links(docs, classes, size, percent), "links").select(F.col("node").alias("rep"), "label")
-    reps = classes.select("digest", "rep").join(joined.hint("merge"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    classes = sketch.where("n > 0").groupBy("digest", "rep").agg(F.min(F.struct("doc", "text_hash")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.select("digest", "rep", "r.doc", "r.text_hash", "n", "sig"), "forest-classes")
+    joined = stored(components(links(docs, classes, size, percent), "links").select(F.col("node").alias("rep"), "label").join(classes.select("rep", "doc"), "rep"), "forest-joined")
+    least = stored(joined.groupBy("label").agg(F.min("doc").alias("least")), "forest-least")
+    joined = joined.join(least, "label").select("rep", "least")
+    reps = classes.select("digest", "rep", "doc").join(joined, "rep", "left").select("digest", F.coalesce("least", "doc").alias("component"))
     out = sketch.select("doc", "n", "digest", "text_hash").join(reps.hint("merge"), "digest", "left")
     doc, component = F.when(F.col("doc") != NULL_ID, F.col("doc")), F.coalesce("component", "doc")
     return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"), (F.col("doc") == component).alias("kept"), "text_hash")

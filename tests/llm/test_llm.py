@@ -125,6 +125,12 @@ def test_without_copies_keeps_one(spark):
     assert lshforest.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f"), (1, "z y x w v u"), (2, "z y x w v u t"), (None, "p q r s"), (None, "k l m n"), (5, "p q r s")]
+    got = [tuple(r) for r in lshforest.near_duplicates(docs(spark, rows), 2).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=str) == sorted([(1, 5, 1), (1, 5, 1), (2, 6, 1), (None, 3, 5), (None, 3, None), (5, 3, 5)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)]
     for few in (0, 1000):
