@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import new_path
+from ._store import new_path, stored
 
 SEGMENT = 16 << 10
 CHUNK = 4096
@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     raw = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"), F.sha1(raw).alias("sha"))
     # One row per different payload; counting combines before its shuffle and Spark splits the join's hot keys.
-    keepers = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(raw).alias("sha"), F.octet_length(raw).alias("n")).where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("sha", "keeper")
+    keepers = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(raw).alias("sha"), F.octet_length(raw).alias("n")).where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("sha", "keeper"), "warc-keepers")
     rows = rows.join(keepers.hint("merge"), "sha", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
