@@ -29,69 +29,88 @@ from pyspark.sql import DataFrame
 from . import _words as W
 from ._anchors import SHIFT, by_document, cascade, unpack
 
-GRAMS = (5, 12, 17)
+GRAMS = (8, 14, 18)
 SHARD = 8192
 FAR = (1 << 63) - 1
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of integer sequences; ``first`` is the least end place of each state's strings."""
+    """Generalised suffix automaton of integer sequences; ``first`` is the least end place of each state's strings.
+
+    Nearly all states have one transition, kept in two arrays; only the others have a
+    dictionary, so a state takes some 50 bytes.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.symbol = array("q", [-1])
+        self.to = array("q", [-1])
+        self.more: dict[int, dict[int, int]] = {}
         self.link = array("q", [-1])
         self.length = array("q", [0])
         self.first = array("q", [FAR])
 
+    def _state(self, length: int, link: int, first: int, symbol: int = -1, to: int = -1) -> int:
+        self.symbol.append(symbol)
+        self.to.append(to)
+        self.link.append(link)
+        self.length.append(length)
+        self.first.append(first)
+        return len(self.link) - 1
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        more = self.more.get(state)
+        if more is not None:
+            more[c] = to
+        elif self.symbol[state] in (-1, c):
+            self.symbol[state], self.to[state] = c, to
+        else:
+            self.more[state] = {self.symbol[state]: self.to[state], c: to}
+            self.symbol[state] = -2
+
+    def after(self, state: int, c: int) -> int:
+        """The state after ``c``, -1 if there is none."""
+        if self.symbol[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return -1 if more is None else more.get(c, -1)
+
     def add(self, sequence: list[int], place: int) -> None:
-        """One more sequence; its i-th item ends at ``place`` + i. Sequences come in rising order of places."""
-        nxt, link, length, first = self.next, self.link, self.length, self.first
+        """One more sequence of non-negative integers; its i-th item ends at ``place`` + i. Sequences come in rising order of places."""
+        link, length, first, after, set_ = self.link, self.length, self.first, self.after, self._set
         last = 0
         for i, c in enumerate(sequence):
             end = place + i
-            q = nxt[last].get(c)
-            if q is not None and length[q] == length[last] + 1:
+            q = after(last, c)
+            if q >= 0 and length[q] == length[last] + 1:
                 last = q
                 if end < first[q]:
                     first[q] = end
                 continue
-            cur = -1
-            if q is None:
-                cur = len(link)
-                nxt.append({})
-                link.append(0)
-                length.append(length[last] + 1)
-                first.append(end)
-                p = last
-                while p != -1 and c not in nxt[p]:
-                    nxt[p][c] = cur
+            cur, p = -1, last
+            if q < 0:
+                cur = self._state(length[last] + 1, 0, end)
+                while p != -1 and (q := after(p, c)) < 0:
+                    set_(p, c, cur)
                     p = link[p]
+                last = cur
                 if p == -1:
-                    last = cur
                     continue
-                q = nxt[p][c]
                 if length[q] == length[p] + 1:
                     link[cur] = q
-                    last = cur
                     continue
-            else:
-                p = last
-            clone = len(link)
-            nxt.append(dict(nxt[q]))
-            link.append(link[q])
-            length.append(length[p] + 1)
-            first.append(first[q])
-            while p != -1 and nxt[p].get(c) == q:
-                nxt[p][c] = clone
+            clone = self._state(length[p] + 1, link[q], first[q], self.symbol[q], self.to[q])
+            if q in self.more:
+                self.more[clone] = dict(self.more[q])
+            while p != -1 and after(p, c) == q:
+                set_(p, c, clone)
                 p = link[p]
             link[q] = clone
-            if cur == -1:
+            if cur >= 0:
+                link[cur] = clone
+            else:
                 last = clone
                 if end < first[clone]:
                     first[clone] = end
-            else:
-                link[cur] = clone
-                last = cur
 
     def close(self) -> None:
         """Hands first places up the suffix links, longest strings first."""
@@ -103,22 +122,18 @@ class SuffixAutomaton:
 
     def firsts(self, sequence: list[int], least: int) -> list[int]:
         """For each item, the first end place of the ``least`` items that end there, or FAR if they are fewer or unknown."""
-        nxt, link, length, first = self.next, self.link, self.length, self.first
+        link, length, first, after = self.link, self.length, self.first, self.after
         state = have = 0
         out = []
         for c in sequence:
-            while state and c not in nxt[state]:
+            while (q := after(state, c)) < 0 and state:
                 state = link[state]
                 have = length[state]
-            q = nxt[state].get(c)
-            if q is None:
+            if q < 0:
                 have = 0
             else:
-                state = q
-                have += 1
-                if have > least:
-                    have = least
-                while length[link[state]] >= have and state:
+                state, have = q, min(have + 1, least)
+                while state and length[link[state]] >= have:
                     state = link[state]
             out.append(first[state] if have >= least else FAR)
         return out
@@ -127,7 +142,9 @@ class SuffixAutomaton:
 def _shard(table: pa.Table, length: int) -> list[np.ndarray]:
     """Marks (doc, tag, from, to) of the windows in a shard that also start earlier in it."""
     doc, at, low = (table.column(c).to_numpy() for c in ("doc", "at", "low"))
-    body = [np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("body")]
+    raw = [np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("body")]
+    sizes = [len(x) for x in raw]
+    body = np.split(np.unique(np.concatenate(raw), return_inverse=True)[1], np.cumsum(sizes)[:-1])  # words as small numbers
     order = np.lexsort((low, at >> SHIFT, doc)).tolist()
     machine = SuffixAutomaton()
     base, place, zero, key = np.zeros(len(body), np.int64), 0, 0, None
