@@ -112,7 +112,7 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
 def repeated(docs: DataFrame, unit: Unit, name: str) -> DataFrame:
     """The anchors whose hash occurs more than once, stored. Counting combines before its shuffle and a join with few hot keys is split by Spark, so no hash meets in one task."""
     found = stored(anchors(docs, unit), f"{name}-anchors")
-    twice = found.groupBy("h").count().where("count > 1").select("h")
+    twice = stored(found.groupBy("h").count().where("count > 1").select("h"), f"{name}-twice")  # stored, so that the join has shuffles of its own, which Spark can split
     return stored(found.join(twice.hint("merge"), "h"), f"{name}-repeated")
 
 
@@ -282,7 +282,7 @@ def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], s
     again = F.struct("doc", "at") > F.col("head") if once else F.col("n") > 1
     same = points(found.join(kinds.where("n > 1").hint("merge"), ["h", "seg"]).where(again))
     marks = same.select("doc", "tag", (F.col("place") - unit.flank).alias("low"), (F.col("place") + unit.k + unit.flank).alias("high"))
-    groups = kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1")
+    groups = stored(kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1"), f"{name}-groups")
     heads = kinds.join(groups.hint("merge"), "h", "left_semi").select("h", "head.doc", "head.at")
     rows = stretches(heads, docs, unit)
     for gram in grams[1:]:
@@ -308,7 +308,7 @@ def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], s
         size = F.octet_length("body") / (8 if words else 1)
         same = spilled.select("h", "seg", "doc", "at", "low").join(kinds.where("n > 1").select("h", "seg", "head", "n", size.cast("long").alias("size")).hint("merge"), ["h", "seg"]).where(again)
         marks = marks.unionByName(points(same).select("doc", "tag", "low", (F.col("low") + F.col("size")).alias("high")))
-        groups = kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1")
+        groups = stored(kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1"), f"{name}-groups")
         rows = kinds.select("h", "head.doc", "head.at", "left", "body").withColumn("low", F.col("at").bitwiseAND(F.lit((1 << SHIFT) - 1)) - F.col("left"))
         rows = rows.join(groups.hint("merge"), "h", "left_semi").select("h", "doc", "at", "low", "left", "body")
     return marks
