@@ -2,11 +2,16 @@
 
 1. One reading makes each document's shingle set, its size, a digest of it and a signature
    of ``HASHES`` one-byte minimum hashes. Equal sets are one class from here on.
-2. Forest: ``TREES`` orders of the signature's places, each sorting all classes. A class's
-   candidates are its neighbours in an order with a common prefix of ``DEPTH`` places or
-   more, nearest first: in a sparse region they share few places, in a dense one many. Range
-   partitioning deals the orders out evenly whatever their prefixes. Candidates whose
-   signatures rule out the threshold are dropped; of the rest a spanning forest goes on.
+2. Forest: ``TREES`` orders of the signature's places, each sorting all classes. Classes with
+   a common prefix of ``DEPTH`` places are a region, and all of a region are candidates of
+   each other. Range partitioning deals the orders out evenly whatever their prefixes; a
+   class meets ``NEIGHBOURS`` before it there, which settles small regions. Larger ones and
+   those on a partition's border are met again: classes outside a region's largest candidate
+   group meet the whole region, dealt out in salts. Where more than ``LIMIT`` are outside,
+   the region's classes go on to a level of more places and so many more trees that a pair
+   at the threshold is as likely to share a region; the level of ``DEEPEST`` places meets in
+   full. Candidates whose signatures rule out the threshold are dropped; of the rest a
+   spanning forest goes on.
 3. Candidate groups are the components of those edges. Inside a group every link counts,
    also between classes that were no neighbours: groups are cut into blocks of ``BLOCK``
    classes and each block is linked on full sets. In groups of several blocks, one class of
@@ -22,6 +27,7 @@ sharing a doc_id but not a text are documents of their own; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._anchors import runs
 from ._store import parts, stored
 from .components import components
 
@@ -38,6 +45,9 @@ HASHES = 96
 TREES = 12
 DEPTH = 2
 NEIGHBOURS = 48
+LIMIT = 1024
+DEEPEST = 8
+MISS = 1e-4
 BLOCK = 256
 SIGMAS = 4.5
 NULL_ID = (1 << 63) - 1
@@ -100,35 +110,71 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc long, text_hash long, n long, digest binary, rep long, sig binary")
 
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class once in each tree: (tree, k1, k2, rep, n, sig), k1 and k2 being the first 16 places in the tree's order."""
-    for batch in batches:
-        m = batch.num_rows
-        if not m:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(m, HASHES)
-        for tree in range(TREES):
-            keys = np.ascontiguousarray(sig[:, ORDERS[tree]] ^ np.where(np.arange(16) % 8 == 0, 0x80, 0).astype(np.uint8)).view(">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, tree, np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), batch.column("rep"), batch.column("n"), batch.column("sig")], ["tree", "k1", "k2", "rep", "n", "sig"])
+def level(depth: int, threshold: float) -> np.ndarray:
+    """The orders of the level of ``depth`` places: for more than DEPTH so many that a pair at the threshold shares no region with a chance of MISS at most."""
+    if depth == DEPTH:
+        return ORDERS
+    match, equal = threshold + (1 - threshold) / 256, np.arange(HASHES + 1)
+    weight = np.array([math.comb(HASHES, k) * match**k * (1 - match) ** (HASHES - k) for k in range(HASHES + 1)])
+    shared = np.prod([np.maximum(equal - i, 0) / (HASHES - i) for i in range(depth)], axis=0)
+    some = equal >= _least_equal(threshold)
+    trees = TREES
+    while (weight * (1 - shared) ** trees)[some].sum() > MISS:
+        trees += 1
+    rng = np.random.Generator(np.random.PCG64(depth))
+    return np.stack([rng.permutation(HASHES)[:16] for _ in range(trees)])
 
 
-def neighbours(threshold: float):
-    """Reads classes in a forest's order and gives a spanning forest of the candidates among neighbours."""
+def _least_equal(threshold: float) -> int:
+    """Equal places under which signatures rule out the threshold."""
     match = threshold + (1 - threshold) / 256
-    least = int(np.floor(HASHES * (match - SIGMAS * np.sqrt(match * (1 - match) / HASHES))))
+    return int(np.floor(HASHES * (match - SIGMAS * np.sqrt(match * (1 - match) / HASHES))))
+
+
+def _ordered(orders: np.ndarray, depth: int):
+    """Each class once in each tree: (tree, k1, k2, region, rep, n, sig), k1 and k2 being the first 16 places in the tree's order and region a hash of the tree and the first ``depth``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(m, HASHES)
+            for tree in range(len(orders)):
+                places = np.ascontiguousarray(sig[:, orders[tree]])
+                keys = (places ^ np.where(np.arange(16) % 8 == 0, 0x80, 0).astype(np.uint8)).view(">i8").astype(np.int64)
+                places[:, depth:] = 0
+                head = places.view(np.uint64)
+                region = W.mix(W.mix(W.mix(head[:, 0].copy()) + head[:, 1]) + np.uint64(tree)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, tree, np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(region), batch.column("rep"), batch.column("n"), batch.column("sig")], ["tree", "k1", "k2", "region", "rep", "n", "sig"])
+
+    return run
+
+
+def neighbours(threshold: float):
+    """Reads classes in a forest's order and gives a spanning forest of the candidates among neighbours, and as (region, null) the regions that neighbours don't settle: those of more than NEIGHBOURS + 1 classes and those at the borders of what was read."""
+    least = _least_equal(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
+        length, first = 0, True  # of the region being read
         for batch in batches:
             m = batch.num_rows
             if not m:
                 continue
-            now = [batch.column("tree").to_numpy().astype(np.int64), batch.column("k1").to_numpy(), batch.column("rep").to_numpy(), batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(m, HASHES)]
+            now = [batch.column("region").to_numpy(), batch.column("rep").to_numpy(), batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(m, HASHES)]
+            last = kept[0][-1] if kept is not None else now[0][0]
+            edge = np.flatnonzero(np.concatenate((last, now[0][:-1]), axis=None) != now[0])
+            closed = np.concatenate((last, now[0][edge[1:] - 1]), axis=None)[: len(edge)]
+            sizes = np.diff(edge, prepend=-length)
+            open_ = closed[(sizes > NEIGHBOURS + 1) | ((np.arange(len(edge)) == 0) & first)]
+            if len(open_):
+                yield pa.RecordBatch.from_arrays([pa.array(open_), pa.nulls(len(open_), pa.int64())], ["a", "b"])
+            length, first = (m - int(edge[-1]), False) if len(edge) else (length + m, first)
             if kept is not None:
                 now = [np.concatenate(x) for x in zip(kept, now)]
             old = 0 if kept is None else len(kept[0])
-            tree, k1, rep, n, sig = now
-            region = (tree << 48) | ((k1 >> (64 - 8 * DEPTH)) & ((1 << 8 * DEPTH) - 1))
+            region, rep, n, sig = now
             found = []
             for o in range(1, min(NEIGHBOURS, len(rep) - 1) + 1):
                 a = np.arange(max(o, old), len(rep))
@@ -162,6 +208,48 @@ def neighbours(threshold: float):
                 e = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[e[:, 0]]), pa.array(rep[e[:, 1]])], ["a", "b"])
             kept = [x[-NEIGHBOURS:] for x in now]
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(kept[0][-1:]), pa.nulls(1, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _met(threshold: float):
+    """Rows (h, salt, guest, part, other, rep, n, sig) of regions' salts, residents first: candidates (a, b) between guests and residents of other parts, a spanning forest of them. ``other`` tells residents outside the largest part; they are guests too."""
+    least = _least_equal(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 4096):
+            h, salt, guest, part, other, rep, n = (table.column(c).to_numpy() for c in ("h", "salt", "guest", "part", "other", "rep", "n"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(h), HASHES)
+            edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]), [True])))
+            out = []
+            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own = low + np.flatnonzero(guest[low:high] == 0)  # by n
+                sizes, marks = n[own], sig[own]
+                parent: dict[int, int] = {}
+
+                def root(v: int, parent=parent) -> int:
+                    while (p := parent.get(v, v)) != v:
+                        parent[v] = v = parent.get(p, p)
+                    return v
+
+                for g in range(low + len(own), high):
+                    x, y = np.searchsorted(sizes, threshold * n[g] - 1e-9), np.searchsorted(sizes, n[g] / threshold + 1e-9, side="right")
+                    some = own[x:y]
+                    fit = (part[some] != part[g]) & ((other[some] == 0) | (rep[some] < rep[g]))
+                    if not fit.any():
+                        continue
+                    some = some[fit]
+                    equal = (marks[x:y][fit] == sig[g]).view(np.uint64).reshape(len(some), -1).sum(1)
+                    got = (equal * np.uint64(0x0101010101010101)) >> np.uint64(56)  # eight counts in a word
+                    for i in some[got >= least].tolist():
+                        p, q = root(int(part[g])), root(int(part[i]))
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            out.append((int(rep[g]), int(rep[i])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return run
 
@@ -274,11 +362,34 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b): spanning forests of candidates in each tree of the forest over ``classes`` (rep, n, sig)."""
-    rows = classes.select("rep", "n", "sig").mapInArrow(_ordered, "tree int, k1 long, k2 long, rep long, n long, sig binary")
-    n = max(8, 2 * parts(classes.sparkSession))
-    dealt = rows.repartitionByRange(n, "tree", "k1", "k2", "rep").sortWithinPartitions("tree", "k1", "k2", "rep")
-    return dealt.mapInArrow(neighbours(threshold), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Distinct (a, b): spanning forests of candidates in each region of the forest over ``classes`` (rep, n, sig)."""
+    spark = classes.sparkSession
+    n = max(8, 2 * parts(spark))
+    out = None
+    for depth in range(DEPTH, DEEPEST + 1, 2):
+        rows = classes.select("rep", "n", "sig").mapInArrow(_ordered(level(depth, threshold), depth), "tree int, k1 long, k2 long, region long, rep long, n long, sig binary")
+        dealt = rows.repartitionByRange(n, "tree", "k1", "k2", "rep").sortWithinPartitions("tree", "k1", "k2", "rep")
+        found = stored(dealt.mapInArrow(neighbours(threshold), "a long, b long").distinct(), "forest-found")
+        edges = found.where("b is not null")
+        out = edges if out is None else out.unionByName(edges)
+        # Regions that neighbours didn't settle.
+        again = found.where("b is null").select(F.col("a").alias("region"))
+        groups = stored(components(out, "forest-near"), "forest-near")
+        rows = rows.select("region", "rep", "n", "sig").join(again, "region", "left_semi")
+        rows = stored(rows.join(groups.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left").select("region", "rep", "n", "sig", F.coalesce("label", "rep").alias("part")), "forest-regions")
+        sizes = rows.groupBy("region", "part").count()
+        sizes = sizes.groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("top"), F.sum("count").alias("m"), F.max("count").alias("most"))
+        sizes = stored(sizes.where("m > most").withColumn("wide", (F.col("m") - F.col("most") > LIMIT) & F.lit(depth + 2 <= DEEPEST)), "forest-sizes")
+        here = rows.join(sizes.where("not wide").hint("merge"), "region").withColumn("salts", F.ceil(F.col("m") / F.lit(LIMIT)).cast("int"))
+        here = here.withColumn("other", (F.col("part") != F.col("top")).cast("int"))
+        own = here.select(F.col("region").alias("h"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("guest"), "part", "other", "rep", "n", "sig")
+        sent = here.where("other = 1").select(F.col("region").alias("h"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("guest"), "part", "other", "rep", "n", "sig")
+        met = own.unionByName(sent).repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "guest", "n", "rep")
+        out = out.unionByName(stored(met.mapInArrow(_met(threshold), "a long, b long"), "forest-met"))
+        if not sizes.where("wide").head(1):
+            break
+        classes = stored(rows.join(sizes.where("wide").select("region").hint("merge"), "region", "left_semi").select("rep", "n", "sig").dropDuplicates(["rep"]), "forest-wide")
+    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:

@@ -116,6 +116,27 @@ def test_near_duplicates_of_many_blocks(spark, monkeypatch):
     assert got == brute_groups(rows, 2)
 
 
+@pytest.mark.parametrize("limit", [4096, 200])
+def test_dense_regions_of_the_forest(spark, monkeypatch, limit):
+    monkeypatch.setattr(lshforest, "NEIGHBOURS", 1)
+    monkeypatch.setattr(lshforest, "LIMIT", limit, raising=False)
+    r = np.random.default_rng(2)
+    common = r.integers(0, 256, lshforest.HASHES)
+
+    def some(like, share):
+        return np.where(r.random(lshforest.HASHES) < share, like, r.integers(0, 256, lshforest.HASHES)).astype(np.uint8)
+
+    base = [some(common, 0.6) for _ in range(3000)]
+    pairs = [some(base[i], 0.7) for i in range(600)]
+    rows = [(i, 100, bytearray(x.tobytes())) for i, x in enumerate(base + pairs)]
+    edges = lshforest.candidate_edges(spark.createDataFrame(rows, "rep long, n long, sig binary").repartition(3), 0.8)
+    label = {x.node: x.label for x in components.components(edges).collect()}
+    least = 59  # equal places at 4.5 standard deviations under the threshold
+    want = [(i, 3000 + i) for i in range(600) if (base[i] == pairs[i]).sum() >= least]
+    missed = [p for p in want if label.get(p[0], -1) != label.get(p[1], -2)]
+    assert len(want) > 500 and len(missed) <= 1
+
+
 def test_without_copies_keeps_one(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other text that is on its own here"), (3, "other text that is on its own here"), (4, None), (None, "a b c d e f g h")]
     df = docs(spark, rows).withColumn("kept", F.lit("clash")).withColumn("digest", F.lit(1))
