@@ -6,14 +6,14 @@ window can repeat only where its anchor's hash does, and everything further look
 stretch of ``2 * length - k`` units around a repeated anchor and at nothing else. About
 ``2 / (length - k + 2)`` of all places are anchors.
 
-A document is told by ``doc`` (its doc_id, a null one as the least long) and 16 bits of
-its text's CRC in the upper part of ``at``, so rows that share an id but not a text stay
-apart; wholly equal rows count as so many documents with the same place in the order.
+A document is told by ``doc`` (its doc_id, a null one as the least long) and ``tag``, 64
+bits of a hash of its text, so rows that share an id but not a text stay apart; wholly
+equal rows count as so many documents with the same place in the order. ``at`` is a place
+in a document.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +28,6 @@ from . import _words as W
 from ._store import parts, stored
 
 NULL_ID = -(1 << 63)
-SHIFT = 44
 U = np.uint64
 
 
@@ -46,12 +45,7 @@ class Unit:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("doc_id"), F.col("text"))
-
-
-def tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    raw = data.tobytes()
-    return np.array([zlib.crc32(raw[a:b]) & 0xFFFF for a, b in zip(offsets[:-1], offsets[1:])], dtype=np.int64)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("tag"), F.col("doc_id"), F.col("text"))
 
 
 def unit_keys(texts: W.Texts, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +88,18 @@ def find(keys: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray,
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(h, seg, doc, at) of every anchor of every document."""
+    """(h, seg, doc, tag, at) of every anchor of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
+            ids, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for i, j, texts in W.blocks(batch.column("text")):
                 keys, offsets = unit_keys(texts, unit)
                 row, place, h, seg = find(keys, offsets, unit)
                 if len(row):
-                    tag = tags(texts.data, texts.offsets)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), pa.array(ids[i:j][row]), pa.array((tag[row] << SHIFT) | place)], ["h", "seg", "doc", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), pa.array(ids[i:j][row]), pa.array(tag[i:j][row]), pa.array(place)], ["h", "seg", "doc", "tag", "at"])
 
-    return keyed(docs).select("doc", "text").mapInArrow(run, "h long, seg long, doc long, at long")
+    return keyed(docs).select("doc", "tag", "text").mapInArrow(run, "h long, seg long, doc long, tag long, at long")
 
 
 def repeated(docs: DataFrame, unit: Unit, name: str) -> DataFrame:
@@ -129,7 +122,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 each = [raw[a:b] for a, b in zip(at[:-1], at[1:])]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array([zlib.crc32(x) & 0xFFFF for x in each], pa.int64()), part.column("doc_id"), pa.array([press.compress(x) for x in each], pa.binary())],
+                    [part.column("doc"), part.column("tag"), part.column("doc_id"), pa.array([press.compress(x) for x in each], pa.binary())],
                     ["doc", "tag", "doc_id", "z"],
                 )
 
@@ -155,13 +148,8 @@ def by_document(rows: DataFrame, docs: DataFrame, how: str, *fields: str) -> Dat
     return packed(docs).join(lists.hint("merge"), ["doc", "tag"], how)
 
 
-def points(rows: DataFrame) -> DataFrame:
-    """``at`` split into tag and place."""
-    return rows.withColumn("tag", F.shiftrightunsigned("at", SHIFT)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << SHIFT) - 1)))
-
-
 def stretches(chosen: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
-    """The stretches around the anchors (h, doc, at): (h, doc, at, low, left, body), body being bytes or 8-byte word hashes."""
+    """The stretches around the anchors (h, doc, tag, at): (h, doc, tag, at, low, left, body), body being bytes or 8-byte word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +169,18 @@ def stretches(chosen: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
                     s = slice(a, a + 20_000)
                     body = [keys[x:y].tobytes() for x, y in zip(low[s], high[s])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[s]), pa.array(ids[i:j][row[s]]), pa.array((tag[i:j][row[s]] << SHIFT) | place[s]), pa.array(low[s] - offsets[row[s]]), pa.array((at - low)[s]), pa.array(body, pa.binary())],
-                        ["h", "doc", "at", "low", "left", "body"],
+                        [pa.array(h[s]), pa.array(ids[i:j][row[s]]), pa.array(tag[i:j][row[s]]), pa.array(place[s]), pa.array(low[s] - offsets[row[s]]), pa.array((at - low)[s]), pa.array(body, pa.binary())],
+                        ["h", "doc", "tag", "at", "low", "left", "body"],
                     )
 
-    return by_document(points(chosen), docs, "inner", "h", "place").select("doc", "tag", "z", "found").mapInArrow(run, "h long, doc long, at long, low long, left long, body binary")
+    return by_document(chosen, docs, "inner", "h", "at").select("doc", "tag", "z", "found").mapInArrow(run, "h long, doc long, tag long, at long, low long, left long, body binary")
 
 
 def sharded(rows: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     """``rows`` with (h, salt) such that about ``most`` rows at most share one, dealt out and sorted by it; ``groups`` has the size n_seg of each h. ``several`` tells the groups that needed more than one salt."""
     salted = rows.join(groups.select("h", "n_seg").hint("merge"), "h")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.ceil(F.col("n_seg") / F.lit(most))).cast("int")).withColumn("several", F.col("n_seg") > most).drop("n_seg")
-    return salted.repartition(4 * parts(rows.sparkSession), "h", "salt").sortWithinPartitions("h", "salt", "doc", "at")
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc", "tag", "at"), F.ceil(F.col("n_seg") / F.lit(most))).cast("int")).withColumn("several", F.col("n_seg") > most).drop("n_seg")
+    return salted.repartition(4 * parts(rows.sparkSession), "h", "salt").sortWithinPartitions("h", "salt", "doc", "tag", "at")
 
 
 def runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
@@ -222,7 +210,7 @@ def runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(have)
 
 
-ROW = "h long, doc long, at long, low long, left long, body binary"
+ROW = "h long, doc long, tag long, at long, low long, left long, body binary"
 FIELDS = ["doc", "tag", "low", "high", "h", "seg", "at", "left", "body"]
 MARK = "doc long, tag long, low long, high long, h long, seg long, at long, left long, body binary"
 
@@ -240,13 +228,13 @@ def _spilled(table: pa.Table, unit: Unit) -> Iterator[pa.RecordBatch]:
         row, place, h, seg = find(keys, offsets, unit)
         if not len(row):
             continue
-        doc, at, low = (part.column(c).to_numpy() for c in ("doc", "at", "low"))
+        doc, tag, low = (part.column(c).to_numpy() for c in ("doc", "tag", "low"))
         start = np.maximum(place - unit.flank, 0)
         end = np.minimum(place + unit.k + unit.flank, (offsets[1:] - offsets[:-1])[row])
         body = [units[x:y].tobytes() for x, y in zip(offsets[row] + start, offsets[row] + end)]
         none = pa.nulls(len(row), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), none, pa.array(low[row] + start), none, pa.array(h), pa.array(seg), pa.array((at[row] >> SHIFT << SHIFT) | (low[row] + place)), pa.array(place - start), pa.array(body, pa.binary())], FIELDS
+            [pa.array(doc[row]), pa.array(tag[row]), pa.array(low[row] + start), none, pa.array(h), pa.array(seg), pa.array(low[row] + place), pa.array(place - start), pa.array(body, pa.binary())], FIELDS
         )
 
 
@@ -278,12 +266,12 @@ def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], s
     spark = docs.sparkSession
     unit = Unit(words, length, grams[0])
     found = repeated(docs, unit, name)
-    kinds = stored(found.groupBy("h", "seg").agg(F.min(F.struct("doc", "at")).alias("head"), F.count("*").alias("n")), f"{name}-kinds")
-    again = F.struct("doc", "at") > F.col("head") if once else F.col("n") > 1
-    same = points(found.join(kinds.where("n > 1").hint("merge"), ["h", "seg"]).where(again))
-    marks = same.select("doc", "tag", (F.col("place") - unit.flank).alias("low"), (F.col("place") + unit.k + unit.flank).alias("high"))
+    kinds = stored(found.groupBy("h", "seg").agg(F.min(F.struct("doc", "tag", "at")).alias("head"), F.count("*").alias("n")), f"{name}-kinds")
+    again = F.struct("doc", "tag", "at") > F.col("head") if once else F.col("n") > 1
+    same = found.join(kinds.where("n > 1").hint("merge"), ["h", "seg"]).where(again)
+    marks = same.select("doc", "tag", (F.col("at") - unit.flank).alias("low"), (F.col("at") + unit.k + unit.flank).alias("high"))
     groups = stored(kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1"), f"{name}-groups")
-    heads = kinds.join(groups.hint("merge"), "h", "left_semi").select("h", "head.doc", "head.at")
+    heads = kinds.join(groups.hint("merge"), "h", "left_semi").select("h", "head.doc", "head.tag", "head.at")
     rows = stretches(heads, docs, unit)
     for gram in grams[1:]:
         unit = Unit(words, length, gram)
@@ -301,14 +289,14 @@ def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], s
         marks = marks.unionByName(out.where("h is null").select("doc", "tag", "low", "high"))
         if not large:
             break
-        spilled = out.where("h is not null").select("h", "seg", "doc", "at", "low", "left", "body")
-        kinds = spilled.groupBy("h", "seg").agg(F.min(F.struct("doc", "at")).alias("head"), F.count_distinct("doc", "at").alias("n"), F.first("left").alias("left"), F.first("body").alias("body"))
+        spilled = out.where("h is not null").select("h", "seg", "doc", "tag", "at", "low", "left", "body")
+        kinds = spilled.groupBy("h", "seg").agg(F.min(F.struct("doc", "tag", "at")).alias("head"), F.count_distinct("doc", "tag", "at").alias("n"), F.first("left").alias("left"), F.first("body").alias("body"))
         kinds = stored(kinds, f"{name}-kinds")
-        again = F.struct("doc", "at") > F.col("head") if once else F.col("n") > 1
+        again = F.struct("doc", "tag", "at") > F.col("head") if once else F.col("n") > 1
         size = F.octet_length("body") / (8 if words else 1)
-        same = spilled.select("h", "seg", "doc", "at", "low").join(kinds.where("n > 1").select("h", "seg", "head", "n", size.cast("long").alias("size")).hint("merge"), ["h", "seg"]).where(again)
-        marks = marks.unionByName(points(same).select("doc", "tag", "low", (F.col("low") + F.col("size")).alias("high")))
+        same = spilled.select("h", "seg", "doc", "tag", "at", "low").join(kinds.where("n > 1").select("h", "seg", "head", "n", size.cast("long").alias("size")).hint("merge"), ["h", "seg"]).where(again)
+        marks = marks.unionByName(same.select("doc", "tag", "low", (F.col("low") + F.col("size")).alias("high")))
         groups = stored(kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1"), f"{name}-groups")
-        rows = kinds.select("h", "head.doc", "head.at", "left", "body").withColumn("low", F.col("at").bitwiseAND(F.lit((1 << SHIFT) - 1)) - F.col("left"))
-        rows = rows.join(groups.hint("merge"), "h", "left_semi").select("h", "doc", "at", "low", "left", "body")
+        rows = kinds.select("h", "head.doc", "head.tag", "head.at", "left", "body").withColumn("low", F.col("at") - F.col("left"))
+        rows = rows.join(groups.hint("merge"), "h", "left_semi").select("h", "doc", "tag", "at", "low", "left", "body")
     return marks

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _words as W
-from ._anchors import SHIFT, by_document, cascade, unpack
+from ._anchors import by_document, cascade, unpack
 
 GRAMS = (8, 14, 18)
 SHARD = 8192
@@ -141,15 +141,15 @@ class SuffixAutomaton:
 
 def _shard(table: pa.Table, length: int) -> list[np.ndarray]:
     """Marks (doc, tag, from, to) of the windows in a shard that also start earlier in it."""
-    doc, at, low = (table.column(c).to_numpy() for c in ("doc", "at", "low"))
+    doc, tag, low = (table.column(c).to_numpy() for c in ("doc", "tag", "low"))
     raw = [np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("body")]
     sizes = [len(x) for x in raw]
     body = np.split(np.unique(np.concatenate(raw), return_inverse=True)[1], np.cumsum(sizes)[:-1])  # words as small numbers
-    order = np.lexsort((low, at >> SHIFT, doc)).tolist()
+    order = np.lexsort((low, tag, doc)).tolist()
     machine = SuffixAutomaton()
     base, place, zero, key = np.zeros(len(body), np.int64), 0, 0, None
     for i in order:  # places rise in the corpus's order; overlapping stretches of one document share them
-        if key != (key := (int(doc[i]), int(at[i]) >> SHIFT)):
+        if key != (key := (int(doc[i]), int(tag[i]))):
             zero = place - int(low[i])
         base[i] = zero + int(low[i])
         machine.add(body[i].tolist(), int(base[i]))
@@ -160,7 +160,7 @@ def _shard(table: pa.Table, length: int) -> list[np.ndarray]:
         got = np.array(machine.firsts(body[i].tolist(), length), dtype=np.int64)
         later = np.flatnonzero(got < np.arange(len(got)) + base[i])
         if len(later):
-            marks.append(np.stack([np.full(len(later), doc[i]), np.full(len(later), at[i] >> SHIFT), low[i] + later - length + 1, low[i] + later + 1], 1))
+            marks.append(np.stack([np.full(len(later), doc[i]), np.full(len(later), tag[i]), low[i] + later - length + 1, low[i] + later + 1], 1))
     return marks
 
 

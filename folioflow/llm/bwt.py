@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._anchors import SHIFT, by_document, cascade, unpack
+from ._anchors import by_document, cascade, unpack
 
 GRAMS = (100, 160, 190)
 SHARD = 8192
@@ -109,8 +109,8 @@ def repeated_starts(symbols: np.ndarray, least: int) -> np.ndarray:
 
 def _shard(table: pa.Table, length: int) -> list[np.ndarray]:
     """Marks (doc, tag, from, to) of the strings that repeat in a shard. Overlapping stretches of one document are joined first."""
-    doc, at, low = (table.column(c).to_numpy() for c in ("doc", "at", "low"))
-    tag, body = at >> SHIFT, table.column("body")
+    doc, tag, low = (table.column(c).to_numpy() for c in ("doc", "tag", "low"))
+    body = table.column("body")
     pieces: list[list] = []
     for i in np.lexsort((low, tag, doc)).tolist():
         raw, a = body[i].as_py(), int(low[i])

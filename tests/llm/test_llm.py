@@ -314,6 +314,18 @@ def test_dedup_words(spark, shard):
     assert sorted(map(tuple, got), key=repr) == brute_words(rows, 20)
 
 
+def test_dedup_of_texts_that_share_an_id(spark):
+    passage = " ".join(f"again{i}" for i in range(60))
+    twice = f"{passage} {passage}"
+    alone = next(t for n in range(1 << 22) if zlib.crc32((t := " ".join(f"other{n}x{i}" for i in range(99))).encode()) & 0xFFFF == zlib.crc32(twice.encode()) & 0xFFFF)
+    for id_ in (None, 7):
+        rows = [(id_, twice), (id_, alone), (9, "a b c " * 9)]
+        got = bwt.dedup_bytes(docs(spark, rows), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=repr) == brute_bytes(rows, 200)
+        got = automaton.dedup_words(docs(spark, rows), 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=repr) == brute_words(rows, 20)
+
+
 def test_dedup_of_nothing(spark):
     assert bwt.dedup_bytes(docs(spark, [])).count() == automaton.dedup_words(docs(spark, [])).count() == 0
 
