@@ -7,10 +7,9 @@ middle is counted again in finer buckets until it is one value, and the cut goes
 side of that value where the halves are most even. What reaches the driver is one row per
 cell or bucket (at most ``BUCKETS`` a cell and round), whatever the number of documents.
 
-Metadata dimensions are the text's bytes, a hash of the text and the source's hash in case
-the caller asks for it. The first two are functions of the text, so equal texts stay
-together; only a group of copies that alone outweighs ``SPLIT`` of a shard is divided, by a
-hash of doc_id.
+The dimensions are two, the text's bytes and a hash of the text; source, lang and n_chars
+are none. Both are functions of the text, so equal texts stay together; only a group of
+copies that alone outweighs ``SPLIT`` of a shard is divided, by a hash of doc_id.
 """
 
 from __future__ import annotations
