@@ -4,7 +4,7 @@ Tokens are lower-cased words, cut at white space and ASCII punctuation. A fixed
 mask selects some of ``SPAN`` consecutive tokens and ignores the others, so that a
 substituted token spoils only the seeds whose mask selects it. Hashes of benchmark items
 under each mask are joined with those of the documents; around every hit the two texts are
-laid side by side without gaps and the best overlap (a match counts 1, a substitution
+laid side by side without gaps and every best-scoring stretch (a match counts 1, a substitution
 ``-SUBSTITUTION``) is verified: ``MATCHES`` equal tokens, or nine tenths of a shorter item.
 
 The benchmark goes to the tasks in blocks of ``SEEDS`` seeds; a benchmark of any size is so
@@ -91,6 +91,20 @@ def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
     return low, high, int(equal[low:high].sum())
 
 
+def stretches(equal: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(low, high, matches) of all stretches of an overlap with ``least`` matches or more: the best-scoring one, and those of what is left on both sides of it."""
+    out, open_ = [], [(0, len(equal))]
+    while open_:
+        a, b = open_.pop()
+        if b - a < least:
+            continue
+        low, high, n = best_overlap(equal[a:b])
+        if n >= least:
+            out.append((a + low, a + high, n))
+            open_ += [(a, a + low), (a + high, b)]
+    return out
+
+
 def overlaps(words: np.ndarray, rows: np.ndarray, block: Block) -> list[tuple[int, int, int, int, int]]:
     """(row, item id, low, high, matches) of every verified overlap in a block of documents."""
     hits = []
@@ -115,8 +129,7 @@ def overlaps(words: np.ndarray, rows: np.ndarray, block: Block) -> list[tuple[in
     for r, i, shift in np.unique(np.concatenate(hits), axis=0).tolist():
         test, text = block.words[i], words[rows[r] : rows[r + 1]]
         a, b = max(0, shift), min(len(text), shift + len(test))
-        low, high, n = best_overlap(text[a:b] == test[a - shift : b - shift])
-        if n >= min(MATCHES, -(-9 * len(test) // 10)):
+        for low, high, n in stretches(text[a:b] == test[a - shift : b - shift], min(MATCHES, -(-9 * len(test) // 10))):
             out.append((r, int(block.ids[i]), a + low, a + high, n))
     return out
 

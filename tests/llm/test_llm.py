@@ -179,6 +179,14 @@ def test_contamination(spark):
     assert spacedseed.contamination(docs(spark, rows), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_all_stretches_of_an_item(spark):
+    item = [f"tok{i}" for i in range(100)]
+    text = " ".join([*item[:40], *(f"new{i}" for i in range(20)), *item[60:]])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = spacedseed.contamination(docs(spark, [(1, text)]), bench).first()
+    assert got.n_covered == 80 and [tuple(x) for x in got.overlaps] == [(1, 0, 40, 40), (1, 60, 100, 40)]
+
+
 # --- op4
 
 
