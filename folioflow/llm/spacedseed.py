@@ -8,7 +8,8 @@ laid side by side without gaps and every best-scoring stretch (a match counts 1,
 ``-SUBSTITUTION``) is verified: ``MATCHES`` equal tokens, or nine tenths of a shorter item.
 
 The benchmark goes to the tasks in blocks of ``SEEDS`` seeds; a benchmark of any size is so
-many readings of the documents, never a larger broadcast. Items of 5 to ``SPAN`` - 1 tokens
+many readings of the documents, never a larger broadcast. No mask ignores its first place,
+so items of just ``SPAN`` tokens also have seeds of all but their first or last. Items of 5 to ``SPAN`` - 1 tokens
 have seeds of 5 tokens in a row; shorter ones are too common to tell anything and never
 match.
 """
@@ -30,6 +31,7 @@ from .ordinal import BREAKS
 SPAN = 10
 MASKS = ("1101100111", "1110010111", "1011101101", "1111011010")
 SHORT = "11111"
+ENDS = "1" * (SPAN - 1)
 SUBSTITUTION = 4
 MATCHES = 12
 SEEDS = 1_000_000
@@ -67,8 +69,8 @@ class Block:
 
 def _block(ids: list[int], words: list[np.ndarray]) -> Block:
     tables = {}
-    for mask in (*MASKS, SHORT):
-        mine = [i for i, w in enumerate(words) if (5 <= len(w) < SPAN if mask == SHORT else len(w) >= SPAN)]
+    for mask in (*MASKS, ENDS, SHORT):
+        mine = [i for i, w in enumerate(words) if (5 <= len(w) < SPAN if mask == SHORT else len(w) == SPAN if mask == ENDS else len(w) >= SPAN)]
         if not mine:
             continue
         found = [seeds(words[i], mask) for i in mine]

@@ -187,6 +187,14 @@ def test_all_stretches_of_an_item(spark):
     assert got.n_covered == 80 and [tuple(x) for x in got.overlaps] == [(1, 0, 40, 40), (1, 60, 100, 40)]
 
 
+def test_items_of_ten_tokens(spark):
+    item = [f"tok{i}" for i in range(10)]
+    rows = [(1, " ".join(["a", "new", *item[1:]])), (2, " ".join([*item[:9], "new"])), (3, " ".join(item[1:])), (4, " ".join(item[2:]))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: x.contaminated for x in spacedseed.contamination(docs(spark, rows), bench).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}
+
+
 # --- op4
 
 
