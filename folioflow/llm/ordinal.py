@@ -7,7 +7,8 @@ sum of P(grade >= k). x is sparse: the presence of hashed words and of their fir
 show that they go with toxicity. Labels say toxic or not; a toxic document's grade is the
 third that it falls in by how many such features it has.
 
-``fit`` looks at ``FIT_ROWS`` labelled rows at most (a hash of doc_id chooses them); scoring
+``fit`` looks at about ``FIT_ROWS`` labelled documents at most (a hash of doc_id chooses them, and of rows that share an
+id it takes one); scoring
 reads every whole text, and what it broadcasts is the weights, of fixed size.
 """
 
@@ -30,6 +31,7 @@ BUCKETS = 1 << 20
 FEATURES = 4096
 GRADES = 3
 CHANCES = 1_000
+SURE, UNSURE = 0.06, 1e-3
 BREAKS = np.frombuffer(bytes(b if not (0x20 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7E or 9 <= b <= 13) else 0x20 for b in range(256)), dtype=np.uint8)
 PREFIXES = (4, 5, 6)
 
@@ -72,8 +74,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -50, 50)))
 
 
-def train(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by gradient descent (Adam) on the cumulative-link likelihood of sparse presence features."""
+def train(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, decay: float | np.ndarray = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by gradient descent (Adam) on the cumulative-link likelihood of sparse presence features; ``decay`` may be one number a feature."""
     n = len(grades)
     w = np.zeros(width)
     raw = np.array([2.0, 0.5, 0.5])[:GRADES]  # the first threshold and the logs' gaps, so that order holds
@@ -103,7 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, rows / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
-    known = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # as many rows as ``rows`` says
+    known = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # ``chosen`` is about as many ids as ``rows`` says
+    if known.select("doc_id").count() > chosen.count():  # ids that repeat: of each the row with the least hash
+        known = known.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,10 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([2.0, 3.0, 4.0]))
     sums = fitted.coalesce(8).mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
-    # So many toxic documents that chance alone would give fewer than one of CHANCES features as many.
+    best = sums.where((F.col("toxic") >= 2) & (lift >= 20)).orderBy(F.desc("toxic"), "bucket").limit(FEATURES).collect()
+    best = sorted((r["bucket"], r["toxic"]) for r in best)
+    buckets = np.array([b for b, _ in best], dtype=np.int64)
+    # Sure features are in so many toxic documents that chance alone would give fewer than one of CHANCES features as many.
+    # Their prior fades as rows grow in number; that of the others does not, since chance has more such features the more rows there are.
     least = max(3, int(np.ceil(np.log(CHANCES) / np.log(1 + n_clean / n_toxic))))
-    best = sums.where((F.col("toxic") >= least) & (lift >= 20)).orderBy(F.desc("toxic"), "bucket").limit(FEATURES).collect()
-    buckets = np.array(sorted(r["bucket"] for r in best), dtype=np.int64)
+    decay = np.array([SURE / (n_clean + n_toxic) if n >= least else UNSURE for _, n in best])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sizes = np.array([len(x) for x in found])
     limits = np.quantile(sizes[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 1, 1 + (sizes > limits[0]) + (sizes > limits[1]), 0)
-    w, theta = train(np.repeat(np.arange(len(found)), sizes), np.concatenate([np.asarray(x, dtype=np.int64) for x in found]) if len(found) else np.zeros(0, np.int64), grades, len(buckets))
+    w, theta = train(np.repeat(np.arange(len(found)), sizes), np.concatenate([np.asarray(x, dtype=np.int64) for x in found]) if len(found) else np.zeros(0, np.int64), grades, len(buckets), decay=decay)
     return Model(buckets, w, theta)
 
 
