@@ -9,37 +9,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import cube, kdtree, lshforest, ordinal, spacedseed
-from folioflow.llm._store import stored
-from folioflow.session import reachable
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from folioflow.session import reachable
+
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the severity model does not call toxic; it is fitted on their labels."""
+    from folioflow.llm import ordinal
+
     return ordinal.without_toxic(docs, ordinal.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more, the least doc_id."""
+    from folioflow.llm import lshforest
+
     return lshforest.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a passage of the benchmark."""
+    from folioflow.llm import spacedseed
+
     return spacedseed.without_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    from folioflow.llm import cube
+
     return cube.mixed(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and slot of every document taken."""
+    from folioflow.llm import kdtree
+
     return kdtree.shard_documents(docs)
 
 
@@ -49,6 +57,8 @@ ORACLE_SQL = None  # model scores, links on estimates and chance are beyond SQL;
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
+    from folioflow.llm._store import stored
+
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

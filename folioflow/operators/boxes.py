@@ -76,8 +76,8 @@ def neighbours(regions: DataFrame, texts: DataFrame, reach: float = 160, most: i
 
 
 def caption_bands(df: DataFrame) -> DataFrame:
-    """``band_top``: the lowest bottom of the boxes before it on the page, 62 for the first."""
-    w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "grp", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    """``band_top``: the lowest bottom of the boxes before it on the page, 62 for the first. Boxes that tie in their place and keys go by their right and lower edges."""
+    w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "grp", "seq", "x1", "y1").rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("band_top", F.coalesce(F.max("y1").over(w).cast("double"), F.lit(62.0)))
 
 

@@ -127,7 +127,7 @@ def box_neighbors(spark, d):
     return X.neighbours(v.where("seq = 1"), t).select("doc", "page", "grp", "seq", "nearby")
 
 
-@query(", b AS (SELECT *, coalesce(max(y1) OVER (PARTITION BY doc, page ORDER BY y0, x0, grp, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 62)::DOUBLE AS band_top FROM v_boxes) SELECT doc, page, grp, seq, band_top FROM b", "v_boxes")
+@query(", b AS (SELECT *, coalesce(max(y1) OVER (PARTITION BY doc, page ORDER BY y0, x0, grp, seq, x1, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 62)::DOUBLE AS band_top FROM v_boxes) SELECT doc, page, grp, seq, band_top FROM b", "v_boxes")
 def caption_band(spark, d):
     return X.caption_bands(v_boxes(spark, d)).select("doc", "page", "grp", "seq", "band_top")
 

@@ -1,4 +1,4 @@
-"""Every query against DuckDB, on the smallest scale factor."""
+"""Every query against DuckDB, on the two smaller scale factors."""
 
 import os
 
@@ -20,17 +20,22 @@ def norm(v):
     return v
 
 
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])
+def scale(request):
+    return f"/root/testdata/{request.param}"
+
+
 @pytest.fixture(scope="module")
-def con(sf):
+def con(scale):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf, t)}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(scale, t)}.parquet'")
     return c
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
-def test_against_sql(spark, sf, con, name):
-    df = registry.QUERIES[name](spark, sf)
+def test_against_sql(spark, scale, con, name):
+    df = registry.QUERIES[name](spark, scale)
     cols = sorted(df.columns)
     got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     r = con.execute(registry.ORACLES[name])
