@@ -6,10 +6,11 @@ window can repeat only where its anchor's hash does, and everything further look
 stretch of ``2 * length - k`` units around a repeated anchor and at nothing else. About
 ``2 / (length - k + 2)`` of all places are anchors.
 
-A document is told by ``doc`` (its doc_id, a null one as the least long) and ``tag``, 64
-bits of a hash of its text, so rows that share an id but not a text stay apart; wholly
-equal rows count as so many documents with the same place in the order. ``at`` is a place
-in a document.
+Rows with equal texts are one class and go through all this once (`collapse`), however
+many they are. A class is told by ``doc``, the least doc_id of its rows (a null one as the
+least long), and ``tag``, 64 bits of a hash of its text, so rows that share an id but not a
+text stay apart; in the order of the corpus they go by doc_id, then by tag. ``at`` is a
+place in a text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import parts, stored
+from ._store import drop_paths, parts, stored
 
 NULL_ID = -(1 << 63)
 U = np.uint64
@@ -44,10 +45,6 @@ class Unit:
         return self.length - self.k
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("tag"), F.col("doc_id"), F.col("text"))
-
-
 def unit_keys(texts: W.Texts, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Hashed units and the rows' offsets among them."""
     if unit.words:
@@ -87,30 +84,36 @@ def find(keys: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray,
     return row, at - offsets[row], grams[at].view(np.int64), around.view(np.int64)
 
 
-def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
-    """(h, seg, doc, tag, at) of every anchor of every document."""
+def anchors(texts: DataFrame, unit: Unit) -> DataFrame:
+    """(h, seg, doc, tag, at) of every anchor of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            for i, j, texts in W.blocks(batch.column("text")):
-                keys, offsets = unit_keys(texts, unit)
+            for i, j, data, offs in unpack(batch.column("z")):
+                keys, offsets = unit_keys(W.Texts(data, offs), unit) if unit.words else (W.BYTE[data], offs)
                 row, place, h, seg = find(keys, offsets, unit)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seg), pa.array(ids[i:j][row]), pa.array(tag[i:j][row]), pa.array(place)], ["h", "seg", "doc", "tag", "at"])
 
-    return keyed(docs).select("doc", "tag", "text").mapInArrow(run, "h long, seg long, doc long, tag long, at long")
+    return texts.select("doc", "tag", "z").mapInArrow(run, "h long, seg long, doc long, tag long, at long")
 
 
-def repeated(docs: DataFrame, unit: Unit, name: str) -> DataFrame:
+def repeated(texts: DataFrame, unit: Unit, name: str) -> DataFrame:
     """The anchors whose hash occurs more than once, stored. Counting combines before its shuffle and a join with few hot keys is split by Spark, so no hash meets in one task."""
-    found = stored(anchors(docs, unit), f"{name}-anchors")
+    found = stored(anchors(texts, unit), f"{name}-anchors")
     twice = stored(found.groupBy("h").count().where("count > 1").select("h"), f"{name}-twice")  # stored, so that the join has shuffles of its own, which Spark can split
-    return stored(found.join(twice.hint("merge"), "h"), f"{name}-repeated")
+    out = stored(found.join(twice.hint("merge"), "h"), f"{name}-repeated")
+    drop_paths(texts.sparkSession, found, twice)
+    return out
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("tag"), F.xxhash64(F.lit(1), "text").alias("more"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, tag, doc_id, z): texts compressed once for shuffles; z is null for a null text."""
+    """(doc, tag, more, z): texts compressed once for shuffles; null ones are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -119,14 +122,27 @@ def packed(docs: DataFrame) -> DataFrame:
             for i, j in W.slices(offsets, 4 << 20):
                 raw = data[offsets[i] : offsets[j]].tobytes()
                 at = offsets[i : j + 1] - offsets[i]
-                each = [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+                each = [press.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), part.column("tag"), part.column("doc_id"), pa.array([press.compress(x) for x in each], pa.binary())],
-                    ["doc", "tag", "doc_id", "z"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("tag"), part.column("more"), pa.array(each, pa.binary())], ["doc", "tag", "more", "z"])
+
+    return keyed(docs).select("doc", "tag", "more", "text").mapInArrow(run, "doc long, tag long, more long, z binary")
+
 
-    return keyed(docs).mapInArrow(run, "doc long, tag long, doc_id long, z binary")
+def collapse(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, tag, more, doc_id) of all documents, and their classes (doc, tag, more, n, z), both stored.
+
+    Equal texts are told by two hashes of 64 bits (tag, more). Rows are counted before any
+    text is shuffled, and a class with very many rows is a hot key of a join, which Spark
+    splits; only the text of its least doc_id goes on.
+    """
+    rows = stored(keyed(docs).drop("text"), f"{name}-rows")
+    counts = rows.groupBy("tag", "more", "doc").agg(F.count("*").alias("m")).groupBy("tag", "more").agg(F.min(F.struct("doc", "m")).alias("head"), F.sum("m").alias("n"))
+    several = stored(counts.where("n > 1").select("tag", "more", F.col("head.doc").alias("head"), F.col("head.m").alias("m"), "n"), f"{name}-several")
+    texts = packed(docs).join(several.hint("merge"), ["tag", "more"], "left").where("head is null or doc = head")
+    if several.where("m > 1").head(1):  # rows equal in doc_id and text
+        texts = texts.where("m is null or m = 1").unionByName(texts.where("m > 1").dropDuplicates(["tag", "more"]))
+    return rows, stored(texts.select("doc", "tag", "more", F.coalesce("n", F.lit(1)).alias("n"), "z"), f"{name}-texts")
 
 
 def unpack(z: pa.Array, most: int = W.BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -142,13 +158,13 @@ def unpack(z: pa.Array, most: int = W.BLOCK) -> Iterator[tuple[int, int, np.ndar
             first, have, size = i + 1, [], 0
 
 
-def by_document(rows: DataFrame, docs: DataFrame, how: str, *fields: str) -> DataFrame:
-    """Packed documents with what ``rows`` (doc, tag, fields) hold of each as a list ``found``; such a list is no longer than its text."""
+def by_document(rows: DataFrame, texts: DataFrame, how: str, *fields: str) -> DataFrame:
+    """Classes with what ``rows`` (doc, tag, fields) hold of each as a list ``found``; such a list is no longer than the text."""
     lists = rows.groupBy("doc", "tag").agg(F.collect_list(F.struct(*fields)).alias("found"))
-    return packed(docs).join(lists.hint("merge"), ["doc", "tag"], how)
+    return texts.join(lists.hint("merge"), ["doc", "tag"], how)
 
 
-def stretches(chosen: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
+def stretches(chosen: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
     """The stretches around the anchors (h, doc, tag, at): (h, doc, tag, at, low, left, body), body being bytes or 8-byte word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +189,7 @@ def stretches(chosen: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
                         ["h", "doc", "tag", "at", "low", "left", "body"],
                     )
 
-    return by_document(chosen, docs, "inner", "h", "at").select("doc", "tag", "z", "found").mapInArrow(run, "h long, doc long, tag long, at long, low long, left long, body binary")
+    return by_document(chosen, texts, "inner", "h", "at").select("doc", "tag", "z", "found").mapInArrow(run, "h long, doc long, tag long, at long, low long, left long, body binary")
 
 
 def sharded(rows: DataFrame, groups: DataFrame, most: int) -> DataFrame:
@@ -254,7 +270,7 @@ def _marked(marks: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(out[:, c]) for c in range(4)), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary())], FIELDS)
 
 
-def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], shard: int, batch_rows: int, name: str, once: bool, inside: Callable[[pa.Table], list[np.ndarray]]) -> DataFrame:
+def cascade(texts: DataFrame, words: bool, length: int, grams: tuple[int, ...], shard: int, batch_rows: int, name: str, once: bool, inside: Callable[[pa.Table], list[np.ndarray]]) -> DataFrame:
     """(doc, tag, low, high): what windows that repeat cover.
 
     ``inside`` finds the windows that repeat inside a shard of stretches. ``once``: the
@@ -263,16 +279,15 @@ def cascade(docs: DataFrame, words: bool, length: int, grams: tuple[int, ...], s
     that repeat only across its shards are found by the next of ``grams``, a longer anchor
     in the same stretches, the last being the whole window, so no group meets in one task.
     """
-    spark = docs.sparkSession
     unit = Unit(words, length, grams[0])
-    found = repeated(docs, unit, name)
+    found = repeated(texts, unit, name)
     kinds = stored(found.groupBy("h", "seg").agg(F.min(F.struct("doc", "tag", "at")).alias("head"), F.count("*").alias("n")), f"{name}-kinds")
     again = F.struct("doc", "tag", "at") > F.col("head") if once else F.col("n") > 1
     same = found.join(kinds.where("n > 1").hint("merge"), ["h", "seg"]).where(again)
     marks = same.select("doc", "tag", (F.col("at") - unit.flank).alias("low"), (F.col("at") + unit.k + unit.flank).alias("high"))
     groups = stored(kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1"), f"{name}-groups")
     heads = kinds.join(groups.hint("merge"), "h", "left_semi").select("h", "head.doc", "head.tag", "head.at")
-    rows = stretches(heads, docs, unit)
+    rows = stretches(heads, texts, unit)
     for gram in grams[1:]:
         unit = Unit(words, length, gram)
         large = bool(groups.where(F.col("n_seg") > shard).head(1))

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a temporary one is made and set."""
+    """The folder named by ``spark.checkpoint.dir``. Only where that is unset in local mode (tests on one machine) a temporary one is made and set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="folioflow-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         folder = f"file://{folder}"
@@ -30,17 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def drop_paths(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
+    """Deletes stored tables that nothing reads any more; whatever was made of them has to be stored itself."""
     for frame in frames:
-        for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(conf).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession, least: int = 8) -> int:

@@ -11,9 +11,13 @@ and a window is removable where its state's first place lies before the window i
 A group of more than ``SHARD`` stretches is salted over several automata; windows that
 repeat only across them are found with longer anchors (`_anchors.cascade`).
 
+Documents with equal texts go through this once, for the earliest of them; the others
+begin every window later and lose all their words.
+
 Cases: null and empty texts and those shorter than a window keep all their words (none);
-a null doc_id orders first; rows with equal doc_id and text are the same place in the
-order and remove nothing of each other; an empty table gives no rows.
+a null doc_id orders first; rows that share a doc_id but not a text are documents of their
+own, in the order of a 64-bit hash of their texts; rows with equal doc_id and text are the
+same place in the order and remove nothing of each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _words as W
-from ._anchors import by_document, cascade, unpack
+from ._anchors import by_document, cascade, collapse, unpack
 
 GRAMS = (8, 14, 18)
 SHARD = 8192
@@ -164,9 +169,9 @@ def _shard(table: pa.Table, length: int) -> list[np.ndarray]:
     return marks
 
 
-def duplicate_marks(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAMS, shard: int = SHARD) -> DataFrame:
-    """(doc, tag, low, high): word intervals that windows cover which also start earlier."""
-    return cascade(docs, True, length, (*grams, length), shard, 1000, "words", True, lambda table: _shard(table, length))
+def duplicate_marks(texts: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAMS, shard: int = SHARD) -> DataFrame:
+    """(doc, tag, low, high): word intervals of the classes ``texts`` that windows cover which also start earlier."""
+    return cascade(texts, True, length, (*grams, length), shard, 1000, "words", True, lambda table: _shard(table, length))
 
 
 def dedup_words(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAMS, shard: int = SHARD) -> DataFrame:
@@ -176,18 +181,19 @@ def dedup_words(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAM
     earlier: at a smaller doc_id, or in the same document before. Windows are judged on the
     input. See the module's docstring for nulls, empty texts and repeated rows.
     """
-    marks = duplicate_marks(docs, length, grams, shard)
+    rows, texts = collapse(docs, "words")
+    marks = duplicate_marks(texts, length, grams, shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("found")
             for i, j, data, offsets in unpack(batch.column("z")):
-                texts = W.Texts(data, offsets)
+                block = W.Texts(data, offsets)
                 raw = data.tobytes()
                 n, gone, spans, digest, kept, cut = [], [], [], [], [], []
                 for r in range(i, j):
-                    a, b = int(texts.rows[r - i]), int(texts.rows[r - i + 1])
-                    start, end = texts.start[a:b].tolist(), texts.end[a:b].tolist()
+                    a, b = int(block.rows[r - i]), int(block.rows[r - i + 1])
+                    start, end = block.start[a:b].tolist(), block.end[a:b].tolist()
                     drop = np.zeros(b - a + 1, dtype=np.int64)
                     for x in found[r].as_py() or ():
                         drop[max(0, x["low"])] += 1
@@ -202,9 +208,15 @@ def dedup_words(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAM
                     kept.append(text.decode())
                     cut.append(edge.tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()), pa.array(cut, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed_spans"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("doc", "tag", "more")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()), pa.array(cut, pa.list_(pa.int64()))],
+                    ["head", "tag", "more", "n_words", "n_removed", "n_spans", "kept_sha256", "kept_text", "removed_spans"],
                 )
 
-    whole = by_document(marks, docs, "left", "low", "high").select("doc_id", "z", "found")
-    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string, removed_spans array<long>")
+    whole = by_document(marks, texts, "left", "low", "high").select("doc", "tag", "more", "z", "found")
+    done = whole.mapInArrow(run, "head long, tag long, more long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text string, removed_spans array<long>")
+    out = rows.join(done.hint("merge"), ["tag", "more"])
+    later = (F.col("doc") > F.col("head")) & (F.col("n_words") >= length)  # all of it starts earlier, in the head
+    either = lambda then, c: F.when(later, then).otherwise(F.col(c)).alias(c)
+    return out.select(
+        "doc_id", "n_words", either(F.col("n_words"), "n_removed"), either(F.lit(1).cast("long"), "n_spans"), either(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256"), either(F.lit(""), "kept_text"), either(F.array(F.lit(0).cast("long"), F.col("n_words")), "removed_spans")
+    )

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -342,6 +343,36 @@ def test_dedup_of_texts_that_share_an_id(spark):
         assert sorted(map(tuple, got), key=repr) == brute_words(rows, 20)
 
 
+def test_dedup_of_many_equal_rows(spark):
+    r = random.Random(5)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(150))
+    rows = [(i, text) for i in range(20, 1500)] + [(7, text)] * 300 + [(None, text)] * 200 + [(1, "a " + text), (3000, text + " z"), (1501, "one off " * 3), (1502, None), (1503, "")]
+    got = bwt.dedup_bytes(docs(spark, rows), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_bytes(rows, 200)
+    got = automaton.dedup_words(docs(spark, rows), 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_words(rows, 20)
+
+
+def test_dedup_of_equal_rows_is_linear(spark):
+    text = " ".join(f"w{i}" for i in range(1500))
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    start = time.perf_counter()
+    got = bwt.dedup_bytes(rows, 200).where("n_removed = n_bytes and n_spans = 1").count()
+    assert got == 5000 and time.perf_counter() - start < 60
+    out = automaton.dedup_words(rows, 20).groupBy("n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(0, 1), (1500, 4999)]
+
+
+def test_dedup_of_a_very_long_text(spark):
+    r = random.Random(6)
+    text = " ".join(f"w{r.randrange(40)}" for _ in range(60_000))
+    rows = [(1, text), (2, text[1000:50_000]), (3, "x" * 100_000), (4, "short")]
+    got = bwt.dedup_bytes(docs(spark, rows), 200).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_bytes(rows, 200)
+    got = automaton.dedup_words(docs(spark, rows), 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_words(rows, 20)
+
+
 def test_dedup_of_nothing(spark):
     assert bwt.dedup_bytes(docs(spark, [])).count() == automaton.dedup_words(docs(spark, [])).count() == 0
 
