@@ -1,4 +1,4 @@
-"""Connected components of an edge table: in one task while the edges are few, by alternating large and small stars beyond."""
+"""Connected components of an edge table by alternating large and small stars, each round begun by contraction inside partitions."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ._store import stored
 
-FEW = 500_000  # edges up to which one task joins them; 16 bytes each
+MOST = 100_000  # edges that one task contracts; 16 bytes each
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all edges (u, v)."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a partition's edges (u, v) connect, as edges from each node to the least one."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -27,40 +27,41 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    if parent:
-        nodes = list(parent)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"])
+    nodes = [x for x in parent if root(x) != x]
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def components(edges: DataFrame, name: str = "components", rounds: int = 60, few: int = FEW) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int = 60, most: int = MOST) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b): label is the least node reachable.
 
-    Up to ``few`` edges go through one task; that is a check of their number, not a bound
-    on what is found. Beyond, each round hangs every node under the least node that it or its neighbours see, so the
-    number of rounds follows the logarithm of a component's width. A node with very many
-    neighbours is a join key with many rows, which Spark splits; no neighbourhood is
-    collected.
+    Edges are dealt to tasks of about ``most``, and each task keeps only a forest of what its
+    own connect; where one task holds all, that is the result. Else each round hangs every node
+    under the least node that it or its neighbours see, so the number of rounds follows the
+    logarithm of a component's width. A node with very many neighbours is a join key with
+    many rows, which Spark splits, all least nodes being stored before they are joined; no
+    neighbourhood is collected.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), f"{name}-0")
-    if now.count() <= few:
-        return now.coalesce(1).mapInArrow(_joined, "node long, label long")
-    seen = None
+    count, seen = now.count(), None
     for k in range(1, rounds + 1):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # u > v again
-        least = _least(large)
-        small = large.join(least.hint("merge"), "u")
-        small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, f"{name}-{k}")
+        tasks = -(-count // most)
+        forest = (now.coalesce(1) if tasks <= 1 else now.repartition(tasks, "v")).mapInArrow(_forest, "u long, v long")
+        if tasks <= 1:
+            now = forest
+            break
+        forest = stored(forest, f"{name}-forest")
+        both = forest.unionByName(forest.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # u > v again
+        large = stored(large, f"{name}-large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+        small = large.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = stored(small.distinct(), f"{name}-{k}")
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
             break
-        seen = mark
+        count, seen = mark[0], mark
     else:
         raise RuntimeError("components did not settle")
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))

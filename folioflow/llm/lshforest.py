@@ -13,12 +13,18 @@
    full. Candidates whose signatures rule out the threshold are dropped; of the rest a
    spanning forest goes on.
 3. Candidate groups are the components of those edges. Inside a group every link counts,
-   also between classes that were no neighbours: groups are cut into blocks of ``BLOCK``
-   classes and each block is linked on full sets. In groups of several blocks, one class of
-   each linked part, and then all classes outside the largest part, are compared with the
-   other blocks, so that no part stays apart for want of a comparison.
+   also between classes that were no neighbours. Groups of more than ``BLOCK`` classes are
+   first divided by an exact prefix filter: in any order of all shingles two linked sets
+   share one of their first few, and with the rarest first those that only share a common
+   template don't. What is left is cut into blocks of ``BLOCK`` classes and each block is
+   linked on full sets. In groups of several blocks, one class of each linked part, and then
+   all classes outside the largest part, are compared with the other blocks, so that no part
+   stays apart for want of a comparison.
 4. Components of the confirmed links give component_id.
 
+With ``exact`` the prefix filter takes the place of the forest: all classes are one group,
+which costs a shuffle of a fifth of all shingles.
+
 Cases: null, empty and all-white texts have empty sets, n_shingles 0 and no links; fewer
 words than a shingle are one shingle; a null doc_id is the largest of its component; rows
 sharing a doc_id but not a text are documents of their own; an empty table gives no rows.
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._anchors import runs
-from ._store import parts, stored
+from ._store import drop_paths, parts, stored
 from .components import components
 
 HASHES = 96
@@ -49,6 +55,7 @@ LIMIT = 1024
 DEEPEST = 8
 MISS = 1e-4
 BLOCK = 256
+SKETCH = 1 << 20
 SIGMAS = 4.5
 NULL_ID = (1 << 63) - 1
 U32 = np.uint32
@@ -329,29 +336,105 @@ def _nodes(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _across(size: int, percent: int):
-    """Rows (c, block, node, part, guest, z): links (a, b) between guests and the block's own classes of other parts, one for each pair of parts and guest."""
+    """Rows (c, block, node, part, guest, z), a block's own classes first: links (a, b) between guests and the block's own classes of other parts, one for each pair of parts and guest. A block's own sets are held, and 64 guests at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            own, guests = [r for r in rows if not r[4]], [r for r in rows if r[4]]
-            if not own or not guests:
-                continue
-            sets = _sets([r[5] for r in own], size)
+        key, own, sets, guests = None, [], None, []
+
+        def meet() -> list[tuple]:
+            nonlocal sets
+            if sets is None:
+                sets = _sets([r[5] for r in own], size)
             out = []
-            for a in range(0, len(guests), 64):
-                some = guests[a : a + 64]
-                for g, s in zip(some, _sets([r[5] for r in some], size)):
-                    met = {g[3]}
-                    for r, t in zip(own, sets):
-                        if r[3] not in met and _linked(s, t, percent):
-                            met.add(r[3])
-                            out.append((g[2], r[2]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            for g, s in zip(guests, _sets([r[5] for r in guests], size)):
+                met = {g[3]}
+                for r, t in zip(own, sets):
+                    if r[3] not in met and _linked(s, t, percent):
+                        met.add(r[3])
+                        out.append((g[2], r[2]))
+            guests.clear()
+            return out
+
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != key:
+                    if guests:
+                        found += meet()
+                    key, own, sets = row[:2], [], None
+                if not row[4]:
+                    own.append(row)
+                elif own:
+                    guests.append(row)
+                    if len(guests) == 64:
+                        found += meet()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        if guests and (found := meet()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def _counted(size: int):
+    """Rows (z) to (bucket, n): how many of the sets have a shingle in each of SKETCH buckets, a partition at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            z = batch.column("z").to_pylist()
+            for a in range(0, len(z), 256):
+                total += np.bincount(np.concatenate([(x & np.uint64(SKETCH - 1)).astype(np.int64) for x in _sets(z[a : a + 256], size)]), minlength=SKETCH)
+        some = np.flatnonzero(total)
+        for a in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 100_000]), pa.array(total[some[a : a + 100_000]])], ["bucket", "n"])
 
     return run
 
 
+def _prefixes(size: int, percent: int, rarity):
+    """Rows (c, node, z) to (c, key, band, node, first): the shingles of each set's prefix in the order of their rarity.
+
+    Two linked sets of sizes x <= y share one of the first x - ceil(2px / (100 + p)) + 1
+    shingles of the smaller (``first``) and y - ceil(py / 100) + 1 of the larger. Sizes that
+    can be linked are in one band or in neighbouring ones, so each is in its own and the one below.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = rarity.value
+        for batch in batches:
+            c, node, z = (batch.column(x).to_pylist() for x in ("c", "node", "z"))
+            for a in range(0, len(z), 256):
+                out = []
+                for i, s in enumerate(_sets(z[a : a + 256], size), a):
+                    n = len(s)
+                    own = s[np.lexsort((s, often[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))][: n + percent * -n // 100 + 1].view(np.int64)
+                    first = n + 2 * percent * -n // (100 + percent) + 1
+                    band = math.floor(math.log(n) / math.log(100 / percent) + 1e-9) if percent < 100 else n
+                    m = len(own)
+                    out.append((np.full(2 * m, c[i]), np.tile(own, 2), np.repeat([band, band - 1], m), np.full(2 * m, node[i]), np.arange(2 * m) < first))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["c", "key", "band", "node", "first"])
+
+    return run
+
+
+def prefix_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label) of the classes among ``rows`` (c, node, z) that an exact prefix filter leaves together with others of their group c. No link is lost by it."""
+    spark = rows.sparkSession
+    counts = rows.select("z").mapInArrow(_counted(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    often = np.zeros(SKETCH, dtype=np.int64)
+    often[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    rarity = spark.sparkContext.broadcast(often)
+    keys = stored(rows.select("c", "node", "z").mapInArrow(_prefixes(size, percent, rarity), "c long, key long, band long, node long, first boolean"), "forest-prefixes")
+    hubs = stored(keys.groupBy("c", "key", "band").agg(F.min(F.when(F.col("first"), F.col("node"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1").drop("n"), "forest-hubs")
+    edges = keys.join(hubs.hint("merge"), ["c", "key", "band"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    out = stored(components(edges, "forest-divided"), "forest-divided")
+    drop_paths(spark, keys, hubs)
+    rarity.unpersist()
+    return out
+
+
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -392,16 +475,28 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _blocks(groups: DataFrame) -> DataFrame:
+    """``groups`` (node, c) with the number of blocks of the group."""
+    blocks = stored(groups.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "forest-blocks")
+    return groups.join(blocks.hint("merge"), "c")
+
+
+def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: bool = False) -> DataFrame:
     """Confirmed links (a, b) between classes that join whatever is linked."""
     n = 2 * parts(docs.sparkSession)
-    groups = stored(components(candidate_edges(classes, percent / 100), "forest"), "forest-groups").withColumnRenamed("label", "c")
-    blocks = stored(groups.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "forest-blocks")
-    members = groups.join(blocks.hint("merge"), "c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    if exact:
+        groups = classes.select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("c"), F.lit(2).cast("long").alias("blocks"))
+    else:
+        groups = _blocks(stored(components(candidate_edges(classes, percent / 100), "forest"), "forest-groups").withColumnRenamed("label", "c"))
     # A class's text is that of its least row.
-    members = members.join(classes.select(F.col("rep").alias("node"), "doc", "text_hash"), "node")
+    members = groups.join(classes.select(F.col("rep").alias("node"), "doc", "text_hash"), "node")
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pressed, "doc long, text_hash long, z binary")
-    members = stored(members.join(texts.hint("merge"), ["doc", "text_hash"]).select("c", "block", "node", "blocks", "z"), "forest-members")
+    members = stored(members.join(texts.hint("merge"), ["doc", "text_hash"]).groupBy("node").agg(*(F.first(x).alias(x) for x in ("c", "blocks", "z"))), "forest-members")
+    wide = members.where("blocks > 1")
+    if wide.head(1):
+        parted = _blocks(prefix_groups(wide, size, percent).withColumnRenamed("label", "c"))
+        members = stored(members.where("blocks = 1").unionByName(wide.select("node", "z").join(parted.hint("merge"), "node").select(*members.columns)), "forest-divided")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("c", "block", "node", "blocks", "z")
     dealt = members.repartition(n, "c", "block").sortWithinPartitions("c", "block", "node")
     local = stored(dealt.mapInArrow(_inside(size, percent), "node long, label long, c long, blocks long"), "forest-parts")
     out = local.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -428,12 +523,12 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataF
     return out.unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (Spark's xxhash64) of every document: documents are linked where 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles; component_id is the least doc_id reachable, and kept tells whether it is the document's own."""
     sketch = stored(sketches(docs, size), "forest-sketches")
     classes = sketch.where("n > 0").groupBy("digest", "rep").agg(F.min(F.struct("doc", "text_hash")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.select("digest", "rep", "r.doc", "r.text_hash", "n", "sig"), "forest-classes")
-    joined = stored(components(links(docs, classes, size, percent), "links").select(F.col("node").alias("rep"), "label").join(classes.select("rep", "doc"), "rep"), "forest-joined")
+    joined = stored(components(links(docs, classes, size, percent, exact), "links").select(F.col("node").alias("rep"), "label").join(classes.select("rep", "doc"), "rep"), "forest-joined")
     least = stored(joined.groupBy("label").agg(F.min("doc").alias("least")), "forest-least")
     joined = joined.join(least, "label").select("rep", "least")
     reps = classes.select("digest", "rep", "doc").join(joined, "rep", "left").select("digest", F.coalesce("least", "doc").alias("component"))
