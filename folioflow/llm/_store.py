@@ -44,6 +44,18 @@ def drop_paths(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, upper and lower case being the same."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"{name}_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession, least: int = 8) -> int:
     """Partitions for a shuffle whose number has to be given by hand."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
