@@ -6,12 +6,17 @@ records that refer to it and have no body. A block of more than ``SEGMENT`` byte
 segmented: the first record carries ``WARC-Segment-Number: 1``, the rest follow as
 ``continuation`` records that name it in ``WARC-Segment-Origin-ID``, the last with
 ``WARC-Segment-Total-Length``. The archives are gzipped files in the shared folder, written
-by Spark's text sink with the two line breaks that close a record as its separator.
-
-Reading: files are parsed by ``Content-Length``. Whole records are decoded at once; only
-segments are grouped by origin, ordered by number, checked against the total length and for
-gaps, joined, and freed from chunked framing. A group is one page's segments, never more.
-A record whose check fails is told in ``problem`` and yields no payload.
+by Spark's text sink (a file is one gzip member) with the two line breaks that close a
+record as its separator. Every record has an id of its own: revisits, and responses whose
+page_id and payload other rows share, are told by their place among the writer's tasks.
+
+Reading: files of one or many gzip members, or of none, are unpacked piece by piece and
+parsed by ``Content-Length``. Whole records are decoded at once; only segments are grouped
+by origin, ordered by number, checked against the total length and for gaps, joined, and
+freed from chunked framing. A group is one page's segments, never more. What is damaged
+(a file cut off, no or a wrong length, a header that is none, a missing segment, another
+digest) makes a row that says so in ``problem`` and has no payload; reading goes on at the
+next record that can be found.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +68,7 @@ def dechunked(framed: bytes) -> bytes:
         at = end + 2
         if not size:
             return b"".join(out)
-        if at + size + 2 > len(framed) or framed[at + size : at + size + 2] != b"\r\n":
+        if size < 0 or at + size + 2 > len(framed) or framed[at + size : at + size + 2] != b"\r\n":
             raise ValueError("a chunk is cut off")
         out.append(framed[at : at + size])
         at += size + 2
@@ -78,12 +84,16 @@ def _line(value: str | None) -> str:
     return re.sub(r"[\r\n]+", " ", value or "")
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, sha: str, keeper: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page: a revisit if ``keeper`` is another page, else a response with its continuations."""
-    fields = [("WARC-Record-ID", record_id(page_id, sha)), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-ID", "" if page_id is None else page_id)]
-    if keeper is not None and keeper != page_id:
+def records(page_id: int | None, url: str | None, payload: bytes, sha: str, keeper: int | None, keepers: int | None, place: str, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one page: a revisit if ``keeper`` is another page, else a response with its continuations. ``keepers`` rows are the keeper's (null: this one alone), ``place`` tells this row from others like it."""
+    again = keeper is not None and keeper != page_id
+    alone = (keepers or 1) == 1
+    own = page_id if alone and not again else f"{page_id}/{place}"
+    fields = [("WARC-Record-ID", record_id(own, sha)), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-ID", "" if page_id is None else page_id)]
+    if again:
+        refers = [("WARC-Refers-To", record_id(keeper, sha))] if alone else []
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        return [_record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(keeper, sha)), ("X-Refers-To-Page-ID", keeper), ("Content-Type", "application/http;msgtype=response")], block)]
+        return [_record([("WARC-Type", "revisit"), *fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *refers, ("X-Refers-To-Page-ID", keeper), ("Content-Type", "application/http;msgtype=response")], block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     first = [("WARC-Type", "response"), *fields, ("Content-Type", "application/http;msgtype=response")]
     if len(block) <= segment:
@@ -92,25 +102,81 @@ def records(page_id: int | None, url: str | None, payload: bytes, sha: str, keep
     count = -(-len(block) // segment)
     for k in range(2, count + 1):
         total = [("WARC-Segment-Total-Length", len(block))] if k == count else []
-        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, sha, k)), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("WARC-Segment-Origin-ID", record_id(page_id, sha)), ("WARC-Segment-Number", k), *total], block[(k - 1) * segment : k * segment]))
+        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(own, sha, k)), ("WARC-Date", DATE), ("WARC-Target-URI", _line(url)), ("WARC-Segment-Origin-ID", record_id(own, sha)), ("WARC-Segment-Number", k), *total], block[(k - 1) * segment : k * segment]))
     return out
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of an archive; header names in lower case."""
+def inflated(content: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a file of any number of gzip members, or of none; EOFError where the last one is cut off."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
     at = 0
-    while at < len(archive):
-        end = archive.index(END, at)
-        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(content):
+                raise EOFError
+            some = content[at : at + piece]
+            at += len(some)
+            yield member.decompress(some)
+        at -= len(member.unused_data)
+        if not content[at:].strip(b"\0"):  # padding
+            return
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, problem) of every record; header names in lower case. What is no sound record has a problem and no block."""
+    have, fault = bytearray(), None
+
+    def more() -> bool:
+        nonlocal fault
+        try:
+            have.extend(next(pieces))
+        except StopIteration:
+            return False
+        except EOFError:
+            fault = "the file is cut off"
+            return False
+        except zlib.error:
+            fault = "the file is damaged"
+            return False
+        return True
+
+    def skip() -> None:
+        """To the next thing that looks like a record."""
+        at = 1
+        while (found := have.find(b"\r\n\r\nWARC/", at)) < 0:
+            at = max(1, len(have) - 8)
+            if not more():
+                have.clear()
+                return
+        del have[: found + 4]
+
+    while True:
+        while (end := have.find(END)) < 0 and more():
+            pass
+        if end < 0:
+            if have.strip() or fault:
+                yield {}, b"", fault or "a header is cut off"
+            return
+        lines = have[:end].decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        length = head.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not (length.isascii() and length.isdigit()):
+            yield head if lines[0].startswith("WARC/") else {}, b"", "no length" if lines[0].startswith("WARC/") else "no record"
+            skip()
+            continue
         start = end + 4
-        stop = start + int(head["content-length"])
-        if archive[stop : stop + 4] != END:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield head, archive[start:stop]
-        at = stop + 4
+        stop = start + int(length)
+        while len(have) < stop + 4 and more():
+            pass
+        if have[stop : stop + 4] != END:
+            yield head, b"", "the record is cut off" if len(have) < stop + 4 else "the length is wrong"
+            skip()
+            continue
+        yield head, bytes(have[start:stop]), None
+        del have[: stop + 4]
 
 
 def http_payload(block: bytes) -> bytes:
@@ -128,15 +194,19 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = S
     raw = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"), F.sha1(raw).alias("sha"))
     # One row per different payload; counting combines before its shuffle and Spark splits the join's hot keys.
-    keepers = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(raw).alias("sha"), F.octet_length(raw).alias("n")).where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("sha", "keeper"), "warc-keepers")
+    keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(raw).alias("sha"), F.octet_length(raw).alias("n")).where(F.col("n") >= least)
+    counts = keys.groupBy("sha", "page_id").agg(F.count("*").alias("m")).groupBy("sha").agg(F.max(F.struct("page_id", "m")).alias("k"), F.sum("m").alias("copies"))  # a null page_id is the least
+    keepers = stored(counts.where("copies > 1").select("sha", F.col("k.page_id").alias("keeper"), F.col("k.m").alias("keepers")), "warc-keepers")
     rows = rows.join(keepers.hint("merge"), "sha", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[bytes] = []
             size = 0
-            for page_id, url, payload, sha, keeper in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "keeper"))):
-                made = records(page_id, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), keeper, segment)
+            for page_id, url, payload, sha, keeper, keepers_ in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "keeper", "keepers"))):
+                n += 1
+                made = records(page_id, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), keeper, keepers_, f"{task}/{n}", segment)
                 out += made
                 size += sum(map(len, made))
                 if size > 4 << 20:
@@ -166,37 +236,44 @@ def _join(parts_: list[tuple[int, int | None, bytes]]) -> tuple[bytes, str | Non
     return block, None, min(map(len, by.values()))
 
 
-FIELDS = ["page_id", "record_type", "refers_to", "stated_digest", "n", "origin", "number", "total", "block"]
-PARSED = "page_id long, record_type string, refers_to long, stated_digest string, n long, origin string, number long, total long, block binary"
+FIELDS = ["page_id", "record_type", "refers_to", "stated_digest", "n", "origin", "number", "total", "block", "problem"]
+PARSED = "page_id long, record_type string, refers_to long, stated_digest string, n long, origin string, number long, total long, block binary, problem string"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string, n_segments long, payload binary"
 
 
 def _int(text: str | None) -> int | None:
-    return int(text) if text else None
+    """A number of at most 18 digits, null for anything else."""
+    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, problem, n_segments and payload of every page in the archives under ``path``.
 
     Bytes and digest are those of the payload read back, for revisits those that the record
-    states. ``problem`` is null where the record is sound and its digest agrees.
+    states. ``problem`` is null where the record is sound and its digest agrees; a damaged
+    record or file is a row with a problem, its other columns null where they can't be read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
                 size = 0
-                for head, block in parse(zlib.decompress(content.as_py(), 31)):
+                for head, block, problem in parse(inflated(content.as_py())):
                     sha = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    kind = head.get("warc-type")
                     number = _int(head.get("warc-segment-number"))
-                    origin = head.get("warc-segment-origin-id", head["warc-record-id"]) if number else None
+                    origin = head.get("warc-segment-origin-id", head.get("warc-record-id"))
+                    if number and origin is None:
+                        problem = problem or "a segment without an origin"
+                    if problem:
+                        number = None
                     n = None
-                    if head["warc-type"] == "revisit":
-                        found = re.search(rb"(?im)^content-length:\s*(\d+)", block)
+                    if kind == "revisit":
+                        found = re.search(rb"(?im)^content-length:\s*(\d{1,18})\s*$", block)
                         n, block = int(found[1]) if found else None, b""
-                    rows.append((_int(head.get("x-page-id")), head["warc-type"], _int(head.get("x-refers-to-page-id")), sha, n, origin, number, _int(head.get("warc-segment-total-length")), block))
+                    rows.append((_int(head.get("x-page-id")), kind, _int(head.get("x-refers-to-page-id")), sha, n, origin if number else None, number, _int(head.get("warc-segment-total-length")), block, problem))
                     size += len(block)
                     if size > 4 << 20:
                         yield _batch(rows)
@@ -206,9 +283,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     parsed = files.mapInArrow(split, PARSED)
     # Whole records go on as they are; only segments are shuffled.
-    whole = parsed.where("number is null").select("page_id", "record_type", "refers_to", "stated_digest", "n", F.array(F.struct(F.lit(1).cast("long").alias("number"), F.octet_length("block").cast("long").alias("total"), "block")).alias("parts"))
+    whole = parsed.where("number is null").select("page_id", "record_type", "refers_to", "stated_digest", "n", F.array(F.struct(F.lit(1).cast("long").alias("number"), F.octet_length("block").cast("long").alias("total"), "block")).alias("parts"), "problem")
     several = parsed.where("number is not null").groupBy("origin").agg(
-        F.max("page_id").alias("page_id"), F.max(F.when(F.col("record_type") != "continuation", F.col("record_type"))).alias("record_type"), F.max("refers_to").alias("refers_to"), F.max("stated_digest").alias("stated_digest"), F.max("n").alias("n"), F.collect_list(F.struct("number", "total", "block")).alias("parts")
+        F.max("page_id").alias("page_id"), F.max(F.when(F.col("record_type") != "continuation", F.col("record_type"))).alias("record_type"), F.max("refers_to").alias("refers_to"), F.max("stated_digest").alias("stated_digest"), F.max("n").alias("n"), F.collect_list(F.struct("number", "total", "block")).alias("parts"), F.lit(None).cast("string").alias("problem")
     ).drop("origin")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +293,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             out: list[tuple] = []
             size = 0
             for i in range(batch.num_rows):
-                page_id, kind, refers, stated, n, parts_ = (batch.column(c)[i].as_py() for c in range(6))
+                page_id, kind, refers, stated, n, parts_, fault = (batch.column(c)[i].as_py() for c in range(7))
+                if fault:
+                    out.append((page_id, None, None, kind, refers, fault, 0, None))
+                    continue
                 if kind == "revisit":
                     out.append((page_id, n, stated, kind, refers, None, 0, None))
                     continue
@@ -243,7 +323,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], FIELDS)
 
 
