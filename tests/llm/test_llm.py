@@ -153,11 +153,79 @@ def test_rows_that_share_an_id(spark):
     assert sorted(got, key=str) == sorted([(1, 5, 1), (1, 5, 1), (2, 6, 1), (None, 3, 5), (None, 3, None), (5, 3, 5)], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [5, 1000])
+def test_components(spark, most):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)]
-    for few in (0, 1000):
-        got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
-        assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 200: 100, 300: 100}
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long"), most=most).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 200: 100, 300: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_many_edges(spark):
+    r = random.Random(8)
+    path = list(range(1, 3000))
+    r.shuffle(path)
+    edges = list(zip(path, path[1:])) + [(5000, 5000 + i) for i in range(1, 3000)] + [(9999 - i, 9999) for i in range(1, 900)] + [(20_000 + r.randrange(4000), 20_000 + r.randrange(4000)) for _ in range(5000)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    got = {x.node: x.label for x in components.components(spark.createDataFrame(edges, "a long, b long"), most=1500).collect()}
+    assert got == {x: root(x) for x in parent}
+
+
+def test_exact_links(spark):
+    rows = copies(5, 80)
+    for k in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in lshforest.near_duplicates(docs(spark, rows), k, exact=True).collect()}
+        assert got == brute_groups(rows, k)
+
+
+def test_documents_of_one_template(spark):
+    r = random.Random(2)
+    frame = [f"frame{i}" for i in range(200)]
+    rows = [(i, " ".join([*frame, *(f"own{r.randrange(10**9)}" for _ in range(45))])) for i in range(3000)]
+    rows += [(10_000 + i, rows[i * 7][1].rsplit(" ", 2)[0] + f" other{i}") for i in range(100)]
+    start = time.perf_counter()
+    got = {x.doc_id: x.component_id for x in lshforest.near_duplicates(docs(spark, rows)).collect()}
+    assert time.perf_counter() - start < 60
+    assert got == {i: (i - 10_000) * 7 if i >= 10_000 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("partitions", [3, 17])
+def test_recall_in_dense_regions(spark, partitions):
+    r = random.Random(4)
+    frame = [f"frame{i}" for i in range(90)]
+    base = [[*frame, *(f"own{r.randrange(10**9)}" for _ in range(r.randrange(60, 120)))] for _ in range(2500)]
+    rows, want = [(i, " ".join(w)) for i, w in enumerate(base)], {}
+    for i in range(0, 2500, 4):
+        w = list(base[i])
+        for _ in range(r.randrange(1, 11)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**9)}"
+        rows.append((5000 + i, " ".join(w)))
+        a, b = (set(zip(x, x[1:])) for x in (w, base[i]))
+        share = len(a & b) / len(a | b)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want[5000 + i] = min(0.95, int(share * 20) / 20)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {x.doc_id: x.component_id for x in lshforest.near_duplicates(docs(spark, rows), 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found, total = Counter(), Counter(want.values())
+    for i, band in want.items():
+        found[band] += got[i] == i - 5000
+    print({b: f"{found[b]} of {total[b]}" for b in sorted(total)})
+    assert len(want) > 400 and all(found[b] >= 0.9 * total[b] for b in total) and sum(found.values()) >= 0.99 * len(want)
+    assert not [i for i, _ in rows if i not in want and got[i] != i]
 
 
 # --- op3
@@ -196,6 +264,66 @@ def test_items_of_ten_tokens(spark):
     assert got == {1: True, 2: True, 3: True, 4: False}
 
 
+def with_substitutions(words, share, r):
+    return [f"new{r.randrange(10**6)}" if r.random() < share else w for w in words]
+
+
+def brute_contaminated(rows, items):
+    """By sliding every item along every document, without seeds."""
+    out = {}
+    for d, t in rows:
+        w = np.array(t.lower().split(), dtype=object)
+        for i, u in items:
+            x = np.array(u.lower().split(), dtype=object)
+            for shift in range(1 - len(x), len(w)):
+                a, b = max(0, shift), min(len(w), shift + len(x))
+                if (equal := w[a:b] == x[a - shift : b - shift]).sum() >= 5 and spacedseed.stretches(equal, len(x)):
+                    out.setdefault(d, set()).add(i)
+    return out
+
+
+def test_contamination_against_brute_force(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(f"t{r.randrange(300)}" for _ in range(r.choice([6, 10, 13, 20, 40, 60])))) for i in range(25)] + [(25, "the " * 30), (26, "a b " * 20)]
+    rows = []
+    for d in range(250):
+        w = [f"t{r.randrange(300)}" for _ in range(r.randrange(5, 60))]
+        for _ in range(r.randrange(3)):
+            x = r.choice(items)[1].split()
+            a = r.randrange(max(1, len(x) // 2))
+            w[r.randrange(len(w)) :] = with_substitutions(x[a:], r.choice([0, 0, 0.03, 0.1]), r)
+        rows.append((d, " ".join(w)))
+    rows += [(300, "the " * 2000), (301, "a b " * 1000 + "c"), (302, "the " * 11)]
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    got = {x.doc_id: set(x.item_ids) for x in spacedseed.contamination(docs(spark, rows), bench).collect() if x.contaminated}
+    want = brute_contaminated(rows, items)
+    n = sum(map(len, want.values()))
+    assert n > 80 and all(got[d] <= want.get(d, set()) for d in got)
+    assert sum(len(got.get(d, set()) & want[d]) for d in want) >= 0.97 * n
+    assert got[300] == {25} and got[301] == {26} and 302 not in got
+    left = {x.doc_id for x in spacedseed.without_contaminated(docs(spark, rows).withColumn("tag", F.lit(1)), bench).collect()}
+    assert left == {d for d, _ in rows} - set(got)
+
+
+@pytest.mark.parametrize("every,found", [(10, True), (8, True), (6, True), (5, True), (3, False)])
+def test_regular_substitutions(spark, every, found):
+    item = [f"tok{i}" for i in range(30)]
+    text = " ".join("zzz" if i % every == every - 1 else w for i, w in enumerate(item))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert spacedseed.contamination(docs(spark, [(1, f"some {text} more")]), bench).first().contaminated == found
+
+
+@pytest.mark.parametrize("share,least", [(0.05, 0.98), (0.1, 0.9), (0.15, 0.7)])
+def test_recall_by_share_of_substitutions(spark, share, least):
+    r = random.Random(3)
+    items = [(i, [f"t{r.randrange(5000)}" for _ in range(40)]) for i in range(300)]
+    rows = [(i, " ".join(["lead"] * 5 + with_substitutions(w, share, r))) for i, w in items]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = spacedseed.contamination(docs(spark, rows), bench).where("array_contains(item_ids, doc_id)").count()
+    print(f"substituted {share}: {found} of 300")
+    assert found >= least * 300
+
+
 # --- op4
 
 
@@ -220,6 +348,44 @@ def test_warc_tells_faults():
         warc.dechunked(b"9\r\nabc\r\n0\r\n\r\n")
 
 
+def test_warc_files_of_other_makers(spark, tmp_path):
+    import gzip
+
+    def record(kind, page, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{page}-{kind}-{more.get('WARC-Segment-Number', 0)}>", "X-Page-ID": page, "Content-Length": len(block), **more}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    page = lambda body: b"HTTP/1.1 200 OK\r\n\r\n" + body
+    one, two, three = (record("response", i, page(b"body %d" % i)) for i in (1, 2, 3))
+    wrong = record("response", 4, page(b"x"), **{"Content-Length": 7})
+    none = record("response", 5, page(b"y")).replace(b"Content-Length", b"Content-Size")
+    lone = record("response", 6, b"HTT", **{"WARC-Segment-Number": 1, "WARC-Segment-Origin-ID": "<urn:6>"})
+    files = {
+        "members.warc.gz": b"".join(map(gzip.compress, (one, two, three))), "plain.warc": one + two, "one.warc.gz": gzip.compress(one + wrong + none + three + lone),
+        "cut.warc.gz": gzip.compress(one + two)[:-30], "short.warc": one + two[:-9], "junk.warc": b"junk\r\n\r\nmore\r\n\r\n" + one, "empty.warc": b"", "bad.warc.gz": gzip.compress(one) + b"zz" * 40,
+    }
+    got = {}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+        rows = warc.read_archives(spark, str(tmp_path / name)).collect()
+        got[name] = sorted(((r.page_id, bytes(r.payload) if r.payload is not None else None, r.problem) for r in rows), key=str)
+    ok = lambda *ids: [(i, b"body %d" % i, None) for i in ids]
+    assert got["members.warc.gz"] == ok(1, 2, 3) and got["plain.warc"] == ok(1, 2) and got["empty.warc"] == []
+    assert got["one.warc.gz"] == sorted([*ok(1, 3), (4, None, "the length is wrong"), (5, None, "no length"), (6, None, "the total length is wrong")], key=str)
+    assert got["short.warc"] == [*ok(1), (2, None, "the record is cut off")] and got["junk.warc"] == [*ok(1), (None, None, "no record")]
+    assert [x for x in got["cut.warc.gz"] if not x[2]] in (ok(1), []) and [x for x in got["cut.warc.gz"] if x[2]]
+    assert [x for x in got["bad.warc.gz"] if not x[2]] == ok(1) and got["bad.warc.gz"][-1][2] == "the file is damaged"
+
+
+def test_warc_of_many_equal_rows(spark):
+    rows = spark.range(10_000).select(F.when(F.col("id") % 2 == 0, 7).alias("page_id"), F.lit("u").alias("url"), F.lit("x" * 3000).alias("html"))
+    out = warc.round_trip(rows, segment=1000)
+    assert sorted(map(tuple, out.groupBy("page_id", "record_type", "refers_to", "payload_bytes", "problem").count().collect()), key=str) == sorted([(7, "response", None, 3000, None, 5000), (None, "revisit", 7, 3000, None, 5000)], key=str)
+    path = warc.write_archives(rows.where("page_id = 7"), warc.new_path(spark, "ids"), segment=1000)
+    ids = [h["warc-record-id"] for f in spark.read.format("binaryFile").load(path).collect() for h, _, _ in warc.parse(warc.inflated(bytes(f.content)))]
+    assert len(ids) == len(set(ids)) == 20_000
+
+
 # --- op5
 
 
