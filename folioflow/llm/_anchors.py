@@ -312,6 +312,6 @@ def cascade(texts: DataFrame, words: bool, length: int, grams: tuple[int, ...],
         same = spilled.select("h", "seg", "doc", "tag", "at", "low").join(kinds.where("n > 1").select("h", "seg", "head", "n", size.cast("long").alias("size")).hint("merge"), ["h", "seg"]).where(again)
         marks = marks.unionByName(same.select("doc", "tag", "low", (F.col("low") + F.col("size")).alias("high")))
         groups = stored(kinds.groupBy("h").agg(F.count("*").alias("n_seg")).where("n_seg > 1"), f"{name}-groups")
-        rows = kinds.select("h", "head.doc", "head.tag", "head.at", "left", "body").withColumn("low", F.col("at") - F.col("left"))
-        rows = rows.join(groups.hint("merge"), "h", "left_semi").select("h", "doc", "tag", "at", "low", "left", "body")
+        # Only groups of several go on; the one join with them is in ``sharded``, since Spark splits no key of a join above a join on it.
+        rows = kinds.select("h", "head.doc", "head.tag", "head.at", (F.col("head.at") - F.col("left")).alias("low"), "left", "body")
     return marks
