@@ -9,9 +9,9 @@ from ..functions import jsonx as J
 from ..operators import audit
 from ..operators import boxes as X
 from ..operators import queue
-from ..sources.tables import table, v_boxes, v_queue, v_versions, with_views
+from ..sources.tables import table, v_audit, v_boxes, v_queue, v_versions, with_views
 from ..streaming import queue as stream
-from .text import literal, values
+from .text import STRIP
 
 Q: dict = {}
 O: dict = {}
@@ -43,25 +43,45 @@ def json_build(spark, d):
     return v_versions(spark, d).select("video_id", "version_no", F.to_json(F.struct(F.col("version_no").alias("index"), "author", F.length("text").alias("n"))).alias("doc"))
 
 
-DOCS = [(1, '{"pages":[{"page":0,"diagrams":[{"label":"a"},{"label":"b"}]},{"page":1,"diagrams":[]}]}'), (2, '{"pages":[]}'), (3, "broken"), (4, '{"pages":[{"page":5,"diagrams":[{"label":"z"}]}]}')]
+NESTED = "c AS (SELECT conv_id AS doc, turn, role FROM conversations)"
 
 
-@query("WITH x(doc, page, pos, label) AS (VALUES (1, 0, 0, 'a'), (1, 0, 1, 'b'), (1, 1, NULL, NULL), (4, 5, 0, 'z')) SELECT doc, CAST(page AS INTEGER) AS page, CAST(pos AS INTEGER) AS pos, label FROM x")
+@query("WITH " + NESTED + ", x AS (SELECT doc, turn, CASE WHEN turn % 3 = 2 THEN CAST([NULL] AS VARCHAR[]) ELSE [role, 'b'] END AS labels FROM c WHERE doc % 11 <> 0), e AS (SELECT doc, turn, labels, unnest(range(0, len(labels))) AS i FROM x) SELECT doc, CAST(turn AS INTEGER) AS page, CASE WHEN turn % 3 <> 2 THEN CAST(i AS INTEGER) END AS pos, labels[i + 1] AS label FROM e")
 def json_explode(spark, d):
     """Pages, and in them diagrams; a page without any stays, a document that doesn't parse goes."""
-    j = F.from_json("t", "pages array<struct<page: int, diagrams: array<struct<label: string>>>>")
-    x = literal(spark, DOCS, "doc int, t string").select("doc", F.explode(j["pages"]).alias("p"))
+    c = table(spark, d, "conversations")
+    labels = F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat(F.lit('{"label":"'), "role", F.lit('"},{"label":"b"}')))
+    page = F.concat(F.lit('{"page":'), F.col("turn").cast("string"), F.lit(',"diagrams":['), labels, F.lit("]}"))
+    docs = c.groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(page)), ",").alias("p"))
+    t = F.concat(F.when(F.col("doc") % 11 == 0, "broken").otherwise(""), F.lit('{"pages":['), "p", F.lit("]}"))
+    j = F.from_json(t, "pages array<struct<page: int, diagrams: array<struct<label: string>>>>")
+    x = docs.select("doc", F.explode(j["pages"]).alias("p"))
     return x.select("doc", F.col("p.page").alias("page"), F.posexplode_outer("p.diagrams").alias("pos", "g")).select("doc", "page", "pos", F.col("g.label").alias("label"))
 
 
-REPLIES = [(1, '```json\n{"scripts": [1, 2]}\n```'), (2, "[3]"), (3, 'Sure: {"a": 1} done'), (4, "nothing"), (5, '{"scripts": []}'), (6, '{"segments": [{"text": "x"}]}'), (7, None), (8, '{"a": {"b": 2}} and {"c": 3}')]
+REPLY = (
+    "r AS (SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN '```json' || chr(10) || '{\"scripts\": [' || event_id || ', 2]}' || chr(10) || '```' WHEN 1 THEN '[' || event_id || ']' WHEN 2 THEN 'Sure: {\"a\": \"' || event_type || '\"} done' WHEN 3 THEN event_type "
+    "WHEN 4 THEN '{\"scripts\": []}' WHEN 5 THEN '{\"segments\": [{\"text\": \"' || event_type || '\"}]}' WHEN 6 THEN NULL ELSE '{\"a\": ' || props || '} and {\"c\": 3}' END AS t FROM events), "
+    "u AS (SELECT *, regexp_replace(regexp_replace(trim(t), '^```(?:json)?\\s*', ''), '\\s*```$', '') AS u, nullif(regexp_extract(t, '(?s)\\{.*\\}', 0), '') AS body, nullif(regexp_extract(t, '\\{[^{}]*\\}', 0), '') AS flat FROM r)"
+)
+LIST = "CASE WHEN {c} IS NULL OR NOT json_valid({c}) THEN '[]' WHEN json_type({c}) = 'ARRAY' THEN CAST(json_extract({c}, '$') AS VARCHAR) WHEN json_type({c}, '$.scripts') = 'ARRAY' THEN CAST(json_extract({c}, '$.scripts') AS VARCHAR) WHEN json_type({c}, '$.segments') = 'ARRAY' THEN CAST(json_extract({c}, '$.segments') AS VARCHAR) ELSE '[]' END"
+
 
+def _replies(spark, d):
+    """Replies as models give them: fenced, bare, in prose, empty, none, two at once."""
+    i, kind, props = F.col("event_id"), F.col("event_type"), F.col("props")
+    kinds = [
+        F.concat(F.lit('```json\n{"scripts": ['), i.cast("string"), F.lit(", 2]}\n```")), F.concat(F.lit("["), i.cast("string"), F.lit("]")), F.concat(F.lit('Sure: {"a": "'), kind, F.lit('"} done')), kind,
+        F.lit('{"scripts": []}'), F.concat(F.lit('{"segments": [{"text": "'), kind, F.lit('"}]}')), F.lit(None).cast("string"), F.concat(F.lit('{"a": '), props, F.lit('} and {"c": 3}')),
+    ]
+    return table(spark, d, "events").select(i.alias("id"), F.element_at(F.array(*kinds), (i % 8 + 1).cast("int")).alias("t"))
 
-@query("WITH x(id, scripts, object, flat) AS (VALUES (1, '[1,2]', '{\"scripts\": [1, 2]}', '{\"scripts\": [1, 2]}'), (2, '[3]', NULL, NULL), (3, '[]', '{\"a\": 1}', '{\"a\": 1}'), (4, '[]', NULL, NULL), (5, '[]', '{\"scripts\": []}', '{\"scripts\": []}'), (6, '[{\"text\":\"x\"}]', '{\"segments\": [{\"text\": \"x\"}]}', '{\"text\": \"x\"}'), (7, '[]', NULL, NULL), (8, '[]', NULL, '{\"b\": 2}')) SELECT id, scripts, object, flat FROM x")
+
+@query("WITH " + REPLY + " SELECT id, " + LIST.format(c="u") + " AS scripts, CASE WHEN body IS NOT NULL AND json_valid(body) THEN body END AS object, flat FROM u")
 def json_llm_parse(spark, d):
     """What can be had from a model's reply: its list, its outer object if it parses, its first flat object."""
     t = F.col("t")
-    return literal(spark, REPLIES, "id int, t string").select("id", J.script_list(J.unfence(t)).alias("scripts"), J.salvaged(t).alias("object"), J.flat_object(t).alias("flat"))
+    return _replies(spark, d).select("id", J.script_list(J.unfence(t)).alias("scripts"), J.salvaged(t).alias("object"), J.flat_object(t).alias("flat"))
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(CASE WHEN event_id % 3 <> 0 THEN props END, '$.k') AS INTEGER), -1) AS k FROM events")
@@ -71,19 +91,20 @@ def json_tolerant_parse(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.from_json(t, "k int")["k"], F.lit(-1)).alias("k"))
 
 
-@query("WITH x(id, items) AS (VALUES (1, '[]'), (2, '[3]'), (3, '[]'), (4, '[]'), (5, '[]'), (6, '[{\"text\":\"x\"}]'), (7, '[]'), (8, '[]')) SELECT id, items FROM x")
+@query("WITH " + REPLY + ", p AS (SELECT id, CASE WHEN id % 8 <> 7 THEN t END AS t FROM r) SELECT id, " + LIST.format(c="t") + " AS items FROM p")
 def json_polymorphic(spark, d):
     """A list, or an object with scripts or segments."""
-    return literal(spark, REPLIES, "id int, t string").select("id", J.script_list(F.col("t")).alias("items"))
-
+    return _replies(spark, d).select("id", J.script_list(F.when(F.col("id") % 8 != 7, F.col("t"))).alias("items"))
 
-ROUTES = [(1, '{"source":"full_page"}', None), (2, '{"source":"full_page"}', "a map"), (3, '{"source":"vector"}', None), (4, None, "x"), (5, "broken", "")]
 
-
-@query("WITH r(id, route) AS (VALUES (1, 'reference'), (2, 'real'), (3, 'real'), (4, 'real'), (5, 'real')) SELECT id, route FROM r")
+@query("SELECT event_id AS id, CASE WHEN event_type = 'view' AND coalesce(CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN props END, '') = '' THEN 'reference' ELSE 'real' END AS route FROM events")
 def diagram_routing(spark, d):
+    """Whole-page renderings without a description are references; anything else, also what doesn't parse, is real."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    methods = F.when(kind == "view", '{"source":"full_page"}').when(kind == "click", "broken").when(kind == "error", F.lit(None)).otherwise(F.concat(F.lit('{"source":"'), kind, F.lit('"}')))
+    x = table(spark, d, "events").select(i.alias("id"), methods.alias("methods"), F.when(i % 3 == 0, "").when(i % 3 == 1, F.col("props")).alias("t"))
     full = F.coalesce(F.get_json_object("methods", "$.source") == "full_page", F.lit(False))
-    return literal(spark, ROUTES, "id int, methods string, t string").select("id", F.when(full & (F.coalesce("t", F.lit("")) == ""), "reference").otherwise("real").alias("route"))
+    return x.select("id", F.when(full & (F.coalesce("t", F.lit("")) == ""), "reference").otherwise("real").alias("route"))
 
 
 @query("SELECT doc, page, grp, seq, x0 * 150 // 72 AS px0, y1 * 150 // 72 AS py1, x1 * 1000 // 612 AS fx1, y0 * 1000 // 792 AS fy0 FROM v_boxes", "v_boxes")
@@ -139,13 +160,12 @@ def region_choice(spark, d):
     return p.select("grp", X.choose_region(c("raster"), c("above"), c("below"), c("vector"), c("ink"), c("above") % 2 == 0).alias("region"))
 
 
-COLORS = [(1, "#ffffff"), (2, "#000000"), (3, "#336699"), (4, "#FFCC00")]
-
-
-@query("WITH c(id, luma, light) AS (VALUES (1, 255.0, true), (2, 0.0, false), (3, 92.565, false), (4, 195.993, true)) SELECT id, CAST(luma AS DOUBLE) AS luma, light FROM c")
+@query("WITH c AS (SELECT p_partkey AS id, p_partkey * 7919 % 16777216 AS n FROM part), l AS (SELECT id, 0.299::DOUBLE * (n // 65536) + 0.587::DOUBLE * (n // 256 % 256) + 0.114::DOUBLE * (n % 256) AS l FROM c) SELECT id, round(l, 3) AS luma, l > 128 AS light FROM l")
 def color_luma(spark, d):
+    n = F.col("p_partkey") * 7919 % 16777216
     luma = B.luma(F.col("c"))
-    return literal(spark, COLORS, "id int, c string").select("id", F.round(luma, 3).cast("double").alias("luma"), (luma > 128).alias("light"))
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("#"), F.lpad(F.hex(n), 6, "0")).alias("c"))
+    return x.select("id", F.round(luma, 3).alias("luma"), (luma > 128).alias("light"))
 
 
 @query(None)
@@ -163,28 +183,25 @@ def nearest_greedy(spark, d):
     return X.nearest_greedy(v_boxes(spark, d))
 
 
-AUDIT = [
-    (1, 0, ("some text", 0, 0), (True, "good", 2, [[0, 0, 9, 9], [1, 1, 5, 5]], 0, False, 0, 0, None)),
-    (1, 1, ("", 1, 0), (True, "scanned", 1, [[0, 0, 9, 9]], 0, False, 0, 0, None)),
-    (1, 2, ("ghost", 0, 0), (False, None, 0, [], 0, False, 0, 0, None)),
-    (2, 0, ("short", 0, 0), (True, "garbled", 0, [], 3, True, 2, 1, None)),
-    (2, 1, ("a\tb\n1 2 3", 0, 0), (True, "good", 0, None, 0, True, 1, 0, None)),
-    (2, 2, ("fine", 1, 0), (True, "good", 3, [[0, 0, 1, 1]], 0, False, 0, 0, 0)),
-    (2, 3, ("fine", 0, 0), (True, "good", 3, [[0, 0, 1, 1]], 0, False, 0, 0, 2)),
-]
-AUDIT_SCHEMA = "pdf_id int, page int, ours struct<text: string, n_diagrams: int, n_tables: int>, truth struct<has_text: boolean, text_quality: string, num_figures: int, figure_bboxes: array<array<int>>, num_equations: int, has_tables: boolean, num_tables: int, num_charts: int, verified_missed: int>"
-ISSUES = [(1, 0, "FIGURES: 2 seen, 0 extracted"), (1, 1, "TEXT: scanned; TEXT: text layer empty"), (1, 2, "TEXT: not on the page"), (2, 0, "CHARTS: 1 seen; TEXT: garbled; EQUATIONS: 3; TABLES: 2"), (2, 1, ""), (2, 2, ""), (2, 3, "FIGURES: 2 verified, 0 extracted")]
+WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+ISSUES = (
+    ", i AS (SELECT pdf_id, page, error, concat_ws('; ', "
+    "CASE WHEN missed IS NOT NULL AND figures > ours THEN CASE WHEN missed > 0 AND ours = 0 THEN 'FIGURES: ' || missed || ' verified, 0 extracted' WHEN missed > ours THEN 'FIGURES: ' || missed || ' verified, ' || ours || ' extracted' END WHEN figures > 0 AND ours = 0 THEN 'FIGURES: ' || figures || ' seen, 0 extracted' WHEN figures > ours THEN 'FIGURES: ' || figures || ' seen, ' || ours || ' extracted' END, "
+    "CASE WHEN charts > figures THEN 'CHARTS: ' || charts || ' seen' END, CASE WHEN has_text AND quality <> 'good' THEN 'TEXT: ' || quality END, "
+    "CASE WHEN has_text AND " + STRIP.format("text") + " = '' THEN 'TEXT: text layer empty' WHEN NOT has_text AND " + STRIP.format("text") + " <> '' THEN 'TEXT: not on the page' END, "
+    "CASE WHEN equations > 0 AND length(" + STRIP.format("text") + ") < 200 THEN 'EQUATIONS: ' || equations END, "
+    "CASE WHEN has_tables AND our_tables = 0 AND len(list_filter(str_split(text, chr(10)), lambda x: contains(x, chr(9)) OR (" + WORDS.format("x") + " >= 3 AND length(x) - length(replace(x, ' ', '')) >= 3))) = 0 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: regexp_matches(w, '[0-9]'))) < 8 THEN 'TABLES: ' || num_tables END) AS issues FROM v_audit)"
+)
 
 
-@query("WITH a(pdf_id, page, issues) AS (" + values(ISSUES) + ") SELECT pdf_id, page, issues FROM a")
+@query(ISSUES + " SELECT pdf_id, page, issues FROM i", "v_audit")
 def audit_classify(spark, d):
-    return literal(spark, AUDIT, AUDIT_SCHEMA).select("pdf_id", "page", F.array_join(audit.issues(), "; ").alias("issues"))
+    return v_audit(spark, d).select("pdf_id", "page", F.array_join(audit.issues(), "; ").alias("issues"))
 
 
-@query("WITH a(pdf_id, page, issues) AS (" + values(ISSUES) + ") SELECT pdf_id, count(*) AS pages, count(*) FILTER (WHERE issues = '') AS clean, count(*) FILTER (WHERE page = 1) AS errors FROM a GROUP BY pdf_id")
+@query(ISSUES + " SELECT pdf_id, count(*) AS pages, count(*) FILTER (WHERE issues = '') AS clean, count(error) AS errors FROM i GROUP BY pdf_id", "v_audit")
 def audit_rollup(spark, d):
-    x = literal(spark, AUDIT, AUDIT_SCHEMA).select("pdf_id", audit.issues().alias("issues"), F.when(F.col("page") == 1, "timeout").alias("error"))
-    return audit.rollup(x)
+    return audit.rollup(v_audit(spark, d).select("pdf_id", audit.issues().alias("issues"), "error"))
 
 
 def _queue_events(spark, d):

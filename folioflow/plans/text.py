@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import segment as S
 from ..operators import votes
-from ..sources.tables import table, v_docs, v_versions, with_views
+from ..sources.tables import table, v_docs, v_headers, v_paths, v_versions, with_views
 
 Q: dict = {}
 O: dict = {}
@@ -28,18 +28,6 @@ WS = r"[\s\x0B\x{85}\x{A0}]"
 STRIP = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 
 
-def literal(spark, rows, schema):
-    """Literal rows, for shapes that the tables lack."""
-    return spark.createDataFrame(rows, schema)
-
-
-def values(rows) -> str:
-    def one(v):
-        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-
-    return "VALUES " + ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows)
-
-
 @query("SELECT id, len(list_filter(regexp_split_to_array(raw_text, '\\s+'), lambda w: w <> '')) AS n_words, len(str_split(raw_text, chr(10))) AS n_pages FROM v_docs", "v_docs")
 def word_stats(spark, d):
     return v_docs(spark, d).select("id", F.size(T.words(F.col("raw_text"))).cast("long").alias("n_words"), F.size(F.split("raw_text", "\n")).cast("long").alias("n_pages"))
@@ -73,30 +61,29 @@ def title_normalize(spark, d):
     return v_docs(spark, d).select("id", T.title_normalize(F.col("title")).alias("norm"))
 
 
-HEADERS = [(1, "12 | Motion Around Us"), (2, "Motion Around Us 34"), (3, "Reprint 2024-25"), (4, "Sound 2023-24"), (5, "abc"), (6, "  7 –  Light and Shade.;"), (7, "E ffects of P hysical A ctivities"), (8, "INDIA : PHYSICAL  ENVIRONMENT"), (9, "Health and Physical Education - Class X"), (10, "Physics"), (11, "Do You Know? more"), (12, "lkuk&lkuk gkFk tksfM+---"), (13, "The gkFk title"), (14, "Mathematics in Everyday Life"), (15, "mathematics"), (16, "Chapter 7"), (17, "1234"), (18, "Science:;, "), (19, None), (20, "THEMES IN WORLD HISTORY")]
-
-
 @query(
-    "WITH h(id, t) AS (" + values(HEADERS) + "), x AS (SELECT id, regexp_replace(t, '\\s+', ' ', 'g') AS x FROM h), y AS (SELECT id, x, regexp_replace(regexp_replace(x, '^\\s*\\d+\\s*[|\\-–—•]?\\s*', ''), '\\s*[|\\-–—•]?\\s*\\d+\\s*$', '') AS y FROM x) SELECT id, CASE WHEN length(x) < 6 OR length(y) < 6 OR regexp_matches(y, '\\d{4}\\s*-\\s*\\d{2}$') OR contains(y, 'Reprint') THEN NULL ELSE regexp_replace(y, '[.,;:]+$', '') END AS header FROM y"
+    ", x AS (SELECT id, regexp_replace(t, '\\s+', ' ', 'g') AS x FROM v_headers), y AS (SELECT id, x, regexp_replace(regexp_replace(x, '^\\s*\\d+\\s*[|\\-–—•]?\\s*', ''), '\\s*[|\\-–—•]?\\s*\\d+\\s*$', '') AS y FROM x) SELECT id, CASE WHEN length(x) < 6 OR length(y) < 6 OR regexp_matches(y, '\\d{4}\\s*-\\s*\\d{2}$') OR contains(y, 'Reprint') THEN NULL ELSE regexp_replace(y, '[.,;:]+$', '') END AS header FROM y",
+    "v_headers",
 )
 def header_cleanup(spark, d):
-    return literal(spark, HEADERS, "id int, t string").select("id", T.header_cleanup(F.col("t")).alias("header"))
+    return v_headers(spark, d).select("id", T.header_cleanup(F.col("t")).alias("header"))
 
 
 @query(
-    "WITH h(id, t) AS (" + values(HEADERS) + "), x AS (SELECT id, t, regexp_replace(lower(trim(regexp_replace(t, '\\s+([:;,])', '\\1', 'g'))), '\\s+', ' ', 'g') AS low FROM h), y AS (SELECT *, regexp_replace(low, '\\s+', '', 'g') AS tight FROM x) SELECT id, "
+    ", x AS (SELECT id, t, regexp_replace(lower(" + STRIP.format("regexp_replace(t, '\\s+([:;,])', '\\1', 'g')") + "), '\\s+', ' ', 'g') AS low FROM v_headers), y AS (SELECT *, regexp_replace(low, '\\s+', '', 'g') AS tight FROM x) SELECT id, "
     "length(low) >= 10 AND (" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in ["class\\s*[ivxlcdm]+\\s*$", "[-–—]\\s*class\\s*[ivxlcdm]+", "(health|science|mathematics|maths|social\\s*science|english|hindi)\\s*and\\s*", "^(mathematics|maths|science|social\\s*science|health\\s*and\\s*physical\\s*education|english|hindi|sanskrit)$"] for c in ("low", "tight")) + ") AS page_header, "
     "regexp_matches(low, '" + T.BOOKS + "') OR regexp_matches(tight, '" + T.BOOKS + "') OR " + " OR ".join(f"contains(tight, '{s}')" for s in T.SERIES) + " AS book_header, "
-    + " OR ".join("starts_with(tight, '" + s.replace("'", "''") + "')" for s in T.CALLOUTS) + " AS callout, length(regexp_replace(low, '[^a-z]', '', 'g')) >= 6 AND (regexp_matches(low, '[{}\\[\\]+`\"''=@#$%^*<>~\\\\/|]') OR regexp_matches(t, '\\b[a-z]+[A-Z][a-z]+\\b')) AS garbled FROM y"
+    + " OR ".join("starts_with(tight, '" + s.replace("'", "''") + "')" for s in T.CALLOUTS) + " AS callout, length(regexp_replace(low, '[^a-z]', '', 'g')) >= 6 AND (regexp_matches(low, '[{}\\[\\]+`\"''=@#$%^*<>~\\\\/|]') OR regexp_matches(t, '\\b[a-z]+[A-Z][a-z]+\\b')) AS garbled FROM y",
+    "v_headers",
 )
 def title_filters(spark, d):
     t = F.col("t")
-    return literal(spark, HEADERS, "id int, t string").select("id", T.is_page_header(t).alias("page_header"), T.is_book_header(t).alias("book_header"), T.is_callout(t).alias("callout"), T.is_garbled_title(t).alias("garbled"))
+    return v_headers(spark, d).select("id", T.is_page_header(t).alias("page_header"), T.is_book_header(t).alias("book_header"), T.is_callout(t).alias("callout"), T.is_garbled_title(t).alias("garbled"))
 
 
-@query("WITH h(id, t) AS (" + values(HEADERS) + "), x AS (SELECT id, regexp_replace(trim(t), '[:;, ]+$', '') AS n FROM h) SELECT id, coalesce(length(n) >= 4 AND NOT regexp_matches(n, '(?i)^Chapter\\s+\\d+$') AND NOT regexp_matches(n, '^\\d+$') AND lower(n) NOT IN ('" + "', '".join(T.SUBJECTS) + "'), false) AS ok FROM x")
+@query(", x AS (SELECT id, regexp_replace(" + STRIP.format("t") + ", '[:;, ]+$', '') AS n FROM v_headers) SELECT id, coalesce(length(n) >= 4 AND NOT regexp_matches(n, '(?i)^Chapter\\s+\\d+$') AND NOT regexp_matches(n, '^\\d+$') AND lower(n) NOT IN ('" + "', '".join(T.SUBJECTS) + "'), false) AS ok FROM x", "v_headers")
 def name_quality(spark, d):
-    return literal(spark, HEADERS, "id int, t string").select("id", T.name_ok(F.col("t")).alias("ok"))
+    return v_headers(spark, d).select("id", T.name_ok(F.col("t")).alias("ok"))
 
 
 @query(", x AS (SELECT id, regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM v_docs) SELECT id, left(s, 60) AS slug FROM x", "v_docs")
@@ -111,23 +98,22 @@ def slug_unique(spark, d):
     return v_docs(spark, d).select("id", F.when(rn == 1, F.col("subject")).otherwise(F.concat("subject", F.lit("-"), rn.cast("string"))).alias("slug"))
 
 
-PATHS = [(1, "/books/class-9/science/iesc_ch04.pdf"), (2, "/books/class-10/social-science-hindi/jess_ch01_power_sharing.pdf"), (3, "/books/class-12/physics-part-1/leph_CH2-electric-field.pdf"), (4, "/x/health-and-physical-education/y/jehp_ch02.pdf"), (5, "/x/class-11/misc/notes.pdf"), (6, "/sanskrit/a_b.pdf")]
-
-
 @query(
-    "WITH p(id, path) AS (" + values(PATHS) + "), s AS (SELECT id, path, regexp_replace(str_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM p), r AS (SELECT *, trim(translate(regexp_replace(stem, '^[a-z]{2,4}_ch\\d+', ''), '_-', '  ')) AS rest, TRY_CAST(nullif(regexp_extract(stem, '(?i)ch(\\d+)', 1), '') AS INTEGER) AS chapter FROM s) SELECT id, chapter, CASE WHEN rest = '' THEN 'Chapter ' || coalesce(CAST(chapter AS VARCHAR), '') ELSE array_to_string(list_transform(str_split(lower(rest), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS title FROM r"
+    ", s AS (SELECT id, path, regexp_replace(str_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM v_paths), r AS (SELECT *, trim(translate(regexp_replace(stem, '^[a-z]{2,4}_ch\\d+', ''), '_-', '  ')) AS rest, TRY_CAST(nullif(regexp_extract(stem, '(?i)ch(\\d+)', 1), '') AS INTEGER) AS chapter FROM s) SELECT id, chapter, CASE WHEN rest = '' THEN 'Chapter ' || coalesce(CAST(chapter AS VARCHAR), '') ELSE array_to_string(list_transform(str_split(lower(rest), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS title FROM r",
+    "v_paths",
 )
 def title_from_path(spark, d):
     p = F.col("path")
-    return literal(spark, PATHS, "id int, path string").select("id", T.path_parts(p)[1].alias("chapter"), T.title_from_path(p).alias("title"))
+    return v_paths(spark, d).select("id", T.path_parts(p)[1].alias("chapter"), T.title_from_path(p).alias("title"))
 
 
 @query(
-    "WITH p(id, path) AS (" + values(PATHS) + "), s AS (SELECT id, lower(path) AS low, str_split(lower(path), '/')[-2] AS parent FROM p) SELECT id, nullif(regexp_extract(low, '/class-(\\d+)/', 1), '') AS class, coalesce(" + ", ".join(f"CASE WHEN starts_with(parent, '{k}') THEN '{v}' END" for k, v in T.SUBJECT_DIRS) + ", " + ", ".join(f"CASE WHEN contains(low, '/{k}/') OR contains(low, '/{k}-') THEN '{v}' END" for k, v in T.SUBJECT_DIRS) + ") AS subject, coalesce(" + ", ".join(f"CASE WHEN contains(low, '{k}') THEN '{v}' END" for k, v in T.LANGUAGES) + ", 'eng') AS langs FROM s"
+    ", s AS (SELECT id, lower(path) AS low, str_split(lower(path), '/')[-2] AS parent FROM v_paths) SELECT id, nullif(regexp_extract(low, '/class-(\\d+)/', 1), '') AS class, coalesce(" + ", ".join(f"CASE WHEN starts_with(parent, '{k}') THEN '{v}' END" for k, v in T.SUBJECT_DIRS) + ", " + ", ".join(f"CASE WHEN contains(low, '/{k}/') OR contains(low, '/{k}-') THEN '{v}' END" for k, v in T.SUBJECT_DIRS) + ") AS subject, coalesce(" + ", ".join(f"CASE WHEN contains(low, '{k}') THEN '{v}' END" for k, v in T.LANGUAGES) + ", 'eng') AS langs FROM s",
+    "v_paths",
 )
 def path_dims(spark, d):
     p = F.col("path")
-    return literal(spark, PATHS, "id int, path string").select("id", T.path_parts(p)[2].alias("class"), T.subject_from_path(p).alias("subject"), T.languages_from_path(p).alias("langs"))
+    return v_paths(spark, d).select("id", T.path_parts(p)[2].alias("class"), T.subject_from_path(p).alias("subject"), T.languages_from_path(p).alias("langs"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
@@ -135,13 +121,19 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
 
-MARKERS = [(1, "[ACTIVITY] Do this now"), (2, "Plain text"), (3, "[DID YOU KNOW] Water [NOTE] boils"), (4, "[lower] stays")]
+MARKED = ", m AS (SELECT video_id, version_no, CASE version_no % 4 WHEN 0 THEN '[ACTIVITY] ' || text WHEN 1 THEN text WHEN 2 THEN '[DID YOU KNOW] ' || left(text, 20) || ' [NOTE] ' || substr(text, 21) ELSE '[lower] ' || text END AS t FROM v_versions)"
 
 
-@query("WITH m(id, t) AS (" + values(MARKERS) + ") SELECT id, " + STRIP.format("regexp_replace(t, '\\[[A-Z ]+\\]\\s*', '', 'g')") + " AS clean, nullif(array_to_string(list_transform(str_split(lower(regexp_extract(t, '\\[([A-Z ]+)\\]', 1)), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' '), '') AS marker FROM m")
+def _marked(spark, d):
+    n, x = F.col("version_no") % 4, F.col("text")
+    t = F.when(n == 0, F.concat(F.lit("[ACTIVITY] "), x)).when(n == 1, x).when(n == 2, F.concat(F.lit("[DID YOU KNOW] "), F.left(x, F.lit(20)), F.lit(" [NOTE] "), F.substr(x, F.lit(21)))).otherwise(F.concat(F.lit("[lower] "), x))
+    return v_versions(spark, d).select("video_id", "version_no", t.alias("t"))
+
+
+@query(MARKED + " SELECT video_id, version_no, " + STRIP.format("regexp_replace(t, '\\[[A-Z ]+\\]\\s*', '', 'g')") + " AS clean, nullif(array_to_string(list_transform(str_split(lower(regexp_extract(t, '\\[([A-Z ]+)\\]', 1)), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' '), '') AS marker FROM m", "v_versions")
 def marker_strip(spark, d):
     t = F.col("t")
-    return literal(spark, MARKERS, "id int, t string").select("id", T.marker_strip(t).alias("clean"), T.marker(t).alias("marker"))
+    return _marked(spark, d).select("video_id", "version_no", T.marker_strip(t).alias("clean"), T.marker(t).alias("marker"))
 
 
 @query(", x AS (SELECT video_id, version_no, list_filter(regexp_split_to_array(regexp_replace(text, '[^\\p{L}\\p{N}_\\p{M}\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 4 AND lower(w) NOT IN ('" + "', '".join(T.STOP) + "')) AS w FROM v_versions) SELECT video_id, version_no, CASE WHEN len(w) > 0 THEN array_to_string(w[1:8], ', ') ELSE 'educational concept' END AS prompt FROM x", "v_versions")
@@ -149,14 +141,23 @@ def keyword_prompt(spark, d):
     return v_versions(spark, d).select("video_id", "version_no", T.keywords(F.col("text")).alias("prompt"))
 
 
-CAPTIONS = [(1, "Fig. 6.1: Parts of a cell"), (2, "Figure 2"), (3, "Table 3.4 Boiling points"), (4, "see Fig. 6.1 for more"), (5, "fig 7 - Waves"), (6, "Costs 1,234 rupees")]
+CAPTIONED = ", c AS (SELECT video_id, version_no, CASE (video_id + version_no) % 6 WHEN 0 THEN 'Fig. ' || (video_id % 9)::VARCHAR || '.' || version_no::VARCHAR || ': ' || left(text, 40) WHEN 1 THEN 'Figure ' || video_id::VARCHAR WHEN 2 THEN '  Table 3.4 ' || left(text, 30) WHEN 3 THEN 'see Fig. 6.1 for ' || left(text, 20) WHEN 4 THEN 'fig ' || version_no::VARCHAR || ' - ' || left(text, 25) ELSE 'Costs ' || (video_id % 9 + 1)::VARCHAR || ',234 ' || left(text, 10) END AS t FROM v_versions)"
+
+
+def _captioned(spark, d):
+    v, n, x = F.col("video_id"), F.col("version_no"), F.col("text")
+    s, some = lambda c: c.cast("string"), lambda k: F.left(x, F.lit(k))
+    kinds = [F.concat(F.lit("Fig. "), s(v % 9), F.lit("."), s(n), F.lit(": "), some(40)), F.concat(F.lit("Figure "), s(v)), F.concat(F.lit("  Table 3.4 "), some(30)), F.concat(F.lit("see Fig. 6.1 for "), some(20)), F.concat(F.lit("fig "), s(n), F.lit(" - "), some(25)), F.concat(F.lit("Costs "), s(v % 9 + 1), F.lit(",234 "), some(10))]
+    return v_versions(spark, d).select("video_id", "version_no", F.element_at(F.array(*kinds), ((v + n) % 6 + 1).cast("int")).alias("t"))
+
+
 CAP = "(?i)^\\s*((?:Fig|Figure|Table)\\.?\\s*\\d+(?:\\.\\d+)?)\\s*[:.\\-]?\\s*(.*)$"
 
 
-@query("WITH c(id, t) AS (" + values(CAPTIONS) + f") SELECT id, nullif(regexp_extract(t, '{CAP}', 1), '') AS label, nullif(regexp_extract(t, '{CAP}', 2), '') AS title, TRY_CAST(replace(regexp_extract(t, '\\d[\\d,]*', 0), ',', '') AS BIGINT) AS number FROM c")
+@query(CAPTIONED + f" SELECT video_id, version_no, nullif(regexp_extract(t, '{CAP}', 1), '') AS label, nullif(regexp_extract(t, '{CAP}', 2), '') AS title, TRY_CAST(replace(regexp_extract(t, '\\d[\\d,]*', 0), ',', '') AS BIGINT) AS number FROM c", "v_versions")
 def caption_split(spark, d):
     label, title = T.caption(F.col("t"))
-    return literal(spark, CAPTIONS, "id int, t string").select("id", label.alias("label"), title.alias("title"), T.first_number(F.col("t")).alias("number"))
+    return _captioned(spark, d).select("video_id", "version_no", label.alias("label"), title.alias("title"), T.first_number(F.col("t")).alias("number"))
 
 
 @query("SELECT id, length(title) >= 4 AND NOT regexp_matches(title, '[\\x{0400}-\\x{04FF}]') AND NOT (length(title) > 4 AND length(regexp_replace(title, '[^A-Za-z]', '', 'g')) > 0.8 * length(title)) AS ok FROM v_docs", "v_docs")
@@ -218,37 +219,60 @@ def background_freq(spark, d):
     return g.join(p, "class").where(F.col("n") >= F.greatest(F.lit(2), F.floor(0.04 * F.col("pages")))).drop("pages")
 
 
-GROUND = [(1, "text [68, 323, 484, 420]Some words\nimage [1,2,3,4]\npage_number [1,2,3,4]12\nplain line"), (2, "The image contains no text.\n  header [71, 175, 195, 190]CHAPTER  \n\n"), (3, "table [9,9,9,9]<table><tr><td>a</td><td> <b>b</b> </td></tr></table>"), (4, "")]
-TABLES = [(1, "no markup"), (2, "<table><tr><td>a</td><td>b <i>c</i></td></tr><tr><td>d</td></tr></table>"), (3, "<table>just text</table>")]
+TAGS = STRIP.format("regexp_replace({}, '<[^>]+>', ' ', 'g')")
+TABLE = "CASE WHEN NOT contains({c}, '<table') THEN {c} WHEN len(regexp_extract_all({c}, '(?s)<tr>(.*?)</tr>', 1)) = 0 THEN " + TAGS.format("{c}") + " ELSE array_to_string(list_transform(regexp_extract_all({c}, '(?s)<tr>(.*?)</tr>', 1), lambda r: array_to_string(list_transform(regexp_extract_all(r, '(?s)<td[^>]*>(.*?)</td>', 1), lambda y: " + TAGS.format("y") + "), chr(9))), chr(10)) END"
+LAYOUT = "(?s)^\\s*(\\w+)\\s*\\[\\s*[\\d.,\\s-]*\\]\\s*(.*)$"
+GROUND = (
+    ", g AS (SELECT video_id, version_no, 'text [68, 323, 484, 420]' || left(text, 60) || chr(10) || 'image [1,2,3,4]' || chr(10) || 'page_number [1,2,3,4]' || version_no::VARCHAR || chr(10) || '  ' || role || CASE version_no % 3 WHEN 0 THEN chr(10) || 'The image contains no text.' WHEN 1 THEN chr(10) || 'table [9,9,9,9]<table><tr><td>' || role || '</td><td> <b>' || turn::VARCHAR || '</b> </td></tr><tr><td>z</td></tr></table>' ELSE chr(10) || '  header [71, 175, 195, 190]CHAPTER  ' || chr(10) END AS t FROM (SELECT conv_id AS video_id, turn AS version_no, turn, role, text FROM conversations)), "
+    "l AS (SELECT video_id, version_no, list_filter(list_transform(regexp_split_to_array(t, '\\r?\\n'), lambda x: " + STRIP.format("x") + "), lambda x: x <> '' AND NOT (" + " OR ".join(f"contains(lower(x), '{p}')" for p in T.REFUSALS) + ")) AS l FROM g), "
+    f"k AS (SELECT video_id, version_no, list_transform(l, lambda x: CASE WHEN regexp_extract(x, '{LAYOUT}', 1) IN ('image', 'page_number') THEN '' WHEN regexp_extract(x, '{LAYOUT}', 1) <> '' THEN " + STRIP.format(TABLE.format(c=STRIP.format(f"regexp_extract(x, '{LAYOUT}', 2)"))) + " ELSE x END) AS k FROM l) SELECT video_id, version_no, array_to_string(list_filter(k, lambda x: x <> ''), chr(10)) AS text FROM k"
+)
 
 
-@query("WITH g(id, t) AS (VALUES (1, 'Some words' || chr(10) || 'plain line'), (2, 'CHAPTER'), (3, 'a' || chr(9) || 'b'), (4, '')) SELECT id, t AS text FROM g")
+@query("WITH " + GROUND[2:])
 def ocr_ground_clean(spark, d):
-    return literal(spark, GROUND, "id int, t string").select("id", T.grounded_to_text(F.col("t")).alias("text"))
+    c, n = table(spark, d, "conversations"), F.col("turn").cast("string")
+    table_ = F.concat(F.lit("\ntable [9,9,9,9]<table><tr><td>"), "role", F.lit("</td><td> <b>"), n, F.lit("</b> </td></tr><tr><td>z</td></tr></table>"))
+    last = F.when(F.col("turn") % 3 == 0, F.lit("\nThe image contains no text.")).when(F.col("turn") % 3 == 1, table_).otherwise(F.lit("\n  header [71, 175, 195, 190]CHAPTER  \n"))
+    t = F.concat(F.lit("text [68, 323, 484, 420]"), F.left("text", F.lit(60)), F.lit("\nimage [1,2,3,4]\npage_number [1,2,3,4]"), n, F.lit("\n  "), "role", last)
+    return c.select(F.col("conv_id").alias("video_id"), F.col("turn").alias("version_no"), T.grounded_to_text(t).alias("text"))
 
 
-@query("WITH g(id, t) AS (VALUES (1, 'no markup'), (2, 'a' || chr(9) || 'b  c' || chr(10) || 'd'), (3, 'just text')) SELECT id, t AS text FROM g")
+@query("WITH g AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN '<table><tr><td>' || url || '</td><td class=\"x\"><b>' || page_id::VARCHAR || '</b> <i>c</i></td></tr><tr><td>z</td></tr></table>' ELSE '<table> ' || url || '<br></table>' END AS t FROM pages) SELECT page_id, " + TABLE.format(c="t") + " AS text FROM g")
 def html_table_to_text(spark, d):
-    return literal(spark, TABLES, "id int, t string").select("id", T.html_table_to_text(F.col("t")).alias("text"))
+    n = F.col("page_id")
+    rows = F.concat(F.lit("<table><tr><td>"), "url", F.lit('</td><td class="x"><b>'), n.cast("string"), F.lit("</b> <i>c</i></td></tr><tr><td>z</td></tr></table>"))
+    t = F.when(n % 3 == 0, F.col("html")).when(n % 3 == 1, rows).otherwise(F.concat(F.lit("<table> "), "url", F.lit("<br></table>")))
+    return table(spark, d, "pages").select("page_id", T.html_table_to_text(t).alias("text"))
 
 
-VOICES = [(1, "Name                 Gender  Tags"), (2, "-----"), (3, "en-IN-NeerjaNeural   Female  News, General"), (4, "hi-IN-MadhurNeural   Male    General  Friendly"), (5, "fr-FR-DeniseNeural   Female  General")]
+LOCALES = ["en-IN", "hi-IN", "fr-FR", "en-US", "de-DE"]
 
 
-@query("WITH v(id, t) AS (" + values(VOICES) + "), s AS (SELECT id, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS w FROM v WHERE id > 2) SELECT id, w[1] AS name, w[2] AS gender, array_to_string(w[3:], ' ') AS tags FROM s WHERE regexp_matches(w[1], '^(en-IN|hi-IN|en-US|en-GB)')")
+@query("WITH v AS (SELECT c_custkey AS id, CASE c_custkey WHEN 1 THEN 'Name                 Gender  Tags' WHEN 2 THEN '-----' ELSE rpad(['" + "', '".join(LOCALES) + "'][c_custkey % 5 + 1] || '-' || replace(c_name, '#', ''), 32, ' ') || CASE WHEN c_nationkey % 2 = 0 THEN 'Female' ELSE 'Male' END || '  ' || lower(c_mktsegment) || CASE WHEN c_custkey % 4 = 0 THEN '   Friendly  Warm' ELSE '' END END AS t FROM customer), s AS (SELECT id, list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '') AS w FROM v WHERE id > 2) SELECT id, w[1] AS name, w[2] AS gender, array_to_string(w[3:], ' ') AS tags FROM s WHERE regexp_matches(w[1], '^(en-IN|hi-IN|en-US|en-GB)')")
 def text_table_parse(spark, d):
     """A command's table: two header lines, white-space columns, the rest joined; some locales only."""
+    i = F.col("c_custkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, LOCALES)), (i % 5 + 1).cast("int")), F.lit("-"), F.replace("c_name", F.lit("#"), F.lit("")))
+    line = F.concat(F.rpad(name, 32, " "), F.when(F.col("c_nationkey") % 2 == 0, "Female").otherwise("Male"), F.lit("  "), F.lower("c_mktsegment"), F.when(i % 4 == 0, "   Friendly  Warm").otherwise(""))
+    x = table(spark, d, "customer").select(i.alias("id"), F.when(i == 1, "Name                 Gender  Tags").when(i == 2, "-----").otherwise(line).alias("t"))
     w = T.words(F.col("t"))
-    x = literal(spark, VOICES, "id int, t string").where("id > 2").select("id", w[0].alias("name"), w[1].alias("gender"), F.array_join(F.slice(w, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))), " ").alias("tags"))
+    x = x.where("id > 2").select("id", w[0].alias("name"), w[1].alias("gender"), F.array_join(F.slice(w, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))), " ").alias("tags"))
     return x.where(F.col("name").rlike("^(en-IN|hi-IN|en-US|en-GB)"))
 
 
-DESCS = [(1, "Fig. 6.1 shows cells"), (2, "No diagram on this page"), (3, ""), (4, None), (5, "A long text without labels. It goes on for quite some time so that it passes eighty characters. Really."), (6, "A simple flowchart of what happens to the water in rivers"), (7, "short map"), (8, "x" * 90)]
+DESCRIBED = ", d AS (SELECT id, CASE id % 8 WHEN 0 THEN 'Fig. 6.1 shows ' || title WHEN 1 THEN 'No diagram on this page' WHEN 2 THEN ' ' WHEN 3 THEN NULL WHEN 4 THEN left(raw_text, 150) WHEN 5 THEN 'A simple flowchart of ' || title WHEN 6 THEN left(title, 12) || ' map' ELSE left(raw_text, 70) || ' shows ' || title END AS t FROM v_docs)"
+
+
+def _described(spark, d):
+    t, raw = F.col("title"), F.col("raw_text")
+    kinds = [F.concat(F.lit("Fig. 6.1 shows "), t), F.lit("No diagram on this page"), F.lit(" "), F.lit(None).cast("string"), F.left(raw, F.lit(150)), F.concat(F.lit("A simple flowchart of "), t), F.concat(F.left(t, F.lit(12)), F.lit(" map")), F.concat(F.left(raw, F.lit(70)), F.lit(" shows "), t)]
+    return v_docs(spark, d).select("id", F.element_at(F.array(*kinds), (F.col("id") % 8 + 1).cast("int")).alias("t"))
 
 
-@query("WITH d(id, t) AS (" + values(DESCS) + ") SELECT id, CASE WHEN coalesce(trim(t), '') = '' THEN false WHEN starts_with(lower(t), 'no diagram') OR contains(lower(t), 'no diagram on this page') THEN false WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for p in T.LABELS) + " THEN true WHEN length(t) > 80 AND (length(t) - length(replace(t, '.', '')) >= 2 OR contains(t, 'shows')) THEN true ELSE length(t) > 40 AND (" + " OR ".join(f"contains(lower(t), '{x}')" for x in T.DIAGRAM_TYPES) + ") END AS keep FROM d")
+@query(DESCRIBED + " SELECT id, CASE WHEN coalesce(" + STRIP.format("t") + ", '') = '' THEN false WHEN starts_with(lower(t), 'no diagram') OR contains(lower(t), 'no diagram on this page') THEN false WHEN " + " OR ".join(f"regexp_matches(t, '{p}')" for p in T.LABELS) + " THEN true WHEN length(t) > 80 AND (length(t) - length(replace(t, '.', '')) >= 2 OR contains(t, 'shows')) THEN true ELSE length(t) > 40 AND (" + " OR ".join(f"contains(lower(t), '{x}')" for x in T.DIAGRAM_TYPES) + ") END AS keep FROM d", "v_docs")
 def intentional_filter(spark, d):
-    return literal(spark, DESCS, "id int, t string").select("id", T.intentional(F.col("t")).alias("keep"))
+    return _described(spark, d).select("id", T.intentional(F.col("t")).alias("keep"))
 
 
 @query(

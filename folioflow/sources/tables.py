@@ -50,6 +50,46 @@ def v_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select((F.col("l_orderkey") % 500).alias("doc"), (F.col("l_orderkey") % 7).alias("page"), F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), (F.col("l_suppkey") % 60 + 1).alias("n_items"))
 
 
+#: Subjects, imprints and labels of boxes among the headers.
+HEADINGS = ["Physics", "Mathematics", "Social  Science", "Chapter 7", "1234", "Do You Know? more", "INDIA : PHYSICAL  ENVIRONMENT", "THEMES IN WORLD HISTORY"]
+#: Directories of a library.
+DIRS = ["science", "social-science-hindi", "physics-part-1", "health-and-physical-education", "misc", "sanskrit", "maths", "tamil"]
+
+
+def v_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header lines: the beginnings of documents as books print them, with page numbers, imprints, classes and stray punctuation."""
+    d, w, i = table(spark, sf_dir, "documents"), F.left("text", F.lit(24)), F.col("doc_id")
+    number = (i % 97).cast("string")
+    kinds = [
+        F.concat(number, F.lit(" | "), w), F.concat(w, F.lit("  "), number), F.lit("Reprint 2024-25"), F.concat(w, F.lit(" 2023-24")), F.left(w, F.lit(4)), F.concat(w, F.lit(" - Class IX")),
+        F.element_at(F.array(*map(F.lit, HEADINGS)), (F.call_function("div", i, F.lit(10)) % 8 + 1).cast("int")), F.concat(F.lit("  7 –  "), w, F.lit(".;")), F.concat(w, F.lit(":;, ")), F.when(i % 50 != 9, F.concat(F.replace(w, F.lit(" "), F.lit("")), F.lit(" "), w)),
+    ]
+    return d.select(i.alias("id"), F.element_at(F.array(*kinds), (i % 10 + 1).cast("int")).alias("t"))
+
+
+def v_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a library of documents, with codes, chapter numbers and slugs."""
+    i = F.col("doc_id")
+    slug = F.regexp_replace(F.lower(F.left("text", F.lit(18))), "[^a-z]+", "_")
+    folder = F.when(i % 7 == 0, F.lit("misc")).otherwise(F.concat(F.lit("class-"), (i % 12 + 1).cast("string")))
+    name = F.when(i % 3 == 0, F.concat(F.lit("iesc_ch"), F.lpad((i % 40).cast("string"), 2, "0"))).when(i % 3 == 1, F.concat(F.lit("jess_CH"), (i % 9).cast("string"), F.lit("-"), slug)).otherwise(slug)
+    place = F.element_at(F.array(*map(F.lit, DIRS)), (i % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(i.alias("id"), F.concat(F.lit("/books/"), folder, F.lit("/"), place, F.lit("/"), name, F.lit(".pdf")).alias("path"))
+
+
+def v_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an audit sees them: what was extracted (ours) and what a reader saw (truth)."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    text = F.when(n % 7 == 0, F.lit("")).when(n % 7 == 1, F.lit("  ")).otherwise(F.left("text", (40 + n % 300).cast("int")))
+    ours = F.struct(text.alias("text"), (n % 3).cast("int").alias("n_diagrams"), F.when(n % 4 == 0, 1).otherwise(0).alias("n_tables"))
+    boxes = F.when(i % 4 != 3, F.array_repeat(F.array(*[F.lit(v) for v in (0, 0, 9, 9)]), (i % 3).cast("int")))
+    truth = F.struct(
+        (n % 6 != 0).alias("has_text"), F.when(n % 5 == 0, "garbled").when(n % 5 == 1, "scanned").otherwise("good").alias("text_quality"), (n % 4).cast("int").alias("num_figures"), boxes.alias("figure_bboxes"),
+        F.when(i % 5 == 0, 3).otherwise(0).alias("num_equations"), (i % 3 == 0).alias("has_tables"), F.when(i % 9 != 0, 2).alias("num_tables"), (i % 6).cast("int").alias("num_charts"), F.when(i % 4 == 1, n % 5).cast("int").alias("verified_missed"),
+    )
+    return table(spark, sf_dir, "documents").select(F.call_function("div", i, F.lit(5)).alias("pdf_id"), (i % 5).alias("page"), ours.alias("ours"), truth.alias("truth"), F.when(i % 11 == 0, "timeout").alias("error"))
+
+
 #: The same views in SQL, to be put before a query.
 SQL = {
     "v_docs": "v_docs AS (SELECT doc_id AS id, lang AS class, source AS subject, left(text, 60) AS title, text AS raw_text, n_chars FROM documents)",
@@ -59,6 +99,9 @@ SQL = {
     "v_versions": "v_versions AS (SELECT conv_id AS video_id, turn AS version_no, role AS author, text FROM conversations)",
     "v_queue": "v_queue AS (SELECT event_id, user_id AS item, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'rendering' WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' ELSE 'other' END AS status, value FROM events)",
     "v_boxes": "v_boxes AS (SELECT l_orderkey % 500 AS doc, l_orderkey % 7 AS page, l_orderkey AS grp, l_linenumber AS seq, l_partkey % 400 AS x0, l_suppkey * 7 % 600 AS y0, l_partkey % 400 + CAST(l_quantity AS BIGINT) * 4 + 20 AS x1, l_suppkey * 7 % 600 + (l_partkey + l_linenumber) % 180 + 10 AS y1, l_suppkey % 60 + 1 AS n_items FROM lineitem)",
+    "v_headers": "v_headers AS (SELECT doc_id AS id, CASE doc_id % 10 WHEN 0 THEN (doc_id % 97)::VARCHAR || ' | ' || left(text, 24) WHEN 1 THEN left(text, 24) || '  ' || (doc_id % 97)::VARCHAR WHEN 2 THEN 'Reprint 2024-25' WHEN 3 THEN left(text, 24) || ' 2023-24' WHEN 4 THEN left(text, 4) WHEN 5 THEN left(text, 24) || ' - Class IX' WHEN 6 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 10 % 8 + 1] WHEN 7 THEN '  7 –  ' || left(text, 24) || '.;' WHEN 8 THEN left(text, 24) || ':;, ' ELSE CASE WHEN doc_id % 50 <> 9 THEN replace(left(text, 24), ' ', '') || ' ' || left(text, 24) END END AS t FROM documents)",
+    "v_paths": "v_paths AS (SELECT doc_id AS id, '/books/' || CASE WHEN doc_id % 7 = 0 THEN 'misc' ELSE 'class-' || (doc_id % 12 + 1)::VARCHAR END || '/' || ['" + "', '".join(DIRS) + "'][doc_id % 8 + 1] || '/' || CASE doc_id % 3 WHEN 0 THEN 'iesc_ch' || lpad((doc_id % 40)::VARCHAR, 2, '0') WHEN 1 THEN 'jess_CH' || (doc_id % 9)::VARCHAR || '-' || regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') ELSE regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') END || '.pdf' AS path FROM documents)",
+    "v_audit": "v_audit AS (SELECT doc_id // 5 AS pdf_id, doc_id % 5 AS page, CASE n_chars % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE left(text, 40 + n_chars % 300) END AS text, n_chars % 3 AS ours, CASE WHEN n_chars % 4 = 0 THEN 1 ELSE 0 END AS our_tables, n_chars % 6 <> 0 AS has_text, CASE n_chars % 5 WHEN 0 THEN 'garbled' WHEN 1 THEN 'scanned' ELSE 'good' END AS quality, greatest(CASE WHEN doc_id % 4 <> 3 THEN doc_id % 3 ELSE 0 END, n_chars % 4) AS figures, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS equations, doc_id % 3 = 0 AS has_tables, CASE WHEN doc_id % 9 <> 0 THEN 2 ELSE 1 END AS num_tables, doc_id % 6 AS charts, CASE WHEN doc_id % 4 = 1 THEN n_chars % 5 END AS missed, CASE WHEN doc_id % 11 = 0 THEN 'timeout' END AS error FROM documents)",
 }
 
 
