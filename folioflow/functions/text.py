@@ -45,9 +45,16 @@ def sentences(c: Column, enders: str = ".!?।") -> Column:
     return F.split(c, rf"(?U)(?<=[{enders}])\s+")
 
 
+# Left-overs of markup, in order.
+PRECLEAN = [
+    ("[□▪•●■◆»›]", ""), (r"(?U)\bsquare6\b", ""), (r"(?U)Activity \d+\.\d+Activity \d+\.\d+(Activity \d+\.\d+)*", "Activity:"), (r"(?U)(Figure|Table) [\d.]+.?", "<figure>"),
+    (r"(?U)\s+[a-zA-Z]\s+", " "), (r"\n{3,}", "\n\n"), ("  +", " "),
+]
+
+
 def preclean(c: Column) -> Column:
     """Markup left-overs out of a text before scripts are made of it."""
-    return strip(chain(c, ("[□▪•●■◆»›]", ""), (r"(?U)\bsquare6\b", ""), (r"(?U)Activity \d+\.\d+Activity \d+\.\d+(Activity \d+\.\d+)*", "Activity:"), (r"(?U)(Figure|Table) [\d.]+.?", "<figure>"), (r"(?U)\s+[a-zA-Z]\s+", " "), (r"\n{3,}", "\n\n"), ("  +", " ")))
+    return strip(chain(c, *PRECLEAN))
 
 
 def title_normalize(c: Column) -> Column:
@@ -64,11 +71,16 @@ def despace(c: Column) -> Column:
     return strip(chain(c, (r"(?U)\b([A-Za-z])\s(?=[a-z]{2,}\b)", "$1"), (r"(?U)\s+([:;,.])\s*", "$1 "), (r"(?U)\s{2,}", " ")))
 
 
+# Page numbers before and after a header, and a school year.
+PAGE_NUMBERS = [(r"^\s*\d+\s*[|\-–—•]?\s*", ""), (r"\s*[|\-–—•]?\s*\d+\s*$", "")]
+YEAR = r"\d{4}\s*-\s*\d{2}$"
+
+
 def header_cleanup(c: Column) -> Column:
     """A header line without its page number; null where it is too short or an imprint."""
     x = chain(c, (r"(?U)\s+", " "))
-    y = chain(x, (r"^\s*\d+\s*[|\-–—•]?\s*", ""), (r"\s*[|\-–—•]?\s*\d+\s*$", ""))
-    return F.when((F.length(x) < 6) | (F.length(y) < 6) | y.rlike(r"\d{4}\s*-\s*\d{2}$") | F.contains(y, F.lit("Reprint")), F.lit(None)).otherwise(R(y, "[.,;:]+$", ""))
+    y = chain(x, *PAGE_NUMBERS)
+    return F.when((F.length(x) < 6) | (F.length(y) < 6) | y.rlike(YEAR) | F.contains(y, F.lit("Reprint")), F.lit(None)).otherwise(R(y, "[.,;:]+$", ""))
 
 
 def slugify(c: Column) -> Column:
@@ -106,15 +118,19 @@ def name_ok_catalogue(c: Column) -> Column:
     return (F.length(n) >= 5) & ~n.rlike(r"(?i)^Chapter\s+\d+$") & ~n.rlike(r"^\d+$")
 
 
+# Patterns of running headers.
+PAGE_HEADERS = [r"class\s*[ivxlcdm]+\s*$", r"[-–—]\s*class\s*[ivxlcdm]+", r"(health|science|mathematics|maths|social\s*science|english|hindi)\s*and\s*", r"^(mathematics|maths|science|social\s*science|health\s*and\s*physical\s*education|english|hindi|sanskrit)$"]
+
+
 def is_page_header(c: Column) -> Column:
     """A running header (subject and class) and not a title; the spaceless form counts too."""
     low, tight = title_normalize(c), compact(c)
-    patterns = [r"class\s*[ivxlcdm]+\s*$", r"[-–—]\s*class\s*[ivxlcdm]+", r"(health|science|mathematics|maths|social\s*science|english|hindi)\s*and\s*", r"^(mathematics|maths|science|social\s*science|health\s*and\s*physical\s*education|english|hindi|sanskrit)$"]
-    return (F.length(low) >= 10) & any_of([x.rlike(p) for p in patterns for x in (low, tight)])
+    return (F.length(low) >= 10) & any_of([x.rlike(p) for p in PAGE_HEADERS for x in (low, tight)])
 
 
 # Titles of book series, without spaces.
 SERIES = ["themesinworldhistory", "themesinindianhistory", "fundamentalsofphysicalgeography", "india:physicalenvironment", "indiaphysicalenvironment", "contemporaryworldpolitics", "indianeconomicdevelopment", "introductorymacroeconomics", "statisticsforeconomics"]
+# Subjects that are titles of books.
 BOOKS = r"^(physics|chemistry|biology|mathematics|maths|science|geography|history|english|hindi|sanskrit|urdu|social science|physical education)$"
 # Labels of boxes beside the text.
 CALLOUTS = ["doyouknow", "moretoknow", "thinkitover", "activity", "didyouknow", "remember", "note", "important", "let'sdo", "letsdo", "experiment", "amazingfact", "wordscareful", "keywords"]
@@ -175,7 +191,7 @@ def marker(c: Column) -> Column:
 
 
 # Words that name nothing.
-STOP = "this that with from have been will into when what which their there where these those about would could should after before".split()
+STOP = ["this", "that", "with", "from", "have", "been", "will", "into", "when", "what", "which", "their", "there", "where", "these", "those", "about", "would", "could", "should", "after", "before"]
 
 
 def keywords(c: Column, most: int = 8) -> Column:
@@ -250,6 +266,7 @@ def grounded_to_text(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, one), lambda x: x != ""), "\n")
 
 
+# Kinds of diagrams, and patterns of their labels.
 DIAGRAM_TYPES = ["graph", "chart", "table", "flowchart", "diagram", "illustration", "drawing", "map", "anatomical", "circuit", "structure", "reaction", "figure"]
 LABELS = [r"(?i)\b(?:Fig|Figure|TABLE|Table|Chart|Graph|Diagram|Fig\.)\s*\.?\s*\d+(?:\.\d+)?\b", r"\b\d+\.\d+\s", r"(?i)\b(?:Fig|Figure|TABLE|Table|Chart|Graph)\s*[A-Z]?\d+"]
 

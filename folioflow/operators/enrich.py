@@ -24,14 +24,12 @@ def generate_scripts(df: DataFrame, text: str, backend: Callable[[str], str] | N
 
     @F.pandas_udf(types.ArrayType(types.StringType()))
     def ask(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: parse_reply(backend(t)))
-
-    # The model is asked only for texts long enough, and the rules run only where it gave nothing.
-    asked = df.where(~short).withColumn("scripts", ask(text))
-    some = F.coalesce(F.size("scripts"), F.lit(0)) > 0
-    good = asked.where(some)
-    poor = asked.where(~some).withColumn("scripts", rules)
-    return good.unionByName(poor).unionByName(df.where(short | F.col(text).isNull()).withColumn("scripts", none))
+        return s.map(lambda t: None if t is None else parse_reply(backend(t)))
+
+    # The model is asked once a text, and only for texts long enough; it may answer otherwise the next time.
+    long = ~short & F.col(text).isNotNull()
+    asked = df.withColumn("scripts", ask.asNondeterministic()(F.when(long, F.col(text))))
+    return asked.withColumn("scripts", F.when(F.coalesce(F.size("scripts"), F.lit(0)) > 0, F.col("scripts")).when(long, rules).otherwise(none))
 
 
 def parse_reply(reply: str | None) -> list[str] | None:

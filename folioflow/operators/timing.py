@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,25 +46,33 @@ def join_interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return p.join(s, [*keys, "_b"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col("_high"))).drop("_b", "_high")
 
 
-def align_words(script: list[str], heard: list[tuple[str, float, float]]) -> list[tuple[float, float]]:
-    """Times of a script's words: equal words take theirs, replaced ones the span of what stands for them, missing ones the gap."""
+def align_words(script: list[str], heard: list[tuple[str, float, float]], step: float = 0.4) -> list[tuple[float, float]]:
+    """Times of a script's words, out of heard words (word, start, end).
+
+    Words that are equal but for case and punctuation take theirs. Where other words were
+    heard between two equal ones, each word there spans all of those. Where none were, words
+    follow on each other ``step`` seconds long, the last reaching to the next word that has a time.
+    """
     if not script or not heard:
         return []
-    norm = lambda w: re.sub(r"[^a-z0-9]", "", w.lower())
-    out: list[tuple[float, float] | None] = [None] * len(script)
-    for tag, a, b, c, e in difflib.SequenceMatcher(a=[norm(w) for w in script], b=[norm(w[0]) for w in heard], autojunk=False).get_opcodes():
-        if tag == "equal":
-            for k in range(b - a):
-                out[a + k] = heard[c + k][1:]
-        elif tag == "replace":
-            out[a:b] = [(heard[c][1], heard[e - 1][2])] * (b - a)
-    end = heard[0][1]
-    for k, got in enumerate(out):
-        if got is None:
-            after = out[k + 1] if k + 1 < len(out) else None
-            out[k] = (end, after[0] if after else end + 0.4)
-        end = out[k][1]
-    return out
+    mine, theirs = ([re.sub("[^a-z0-9]", "", w.lower()) for w in x] for x in (script, (h[0] for h in heard)))
+    blocks = difflib.SequenceMatcher(None, mine, theirs, autojunk=False).get_matching_blocks()
+    opens, closes = np.array([h[1] for h in heard]), np.array([h[2] for h in heard])
+    t0, t1 = np.full(len(mine), np.nan), np.full(len(mine), np.nan)
+    for here in blocks:
+        t0[here.a : here.a + here.size], t1[here.a : here.a + here.size] = opens[here.b : here.b + here.size], closes[here.b : here.b + here.size]
+    low = [(0, 0), *((x.a + x.size, x.b + x.size) for x in blocks[:-1])]
+    for (a, b), here in zip(low, blocks):
+        if b < here.b:
+            t0[a : here.a], t1[a : here.a] = opens[b], closes[here.b - 1]
+    gone, known = np.flatnonzero(np.isnan(t0)), np.flatnonzero(~np.isnan(t0))
+    last = np.searchsorted(known, gone) - 1  # the known word before each
+    since = np.where(last < 0, opens[0], t1[known[last]])
+    nth = gone - np.where(last < 0, -1, known[last]) - 1
+    nearly = gone[np.isin(gone + 1, known)]  # just before a known word
+    t0[gone], t1[gone] = since + step * nth, since + step * (nth + 1)
+    t1[nearly] = t0[nearly + 1]
+    return list(zip(t0.tolist(), t1.tolist()))
 
 
 @F.pandas_udf(types.ArrayType(types.StructType([types.StructField("t0", types.DoubleType()), types.StructField("t1", types.DoubleType())])))
@@ -76,6 +85,7 @@ def _aligned(script: pd.Series, heard: pd.Series) -> pd.Series:
 
 
 def align(versions: DataFrame) -> DataFrame:
-    """(video_id, word_no, t0, t1) of the first turn's words against the second's."""
-    two = versions.groupBy("video_id").agg(F.min_by("text", F.when(F.col("version_no") == 0, 0)).alias("a"), F.min_by("text", F.when(F.col("version_no") == 1, 0)).alias("b")).where("a is not null and b is not null")
-    return two.select("video_id", F.posexplode(_aligned("a", "b")).alias("word_no", "t")).select("video_id", "word_no", "t.t0", "t.t1")
+    """(video_id, version_no, word_no, t0, t1) of each turn's words against those of the turn after it."""
+    after = F.lead("text").over(Window.partitionBy("video_id").orderBy("version_no", "text"))
+    two = versions.select("video_id", "version_no", F.col("text").alias("a"), after.alias("b")).where("a is not null and b is not null")
+    return two.select("video_id", "version_no", F.posexplode(_aligned("a", "b")).alias("word_no", "t")).select("video_id", "version_no", "word_no", "t.t0", "t.t1")

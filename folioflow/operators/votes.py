@@ -27,6 +27,7 @@ def cascade(strategies: list[tuple[str, Column]]) -> tuple[Column, Column]:
 
 
 def cheap_first(df: DataFrame, cheap: Column, sound: Column, dear: Callable[[Column], Column]) -> DataFrame:
-    """``text`` by the cheap way where it is sound, else by the dear one, which runs on those rows only."""
+    """``text`` by the cheap way where it is sound, else by the dear one, which is given null on all other rows."""
     x = df.withColumn("text", cheap).withColumn("_ok", sound)
-    return x.where("_ok").withColumn("method", F.lit("text")).unionByName(x.where("not _ok").withColumn("text", dear(F.col("text"))).withColumn("method", F.lit("ocr"))).drop("_ok")
+    again = dear(F.when(~F.col("_ok"), F.col("text")))  # null, so nothing to do, for the others
+    return x.withColumn("text", F.when(F.col("_ok"), F.col("text")).otherwise(again)).withColumn("method", F.when(F.col("_ok"), "text").otherwise("ocr")).drop("_ok")

@@ -68,7 +68,15 @@ def segment_boxes(spark, d):
     return x.select("id", "script", F.posexplode(S.boxes(F.col("sents"))).alias("box", "text"))
 
 
-@query(None)
+#: RE2 has no look-around and ASCII word edges only: spaces are doubled, so that a match leaves one for the next.
+DESPACED = "replace(regexp_replace(replace(" + STRIP.format("regexp_replace(raw_text, '\\s+', ' ', 'g')") + ", ' ', '  '), '(^|[^\\p{L}\\p{N}\\p{M}_])([a-zA-Z])  ([a-z]{2,})($|[^\\p{L}\\p{N}\\p{M}_])', '\\1\\2\\3\\4', 'g'), '  ', ' ')"
+PIECES = (
+    ", x AS (SELECT id, " + _fold(SENTS.format(t=DESPACED, e=".!?", f="s <> ''"), "length(s)", 300, 1) + " AS a FROM v_docs), p AS (SELECT id, CASE WHEN a.buf <> '' THEN list_append(a.done, a.buf) ELSE a.done END AS p FROM x), "
+    "f AS (SELECT id, i, p[i] AS s, sum(CASE WHEN i = 1 OR length(p[i]) >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS k FROM p, unnest(range(1, len(p) + 1)) AS t(i))"
+)
+
+
+@query(PIECES + " SELECT id, CAST(k - 1 AS INTEGER) AS pos, string_agg(s, ' ' ORDER BY i) AS chunk FROM f GROUP BY id, k", "v_docs")
 def chunk_chars(spark, d):
     return v_docs(spark, d).select("id", F.posexplode(S.chunk_chars(F.col("raw_text"))).alias("pos", "chunk"))
 
@@ -185,5 +193,5 @@ def join_interval(spark, d):
 
 @query(None)
 def align_words(spark, d):
-    """Each conversation's first two turns, word by word: the second's words as if they were heard half a second each."""
-    return timing.align(v_versions(spark, d)).select("video_id", "word_no", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"))
+    """Each conversation's turns against the next ones, word by word: the next one's words as if they were heard half a second each."""
+    return timing.align(v_versions(spark, d)).select("video_id", "version_no", "word_no", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"))

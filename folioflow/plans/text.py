@@ -293,7 +293,10 @@ def extract_cascade(spark, d):
     return votes.cheap_first(v_docs(spark, d).select("id", "raw_text"), F.col("raw_text"), ~T.is_garbled(F.col("raw_text")), lambda x: F.concat(F.lit("ocr:"), x)).select("id", F.length("text").alias("n"), "method")
 
 
-@query(None)
+HEAD = ", h AS (SELECT id, array_to_string(str_split(raw_text, chr(10))[1:12], chr(10)) AS head FROM v_docs), m AS (SELECT id, [" + ", ".join(f"nullif(regexp_extract(head, '{p}', {g}), '')" for _, p, g in S.TITLE_PATTERNS) + "] AS m FROM h), f AS (SELECT id, m, list_filter(range(1, " + str(len(S.TITLE_PATTERNS) + 1) + "), lambda i: m[i] IS NOT NULL)[1] AS i FROM m)"
+
+
+@query(HEAD + " SELECT id, " + STRIP.format("m[i]") + " AS title, ['" + "', '".join(n for n, _, _ in S.TITLE_PATTERNS) + "'][i] AS pattern FROM f", "v_docs")
 def title_extract(spark, d):
     """Titles by ordered patterns over the first pages (lines), the first match winning."""
     return S.title_by_patterns(v_docs(spark, d), "raw_text").select("id", "title", "pattern")
@@ -304,9 +307,17 @@ def title_heuristic(spark, d):
     return S.heuristic_titles(v_docs(spark, d).select("id", "raw_text")).select("id", "title")
 
 
-@query(None)
+NAMED = "upper(left({w}, 1)) || lower(substr({w}, 2))"
+KEYWORDS = (
+    ", w AS (SELECT video_id, version_no, regexp_extract_all(regexp_replace(text, '\\[[A-Z ]+\\]\\s*', '', 'g'), '[A-Za-z]+') AS w FROM v_versions), h AS (SELECT *, list_filter(w, lambda x: lower(x) NOT IN ('" + "', '".join(S.STOPWORDS) + "')) AS h FROM w), "
+    "r AS (SELECT *, list_transform(list_reverse_sort(list_transform(list_filter(h, lambda x: length(x) >= 4), lambda x: {'n': length(x) + CASE WHEN regexp_matches(x, '^[A-Z]') THEN 3 WHEN regexp_matches(x, '[A-Z]') THEN 1 ELSE 0 END, 'w': " + NAMED.format(w="x") + "})), lambda y: y.w) AS r FROM h), "
+    "d AS (SELECT *, list_filter(r, lambda x, i: list_position(r, x) = i)[1:5] AS d FROM r), b AS (SELECT *, CASE WHEN len(d) > 0 THEN d ELSE list_transform(h[1:5], lambda x: " + NAMED.format(w="x") + ") END AS b FROM d)"
+)
+
+
+@query(KEYWORDS + " SELECT video_id, version_no, array_to_string(list_concat(b, CASE WHEN len(b) < 3 THEN list_transform(w[len(b) + 1:3], lambda x: " + NAMED.format(w="x") + ") ELSE [] END), ', ') AS keywords FROM b", "v_versions")
 def top_keywords(spark, d):
-    return S.top_keywords(v_versions(spark, d), F.col("text")).select("video_id", "version_no", "keywords")
+    return S.top_keywords(v_versions(spark, d), F.col("text")).select("video_id", "version_no", F.array_join("keywords", ", ").alias("keywords"))
 
 
 @query(None)

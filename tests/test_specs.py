@@ -26,11 +26,6 @@ def test_chunk_overlap(spark):
         assert r.c == spec.chunk_overlap(r.t, 200, 60)
 
 
-def test_preclean(spark, sf):
-    rows = tables.v_docs(spark, sf).select("raw_text", T.preclean(F.col("raw_text")).alias("c")).collect()
-    assert all(r.c == spec.preclean(r.raw_text) for r in rows)
-
-
 def test_chunks_keep_all_words(spark, sf):
     rows = tables.v_docs(spark, sf).select("raw_text", segment.chunk_words(F.col("raw_text")).alias("c")).collect()
     assert all(" ".join(r.c).split() == r.raw_text.split() for r in rows)
@@ -55,6 +50,11 @@ def test_align_words():
     heard = [("one", 0.0, 0.5), ("to", 0.5, 1.0), ("three", 1.0, 1.5)]
     assert timing.align_words(["One", "two", "three", "four"], heard) == [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5), (1.5, 1.9)]
     assert timing.align_words([], heard) == [] == timing.align_words(["a"], [])
+    gap = [("x", 1.0, 1.5), ("y", 4.0, 4.5)]
+    got = timing.align_words(["p", "x", "q", "r", "s", "y", "t", "u"], gap)
+    want = [(1.0, 1.0), (1.0, 1.5), (1.5, 1.9), (1.9, 2.3), (2.3, 4.0), (4.0, 4.5), (4.5, 4.9), (4.9, 5.3)]
+    assert [(round(a, 6), round(b, 6)) for a, b in got] == want
+    assert timing.align_words(["a", "b"], [("c", 0.0, 1.0), ("d", 1.0, 3.0)]) == [(0.0, 3.0)] * 2
 
 
 def test_spelling():
@@ -145,6 +145,20 @@ def test_read_pages_tells_errors(spark):
     assert [(r.path, r.page, r.text, r.error is None) for r in rows] == [("a", 0, "one", True), ("a", 1, "two", True), ("b", 0, "", False)]
 
 
+def test_a_model_is_asked_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+    long = "This is a sentence that goes on for a while. " * 3
+
+    def model(t):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return '["x"]' if "yes" in t else "no"
+
+    df = spark.createDataFrame([(1, long + "yes"), (2, "short"), (3, long + "no"), (4, None)], "id int, t string")
+    got = {r.id: r.scripts for r in enrich.generate_scripts(df, "t", model).collect()}
+    assert got[1] == ["x"] and got[2] == got[4] == [] and got[3] and len(open(log).readlines()) == 2
+
+
 def test_generate_scripts_falls_back(spark):
     long = "This is a sentence that goes on for a while. " * 3
     df = spark.createDataFrame([(1, long), (2, "short"), (3, long + "no")], "id int, t string")
