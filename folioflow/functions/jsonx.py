@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,4 +46,23 @@ def json_set(c: Column, key: str, value: Column) -> Column:
 
 def value_or_string(c: Column) -> Column:
     """A setting's value: JSON if it is, else the text as a JSON string."""
-    return F.coalesce(F.when(F.try_parse_json(c).isNotNull(), c), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"')))
+    alone = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))  # as in ``salvaged``
+    return F.when(alone.isNotNull() & (F.coalesce(F.trim(c), F.lit("")) != ""), c).otherwise(F.to_json(F.parse_json(F.concat(F.lit('"'), _escaped(c), F.lit('"')))))
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def setting(c: Column, default: str) -> Column:
+    """A setting's value as JSON, ``default`` where it is null."""
+    return F.when(c.isNull(), F.lit(json.dumps(default))).otherwise(value_or_string(c))
+
+
+def int_keys(c: Column, value: str) -> Column:
+    """map<int, ...> out of a JSON object; entries whose key is no integer are left out."""
+    entries = F.map_entries(F.from_json(c, f"map<string,{value}>"))
+    cast = F.transform(entries, lambda e: F.struct(e["key"].try_cast("int").alias("key"), e["value"].alias("value")))
+    return F.map_from_entries(F.filter(cast, lambda e: e["key"].isNotNull()))

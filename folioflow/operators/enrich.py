@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
@@ -66,3 +66,30 @@ def prompt(context: str, text: str, place: str, most: int) -> Column:
     """A prompt for one chunk: its context, where it stands, its limits and its text."""
     hint = F.when(F.col(place) == "first", "Open with a hook. ").when(F.col(place) == "last", "Close the chapter. ").otherwise("Go on from the part before. ")
     return F.concat_ws("\n", F.col(context), hint, F.lit(f"At most {most} scripts."), F.col(text))
+
+
+def synthesise(pages: DataFrame, keys: list[str], reducer: Callable[[str], str] | None = None, most: int = 200) -> DataFrame:
+    """Per document: how many ``pages`` (page, summary) it has and one synthesis of the first ``most`` of them in order.
+
+    Summaries are put together first and the reducer is asked once a document; where there is none,
+    or it fails, the digest itself is the synthesis. A document's pages are few; those after the
+    first ``most`` are not collected.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("page"))
+    line = F.concat(F.lit("Page "), (F.col("page") + 1).cast("string"), F.lit(": "), F.col("summary"))
+    x = pages.withColumn("_rn", rank).groupBy(*keys).agg(F.count("*").alias("pages"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= most, F.struct("page", line.alias("line"))))).alias("_l"))
+    x = x.withColumn("synthesis", F.array_join(F.transform("_l", lambda p: p["line"]), "\n")).drop("_l")
+    if reducer is None:
+        return x
+
+    @F.pandas_udf(types.StringType())
+    def ask(s: pd.Series) -> pd.Series:
+        def one(t: str) -> str:
+            try:
+                return reducer(t) or t
+            except Exception:  # noqa: BLE001  a model may raise anything
+                return t
+
+        return s.map(one)
+
+    return x.withColumn("synthesis", ask.asNondeterministic()("synthesis"))

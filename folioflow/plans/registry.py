@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational, segments, structures, text
+from . import library, relational, segments, structures, text
 
-MODULES = [relational, text, segments, structures]
+MODULES = [relational, text, segments, structures, library]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.Q.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.O.items()}

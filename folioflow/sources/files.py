@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +49,39 @@ def read_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFr
                 yield pd.DataFrame({"path": path, "page": range(len(pages)), "text": [p.strip() for p in pages], "error": error})
 
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
+
+
+def read_structured(files: DataFrame, reader: Callable[[bytes], Iterable[tuple]], fields: str) -> DataFrame:
+    """(path, ``fields``, error) of files (path, content): a row per tuple that ``reader`` gives; a file that it can't read is one row of nulls with the error told."""
+    names = [f.split()[0] for f in fields.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    rows, error = list(reader(bytes(content))), None
+                except Exception as e:  # noqa: BLE001  a reader may raise anything
+                    rows, error = [(None,) * len(names)], str(e)
+                if rows:
+                    yield pd.DataFrame(rows, columns=names, dtype=object).assign(path=path, error=error)[["path", *names, "error"]]
+
+    return files.select("path", "content").mapInPandas(run, f"path string, {fields}, error string")
+
+
+def read_blocks(files: DataFrame, reader: Callable[[bytes], Iterable[tuple]], least: int = 4) -> DataFrame:
+    """Blocks (page, x0, y0, x1, y1, text) of pages, white space squeezed, those under ``least`` characters left out."""
+    x = read_structured(files, reader, "page int, x0 double, y0 double, x1 double, y1 double, text string")
+    return x.withColumn("text", T.strip(F.regexp_replace("text", r"(?U)\s+", " "))).where(F.col("error").isNotNull() | (F.length("text") >= least))
+
+
+def read_lines(files: DataFrame, reader: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """Lines (page, line, x0, y0, x1, y1, text) out of spans (page, line, span, x0, y0, x1, y1, text): texts joined in order, boxes around all."""
+    x = read_structured(files, reader, "page int, line int, span int, x0 double, y0 double, x1 double, y1 double, text string")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "")
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    return x.groupBy("path", "page", "line", "error").agg(*box, text.alias("text"))
+
+
+def read_images(files: DataFrame, reader: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """Images (page, width, height, n_bytes) embedded in files."""
+    return read_structured(files, reader, "page int, width int, height int, n_bytes long")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import boxes, enrich, queue, segment, timing
+from folioflow.operators import boxes, enrich, queue, segment, sinks, timing
 from folioflow.plans import registry
 from folioflow.sources import files, tables
 from folioflow.streaming import queue as stream
@@ -145,6 +145,49 @@ def test_read_pages_tells_errors(spark):
     assert [(r.path, r.page, r.text, r.error is None) for r in rows] == [("a", 0, "one", True), ("a", 1, "two", True), ("b", 0, "", False)]
 
 
+def test_structured_readers(spark):
+    df = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"")), ("c", bytearray(b"y"))], "path string, content binary")
+
+    def blocks(b):
+        if not b:
+            raise ValueError("empty")
+        return [(0, 1.0, 2.0, 3.0, 4.0, "  some\n text "), (0, 1.0, 2.0, 3.0, 4.0, "abc")] if b == b"x" else []
+
+    assert [(r.path, r.page, r.text, r.error) for r in sorted(files.read_blocks(df, blocks).collect())] == [("a", 0, "some text", None), ("b", None, None, "empty")]
+    spans = lambda b: [(0, 1, 1, 5.0, 0.0, 9.0, 3.0, "b"), (0, 1, 0, 0.0, 1.0, 5.0, 2.0, "a "), (1, 0, 0, 0.0, 0.0, 1.0, 1.0, "z")]
+    got = sorted(tuple(r)[1:] for r in files.read_lines(df.where("path = 'a'"), spans).collect())
+    assert got == [(0, 1, None, 0.0, 0.0, 9.0, 3.0, "a b"), (1, 0, None, 0.0, 0.0, 1.0, 1.0, "z")]
+    assert [tuple(r) for r in files.read_images(df.where("path = 'c'"), lambda b: [(0, 10, 20, len(b))]).collect()] == [("c", 0, 10, 20, 1, None)]
+
+
+def test_checkpoint_and_resume(spark, tmp_path):
+    todo = spark.createDataFrame([(1, p) for p in range(6)], "doc int, page int")
+    write = sinks.checkpoint(str(tmp_path / "results"))
+    done = todo.where("page < 4").withColumn("error", F.when(F.col("page") == 1, "timeout"))
+    write(done.where("page < 2"), 0)
+    write(done.where("page >= 2"), 1)
+    write(done.where("page >= 2"), 1)  # a batch that runs again replaces itself
+    have = spark.read.parquet(str(tmp_path / "results"))
+    assert have.count() == 4
+    assert sorted(r.page for r in sinks.left_to_do(todo, have, ["doc", "page"]).collect()) == [1, 4, 5]
+    write(todo.where("page = 1").withColumn("error", F.lit(None).cast("string")), 2)
+    rows = sinks.latest_results(spark.read.parquet(str(tmp_path / "results")), ["doc", "page"]).collect()
+    assert sorted((r.page, r.batch, r.error) for r in rows) == [(0, 0, None), (1, 2, None), (2, 1, None), (3, 1, None)]
+
+
+def test_sequential_ids(spark):
+    rows = spark.createDataFrame([(k * 7,) for k in range(50)], "k long")
+    assert sorted((r.k, r.id) for r in sinks.sequential_ids(rows, "k", F.lit(10), width=30).collect()) == [(k * 7, 11 + k) for k in range(50)]
+
+
+def test_synthesis(spark):
+    pages = spark.createDataFrame([(1, 1, "b"), (1, 0, "a"), (2, 0, "c")], "doc int, page int, summary string")
+    got = {r.doc: (r.pages, r.synthesis) for r in enrich.synthesise(pages, ["doc"], lambda t: {}["x"] if "c" in t else t.upper()).collect()}
+    assert got == {1: (2, "PAGE 1: A\nPAGE 2: B"), 2: (1, "Page 1: c")}
+    results = {r.page: json.loads(r.result) for r in enrich.analyse_pages(pages.where("doc = 1").withColumnRenamed("summary", "text"), lambda t: {"n": len(t)} if t == "a" else {}["x"]).collect()}
+    assert results == {0: {"n": 1}, 1: {"error": "'x'"}}
+
+
 def test_a_model_is_asked_once(spark, tmp_path):
     log = str(tmp_path / "asked")
     long = "This is a sentence that goes on for a while. " * 3
