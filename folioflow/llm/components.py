@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,23 +14,29 @@ from ._store import stored
 MOST = 100_000  # edges that one task contracts; 16 bytes each
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a partition's edges (u, v) connect, as edges from each node to the least one."""
-    parent: dict[int, int] = {}
+def labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least node that each of ``n`` nodes is connected with by edges (x, y): roots are hung under lesser ones and paths cut short until no edge is left between two trees."""
+    label = np.arange(n)
+    while True:
+        a, b = label[x], label[y]
+        open_ = a != b
+        if not open_.any():
+            return label
+        x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((next_ := label[label]) != label).any():
+            label = next_
 
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
 
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            a, b = root(u), root(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a partition's edges (u, v) connect, as edges from each node to the least one."""
+    have = [(batch.column("u").to_numpy(), batch.column("v").to_numpy()) for batch in batches if batch.num_rows]
+    if have:
+        u, v = (np.concatenate(c) for c in zip(*have))
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        root = nodes[labels(len(nodes), at[: len(u)], at[len(u) :])]
+        some = root != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(root[some])], ["u", "v"])
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60, most: int = MOST) -> DataFrame:

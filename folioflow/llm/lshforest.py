@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._anchors import runs
 from ._store import drop_paths, parts, stored
-from .components import components
+from .components import components, labels
 
 HASHES = 96
 TREES = 12
@@ -55,6 +55,7 @@ LIMIT = 1024
 DEEPEST = 8
 MISS = 1e-4
 BLOCK = 256
+COLUMNS = 4096
 SKETCH = 1 << 20
 SIGMAS = 4.5
 NULL_ID = (1 << 63) - 1
@@ -158,6 +159,17 @@ def _ordered(orders: np.ndarray, depth: int):
     return run
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal places of pairs of signatures, eight counts in a word."""
+    eight = (a == b).view(np.uint64).sum(1)
+    return (eight * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _joined(tree: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``tree`` (the least node that each is connected with) after more edges (x, y)."""
+    return labels(len(tree), np.concatenate((tree[x], np.arange(len(tree)))), np.concatenate((tree[y], tree)))
+
+
 def neighbours(threshold: float):
     """Reads classes in a forest's order and gives a spanning forest of the candidates among neighbours, and as (region, null) the regions that neighbours don't settle: those of more than NEIGHBOURS + 1 classes and those at the borders of what was read."""
     least = _least_equal(threshold)
@@ -193,27 +205,14 @@ def neighbours(threshold: float):
                 a, b = a[fit], b[fit]
                 for s in range(0, len(a), 50_000):
                     x, y = a[s : s + 50_000], b[s : s + 50_000]
-                    got = (sig[x] == sig[y]).sum(1)
-                    ok = got >= least
+                    ok = _equal(sig[x], sig[y]) >= least
                     if ok.any():
-                        found.append(np.stack([-got[ok], x[ok], y[ok]], 1))
+                        found.append(np.stack([x[ok], y[ok]]))
             if found:
-                parent: dict[int, int] = {}
-
-                def root(v: int, parent=parent) -> int:
-                    while (p := parent.get(v, v)) != v:
-                        parent[v] = v = parent.get(p, p)
-                    return v
-
-                edges = []
-                pairs = np.concatenate(found)
-                for _, x, y in pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))].tolist():
-                    p, q = root(x), root(y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        edges.append((x, y))
-                e = np.array(edges)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[e[:, 0]]), pa.array(rep[e[:, 1]])], ["a", "b"])
+                x, y = np.concatenate(found, 1)
+                root = labels(len(rep), x, y)
+                some = np.flatnonzero(root != np.arange(len(rep)))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[root[some]])], ["a", "b"])
             kept = [x[-NEIGHBOURS:] for x in now]
         if kept is not None:
             yield pa.RecordBatch.from_arrays([pa.array(kept[0][-1:]), pa.nulls(1, pa.int64())], ["a", "b"])
@@ -232,29 +231,21 @@ def _met(threshold: float):
             edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]), [True])))
             out = []
             for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                own = low + np.flatnonzero(guest[low:high] == 0)  # by n
-                sizes, marks = n[own], sig[own]
-                parent: dict[int, int] = {}
-
-                def root(v: int, parent=parent) -> int:
-                    while (p := parent.get(v, v)) != v:
-                        parent[v] = v = parent.get(p, p)
-                    return v
-
-                for g in range(low + len(own), high):
-                    x, y = np.searchsorted(sizes, threshold * n[g] - 1e-9), np.searchsorted(sizes, n[g] / threshold + 1e-9, side="right")
-                    some = own[x:y]
-                    fit = (part[some] != part[g]) & ((other[some] == 0) | (rep[some] < rep[g]))
-                    if not fit.any():
-                        continue
-                    some = some[fit]
-                    equal = (marks[x:y][fit] == sig[g]).view(np.uint64).reshape(len(some), -1).sum(1)
-                    got = (equal * np.uint64(0x0101010101010101)) >> np.uint64(56)  # eight counts in a word
-                    for i in some[got >= least].tolist():
-                        p, q = root(int(part[g])), root(int(part[i]))
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-                            out.append((int(rep[g]), int(rep[i])))
+                m = int((guest[low:high] == 0).sum())  # residents first, by n
+                names, at = np.unique(part[low:high], return_inverse=True)
+                own, sizes, marks = at[:m], n[low : low + m], sig[low : low + m]
+                tree = np.arange(len(names))
+                for g in range(low + m, high, 64):
+                    s = np.arange(g, min(g + 64, high))
+                    fit = (sizes >= threshold * n[s, None] - 1e-9) & (sizes * threshold <= n[s, None] + 1e-9)
+                    fit &= (tree[own] != tree[at[s - low], None]) & ((other[low : low + m] == 0) | (rep[low : low + m] < rep[s, None]))
+                    x, y = np.nonzero(fit)
+                    for a in range(0, len(x), 50_000):
+                        b = slice(a, a + 50_000)
+                        ok = _equal(marks[y[b]], sig[s[x[b]]]) >= least
+                        tree = _joined(tree, at[s[x[b]][ok] - low], own[y[b]][ok])
+                some = np.flatnonzero(tree != np.arange(len(names)))
+                out += zip(names[some].tolist(), names[tree[some]].tolist())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
@@ -278,14 +269,44 @@ def _sets(z: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _shared(own: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many shingles each of the sets ``own`` shares with each of ``others`` (with each other if not given), by matrix products over COLUMNS shingles at a time."""
+    rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    names, code, often = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    if others is None:
+        keep = (often > 1)[code]  # the others are shared with none
+        width = int((often > 1).sum())
+        left = right = ((np.cumsum(often > 1) - 1)[code[keep]], rows[keep])
+        alone = np.diag([len(x) for x in own])
+    else:
+        sent = np.concatenate(others)
+        at = np.minimum(np.searchsorted(names, sent), len(names) - 1)
+        keep, width, alone = names[at] == sent, len(names), 0
+        left, right = (code, rows), (at[keep], np.repeat(np.arange(len(others)), [len(x) for x in others])[keep])
+    sides = []
+    for column, row in (left, right):
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], row[order]))
+    total = np.zeros((len(own), len(own if others is None else others)), dtype=np.int64)
+    for low in range(0, width, COLUMNS):
+        parts_, high = [], min(low + COLUMNS, width)
+        for (column, row), n in zip(sides, total.shape):
+            x, y = np.searchsorted(column, (low, high))
+            m = np.zeros((n, high - low), dtype=np.float32)
+            m[row[x:y], column[x:y] - low] = 1
+            parts_.append(m)
+        total += (parts_[0] @ parts_[1].T).astype(np.int64)  # exact: sums of ones, far below 2**24
+    if others is None:
+        np.fill_diagonal(total, np.diag(alone))
+    return total
+
+
+def _links_between(own: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> np.ndarray:
+    """Which of ``own`` are linked with which of ``others``."""
+    both = _shared(own, others)
+    n = np.array([len(x) for x in own])
+    m = n if others is None else np.array([len(x) for x in others])
+    return 100 * both >= percent * (n[:, None] + m[None, :] - both)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -308,19 +329,15 @@ def _inside(size: int, percent: int):
         out: list[tuple] = []
         for rows in _groups(batches):
             sets = _sets([r[4] for r in rows], size)
-            label = list(range(len(rows)))  # rows are in order of their nodes
-            members = {i: [i] for i in label}
-            order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
-            for x in range(len(order)):
-                for y in range(x - 1, -1, -1):
-                    i, j = order[x], order[y]
-                    if 100 * len(sets[j]) < percent * len(sets[i]):
-                        break
-                    if label[i] != label[j] and _linked(sets[i], sets[j], percent):
-                        p, q = sorted((label[i], label[j]))
-                        for v in members[q]:
-                            label[v] = p
-                        members[p] += members.pop(q)
+            linked = _links_between(sets, None, percent)
+            label = np.full(len(rows), -1)  # rows are in order of their nodes, so the first of a part is its least
+            for i in range(len(rows)):
+                if label[i] < 0:
+                    new = np.zeros(len(rows), dtype=bool)
+                    new[i] = True
+                    while new.any():
+                        label[new] = i
+                        new = linked[new].any(0) & (label < 0)
             out += [(r[2], rows[label[i]][2], r[0], r[3]) for i, r in enumerate(rows)]
             if len(out) > 10_000:
                 yield _nodes(out)
@@ -346,12 +363,13 @@ def _across(size: int, percent: int):
             if sets is None:
                 sets = _sets([r[5] for r in own], size)
             out = []
-            for g, s in zip(guests, _sets([r[5] for r in guests], size)):
+            linked = _links_between(sets, _sets([r[5] for r in guests], size), percent)
+            for k, g in enumerate(guests):
                 met = {g[3]}
-                for r, t in zip(own, sets):
-                    if r[3] not in met and _linked(s, t, percent):
-                        met.add(r[3])
-                        out.append((g[2], r[2]))
+                for i in np.flatnonzero(linked[:, k]).tolist():
+                    if own[i][3] not in met:
+                        met.add(own[i][3])
+                        out.append((g[2], own[i][2]))
             guests.clear()
             return out
 
@@ -447,7 +465,7 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """Distinct (a, b): spanning forests of candidates in each region of the forest over ``classes`` (rep, n, sig)."""
     spark = classes.sparkSession
-    n = max(8, 2 * parts(spark))
+    n = parts(spark)
     out = None
     for depth in range(DEPTH, DEEPEST + 1, 2):
         rows = classes.select("rep", "n", "sig").mapInArrow(_ordered(level(depth, threshold), depth), "tree int, k1 long, k2 long, region long, rep long, n long, sig binary")
@@ -483,7 +501,7 @@ def _blocks(groups: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: bool = False) -> DataFrame:
     """Confirmed links (a, b) between classes that join whatever is linked."""
-    n = 2 * parts(docs.sparkSession)
+    n = parts(docs.sparkSession)
     if exact:
         groups = classes.select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("c"), F.lit(2).cast("long").alias("blocks"))
     else:
@@ -491,7 +509,8 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: b
     # A class's text is that of its least row.
     members = groups.join(classes.select(F.col("rep").alias("node"), "doc", "text_hash"), "node")
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pressed, "doc long, text_hash long, z binary")
-    members = stored(members.join(texts.hint("merge"), ["doc", "text_hash"]).groupBy("node").agg(*(F.first(x).alias(x) for x in ("c", "blocks", "z"))), "forest-members")
+    texts = texts.groupBy("doc", "text_hash").agg(F.first("z").alias("z"))  # rows equal in doc_id and text; dealt as the join wants them
+    members = stored(members.join(texts.hint("merge"), ["doc", "text_hash"]).select("node", "c", "blocks", "z"), "forest-members")
     wide = members.where("blocks > 1")
     if wide.head(1):
         parted = _blocks(prefix_groups(wide, size, percent).withColumnRenamed("label", "c"))
