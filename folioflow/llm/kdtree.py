@@ -7,9 +7,14 @@ middle is counted again in finer buckets until it is one value, and the cut goes
 side of that value where the halves are most even. What reaches the driver is one row per
 cell or bucket (at most ``BUCKETS`` a cell and round), whatever the number of documents.
 
-The dimensions are two, the text's bytes and a hash of the text; source, lang and n_chars
-are none. Both are functions of the text, so equal texts stay together; only a group of
-copies that alone outweighs ``SPLIT`` of a shard is divided, by a hash of doc_id.
+Cells are split until the wanted number of leaves is there, or until every leaf has at most
+the target bytes. The dimensions are the text's bytes, whole-number metadata columns that
+the caller names (null counts as -1) and, so that ties can be told apart, a hash of the
+text. Where the named columns follow from the text, as n_chars does, equal texts stay
+together; only a group of copies that alone outweighs ``SPLIT`` of a shard is divided, by a
+hash of doc_id. Without named columns all dimensions are functions of the text.
+
+Cuts are CASE expressions over the cells; beyond ``FEW`` cells each level is stored.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from ._store import stored
 
 BUCKETS = 1024
 SPLIT = 0.05
+FEW = 64
 NULL_ID = -(1 << 63)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, d0, d1, d2): sizes and dimensions, no texts."""
+def measured(docs: DataFrame, dimensions: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, d0, d1, d2, m0, m1, ...): sizes and dimensions, no texts. d0 is the size, d1 a hash of the text, d2 one of doc_id, m0 and so on the named columns."""
     text = F.col("text")
     raw = F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
     size = F.octet_length(F.coalesce(text, F.lit(""))).cast("long") + 1
@@ -34,8 +40,9 @@ def measured(docs: DataFrame) -> DataFrame:
         size.alias("size"),
         F.crc32(raw).alias("text_crc32"),
         size.alias("d0"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).alias("d1"),
-        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.lit(17)), 2).alias("d2"),
+        F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 24).alias("d1"),
+        F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.lit(17)), 24).alias("d2"),
+        *[F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(-1)).alias(f"m{i}") for i, c in enumerate(dimensions)],
     )
 
 
@@ -88,39 +95,49 @@ def _cuts(rows: DataFrame, cells: dict[int, _Cut]) -> None:
             x.narrow(counts[c])
 
 
-def leaves(meta: DataFrame, levels: int, split: float = SPLIT) -> DataFrame:
-    """``meta`` with ``shard``: the leaf of a tree of ``levels`` levels that each row falls in."""
-    cell = F.lit(0)
+def leaves(meta: DataFrame, levels: int, split: float = SPLIT, target: int | None = None) -> DataFrame:
+    """``meta`` with ``shard``: the leaf that each row falls in, of a tree of ``levels`` levels or, with ``target``, of one whose leaves have at most so many bytes where rows can be told apart."""
+    extra = [c for c in meta.columns if c[0] == "m" and c[1:].isdigit()]
+    dims = ["d0", *extra, "d1"]
+    rows = meta.withColumn("cell", F.lit(1).cast("long"))  # the root; the halves of cell c are 2c and 2c + 1
     spans: dict[str, int] = {}
-    for level in range(levels):
-        rows = meta.withColumn("cell", cell)
-        shape = rows.groupBy("cell").agg(F.sum("size").alias("n"), *[f(d).alias(f"{k}{d}") for d in ("d0", "d1", "d2") for k, f in (("lo", F.min), ("hi", F.max))]).collect()  # a row a cell
-        if not shape:
-            return rows.withColumnRenamed("cell", "shard")
+    before: dict[int, int] = {}
+    level = 0
+    while True:
+        if len(before) > FEW:
+            rows = stored(rows, "kdtree-level")
+        shape = rows.groupBy("cell").agg(F.sum("size").alias("n"), *[f(d).alias(f"{k}{d}") for d in (*dims, "d2") for k, f in (("lo", F.min), ("hi", F.max))]).collect()  # a row a cell
+        if not shape or target is None and level == levels:
+            break
         if not level:
-            spans = {d: max(1, shape[0][f"hi{d}"] - shape[0][f"lo{d}"]) for d in ("d0", "d1")}
-        target = sum(r["n"] for r in shape) / 2**levels
+            spans = {d: max(1, shape[0][f"hi{d}"] - shape[0][f"lo{d}"]) for d in dims}
+        leaf = target or sum(r["n"] for r in shape) / 2**levels
+        # A cell of all its parent's bytes could not be divided.
+        wide = {r["cell"]: r for r in shape if target is None or r["n"] > target and before.get(r["cell"] // 2) != r["n"]}
+        if not wide:
+            break
+        before = {r["cell"]: r["n"] for r in shape}
         cells = {}
-        for r in shape:
+        for c, r in wide.items():
             dim = max(spans, key=lambda d: (r[f"hi{d}"] - r[f"lo{d}"]) / spans[d])
-            cells[r["cell"]] = _Cut(dim, r[f"lo{dim}"], r[f"hi{dim}"], r["n"], r["n"] / 2)
+            k = 2 ** (levels - level) if target is None else -(-r["n"] // target)
+            cells[c] = _Cut(dim, r[f"lo{dim}"], r[f"hi{dim}"], r["n"], r["n"] * (k // 2) / k)
         _cuts(rows, cells)
-        uneven = {}
-        for c, x in cells.items():
-            if abs(x.left - x.goal) > split * target * 2 ** (levels - level - 1) / 2 and x.dim != "d1":
-                r = next(r for r in shape if r["cell"] == c)
-                uneven[c] = _Cut("d1", r["lod1"], r["hid1"], r["n"], r["n"] / 2)
+        uneven = {c: _Cut("d1", wide[c]["lod1"], wide[c]["hid1"], wide[c]["n"], x.goal) for c, x in cells.items() if abs(x.left - x.goal) > split * x.goal / 2 and x.dim != "d1"}
         if uneven:  # many equal values of the dimension: the text's hash tells all but copies apart
             _cuts(rows, uneven)
             cells |= uneven
         go_left = []
         for c, x in cells.items():
             side = F.col(x.dim) < F.lit(x.at)
-            if x.dim == "d1" and x.heavy > split * target and abs(x.left - x.goal) > split * target / 2:
+            if x.dim == "d1" and x.heavy > split * leaf and abs(x.left - x.goal) > split * leaf / 2:
                 side = _divided(rows, c, x)
             go_left.append((c, side))
-        cell = cell * 2 + _case([(c, F.when(side, 0).otherwise(1)) for c, side in go_left], cell, F.lit(0))
-    return meta.withColumn("shard", cell.cast("int"))
+        rows = rows.withColumn("cell", _case([(c, F.when(side, 2 * c).otherwise(2 * c + 1).cast("long")) for c, side in go_left], F.col("cell"), F.col("cell")))
+        level += 1
+    # Leaves in the order of the tree, from the left.
+    found = sorted((r["cell"] for r in shape), key=lambda c: bin(c)[3:])
+    return rows.withColumn("shard", _case([(c, F.lit(i)) for i, c in enumerate(found)], F.col("cell"), F.lit(0)).cast("int")).drop("cell")
 
 
 def _divided(rows: DataFrame, cell: int, cut: _Cut) -> Column:
@@ -145,9 +162,12 @@ def with_slots(rows: DataFrame, per_bucket: int = 50_000) -> DataFrame:
     return rows.withColumn("in_bucket", number).join(offsets.hint("merge"), ["shard", "b"]).withColumn("slot", (F.col("before") + F.col("in_bucket")).cast("long")).drop("b", "in_bucket", "before")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, split: float = SPLIT) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, split: float = SPLIT, target_bytes: int | None = None, dimensions: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, ``shards`` being a power of two.
 
+    With ``target_bytes`` there are as many shards as leaves of at most so many bytes need,
+    whatever ``shards`` says. ``dimensions`` names metadata columns that cells may be cut along.
+
     Law ``bytes``: the shards' sizes are near equal. Equal texts share a shard unless their
     group outweighs ``split`` of one. Null texts have size 1 and share a shard as the empty
     ones do; null doc_ids are rows like others; wholly equal rows have slots of their own;
@@ -156,6 +176,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, split: float = SPLIT) -> D
     levels = shards.bit_length() - 1
     if shards != 1 << levels:
         raise ValueError("shards has to be a power of two")
-    meta = stored(measured(docs), "kdtree-meta")
-    out = with_slots(stored(leaves(meta, levels, split).drop("d0", "d1", "d2"), "kdtree-leaves"))
+    meta = stored(measured(docs, dimensions), "kdtree-meta")
+    out = with_slots(stored(leaves(meta, levels, split, target_bytes).select("doc_id", "size", "text_crc32", "shard"), "kdtree-leaves"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -37,7 +37,7 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kdtree.shard_documents(table(spark, sf_dir, "documents"))
+    return kdtree.shard_documents(table(spark, sf_dir, "documents"), dimensions=("n_chars",))
 
 
 def op7_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:

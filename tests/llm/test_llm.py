@@ -79,6 +79,37 @@ def test_top_k(spark):
     assert vafile.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_top_k_in_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "QUERIES", 9)
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(700)] + [(1000 + i, [0.5] * 16) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for block in (50, 4096):
+        got = vafile.top_k(df, df.where("vec_id % 20 = 0"), 5, block)
+        assert sorted(map(tuple, got.collect())) == brute_top(rows, [i for i, _ in rows if i % 20 == 0], 5)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(1, [1e38, 1.0]), (2, [3e38, -1e38]), (3, [0.5, 2.0]), (4, [1e-30, 0.0]), (5, [-3e38, 0.0]), (6, [1e300, 1e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top, whole = (1 << 63) - 1, {i: [int(np.floor(256 * min(x, 1e150))) for x in v] for i, v in rows}
+    want = []
+    for q in whole:
+        s = sorted((-max(-top - 1, min(top, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i in whole if i != q)[:5]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    assert sorted(map(tuple, vafile.top_k(df, df).collect())) == want
+
+
+def test_cells_bound_scores():
+    r = np.random.default_rng(2)
+    for scale in (1.0, 300.0, 1e9):
+        v, q = np.floor(256 * scale * r.normal(size=(500, 32))), np.floor(256 * scale * r.normal(size=(40, 32)))
+        middle, reach = vafile.Approximation.of(v).bounds(q)
+        true = q @ v.T
+        assert (middle - reach[:, None] <= true).all() and (true <= middle + reach[:, None]).all()
+        assert (2 * reach < 0.1 * (true.max(1) - true.min(1))).all()  # the bounds tell vectors apart
+
+
 # --- op2
 
 
@@ -453,6 +484,21 @@ def test_shards_divide_only_heavy_groups(spark):
     assert sums.max() <= 1.3 * sums.mean()
 
 
+def test_leaves_reach_the_target_bytes(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, "word " * r.choice([1, 1, 2, 30, 200]) + str(r.randrange(500)), r.choice([None, 1, 2, 900])) for i in range(3000)] + [(9000, "same " * 4000, 7)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, year int")
+    for few in (64, 1):
+        monkeypatch.setattr(kdtree, "FEW", few)
+        out = kdtree.shard_documents(df, target_bytes=100_000, dimensions=("year",)).toPandas()
+        sums = out.groupby("shard")["size"].sum()
+        whole = out["size"].sum()
+        lone = set(out[out["size"] > 20_000].shard)
+        assert len(out) == len(rows) and sorted(sums.index) == list(range(len(sums)))
+        assert all(n <= 100_000 for s, n in sums.items() if s not in lone) and whole / 100_000 <= len(sums) <= 1.6 * whole / 100_000
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 # --- op7 and op10
 
 
