@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reachable
@@ -21,7 +20,7 @@ def op1_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lshforest.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return lshforest.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80).drop("text_hash")
 
 
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +28,7 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload", "n_segments")
 
 
 def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +48,8 @@ def op8_ordinal_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_finite_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return fst_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -74,6 +75,65 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: Words, with A-Z in lower case.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+OP2_SQL = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+k AS MATERIALIZED (SELECT min(doc_id) AS rep, list(doc_id) AS docs, any_value(n) AS n, any_value(sorted) AS sorted FROM (SELECT doc_id, len(s) AS n, list_sort(s) AS sorted FROM s WHERE len(s) > 0) GROUP BY sorted),
+x AS MATERIALIZED (SELECT rep, n, unnest(sorted) AS x FROM k),
+b AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM b WHERE 100 * common >= 80 * (na + nb - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, label) AS (SELECT rep, rep FROM k UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY node),
+d AS (SELECT unnest(docs) AS doc_id, rep FROM k)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.label, n.doc_id) AS component_id, n.doc_id = coalesce(c.label, n.doc_id) AS kept
+FROM n LEFT JOIN d ON d.doc_id = n.doc_id LEFT JOIN c ON c.node = d.rep
+"""
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+h AS (SELECT page_id, octet_length(raw) AS n, sha1(raw) AS h, max(page_id) OVER (PARTITION BY raw) AS keeper FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS g FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(g, lambda v: array_to_string(list_transform([32768, 1024, 32, 1], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v // s % 32 + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM g
+"""
+
+OP7_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS i FROM h),
+m AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM p),
+o AS (SELECT m FROM m GROUP BY m HAVING count(*) > 1),
+f AS (SELECT DISTINCT doc_id, i FROM m WHERE m IN (SELECT m FROM o)),
+j AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM f),
+t AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS t FROM j),
+r AS (SELECT doc_id, t, min(i) AS low, max(i) + 200 AS high FROM t GROUP BY doc_id, t),
+q AS (SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS before FROM r),
+k AS (SELECT q.doc_id, sum(high - low) AS removed, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept, max(high) AS last FROM q JOIN h ON h.doc_id = q.doc_id GROUP BY q.doc_id)
+SELECT h.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+m AS MATERIALIZED (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN md5(array_to_string(w[i:i + 19], ' ')) END AS m FROM p),
+f AS (SELECT m, min({'d': doc_id, 'i': i}) AS first FROM m WHERE m IS NOT NULL GROUP BY m),
+g AS (SELECT a.doc_id, a.i, a.word, CASE WHEN f.first IS NOT NULL AND {'d': a.doc_id, 'i': a.i} > f.first THEN 1 ELSE 0 END AS late FROM m a LEFT JOIN f ON f.m = a.m),
+c AS (SELECT *, max(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM g),
+s AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS new FROM c),
+t AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, sum(new) AS spans, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another."""
     import corpus_pipeline
@@ -98,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file": OP1_SQL}
+    return {"op1_va_file": OP1_SQL, "op2_lsh_forest": OP2_SQL, "op4_warc_round_trip": OP4_SQL, "op7_interval_expansion": OP7_SQL, "op10_matching_statistics": OP10_SQL}

@@ -677,6 +677,21 @@ def test_queries_have_their_columns(spark, sf):
             assert set(want.get(name.split("_")[0], [])) <= set(f(spark, sf).columns), name
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.queries()[name](spark, sf)
+    r = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in r.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect()), key=repr) == sorted(r.fetchall(), key=repr)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 
