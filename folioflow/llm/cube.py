@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import parts, stored
+from ._store import fresh, parts, stored
 
 BLOCK = 4096
 LANDING = 12
 MOST = 3
 EPS = 1e-9
 NULL_ID = -(1 << 63)
-SMALL = 100_000  # rows of the table of sources up to which it is broadcast
+SMALL = 100_000  # rows of the table of sources up to which it is broadcast; beyond that the same join shuffles, with the same result
 ROW = "source string, doc long, salt long, size long, p double, taken long"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -195,15 +195,25 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs``, all columns, each row as often as the mix takes it; rows without words stay once. Rows equal in doc_id, source and text share what is taken of them evenly."""
+    """``docs``, all columns, each row as often as the mix takes it; rows without words stay once.
+
+    Rows equal in doc_id, source and text share what is taken of them evenly. Those that are
+    equal in all columns are counted first, so such a group is no one task's; the columns of
+    rows that share a doc_id, source and text have to be of types that Spark can group by.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.coalesce("source", F.lit("\0")), F.xxhash64(F.coalesce("text", F.lit("")))
-    drawn = mix(docs, block).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.coalesce("source", F.lit("\0")).alias("_source"), F.col("salt").alias("_salt"), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("long").alias("_copies"))
-    drawn = stored(drawn.groupBy("_doc", "_source", "_salt").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows")), "cube-drawn")
-    same = (key[0] == F.col("_doc")) & (key[1] == F.col("_source")) & (key[2] == F.col("_salt"))
-    rows = docs.join(drawn.where("_copies > 0"), same)
-    one = rows.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    if drawn.where("_rows > 1").head(1):
-        rank = F.row_number().over(Window.partitionBy("_doc", "_source", "_salt").orderBy("_doc"))
-        several = rows.where("_rows > 1").withColumn("_k", rank).withColumn("_n", F.call_function("div", F.col("_copies") + F.col("_rows") - F.col("_k"), F.col("_rows"))).drop("_k")
-        one = one.unionByName(several.where("_n > 0"))
-    return one.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, source, salt, copies, alike, n, before = names = fresh(docs, "mix_doc", "mix_source", "mix_salt", "mix_copies", "mix_rows", "mix_n", "mix_before")
+    drawn = mix(docs, block).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(doc), F.coalesce("source", F.lit("\0")).alias(source), F.col("salt").alias(salt), F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("long").alias(copies))
+    drawn = stored(drawn.groupBy(doc, source, salt).agg(F.sum(copies).alias(copies), F.count("*").alias(alike)), "cube-drawn")
+    same = (key[0] == F.col(doc)) & (key[1] == F.col(source)) & (key[2] == F.col(salt))
+    rows = docs.join(drawn.where(F.col(copies) > 0), same)
+    out = rows.where(F.col(alike) == 1).withColumn(n, F.col(copies))
+    if drawn.where(F.col(alike) > 1).head(1):
+        own = [f"`{c}`" for c in docs.columns]
+        kinds = rows.where(F.col(alike) > 1).groupBy(*own, *names[:5]).agg(F.count("*").alias(n))
+        kinds = kinds.withColumn(before, F.coalesce(F.sum(n).over(Window.partitionBy(doc, source, salt).orderBy(F.xxhash64(*own)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # The first (copies mod rows) rows get one copy more than the others.
+        even, more = F.call_function("div", F.col(copies), F.col(alike)), F.col(copies) % F.col(alike)
+        kinds = kinds.withColumn(n, F.col(n) * even + F.least(F.col(n), F.greatest(F.lit(0), more - F.col(before)))).drop(before)
+        out = out.unionByName(kinds.where(F.col(n) > 0))
+    return out.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import parts, stored
 
 BUCKETS = 1024
 SPLIT = 0.05
@@ -150,16 +150,22 @@ def _divided(rows: DataFrame, cell: int, cut: _Cut) -> Column:
     return (F.col("d1") < F.lit(cut.low)) | mine & (F.col("d2") < F.lit(inner[cell].at))
 
 
-def with_slots(rows: DataFrame, per_bucket: int = 50_000) -> DataFrame:
-    """Adds ``slot``: 0, 1, ... in each shard, by hash buckets of doc_id whose counts are summed up first, so that no shard is numbered in one task."""
-    n = rows.count()
-    buckets = max(8, -(-n // per_bucket))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), "text_crc32"), F.lit(buckets)).cast("int"))
-    sizes = rows.groupBy("shard", "b").count()
-    before = F.sum("count").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("shard", "b", F.coalesce(before, F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy("shard", "b").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("in_bucket", number).join(offsets.hint("merge"), ["shard", "b"]).withColumn("slot", (F.col("before") + F.col("in_bucket")).cast("long")).drop("b", "in_bucket", "before")
+def with_slots(rows: DataFrame, per_bucket: int = 50_000, piece: int = 50_000) -> DataFrame:
+    """Adds ``slot``: 0, 1, ... in each shard. Equal rows (doc_id, text_crc32, size) are counted first and numbered together, different ones inside hash buckets whose counts are summed up, so neither a shard nor a group of equal rows is numbered in one task."""
+    keys = ["shard", "doc_id", "text_crc32", "size"]
+    groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")), "kdtree-groups")
+    total, most = groups.agg(F.count("*"), F.max("n")).first()
+    bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), "text_crc32"), F.lit(max(8, -(-total // per_bucket)))).cast("int")
+    groups = groups.withColumn("b", bucket)
+    before = F.sum("m").over(Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = groups.groupBy("shard", "b").agg(F.sum("n").alias("m")).select("shard", "b", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("shard", "b").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1))
+    out = groups.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets.hint("merge"), ["shard", "b"]).withColumn("first", F.col("before") + F.col("inside"))
+    zero = F.lit(0).cast("long")
+    if (most or 0) > piece:  # large groups are dealt out in pieces before their rows are listed
+        out = out.withColumn("skip", F.explode(F.sequence(zero, F.col("n") - 1, F.lit(piece).cast("long"))))
+        out = out.withColumn("first", F.col("first") + F.col("skip")).withColumn("n", F.least(F.lit(piece), F.col("n") - F.col("skip"))).repartition(parts(rows.sparkSession), "shard", "first")
+    return out.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).select(*rows.columns, "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, split: float = SPLIT, target_bytes: int | None = None, dimensions: tuple[str, ...] = ()) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._anchors import runs
-from ._store import drop_paths, parts, stored
+from ._store import drop_paths, fresh, parts, stored
 from .components import components, labels
 
 HASHES = 96
@@ -558,12 +558,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, exact: bo
 
 def without_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one document of each component: that of the least doc_id. Of rows equal in doc_id and text one stays."""
-    id_, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64("text")
-    found = stored(near_duplicates(docs, size, percent).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("text_hash").alias("_hash"), "kept"), "forest-kept")
-    gone = found.where("not kept").select("_doc", "_hash").distinct()
-    rows = docs.join(gone, (id_ == F.col("_doc")) & (text_hash == F.col("_hash")), "left_anti")
-    twice = stored(found.where("kept").groupBy("_doc", "_hash").count().where("count > 1").select("_doc", "_hash"), "forest-twice")
+    doc, text_hash = fresh(docs, "forest_doc", "forest_hash")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(doc)) & (F.xxhash64("text") == F.col(text_hash))
+    found = stored(near_duplicates(docs, size, percent).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(doc), F.col("text_hash").alias(text_hash), "kept"), "forest-kept")
+    gone = found.where("not kept").select(doc, text_hash).distinct()
+    rows = docs.join(gone, same, "left_anti")
+    twice = stored(found.where("kept").groupBy(doc, text_hash).count().where("count > 1").select(doc, text_hash), "forest-twice")
     if not twice.head(1):
         return rows
-    same = (id_ == F.col("_doc")) & (text_hash == F.col("_hash"))
     return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

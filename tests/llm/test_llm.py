@@ -454,6 +454,17 @@ def test_mixed_repeats_rows(spark):
     assert got == Counter({i: n for i, n in want.items() if n})
 
 
+def test_mixed_of_many_equal_rows(spark):
+    rows = [(None, "a b c", "s", 1)] * 400 + [(None, "a b c", "s", 2)] * 100 + [(i, f"w{i} x", "t", 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_n int")
+    drawn, out = cube.mix(df).toPandas(), cube.mixed(df)
+    assert out.columns == df.columns
+    want = int(drawn[drawn.source == "s"].taken.sum()) // 3
+    got = Counter((r.text, r.mix_n) for r in out.collect())
+    one, two = got["a b c", 1], got["a b c", 2]
+    assert one + two == want and abs(one - 0.8 * want) < 100 and 0 <= two - 100 * (want // 500) <= 100
+
+
 def test_flight_keeps_totals():
     r = random.Random(1)
     p, size = [r.random() for _ in range(500)], [r.randint(0, 90) for _ in range(500)]
@@ -484,6 +495,13 @@ def test_shards_divide_only_heavy_groups(spark):
     assert sums.max() <= 1.3 * sums.mean()
 
 
+def test_slots_of_many_equal_rows(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 0, 1).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "x").otherwise("yy").alias("text"))
+    meta = kdtree.measured(rows).withColumn("shard", (F.col("size") % 2).cast("int")).select("doc_id", "size", "text_crc32", "shard")
+    out = kdtree.with_slots(meta, piece=100).toPandas()
+    assert len(out) == 3000 and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 def test_leaves_reach_the_target_bytes(spark, monkeypatch):
     r = random.Random(9)
     rows = [(i, "word " * r.choice([1, 1, 2, 30, 200]) + str(r.randrange(500)), r.choice([None, 1, 2, 900])) for i in range(3000)] + [(9000, "same " * 4000, 7)] * 3
@@ -677,6 +695,45 @@ def test_queries_have_their_columns(spark, sf):
             assert set(want.get(name.split("_")[0], [])) <= set(f(spark, sf).columns), name
 
 
+def test_stages_by_brute_force(spark, tmp_path):
+    """Each stage of the pipeline on hand-made documents with nulls, ties, repeated rows, empty texts and clashing columns."""
+    import corpus_pipeline as P
+
+    r = random.Random(21)
+    item = " ".join(f"bench{i}" for i in range(25))
+    plain = [" ".join(f"w{r.randrange(3000)}" for _ in range(40)) for _ in range(60)]
+    rows = [(i, t, "abc"[i % 3], i % 2) for i, t in enumerate(plain)]
+    rows += [(100, plain[0], "a", 0), (101, plain[1].replace(plain[1].split()[-1], "other"), None, 1), (102, f"so {item} it goes", "b", 0), (None, plain[2], "c", 1), (None, None, None, None), (103, "", "a", 0), (104, " \n", "a", 0), (7, plain[7], "b", 1), (105, "one two", "a", 0), (105, "three", "a", 0)]
+    schema = "doc_id long, text string, source string, tag int"
+    docs_ = spark.createDataFrame(rows, schema)
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, item), (2, None), (None, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    a = P.toxicity(spark, docs_, sf)
+    assert as_rows(a) == sorted(rows, key=str)  # without labels nothing is toxic
+    b = as_rows(P.near_dedup(spark, docs_, sf))
+    named = [(i if i is not None else 10**9 + n, t) for n, (i, t, _, _) in enumerate(rows)]
+    groups = brute_groups([(f"{i:012d}-{n}", t) for n, (i, t) in enumerate(named)], 5)
+    keep, seen = [], set()
+    for n, ((i, t), row) in enumerate(zip(named, rows)):
+        me = f"{i:012d}-{n}"
+        if (groups[me][1] == me or not groups[me][0]) and (row[0], row[1]) not in seen:
+            keep.append(row)
+            seen.add((row[0], row[1]))
+    assert b == sorted(keep, key=str)
+    c = as_rows(P.decontamination(spark, docs_, sf))
+    assert c == sorted((x for x in rows if item not in (x[1] or "")), key=str)
+    m = P.mixing(spark, docs_, sf)
+    assert m.columns == docs_.columns and set(m.collect()) <= set(docs_.collect())
+    s = P.sharding(spark, docs_, sf).toPandas()
+    assert sorted(zip(s["size"], s.text_crc32)) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _, _ in rows)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in s.groupby("shard"))
+    none = spark.createDataFrame([], schema)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     import duckdb
