@@ -275,18 +275,6 @@ def intentional_filter(spark, d):
     return _described(spark, d).select("id", T.intentional(F.col("t")).alias("keep"))
 
 
-@query(
-    ", x AS (SELECT id, title, class, CASE WHEN regexp_matches(title, '^[A-Z][a-z]+ ') THEN split_part(title, ' ', 1) END AS a, CASE class WHEN 'de' THEN 'Kapitel' WHEN 'fr' THEN 'Chapitre' END AS b FROM v_docs) SELECT id, coalesce(CASE WHEN length(a) >= 6 THEN a END, b, 'Chapter ' || CAST(id % 20 AS VARCHAR)) AS name, CASE WHEN length(a) >= 6 THEN 'header' WHEN b IS NOT NULL THEN 'known' ELSE 'heuristic' END AS method FROM x",
-    "v_docs",
-)
-def identify_cascade(spark, d):
-    """Strategies in order (header, known map, number), the first that finds a name wins and is told."""
-    a = F.when(F.col("title").rlike("^[A-Z][a-z]+ "), F.split_part("title", F.lit(" "), F.lit(1)))
-    strategies = [("header", F.when(F.length(a) >= 6, a)), ("known", F.when(F.col("class") == "de", "Kapitel").when(F.col("class") == "fr", "Chapitre")), ("heuristic", F.concat(F.lit("Chapter "), (F.col("id") % 20).cast("string")))]
-    name, method = votes.cascade(strategies)
-    return v_docs(spark, d).select("id", name.alias("name"), method.alias("method"))
-
-
 @query(GARBLED.replace(") SELECT id, CASE", "), g AS (SELECT id, CASE") + ") SELECT d.id, CASE WHEN g.garbled THEN 'ocr' ELSE 'text' END AS method, CAST(length(raw_text) + CASE WHEN g.garbled THEN 4 ELSE 0 END AS INTEGER) AS n FROM g JOIN v_docs d ON d.id = g.id", "v_docs")
 def extract_cascade(spark, d):
     """The text layer where it is sound; only the others are read again."""
@@ -302,11 +290,53 @@ def title_extract(spark, d):
     return S.title_by_patterns(v_docs(spark, d), "raw_text").select("id", "title", "pattern")
 
 
-@query(None)
+LINES = "list_filter(list_transform(str_split(raw_text, chr(10)), lambda x: " + STRIP.format("x") + "), lambda x: x <> '')"
+REJECTED, DETECTED, GOING = (p.replace("'", "''") for p in (S.REJECT, S.DETECT, S.GOES_ON))
+HEURISTIC = (
+    f", l AS (SELECT id, {LINES} AS l FROM v_docs), a AS (SELECT id, l, coalesce(list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '{REJECTED}') AND regexp_matches(l[i], '{DETECTED}') AND length(l[i]) > 10 AND length(l[i]) < 100)[1], 0) AS k FROM l), "
+    f"g AS (SELECT id, l, k, coalesce(list_filter(range(k + 1, least(k + 3, len(l)) + 1), lambda i: regexp_matches(l[i], '{REJECTED}') OR length(l[i]) > 80 OR (ends_with(l[i], '.') AND length(l[i]) > 30) OR NOT regexp_matches(l[i], '{GOING}'))[1], least(k + 3, len(l)) + 1) AS stop FROM a), "
+    "t AS (SELECT id, CASE WHEN k > 0 THEN regexp_replace(" + STRIP.format("regexp_replace(array_to_string(l[k:stop - 1], ' '), '\\s+', ' ', 'g')") + ", '[.,;: ]+$', '') END AS title FROM g)"
+)
+
+
+@query(HEURISTIC + " SELECT id, title FROM t", "v_docs")
 def title_heuristic(spark, d):
     return S.heuristic_titles(v_docs(spark, d).select("id", "raw_text")).select("id", "title")
 
 
+#: A curated map: codes, chapters and names.
+KNOWN = [("iesc", 4, "Describing Motion"), ("iesc", 8, "Journey Inside the Atom"), ("jess", 1, "Power Sharing"), ("jess", 2, "Federalism"), ("iesc", 12, "Improvement in Food Resources")]
+LOW = "regexp_replace(lower(" + STRIP.format("regexp_replace({c}, '\\s+([:;,])', '\\1', 'g')") + "), '\\s+', ' ', 'g')"
+IDENTIFY = (
+    HEURISTIC + ", x AS (SELECT id, t, regexp_replace(t, '\\s+', ' ', 'g') AS x FROM v_headers), y AS (SELECT id, x, regexp_replace(regexp_replace(x, '^\\s*\\d+\\s*[|\\-–—•]?\\s*', ''), '\\s*[|\\-–—•]?\\s*\\d+\\s*$', '') AS y FROM x), "
+    "h AS (SELECT id, CASE WHEN length(x) < 6 OR length(y) < 6 OR regexp_matches(y, '\\d{4}\\s*-\\s*\\d{2}$') OR contains(y, 'Reprint') THEN NULL ELSE regexp_replace(y, '[.,;:]+$', '') END AS h FROM y), "
+    "w AS (SELECT id, h, " + LOW.format(c="h") + " AS low, regexp_replace(" + STRIP.format("h") + ", '[:;, ]+$', '') AS n FROM h), v AS (SELECT *, regexp_replace(low, '\\s+', '', 'g') AS tight FROM w), "
+    "header AS (SELECT id, CASE WHEN length(n) >= 4 AND NOT regexp_matches(n, '(?i)^Chapter\\s+\\d+$') AND NOT regexp_matches(n, '^\\d+$') AND lower(n) NOT IN ('" + "', '".join(T.SUBJECTS) + "') AND NOT (length(low) >= 10 AND (" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in T.PAGE_HEADERS for c in ("low", "tight")) + ")) "
+    "AND NOT (regexp_matches(low, '" + T.BOOKS + "') OR regexp_matches(tight, '" + T.BOOKS + "') OR " + " OR ".join(f"contains(tight, '{k}')" for k in T.SERIES) + ") AND NOT (" + " OR ".join("starts_with(tight, '" + k.replace("'", "''") + "')" for k in T.CALLOUTS) + ") "
+    "AND NOT (length(regexp_replace(low, '[^a-z]', '', 'g')) >= 6 AND (regexp_matches(low, '[{}\\[\\]+`\"''=@#$%^*<>~\\\\/|]') OR regexp_matches(h, '\\b[a-z]+[A-Z][a-z]+\\b'))) THEN h END AS header FROM v), "
+    "s AS (SELECT id, regexp_replace(str_split(path, '/')[-1], '\\.[^.]*$', '') AS stem FROM v_paths), r AS (SELECT *, trim(translate(regexp_replace(stem, '^[a-z]{2,4}_ch\\d+', ''), '_-', '  ')) AS rest, TRY_CAST(nullif(regexp_extract(stem, '(?i)ch(\\d+)', 1), '') AS INTEGER) AS chapter FROM s), "
+    "f AS (SELECT id, " + "coalesce(" + ", ".join(f"CASE WHEN starts_with(stem, '{k}_') AND chapter = {n} THEN '{t}' END" for k, n, t in KNOWN) + ") AS known, CASE WHEN rest = '' THEN 'Chapter ' || coalesce(CAST(chapter AS VARCHAR), '') ELSE array_to_string(list_transform(str_split(lower(rest), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS file FROM r), "
+    "p AS (SELECT id, " + STRIP.format("m[i]") + " AS pattern FROM (SELECT id, m, list_filter(range(1, " + str(len(S.TITLE_PATTERNS) + 1) + "), lambda i: m[i] IS NOT NULL)[1] AS i FROM (SELECT id, [" + ", ".join(f"nullif(regexp_extract(head, '{q}', {g}), '')" for _, q, g in S.TITLE_PATTERNS) + "] AS m FROM (SELECT id, array_to_string(str_split(raw_text, chr(10))[1:12], chr(10)) AS head FROM v_docs))))"
+)
+
+
+@query(
+    IDENTIFY + " SELECT id, coalesce(header, known, pattern, t.title, file) AS name, CASE WHEN header IS NOT NULL THEN 'header' WHEN known IS NOT NULL THEN 'known' WHEN pattern IS NOT NULL THEN 'pattern' WHEN t.title IS NOT NULL THEN 'heuristic' ELSE 'file' END AS method FROM header JOIN f USING (id) JOIN p USING (id) JOIN t USING (id)",
+    "v_docs", "v_headers", "v_paths",
+)
+def identify_cascade(spark, d):
+    """Names by strategies in order: running header, curated map, title patterns, heuristic line, file name; the first that finds one wins and is told."""
+    h = T.header_cleanup(F.col("t"))
+    sound = T.name_ok(h) & ~T.is_page_header(h) & ~T.is_book_header(h) & ~T.is_callout(h) & ~T.is_garbled_title(h)
+    stem, chapter, _ = T.path_parts(F.col("path"))
+    known = F.coalesce(*[F.when(F.startswith(stem, F.lit(f"{k}_")) & (chapter == n), t) for k, n, t in KNOWN])
+    x = S.title_by_patterns(v_docs(spark, d).select("id", "raw_text"), "raw_text").withColumnRenamed("title", "by_pattern")
+    x = x.join(v_headers(spark, d), "id").join(v_paths(spark, d), "id")
+    strategies = [("header", F.when(sound, h)), ("known", known), ("pattern", F.col("by_pattern")), ("heuristic", S.heuristic_title(F.col("raw_text"))), ("file", T.title_from_path(F.col("path")))]
+    name, method = votes.cascade(strategies)
+    return x.select("id", name.alias("name"), method.alias("method"))
+
+
 NAMED = "upper(left({w}, 1)) || lower(substr({w}, 2))"
 KEYWORDS = (
     ", w AS (SELECT video_id, version_no, regexp_extract_all(regexp_replace(text, '\\[[A-Z ]+\\]\\s*', '', 'g'), '[A-Za-z]+') AS w FROM v_versions), h AS (SELECT *, list_filter(w, lambda x: lower(x) NOT IN ('" + "', '".join(S.STOPWORDS) + "')) AS h FROM w), "
@@ -322,10 +352,12 @@ def top_keywords(spark, d):
 
 @query(None)
 def spell_split(spark, d):
-    """Words that were run together, cut by a dictionary of the corpus's commonest short words."""
-    return S.spell_split(v_docs(spark, d).select("id", "raw_text"), S.COMMON)
+    """Words that were run together, cut by a dictionary of the corpus's commonest words."""
+    x = v_docs(spark, d).select("id", "raw_text")
+    return S.spell_split(x, S.dictionary(x))
 
 
 @query(None)
 def spell_join(spark, d):
-    return S.spell_join(v_docs(spark, d).select("id", "raw_text"), S.COMMON)
+    x = v_docs(spark, d).select("id", "raw_text")
+    return S.spell_join(x, S.dictionary(x))
