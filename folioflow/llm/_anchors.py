@@ -104,7 +104,7 @@ def repeated(texts: DataFrame, unit: Unit, name: str) -> DataFrame:
     found = stored(anchors(texts, unit), f"{name}-anchors")
     twice = stored(found.groupBy("h").count().where("count > 1").select("h"), f"{name}-twice")  # stored, so that the join has shuffles of its own, which Spark can split
     out = stored(found.join(twice.hint("merge"), "h"), f"{name}-repeated")
-    drop_paths(texts.sparkSession, found, twice)
+    drop_paths(texts.sparkSession, found, twice)  # at once; they are the largest tables here
     return out
 
 

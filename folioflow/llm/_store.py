@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,21 +30,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folioflow-{uuid.uuid4().hex}-{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again, so that lost executors cost no recomputation of what came before."""
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those stored with ``keep``; what uses the others has to be stored by then."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            _delete(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again, so that lost executors cost no recomputation of what came before. ``keep``: it outlives the innermost ``scratch``."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    scopes = _open.__dict__.get("scopes", [])
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_paths(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more; whatever was made of them has to be stored itself."""
     for frame in frames:
-        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, frame.stored_at)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._anchors import by_document, cascade, collapse, unpack
+from ._store import scratch, stored
 
 GRAMS = (8, 14, 18)
 SHARD = 8192
@@ -182,7 +183,8 @@ def dedup_words(docs: DataFrame, length: int = 20, grams: tuple[int, ...] = GRAM
     input. See the module's docstring for nulls, empty texts and repeated rows.
     """
     rows, texts = collapse(docs, "words")
-    marks = duplicate_marks(texts, length, grams, shard)
+    with scratch(docs.sparkSession):
+        marks = stored(duplicate_marks(texts, length, grams, shard), "words-covered", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

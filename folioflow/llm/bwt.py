@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._anchors import by_document, cascade, collapse, unpack
+from ._store import scratch, stored
 
 GRAMS = (100, 160, 190)
 SHARD = 8192
@@ -160,7 +161,8 @@ def dedup_bytes(docs: DataFrame, length: int = 200, grams: tuple[int, ...] = GRA
     for nulls, empty texts and repeated rows.
     """
     rows, texts = collapse(docs, "bytes")
-    marks = duplicate_marks(texts, length, grams, shard)
+    with scratch(docs.sparkSession):
+        marks = stored(duplicate_marks(texts, length, grams, shard), "bytes-covered", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

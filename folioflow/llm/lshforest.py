@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._anchors import runs
-from ._store import drop_paths, fresh, parts, stored
+from ._store import fresh, parts, scratch, stored
 from .components import components, labels
 
 HASHES = 96
@@ -448,7 +448,6 @@ def prefix_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
     hubs = stored(keys.groupBy("c", "key", "band").agg(F.min(F.when(F.col("first"), F.col("node"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1").drop("n"), "forest-hubs")
     edges = keys.join(hubs.hint("merge"), ["c", "key", "band"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     out = stored(components(edges, "forest-divided"), "forest-divided")
-    drop_paths(spark, keys, hubs)
     rarity.unpersist()
     return out
 
@@ -505,7 +504,9 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: b
     if exact:
         groups = classes.select(F.col("rep").alias("node"), F.lit(0).cast("long").alias("c"), F.lit(2).cast("long").alias("blocks"))
     else:
-        groups = _blocks(stored(components(candidate_edges(classes, percent / 100), "forest"), "forest-groups").withColumnRenamed("label", "c"))
+        with scratch(docs.sparkSession):
+            groups = stored(components(candidate_edges(classes, percent / 100), "forest"), "forest-groups", keep=True)
+        groups = _blocks(groups.withColumnRenamed("label", "c"))
     # A class's text is that of its least row.
     members = groups.join(classes.select(F.col("rep").alias("node"), "doc", "text_hash"), "node")
     texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pressed, "doc long, text_hash long, z binary")
@@ -547,7 +548,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, exact: bo
     sketch = stored(sketches(docs, size), "forest-sketches")
     classes = sketch.where("n > 0").groupBy("digest", "rep").agg(F.min(F.struct("doc", "text_hash")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.select("digest", "rep", "r.doc", "r.text_hash", "n", "sig"), "forest-classes")
-    joined = stored(components(links(docs, classes, size, percent, exact), "links").select(F.col("node").alias("rep"), "label").join(classes.select("rep", "doc"), "rep"), "forest-joined")
+    with scratch(docs.sparkSession):
+        joined = components(links(docs, classes, size, percent, exact), "links").select(F.col("node").alias("rep"), "label")
+        joined = stored(joined.join(classes.select("rep", "doc"), "rep"), "forest-joined", keep=True)
     least = stored(joined.groupBy("label").agg(F.min("doc").alias("least")), "forest-least")
     joined = joined.join(least, "label").select("rep", "least")
     reps = classes.select("digest", "rep", "doc").join(joined, "rep", "left").select("digest", F.coalesce("least", "doc").alias("component"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import stored
+from ._store import scratch, stored
 
 FIT_ROWS = 20_000
 BUCKETS = 1 << 20
@@ -102,6 +102,11 @@ def train(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int,
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from ``labels`` (doc_id, toxic), looking at about ``rows`` labelled documents at most. Without toxic labels it finds nothing toxic."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, rows)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, rows / max(1, labels.count()))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))

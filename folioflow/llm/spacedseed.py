@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import fresh, stored
+from ._store import fresh, scratch, stored
 from .ordinal import BREAKS
 
 SPAN = 10
@@ -191,7 +191,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
                 )
 
     rows = docs.select(doc.alias("doc"), tag.alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = stored(rows.mapInArrow(scan, "doc long, tag long, doc_id long, n_tokens long, h array<long>, at array<long>"), "seeds-scanned")
+    scanned = stored(rows.mapInArrow(scan, "doc long, tag long, doc_id long, n_tokens long, h array<long>, at array<long>"), "seeds-scanned", keep=True)
     hits = scanned.where(F.size("h") > 0).select("doc", "tag", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc", "tag", "x.h", "x.at")
     hits = hits.join(found.select("h", "item_id", "itag", "place").hint("merge"), "h").select("doc", "tag", "item_id", "itag", (F.col("at") - F.col("place")).alias("shift"))
     pairs = stored(hits.groupBy("doc", "tag", "item_id", "itag").agg(F.collect_set("shift").alias("shifts")), "seeds-pairs")  # no more shifts than the two have tokens
@@ -215,7 +215,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     wanted = pairs.select("doc", "tag").distinct()
     texts = rows.select("doc", "tag", "text").join(wanted, ["doc", "tag"], "left_semi").groupBy("doc", "tag").agg(F.first("text").alias("text"))
     checked = pairs.join(items, ["item_id", "itag"]).join(texts, ["doc", "tag"]).select("doc", "tag", "item_id", "shifts", "words", "text")
-    return scanned.select("doc", "tag", "doc_id", "n_tokens"), stored(checked.mapInArrow(verify, "doc long, tag long, item_id long, low long, high long, matches long"), "seeds-verified")
+    return scanned.select("doc", "tag", "doc_id", "n_tokens"), stored(checked.mapInArrow(verify, "doc long, tag long, item_id long, low long, high long, matches long"), "seeds-verified", keep=True)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -225,7 +225,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing; items of one id are one item; repeated rows are judged each; empty tables give
     no rows or no matches.
     """
-    scanned, verified = _verified(docs, benchmark)
+    with scratch(docs.sparkSession):
+        scanned, verified = _verified(docs, benchmark)
     by = verified.groupBy("doc", "tag").agg(F.array_sort(F.collect_set(F.struct("item_id", "low", "high", "matches"))).alias("overlaps"))
     out = scanned.join(by, ["doc", "tag"], "left").withColumn("overlaps", F.coalesce("overlaps", F.expr("cast(array() as array<struct<item_id: long, low: long, high: long, matches: long>>)")))
     zero = F.lit(0).cast("long")
@@ -237,7 +238,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the rows that ``contamination`` finds an item in."""
-    _, verified = _verified(docs, benchmark)
+    with scratch(docs.sparkSession):
+        _, verified = _verified(docs, benchmark)
     a, b = fresh(docs, "doc", "tag")
     doc, tag = _named(docs)
     gone = verified.select(F.col("doc").alias(a), F.col("tag").alias(b)).distinct()
