@@ -121,11 +121,12 @@ def cluster_page(rows: list[tuple], gap: float = 8) -> list[list]:
 def nearest_page(anchors: list[tuple], regions: list[tuple], most: float = 425) -> list[int | None]:
     """For each anchor (largest first) the nearest centre not used yet, if near enough."""
     mid = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    centres = [mid(r) for r in regions]
     used: set[int] = set()
     out: dict[int, int | None] = {}
     for i in sorted(range(len(anchors)), key=lambda i: (-(anchors[i][2] - anchors[i][0]) * (anchors[i][3] - anchors[i][1]), i)):
-        far = sorted((math.dist(mid(anchors[i]), mid(r)), j) for j, r in enumerate(regions) if j not in used)
-        out[i] = far[0][1] if far and far[0][0] <= most else None
+        near = min(((math.dist(mid(anchors[i]), centre), j) for j, centre in enumerate(centres) if j not in used), default=(math.inf, None))
+        out[i] = near[1] if near[0] <= most else None
         if out[i] is not None:
             used.add(out[i])
     return [out[i] for i in range(len(anchors))]

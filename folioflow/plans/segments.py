@@ -81,7 +81,15 @@ def chunk_chars(spark, d):
     return v_docs(spark, d).select("id", F.posexplode(S.chunk_chars(F.col("raw_text"))).alias("pos", "chunk"))
 
 
-@query(None)
+OVERLAP = (
+    ", t AS (SELECT video_id, string_agg(text, chr(10) || chr(10) ORDER BY version_no, text) AS t FROM v_versions GROUP BY video_id), p AS (SELECT video_id, t, list_filter(list_transform(regexp_split_to_array(t, '\\n\\n+'), lambda x: " + STRIP.format("x") + "), lambda x: x <> '') AS p FROM t), "
+    "s AS (SELECT *, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x) + 2)), 0)) AS s FROM p), "
+    # Chunks [lo, hi) one after another: hi is the furthest that the size allows, the next lo the last that leaves enough to overlap.
+    "r AS (SELECT video_id, 0 AS n, 0::BIGINT AS lo, greatest(1, len(list_filter(s, lambda x: x <= 1502)) - 1)::BIGINT AS hi FROM s WHERE len(p) > 0 UNION ALL SELECT video_id, n + 1, lo, greatest(hi + 1, len(list_filter(s, lambda x: x <= s[lo + 1] + 1502)) - 1)::BIGINT FROM (SELECT r.video_id, n, s, hi, greatest(lo, coalesce(list_max(list_filter(range(lo, hi), lambda k: s[hi + 1] - s[k + 1] >= 300)), lo)) AS lo FROM r JOIN s ON s.video_id = r.video_id WHERE hi < len(p)))"
+)
+
+
+@query(OVERLAP + " SELECT r.video_id, n AS pos, array_to_string(p[lo + 1:hi], chr(10) || chr(10)) AS chunk FROM r JOIN s ON s.video_id = r.video_id UNION ALL SELECT video_id, 0, t FROM s WHERE len(p) = 0", "v_versions")
 def chunk_overlap(spark, d):
     """Conversations as paragraphs, in overlapping chunks."""
     v = v_versions(spark, d).groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version_no", "text"))), lambda x: x["text"]), "\n\n").alias("t"))

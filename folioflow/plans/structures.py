@@ -168,7 +168,12 @@ def color_luma(spark, d):
     return x.select("id", F.round(luma, 3).alias("luma"), (luma > 128).alias("light"))
 
 
-@query(None)
+@query(
+    ", g AS (SELECT doc, page, list({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'grp': grp, 'seq': seq} ORDER BY y0, x0, grp, seq, x1, y1) AS b FROM v_boxes GROUP BY doc, page), "
+    "k AS (SELECT doc, page, b, list_reduce(list_transform(range(1, len(b) + 1), lambda i: [i]), lambda a, x: CASE WHEN len(list_filter(a, lambda j: greatest(0, least(b[x[1]].x1, b[j].x1) - greatest(b[x[1]].x0, b[j].x0)) * greatest(0, least(b[x[1]].y1, b[j].y1) - greatest(b[x[1]].y0, b[j].y0)) / greatest(1e-9, (b[x[1]].x1 - b[x[1]].x0) * (b[x[1]].y1 - b[x[1]].y0)) > 0.7::DOUBLE)) = 0 THEN list_concat(a, x) ELSE a END) AS k FROM g), "
+    "u AS (SELECT doc, page, b, unnest(k) AS i FROM k) SELECT doc, page, b[i].grp AS grp, b[i].seq AS seq FROM u",
+    "v_boxes",
+)
 def box_dedupe(spark, d):
     return X.dedupe_boxes(v_boxes(spark, d))
 

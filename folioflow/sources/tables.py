@@ -106,4 +106,4 @@ SQL = {
 
 
 def with_views(sql: str, *names: str) -> str:
-    return "WITH " + ",\n".join(SQL[n] for n in names) + ("\n" if not sql.lstrip().startswith(",") else "") + sql
+    return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in names) + ("\n" if not sql.lstrip().startswith(",") else "") + sql
