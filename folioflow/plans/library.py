@@ -1,12 +1,13 @@
-"""Queries over sinks, settings, progress and synthesis."""
+"""Queries over sinks, settings, progress, synthesis and reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
-from ..operators import enrich, progress, sinks
-from ..sources.tables import table, v_audit, v_versions, with_views
+from ..functions import text as T
+from ..operators import enrich, progress, relational, sinks
+from ..sources.tables import table, v_audit, v_docs, v_versions, with_views
 
 Q: dict = {}
 O: dict = {}
@@ -99,3 +100,35 @@ def page_synthesis(spark, d):
     """Page summaries put together for one document; without a model the digest itself."""
     p = v_versions(spark, d).select("video_id", F.col("version_no").alias("page"), F.split_part("text", F.lit("."), F.lit(1)).alias("summary"))
     return enrich.synthesise(p, ["video_id"]).select("video_id", "pages", "synthesis")
+
+
+@query("WITH b AS (SELECT c_custkey AS id, '{}' AS config_json, 0::BIGINT AS version FROM customer), n AS (SELECT user_id AS id, props AS config_json, event_id AS version FROM events WHERE event_type = 'click'), u AS (SELECT * FROM b UNION ALL SELECT * FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY version DESC, config_json DESC) AS rn FROM u) SELECT id, config_json, version FROM r WHERE rn = 1")
+def config_upsert(spark, d):
+    """JSON configurations seeded over those that are there, the latest of each id."""
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("{}").alias("config_json"), F.lit(0).cast("long").alias("version"))
+    seeds = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"), F.col("props").alias("config_json"), F.col("event_id").alias("version"))
+    return relational.latest_per_key(base.unionByName(seeds), ["id"], [F.desc("version"), F.desc("config_json")]).select("id", "config_json", "version")
+
+
+@query("WITH f AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'ABCDEF+' || p_name WHEN 1 THEN 'GHIJKL+Walkman-' || ['" + "', '".join(T.LEGACY_FONTS) + "'][p_partkey // 4 % " + str(len(T.LEGACY_FONTS)) + " + 1] || '905' WHEN 2 THEN upper(['" + "', '".join(T.LEGACY_FONTS) + "'][p_partkey // 4 % " + str(len(T.LEGACY_FONTS)) + " + 1]) ELSE p_brand END AS font FROM part) SELECT id, font, " + " OR ".join(f"contains(lower(font), '{x}')" for x in T.LEGACY_FONTS) + " AS legacy FROM f")
+def legacy_fonts(spark, d):
+    """Names of fonts, and whether their text needs conversion."""
+    i = F.col("p_partkey")
+    old = F.element_at(F.array(*map(F.lit, T.LEGACY_FONTS)), (F.call_function("div", i, F.lit(4)) % len(T.LEGACY_FONTS) + 1).cast("int"))
+    font = F.when(i % 4 == 0, F.concat(F.lit("ABCDEF+"), "p_name")).when(i % 4 == 1, F.concat(F.lit("GHIJKL+Walkman-"), old, F.lit("905"))).when(i % 4 == 2, F.upper(old)).otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select(i.alias("id"), font.alias("font")).withColumn("legacy", T.is_legacy_font(F.col("font")))
+
+
+@query("SELECT id, left(raw_text, 500) AS preview, length(raw_text) > 500 AS cut, length(raw_text) >= 50 AS long_enough FROM v_docs", "v_docs")
+def text_preview(spark, d):
+    """The beginnings of texts, and whether they are long enough to be worked on."""
+    n = F.length("raw_text")
+    return v_docs(spark, d).select("id", F.left("raw_text", F.lit(500)).alias("preview"), (n > 500).alias("cut"), (n >= 50).alias("long_enough"))
+
+
+@query("SELECT event_type, round(avg(value), 2) AS mean, round(min(value), 1) AS low, CAST(floor(max(value)) AS BIGINT) AS whole, CAST(round(100.0 * count(*) / (SELECT count(*) FROM events), 0) AS BIGINT) AS percent FROM events GROUP BY event_type")
+def rounded_figures(spark, d):
+    """Figures as reports show them: two places, one, cut off, whole per cent."""
+    e = table(spark, d, "events")
+    whole = e.agg(F.count("*")).scalar()
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 2).alias("mean"), F.round(F.min("value"), 1).alias("low"), F.floor(F.max("value")).cast("long").alias("whole"), F.round(100.0 * F.count("*") / whole, 0).cast("long").alias("percent"))
