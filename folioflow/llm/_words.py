@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 U = np.uint64
 
 
@@ -38,10 +38,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        m = max(n, 2 * BLOCK)
-        steps = np.full(m, base, dtype=U)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
+        m = 1 << max(16, (n - 1).bit_length())
+        have = np.full(m, base, dtype=U)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
         if m <= 4 * BLOCK:
             _powers[base] = have
     return have[:n]
