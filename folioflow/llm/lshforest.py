@@ -51,7 +51,7 @@ HASHES = 96
 TREES = 12
 DEPTH = 2
 NEIGHBOURS = 48
-LIMIT = 1024
+LIMIT = 4096
 DEEPEST = 8
 MISS = 1e-4
 BLOCK = 256
