@@ -69,6 +69,11 @@ def drop_paths(spark: SparkSession, *frames: DataFrame) -> None:
         _delete(spark, frame.stored_at)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder made by ``new_path``."""
+    _delete(spark, path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have, upper and lower case being the same."""
     have = {c.lower() for c in df.columns}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import reachable
-from . import automaton, bwt, cube, fst_tokens, kdtree, lshforest, ordinal, spacedseed, vafile, warc
+from . import automaton, bwt, cube, fst_tokens, kdtree, lshforest, ordinal, pfor, sortmeans, spacedseed, trie, vafile, warc
+from ._store import drop_path, new_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,24 @@ def op10_matching_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.dedup_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "token-files")
+    pfor.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    out = stored(pfor.digest(spark, path), "pfor-out")
+    drop_path(spark, path)
+    return out
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -134,6 +153,48 @@ FROM w LEFT JOIN t ON t.doc_id = w.doc_id
 """
 
 
+def _sort_means_sql(k: int = 8, length: int = 64, scale: int = 1024, rounds: int = 10, seed: int = 3) -> str:
+    """Rounds written one after another: m holds the centroids, a the nearest one of every vector."""
+    far = "list_sum(list_transform(list_zip(v.e, m.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    near = lambda i: f"SELECT v.n, arg_min(m.c, {{'d': {far}, 'c': m.c}}) AS c, min({far}) AS d FROM v CROSS JOIN m{i} m GROUP BY v.n"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = {length} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, e) - 1 AS c, e FROM (SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v) ORDER BY h NULLS LAST, e LIMIT {k})",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near(i)})")
+        steps.append(f"s{i} AS MATERIALIZED (SELECT c, p, CAST((s - (s % n + n) % n) // n AS BIGINT) AS x FROM (SELECT a.c, p, sum(x) AS s, count(*) AS n FROM (SELECT n, unnest(e) AS x, unnest(range({length})) AS p FROM v) u JOIN a{i} a ON a.n = u.n GROUP BY a.c, p))")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(g.e, m.e) AS e FROM m{i} m LEFT JOIN (SELECT c, list(x ORDER BY p) AS e FROM s{i} GROUP BY c) g ON g.c = m.c)")
+    steps.append(f"z AS MATERIALIZED ({near(rounds)})")
+    return f"WITH {', '.join(steps)} SELECT v.vec_id, CAST(z.c AS INTEGER) AS cluster, CAST(z.d AS BIGINT) AS distance, CAST(sum(z.d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(z.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.e, ',')) AS centroid_sha256 FROM z JOIN v ON v.n = z.n JOIN m{rounds} m ON m.c = z.c"
+
+
+OP12_SQL = _sort_means_sql()
+
+#: CRC-32 of the decimal conv_id, byte by byte and bit by bit.
+CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END)), 4294967295::BIGINT)"
+OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS conv, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS MATERIALIZED (SELECT conv, list({{'g': g, 'w': words}} ORDER BY turn NULLS FIRST, g) AS own FROM t GROUP BY conv),
+h AS MATERIALIZED (SELECT conv, own, CAST({CRC32.format(c="conv")} % 4 AS INTEGER) AS h FROM o),
+r AS MATERIALIZED (SELECT h.conv, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.conv = h.conv - h.conv % 20),
+p AS MATERIALIZED (
+  SELECT conv, d, len(turns) AS total, md5(array_to_string(list_transform(turns[1:d], lambda x: x.g), ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda x: x.g), ',')) END AS up, CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS w
+  FROM (SELECT conv, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)
+), n AS MATERIALIZED (
+  SELECT d, k, min(up) AS up, min(conv) AS conv_id, count(*) AS n_convs, min(w) AS w, string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (WHERE total = d) AS ends FROM p GROUP BY d, k
+), c AS MATERIALIZED (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY d, up),
+s AS (
+  SELECT p.d, p.k, count(*) FILTER (WHERE c.k IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.w) AS saved
+  FROM n JOIN p ON p.conv = n.conv_id AND p.d <= n.d LEFT JOIN c ON c.d = n.d AND c.k = n.k GROUP BY p.d, p.k
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.k = n.k LEFT JOIN c ON c.d = n.d AND c.k = n.k LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.up
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another."""
     import corpus_pipeline
@@ -154,8 +215,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_finite_state_counts": op9_finite_state_counts,
         "pipeline": pipeline,
         "op10_matching_statistics": op10_matching_statistics,
+        "op11_patched_frames": op11_patched_frames,
+        "op12_sort_means": op12_sort_means,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_va_file": OP1_SQL, "op2_lsh_forest": OP2_SQL, "op4_warc_round_trip": OP4_SQL, "op7_interval_expansion": OP7_SQL, "op10_matching_statistics": OP10_SQL}
+    return {"op1_va_file": OP1_SQL, "op2_lsh_forest": OP2_SQL, "op4_warc_round_trip": OP4_SQL, "op7_interval_expansion": OP7_SQL, "op10_matching_statistics": OP10_SQL, "op12_sort_means": OP12_SQL, "op13_prefix_trie": OP13_SQL}
