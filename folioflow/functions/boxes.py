@@ -23,7 +23,15 @@ def to_fraction(c: Column, page: float) -> Column:
     return (c / page * 1000).cast("int")
 
 
+def _channel(hex_color: Column, at: int) -> Column:
+    return F.conv(F.substring(hex_color, at, 2), 16, 10).cast("int")
+
+
 def luma(hex_color: Column) -> Column:
     """Brightness of #rrggbb, 0 to 255."""
-    part = lambda at: F.conv(F.substring(hex_color, at, 2), 16, 10).cast("int")
-    return 0.299 * part(2) + 0.587 * part(4) + 0.114 * part(6)
+    return 0.299 * _channel(hex_color, 2) + 0.587 * _channel(hex_color, 4) + 0.114 * _channel(hex_color, 6)
+
+
+def relative_luma(hex_color: Column) -> Column:
+    """Relative luminance of #rrggbb, 0 to 1."""
+    return 0.2126 * (_channel(hex_color, 2) / 255) + 0.7152 * (_channel(hex_color, 4) / 255) + 0.0722 * (_channel(hex_color, 6) / 255)

@@ -9,7 +9,7 @@ from ..functions import jsonx as J
 from ..operators import audit
 from ..operators import boxes as X
 from ..operators import queue
-from ..sources.tables import table, v_audit, v_boxes, v_queue, v_versions, with_views
+from ..sources.tables import table, v_audit, v_boxes, v_images, v_lines, v_queue, v_versions, with_views
 from ..streaming import queue as stream
 from .text import STRIP
 
@@ -120,7 +120,7 @@ def box_metrics(spark, d):
     return v_boxes(spark, d).select("doc", "page", "grp", "seq", B.area(*X.box()).alias("area"), ((c("x0") + c("x1")) / 2).alias("cx"), ((c("y0") + c("y1")) / 2).alias("cy"), B.overlap_area(X.box(), ref).alias("inter"))
 
 
-@query(", b AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM v_boxes) SELECT doc, page, grp, seq, (h > 100 AND w / h < 0.25) OR w <= 0 OR h <= 0 AS strip, least(w, h) >= 100 AND greatest(w, h) <= 2000 AND NOT (abs(w - h) <= 0.1 * greatest(w, h) AND greatest(w, h) < 300) AS image_ok FROM b WHERE n_items >= 40 AND x0 >= 0 AND y0 >= 0 AND x1 <= 612 AND y1 <= 792 AND NOT y1 > 777 AND NOT (h < 10 AND w > 0.4 * 612) AND NOT (w > 0.85 * 612 AND h < 0.5 * 792) AND w >= 80 AND h >= 60", "v_boxes")
+@query(", b AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM v_boxes) SELECT doc, page, grp, seq, (h > 100 AND w / h < 0.25) OR w <= 0 OR h <= 0 AS strip, least(w, h) >= 100 AND greatest(w, h) <= 2000 AND NOT (abs(w - h) <= 0.1 * greatest(w, h) AND greatest(w, h) < 300) AS image_ok FROM b WHERE n_items >= 40 AND x0 >= -0.5 AND x1 <= 612.5 AND NOT y1 > 777 AND NOT (h < 10 AND w > 0.4 * 612) AND NOT (w > 0.85 * 612 AND h < 0.5 * 792) AND w >= 80 AND h >= 60", "v_boxes")
 def box_guards(spark, d):
     x = X.keep_region(v_boxes(spark, d), 612, 792)
     return x.select("doc", "page", "grp", "seq", X.is_strip(*X.box()).alias("strip"), X.keep_image(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("image_ok"))
@@ -141,7 +141,7 @@ def box_caption_match(spark, d):
     return X.match_captions(v.where("seq = 1"), v.where("seq > 1")).select("doc", "page", "grp", "seq", F.col("region.r_grp").alias("region_grp"), F.col("region.r_seq").alias("region_seq"), "area")
 
 
-@query(", c AS (SELECT * FROM v_boxes WHERE seq = 1), t AS (SELECT *, 't' || CAST(grp AS VARCHAR) || '.' || CAST(seq AS VARCHAR) AS txt FROM v_boxes WHERE seq > 1) SELECT c.doc, c.page, c.grp, c.seq, left(string_agg(t.txt, ' ' ORDER BY t.y0, t.x0, t.grp, t.seq, t.txt), 700) AS nearby FROM c JOIN t ON t.doc = c.doc AND t.page = c.page AND abs((t.x0 + t.x1) / 2 - (c.x0 + c.x1) / 2) <= 160 AND abs((t.y0 + t.y1) / 2 - (c.y0 + c.y1) / 2) <= 160 GROUP BY ALL", "v_boxes")
+@query(", c AS (SELECT * FROM v_boxes WHERE seq = 1), t AS (SELECT *, 't' || CAST(grp AS VARCHAR) || '.' || CAST(seq AS VARCHAR) AS txt FROM v_boxes WHERE seq > 1) SELECT c.doc, c.page, c.grp, c.seq, left(string_agg(t.txt, ' ' ORDER BY t.y0, t.x0, t.grp, t.seq, t.txt), 700) AS nearby FROM c JOIN t ON t.doc = c.doc AND t.page = c.page AND abs((t.x0 + t.x1) / 2 - (c.x0 + c.x1) / 2) < 160 AND abs((t.y0 + t.y1) / 2 - (c.y0 + c.y1) / 2) < 160 GROUP BY ALL", "v_boxes")
 def box_neighbors(spark, d):
     v = v_boxes(spark, d)
     t = v.where("seq > 1").withColumn("text", F.concat(F.lit("t"), F.col("grp").cast("string"), F.lit("."), F.col("seq").cast("string")))
@@ -153,6 +153,63 @@ def caption_band(spark, d):
     return X.caption_bands(v_boxes(spark, d)).select("doc", "page", "grp", "seq", "band_top")
 
 
+@query(", b AS (SELECT * FROM v_boxes WHERE seq = 1) SELECT b.doc, b.page, b.grp, b.seq, greatest(62, coalesce((SELECT max(l.y1) FROM v_lines l WHERE l.doc = b.doc AND l.page = b.page AND l.x0 < 110 AND l.x1 - l.x0 > 280 AND l.y1 <= b.y0 + 2), 62))::DOUBLE AS body_bottom FROM b", "v_boxes", "v_lines")
+def body_bottom(spark, d):
+    """The last full-width line of text above each caption."""
+    return X.body_bottoms(v_boxes(spark, d).where("seq = 1"), v_lines(spark, d)).select("doc", "page", "grp", "seq", "body_bottom")
+
+
+SIDES = ", c AS (SELECT * FROM v_boxes WHERE seq = 1), r AS (SELECT * FROM v_boxes WHERE seq > 1), k AS (SELECT c.doc, c.page, c.grp, c.seq, arg_max({{'g': r.grp, 's': r.seq}}, {{'a': (r.x1 - r.x0) * (r.y1 - r.y0), 'g': -r.grp, 's': -r.seq}}) AS r FROM c JOIN r ON r.doc = c.doc AND r.page = c.page AND r.x1 >= c.x0 AND r.x0 <= c.x1 AND {} GROUP BY ALL) SELECT c.doc, c.page, c.grp, c.seq, k.r.g AS region_grp, k.r.s AS region_seq FROM c LEFT JOIN k ON k.doc = c.doc AND k.page = c.page AND k.grp = c.grp AND k.seq = c.seq"
+
+
+@query(SIDES.format("r.y1 <= c.y0 + 15 AND r.y0 <= c.y0 - 2"), "v_boxes")
+def caption_region_above(spark, d):
+    """The largest region that ends at a caption's top or a little below it."""
+    v = v_boxes(spark, d)
+    return X.match_captions(v.where("seq = 1"), v.where("seq > 1"), over=15, lead=2, touching=True).select("doc", "page", "grp", "seq", F.col("region.r_grp").alias("region_grp"), F.col("region.r_seq").alias("region_seq"))
+
+
+@query(SIDES.format("r.y0 >= c.y1 - 30 AND r.y1 >= c.y0"), "v_boxes")
+def caption_region_below(spark, d):
+    """The largest region under a caption that stands above its figure."""
+    v = v_boxes(spark, d)
+    return X.match_captions(v.where("seq = 1"), v.where("seq > 1"), side="below", over=30, touching=True).select("doc", "page", "grp", "seq", F.col("region.r_grp").alias("region_grp"), F.col("region.r_seq").alias("region_seq"))
+
+
+BACKGROUND = ", p AS (SELECT doc, count(DISTINCT page) AS pages FROM v_images GROUP BY doc), bg AS (SELECT doc, w, h, n FROM (SELECT doc, w, h, count(*) AS n FROM v_images GROUP BY ALL) JOIN p USING (doc) WHERE n >= greatest(2, CAST(floor(pages * 0.9::DOUBLE) AS BIGINT)))"
+
+
+def _backgrounds(images):
+    return X.background_sizes(images, images.groupBy("doc").agg(F.count_distinct("page").alias("pages")))
+
+
+@query(BACKGROUND + " SELECT doc, w, h, n FROM bg", "v_images")
+def background_freq(spark, d):
+    """Image sizes so frequent in a document that they are its background."""
+    return _backgrounds(v_images(spark, d))
+
+
+HOLDS = "{m}.doc = t.doc AND {m}.page = t.page AND greatest(t.x0, {m}.x0) < least(t.x1, {m}.x1) AND greatest(t.y0, {m}.y0) < least(t.y1, {m}.y1)"
+
+
+@query(
+    BACKGROUND + ", t AS (SELECT * FROM v_boxes WHERE seq = 2), dr AS (SELECT t.doc, t.page, t.grp, t.seq, count(*) AS n FROM t JOIN v_boxes o ON o.seq > 2 AND " + HOLDS.format(m="o") + " GROUP BY ALL), "
+    "real AS (SELECT i.* FROM v_images i ANTI JOIN bg ON bg.doc = i.doc AND bg.w = i.w AND bg.h = i.h WHERE i.w >= 100 AND i.h >= 100), im AS (SELECT t.doc, t.page, t.grp, t.seq, count(*) AS n FROM t JOIN real i ON " + HOLDS.format(m="i") + " GROUP BY ALL) "
+    "SELECT t.doc, t.page, t.grp, t.seq, coalesce(dr.n, 0) AS n_drawings, coalesce(im.n, 0) AS n_images, coalesce(dr.n, 0) >= 25 OR coalesce(im.n, 0) > 0 AS artwork FROM t LEFT JOIN dr USING (doc, page, grp, seq) LEFT JOIN im USING (doc, page, grp, seq)",
+    "v_boxes", "v_images",
+)
+def artwork_presence(spark, d):
+    """Whether a region holds drawings enough, or an image that is no background."""
+    v, images = v_boxes(spark, d), v_images(spark, d)
+    return X.artwork(v.where("seq = 2"), v.where("seq > 2"), images, _backgrounds(images))
+
+
+@query(", f AS (SELECT *, grp % 3 = 0 AS filled FROM v_boxes) SELECT doc, page, grp, seq FROM f WHERE NOT (x1 - x0 > 0.55 * 306 AND y1 - y0 > 0.55 * 250) AND x0 >= -0.5 AND y0 >= -0.5 AND x1 <= 306.5 AND y1 <= 250.5 AND NOT (filled AND n_items <= 3 AND (x1 - x0 < 200 OR y1 - y0 < 200))", "v_boxes")
+def drawing_filter(spark, d):
+    """Drawings that can belong to figures, on a small page."""
+    return X.keep_drawing(v_boxes(spark, d).withColumn("filled", F.col("grp") % 3 == 0), 306, 250).select("doc", "page", "grp", "seq")
+
+
 @query(", p AS (SELECT grp, max(CASE WHEN seq = 1 AND x0 % 5 = 0 THEN x0 END) AS raster, max(CASE WHEN seq = 2 THEN y0 END) AS above, max(CASE WHEN seq = 3 THEN y1 END) AS below, max(CASE WHEN seq = 4 THEN x1 END) AS vector, max(y1) AS ink FROM v_boxes GROUP BY grp) SELECT grp, coalesce(raster, CASE WHEN above IS NULL OR NOT coalesce(above % 2 = 0, false) THEN below END, CASE WHEN above % 2 = 0 THEN above END, vector, ink) AS region FROM p", "v_boxes")
 def region_choice(spark, d):
     c = F.col
@@ -160,12 +217,12 @@ def region_choice(spark, d):
     return p.select("grp", X.choose_region(c("raster"), c("above"), c("below"), c("vector"), c("ink"), c("above") % 2 == 0).alias("region"))
 
 
-@query("WITH c AS (SELECT p_partkey AS id, p_partkey * 7919 % 16777216 AS n FROM part), l AS (SELECT id, 0.299::DOUBLE * (n // 65536) + 0.587::DOUBLE * (n // 256 % 256) + 0.114::DOUBLE * (n % 256) AS l FROM c) SELECT id, round(l, 3) AS luma, l > 128 AS light FROM l")
+@query("WITH c AS (SELECT p_partkey AS id, p_partkey * 7919 % 16777216 AS n FROM part), l AS (SELECT id, 0.299::DOUBLE * (n // 65536) + 0.587::DOUBLE * (n // 256 % 256) + 0.114::DOUBLE * (n % 256) AS l, 0.2126::DOUBLE * (n // 65536 / 255) + 0.7152::DOUBLE * (n // 256 % 256 / 255) + 0.0722::DOUBLE * (n % 256 / 255) AS r FROM c) SELECT id, round(l, 3) AS luma, l > 128 AS light, round(r, 6) AS relative FROM l")
 def color_luma(spark, d):
     n = F.col("p_partkey") * 7919 % 16777216
     luma = B.luma(F.col("c"))
     x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("#"), F.lpad(F.hex(n), 6, "0")).alias("c"))
-    return x.select("id", F.round(luma, 3).alias("luma"), (luma > 128).alias("light"))
+    return x.select("id", F.round(luma, 3).alias("luma"), (luma > 128).alias("light"), F.round(B.relative_luma(F.col("c")), 6).alias("relative"))
 
 
 @query(
@@ -178,14 +235,33 @@ def box_dedupe(spark, d):
     return X.dedupe_boxes(v_boxes(spark, d))
 
 
-@query(None)
+CLOSE = "c.x0 < x[1].x1 + 8 AND c.x1 > x[1].x0 - 8 AND c.y0 < x[1].y1 + 8 AND c.y1 > x[1].y0 - 8"
+NEAR = f"list_append(list_filter(a, lambda c: {CLOSE}), x[1])"
+ALL_OF = lambda f, c: f"{f}(list_transform({NEAR}, lambda c: c.{c}))"
+
+
+@query(
+    ", s(doc, page, b, before) AS (SELECT doc, page, list({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'n': CAST(n_items AS BIGINT)}) AS b, 1000000000 FROM v_boxes GROUP BY doc, page UNION ALL "
+    f"SELECT doc, page, list_reduce(list_prepend(b[1:0], list_transform(b, lambda x: [x])), lambda a, x: list_append(list_filter(a, lambda c: NOT ({CLOSE})), {{'x0': {ALL_OF('list_min', 'x0')}, 'y0': {ALL_OF('list_min', 'y0')}, 'x1': {ALL_OF('list_max', 'x1')}, 'y1': {ALL_OF('list_max', 'y1')}, 'n': CAST({ALL_OF('list_sum', 'n')} AS BIGINT)}})), len(b) FROM s WHERE len(b) < before), "
+    "u AS (SELECT doc, page, unnest(b) AS b FROM s WHERE len(b) = before) SELECT doc, page, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.n AS n_items FROM u",
+    "v_boxes",
+)
 def box_cluster(spark, d):
     return X.cluster_boxes(v_boxes(spark, d))
 
 
-@query(None)
+FREE = "list_sort(list_transform(list_filter(range(1, len(r) + 1), lambda j: NOT list_contains(list_transform(a, lambda z: z.r), j)), lambda j: {'d': (o[x[1].a].x0 + o[x[1].a].x1 - r[j].x0 - r[j].x1) * (o[x[1].a].x0 + o[x[1].a].x1 - r[j].x0 - r[j].x1) + (o[x[1].a].y0 + o[x[1].a].y1 - r[j].y0 - r[j].y1) * (o[x[1].a].y0 + o[x[1].a].y1 - r[j].y0 - r[j].y1), 'j': j}))[1]"
+
+
+@query(
+    ", g AS (SELECT doc, page, coalesce(list({'y0': y0, 'x0': x0, 'grp': grp, 'seq': seq, 'x1': x1, 'y1': y1, 'n': n_items % 7} ORDER BY y0, x0, grp, seq, x1, y1) FILTER (WHERE seq % 2 = 1), []) AS o, coalesce(list({'y0': y0, 'x0': x0, 'grp': grp, 'seq': seq, 'x1': x1, 'y1': y1, 'n': n_items % 7} ORDER BY y0, x0, grp, seq, x1, y1) FILTER (WHERE seq % 2 = 0), []) AS r FROM v_boxes GROUP BY doc, page), "
+    "k AS (SELECT doc, page, o, r, list_transform(list_sort(list_transform(range(1, len(o) + 1), lambda i: {'s': -(o[i].x1 - o[i].x0) * (o[i].y1 - o[i].y0), 'i': i})), lambda z: [{'a': z.i, 'r': 0::BIGINT}]) AS k FROM g WHERE len(o) > 0), "
+    f"f AS (SELECT doc, page, o, r, list_reduce(list_prepend([{{'a': 0::BIGINT, 'r': 0::BIGINT}}][1:0], k), lambda a, x: list_append(a, {{'a': x[1].a, 'r': coalesce(CASE WHEN {FREE}.d <= 4 * 425 * 425 AND r[{FREE}.j].n > 0 THEN {FREE}.j END, 0)}})) AS f FROM k), "
+    "u AS (SELECT doc, page, o, r, unnest(f) AS f FROM f) SELECT doc, page, o[f.a].grp AS grp, o[f.a].seq AS seq, CASE WHEN f.r > 0 THEN r[f.r].grp END AS r_grp, CASE WHEN f.r > 0 THEN r[f.r].seq END AS r_seq FROM u",
+    "v_boxes",
+)
 def nearest_greedy(spark, d):
-    return X.nearest_greedy(v_boxes(spark, d))
+    return X.nearest_greedy(v_boxes(spark, d).withColumn("n_items", F.col("n_items") % 7))
 
 
 WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import segment as S
 from ..operators import votes
-from ..sources.tables import table, v_docs, v_headers, v_paths, v_versions, with_views
+from ..sources.tables import table, v_docs, v_headers, v_page_headers, v_paths, v_versions, with_views
 
 Q: dict = {}
 O: dict = {}
@@ -26,6 +26,7 @@ def query(sql: str | None, *views: str):
 
 WS = r"[\s\x0B\x{85}\x{A0}]"
 STRIP = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+LOW = "regexp_replace(lower(" + STRIP.format("regexp_replace({c}, '\\s+([:;,])', '\\1', 'g')") + "), '\\s+', ' ', 'g')"
 
 
 @query("SELECT id, len(list_filter(regexp_split_to_array(raw_text, '\\s+'), lambda w: w <> '')) AS n_words, len(str_split(raw_text, chr(10))) AS n_pages FROM v_docs", "v_docs")
@@ -191,14 +192,13 @@ def vote_page_name(spark, d):
     return votes.vote(x.withColumn("norm", F.regexp_replace(F.lower("name"), r"\s+", " ")), ["subject"], "norm", "name", "id", prefer="longest")
 
 
-@query(VOTE + ", t AS (SELECT subject, count(*) AS total FROM v_docs GROUP BY subject), g AS (SELECT subject, norm, count(*) AS n, min(id) AS first, arg_max(name, {'l': length(name), 'i': -id}) AS name FROM k GROUP BY subject, norm), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, first) AS rn FROM g) SELECT r.subject, name, n FROM r JOIN t ON t.subject = r.subject WHERE rn = 1 AND n >= greatest(2, total // 50)", "v_docs")
+PRINTED = ", k AS (SELECT pdf, page, n AS name, " + LOW.format(c="n") + " AS norm FROM (SELECT pdf, page, regexp_replace(" + STRIP.format("t") + ", '[:;, ]+$', '') AS n FROM v_page_headers) WHERE length(n) >= 4)"
+
+
+@query(PRINTED + ", t AS (SELECT pdf, count(*) AS total FROM v_page_headers GROUP BY pdf), g AS (SELECT pdf, norm, count(*) AS n, min(page) AS first, arg_max(name, {'l': length(name), 'i': -page}) AS name FROM k GROUP BY pdf, norm), r AS (SELECT *, row_number() OVER (PARTITION BY pdf ORDER BY n DESC, first) AS rn FROM g) SELECT r.pdf, name, n FROM r JOIN t ON t.pdf = r.pdf WHERE rn = 1 AND n >= greatest(2, total // 4)", "v_page_headers")
 def vote_header(spark, d):
-    """The most frequent name, ties to the first seen, if it is frequent enough."""
-    docs = v_docs(spark, d)
-    x = docs.select("id", "subject", F.rtrim(F.trim(F.split_part("raw_text", F.lit(" "), F.lit(1))), F.lit(":;, ")).alias("name")).where("length(name) >= 4")
-    won = votes.vote(x.withColumn("norm", F.regexp_replace(F.lower("name"), r"\s+", " ")), ["subject"], "norm", "name", "id", prefer="first")
-    total = docs.groupBy("subject").agg(F.count("*").alias("total"))
-    return won.join(total, "subject").where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("total") / 50))).drop("total")
+    """The header that most pages of a book print, ties to the first seen, if a quarter of its pages do."""
+    return votes.header_winner(v_page_headers(spark, d), ["pdf"], "t", "page")
 
 
 @query(VOTE + ", g AS (SELECT subject, norm FROM k GROUP BY subject, norm HAVING count(DISTINCT id) >= 2) SELECT k.id, k.name, g.norm IS NOT NULL AS shared FROM k LEFT JOIN g ON g.subject = k.subject AND g.norm = k.norm", "v_docs")
@@ -210,15 +210,6 @@ def shared_headers(spark, d):
     return x.join(g, ["subject", "norm"], "left").select("id", "name", F.col("_n").isNotNull().alias("shared"))
 
 
-@query(", p AS (SELECT class, count(DISTINCT id) AS pages FROM v_docs GROUP BY class), g AS (SELECT class, n_chars % 10 AS w, n_chars % 4 AS h, count(*) AS n FROM v_docs GROUP BY ALL) SELECT g.class, w, h, n FROM g JOIN p ON p.class = g.class WHERE n >= greatest(2, CAST(floor(0.04 * pages) AS BIGINT))", "v_docs")
-def background_freq(spark, d):
-    """Sizes so frequent in a class that they are its background."""
-    x = v_docs(spark, d)
-    p = x.groupBy("class").agg(F.count_distinct("id").alias("pages"))
-    g = x.groupBy("class", (F.col("n_chars") % 10).alias("w"), (F.col("n_chars") % 4).alias("h")).agg(F.count("*").alias("n"))
-    return g.join(p, "class").where(F.col("n") >= F.greatest(F.lit(2), F.floor(0.04 * F.col("pages")))).drop("pages")
-
-
 TAGS = STRIP.format("regexp_replace({}, '<[^>]+>', ' ', 'g')")
 TABLE = "CASE WHEN NOT contains({c}, '<table') THEN {c} WHEN len(regexp_extract_all({c}, '(?s)<tr>(.*?)</tr>', 1)) = 0 THEN " + TAGS.format("{c}") + " ELSE array_to_string(list_transform(regexp_extract_all({c}, '(?s)<tr>(.*?)</tr>', 1), lambda r: array_to_string(list_transform(regexp_extract_all(r, '(?s)<td[^>]*>(.*?)</td>', 1), lambda y: " + TAGS.format("y") + "), chr(9))), chr(10)) END"
 LAYOUT = "(?s)^\\s*(\\w+)\\s*\\[\\s*[\\d.,\\s-]*\\]\\s*(.*)$"
@@ -306,7 +297,6 @@ def title_heuristic(spark, d):
 
 #: A curated map: codes, chapters and names.
 KNOWN = [("iesc", 4, "Describing Motion"), ("iesc", 8, "Journey Inside the Atom"), ("jess", 1, "Power Sharing"), ("jess", 2, "Federalism"), ("iesc", 12, "Improvement in Food Resources")]
-LOW = "regexp_replace(lower(" + STRIP.format("regexp_replace({c}, '\\s+([:;,])', '\\1', 'g')") + "), '\\s+', ' ', 'g')"
 IDENTIFY = (
     HEURISTIC + ", x AS (SELECT id, t, regexp_replace(t, '\\s+', ' ', 'g') AS x FROM v_headers), y AS (SELECT id, x, regexp_replace(regexp_replace(x, '^\\s*\\d+\\s*[|\\-–—•]?\\s*', ''), '\\s*[|\\-–—•]?\\s*\\d+\\s*$', '') AS y FROM x), "
     "h AS (SELECT id, CASE WHEN length(x) < 6 OR length(y) < 6 OR regexp_matches(y, '\\d{4}\\s*-\\s*\\d{2}$') OR contains(y, 'Reprint') THEN NULL ELSE regexp_replace(y, '[.,;:]+$', '') END AS h FROM y), "

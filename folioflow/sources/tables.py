@@ -50,6 +50,19 @@ def v_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select((F.col("l_orderkey") % 500).alias("doc"), (F.col("l_orderkey") % 7).alias("page"), F.col("l_orderkey").alias("grp"), F.col("l_linenumber").alias("seq"), x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"), (F.col("l_suppkey") % 60 + 1).alias("n_items"))
 
 
+def v_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text on the same pages: doc, page and a box."""
+    r = table(spark, sf_dir, "lineitem")
+    x0, y0 = F.col("l_partkey") % 160 + 40, F.col("l_suppkey") * 11 % 700 + F.col("l_linenumber")
+    return r.select((F.col("l_orderkey") % 500).alias("doc"), (F.col("l_orderkey") % 7).alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity").cast("long") * 9 + 20).alias("x1"), (y0 + 12).alias("y1"))
+
+
+def v_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedded images on the same pages: a box and the size in pixels, one size being a background that nearly all pages have."""
+    b, back = v_boxes(spark, sf_dir).where("seq = 1"), F.col("x0") % 3 == 0
+    return b.select("doc", "page", "x0", "y0", "x1", "y1", F.when(back, 640).otherwise((F.col("x1") - F.col("x0")) * 2).alias("w"), F.when(back, 480).otherwise((F.col("y1") - F.col("y0")) * 2).alias("h"))
+
+
 #: Subjects, imprints and labels of boxes among the headers.
 HEADINGS = ["Physics", "Mathematics", "Social  Science", "Chapter 7", "1234", "Do You Know? more", "INDIA : PHYSICAL  ENVIRONMENT", "THEMES IN WORLD HISTORY"]
 #: Directories of a library.
@@ -67,6 +80,14 @@ def v_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("id"), F.element_at(F.array(*kinds), (i % 10 + 1).cast("int")).alias("t"))
 
 
+def v_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of the pages of books of five: most print the book's heading, in several spellings."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    heading = F.element_at(F.array(*map(F.lit, HEADINGS)), (F.call_function("div", i, F.lit(5)) % 8 + 1).cast("int"))
+    t = F.when(i % 5 == 0, heading).when(i % 5 == 2, F.upper(heading)).when(i % 5 == 3, F.concat(heading, F.lit(": "))).otherwise(F.left("text", F.lit(24)))
+    return d.select(F.call_function("div", i, F.lit(5)).alias("pdf"), (i % 5).alias("page"), t.alias("t"))
+
+
 def v_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of a library of documents, with codes, chapter numbers and slugs."""
     i = F.col("doc_id")
@@ -99,11 +120,19 @@ SQL = {
     "v_versions": "v_versions AS (SELECT conv_id AS video_id, turn AS version_no, role AS author, text FROM conversations)",
     "v_queue": "v_queue AS (SELECT event_id, user_id AS item, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'claimed' WHEN 'click' THEN 'rendering' WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' ELSE 'other' END AS status, value FROM events)",
     "v_boxes": "v_boxes AS (SELECT l_orderkey % 500 AS doc, l_orderkey % 7 AS page, l_orderkey AS grp, l_linenumber AS seq, l_partkey % 400 AS x0, l_suppkey * 7 % 600 AS y0, l_partkey % 400 + CAST(l_quantity AS BIGINT) * 4 + 20 AS x1, l_suppkey * 7 % 600 + (l_partkey + l_linenumber) % 180 + 10 AS y1, l_suppkey % 60 + 1 AS n_items FROM lineitem)",
+    "v_lines": "v_lines AS (SELECT l_orderkey % 500 AS doc, l_orderkey % 7 AS page, l_partkey % 160 + 40 AS x0, l_suppkey * 11 % 700 + l_linenumber AS y0, l_partkey % 160 + 40 + CAST(l_quantity AS BIGINT) * 9 + 20 AS x1, l_suppkey * 11 % 700 + l_linenumber + 12 AS y1 FROM lineitem)",
+    "v_images": "v_images AS (SELECT doc, page, x0, y0, x1, y1, CASE WHEN x0 % 3 = 0 THEN 640 ELSE (x1 - x0) * 2 END AS w, CASE WHEN x0 % 3 = 0 THEN 480 ELSE (y1 - y0) * 2 END AS h FROM v_boxes WHERE seq = 1)",
+    "v_page_headers": "v_page_headers AS (SELECT doc_id // 5 AS pdf, doc_id % 5 AS page, CASE doc_id % 5 WHEN 0 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1] WHEN 2 THEN upper(['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1]) WHEN 3 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1] || ': ' ELSE left(text, 24) END AS t FROM documents)",
     "v_headers": "v_headers AS (SELECT doc_id AS id, CASE doc_id % 10 WHEN 0 THEN (doc_id % 97)::VARCHAR || ' | ' || left(text, 24) WHEN 1 THEN left(text, 24) || '  ' || (doc_id % 97)::VARCHAR WHEN 2 THEN 'Reprint 2024-25' WHEN 3 THEN left(text, 24) || ' 2023-24' WHEN 4 THEN left(text, 4) WHEN 5 THEN left(text, 24) || ' - Class IX' WHEN 6 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 10 % 8 + 1] WHEN 7 THEN '  7 –  ' || left(text, 24) || '.;' WHEN 8 THEN left(text, 24) || ':;, ' ELSE CASE WHEN doc_id % 50 <> 9 THEN replace(left(text, 24), ' ', '') || ' ' || left(text, 24) END END AS t FROM documents)",
     "v_paths": "v_paths AS (SELECT doc_id AS id, '/books/' || CASE WHEN doc_id % 7 = 0 THEN 'misc' ELSE 'class-' || (doc_id % 12 + 1)::VARCHAR END || '/' || ['" + "', '".join(DIRS) + "'][doc_id % 8 + 1] || '/' || CASE doc_id % 3 WHEN 0 THEN 'iesc_ch' || lpad((doc_id % 40)::VARCHAR, 2, '0') WHEN 1 THEN 'jess_CH' || (doc_id % 9)::VARCHAR || '-' || regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') ELSE regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') END || '.pdf' AS path FROM documents)",
     "v_audit": "v_audit AS (SELECT doc_id // 5 AS pdf_id, doc_id % 5 AS page, CASE n_chars % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE left(text, 40 + n_chars % 300) END AS text, n_chars % 3 AS ours, CASE WHEN n_chars % 4 = 0 THEN 1 ELSE 0 END AS our_tables, n_chars % 6 <> 0 AS has_text, CASE n_chars % 5 WHEN 0 THEN 'garbled' WHEN 1 THEN 'scanned' ELSE 'good' END AS quality, greatest(CASE WHEN doc_id % 4 <> 3 THEN doc_id % 3 ELSE 0 END, n_chars % 4) AS figures, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS equations, doc_id % 3 = 0 AS has_tables, CASE WHEN doc_id % 9 <> 0 THEN 2 ELSE 1 END AS num_tables, doc_id % 6 AS charts, CASE WHEN doc_id % 4 = 1 THEN n_chars % 5 END AS missed, CASE WHEN doc_id % 11 = 0 THEN 'timeout' END AS error FROM documents)",
 }
 
 
+#: Views that stand on others.
+NEEDS = {"v_images": ("v_boxes",)}
+
+
 def with_views(sql: str, *names: str) -> str:
+    names = tuple(dict.fromkeys(x for n in names for x in (*NEEDS.get(n, ()), n)))
     return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in names) + ("\n" if not sql.lstrip().startswith(",") else "") + sql
