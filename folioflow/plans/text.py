@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import segment as S
-from ..operators import votes
+from ..operators import spelling, votes
 from ..sources.tables import table, v_docs, v_headers, v_page_headers, v_paths, v_versions, with_views
 
 Q: dict = {}
@@ -340,14 +340,39 @@ def top_keywords(spark, d):
     return S.top_keywords(v_versions(spark, d), F.col("text")).select("video_id", "version_no", F.array_join("keywords", ", ").alias("keywords"))
 
 
-@query(None)
+DICTIONARY = ", d AS MATERIALIZED (SELECT w FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(raw_text), '\\p{L}+'))) AS w FROM v_docs) WHERE length(w) <= 40 GROUP BY w HAVING count(*) >= 3 ORDER BY count(*) DESC, w LIMIT 20000)"
+MERGED = "regexp_replace(raw_text, '([a-z]{4,}) ([a-z]{3,}) ([a-z]+)', '\\1\\2 \\3', 'g')"
+TORN = "regexp_replace(raw_text, '([a-z]{3})([a-z]{4,})', '\\1 \\2', 'g')"
+PLACES = ", x AS (SELECT id, regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+') AS ws FROM v_docs), o AS MATERIALIZED (SELECT id, i, ws[i] AS word, regexp_extract(ws[i], '[\\p{{L}}\\p{{N}}](?:.*[\\p{{L}}\\p{{N}}])?') AS core FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM x))"
+CUTS = (
+    ", u AS MATERIALIZED (SELECT DISTINCT lower(core) AS w, length(core) AS n FROM o WHERE length(core) BETWEEN 7 AND 256 AND regexp_matches(core, '\\p{L}') AND lower(core) NOT IN (SELECT w FROM d)), "
+    "p(w, n, pos, cuts, done) AS (SELECT w, n, 0, []::INTEGER[], false FROM u UNION ALL SELECT q.w, q.n, k, list_append(q.cuts, k), q.rest IN (SELECT w FROM d) FROM (SELECT w, n, cuts, k, substr(w, pos + 1, k - pos) AS head, substr(w, k + 1) AS rest FROM (SELECT w, n, pos, cuts, CAST(unnest(range(pos + 4, n - 2)) AS INTEGER) AS k FROM p WHERE NOT done)) q "
+    "WHERE q.head IN (SELECT w FROM d) AND (q.rest IN (SELECT w FROM d) OR length(q.rest) >= 6)), "
+    "c AS MATERIALIZED (SELECT w, cuts FROM (SELECT w, cuts, row_number() OVER (PARTITION BY w ORDER BY cuts DESC) AS rn FROM p WHERE done) WHERE rn = 1)"
+)
+
+
+@query(
+    DICTIONARY + PLACES.format(MERGED) + CUTS + ", f AS (SELECT o.id, o.i, c.w IS NOT NULL AS cut, CASE WHEN c.w IS NULL THEN word ELSE substr(word, 1, strpos(word, core) - 1) || array_to_string(list_transform(range(0, len(cuts) + 1), lambda t: substr(core, CASE WHEN t = 0 THEN 0 ELSE cuts[t] END + 1, CASE WHEN t = len(cuts) THEN length(core) ELSE cuts[t + 1] END - CASE WHEN t = 0 THEN 0 ELSE cuts[t] END)), ' ') || substr(word, strpos(word, core) + length(core)) END AS t FROM o LEFT JOIN c ON c.w = lower(o.core)), "
+    "g AS (SELECT id, count(*) FILTER (WHERE cut) AS n_split, string_agg(t, ' ' ORDER BY i) AS fixed FROM f GROUP BY id) SELECT x.id, CAST(coalesce(n_split, 0) AS INTEGER) AS n_split, coalesce(fixed, '') AS fixed FROM x LEFT JOIN g ON g.id = x.id",
+    "v_docs",
+)
 def spell_split(spark, d):
     """Words that were run together, cut by a dictionary of the corpus's commonest words."""
     x = v_docs(spark, d).select("id", "raw_text")
-    return S.spell_split(x, S.dictionary(x))
+    run_together = x.withColumn("raw_text", F.regexp_replace("raw_text", "([a-z]{4,}) ([a-z]{3,}) ([a-z]+)", "$1$2 $3"))
+    return spelling.split(run_together, spelling.dictionary(x))
 
 
-@query(None)
+@query(
+    DICTIONARY + PLACES.format(TORN) + ", b AS (SELECT id, i, word, core, lead(word) OVER w AS word2, lead(core) OVER w AS core2 FROM o WINDOW w AS (PARTITION BY id ORDER BY i)), "
+    "k AS (SELECT id, i, word || word2 AS t, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM b WHERE word2 IS NOT NULL AND regexp_matches(word, '[\\p{L}\\p{N}]$') AND regexp_matches(word2, '^[\\p{L}\\p{N}]') AND length(core || core2) <= 40 AND lower(core || core2) IN (SELECT w FROM d) AND (lower(core) NOT IN (SELECT w FROM d) AND regexp_matches(core, '\\p{L}') OR lower(core2) NOT IN (SELECT w FROM d) AND regexp_matches(core2, '\\p{L}'))), "
+    "j AS (SELECT id, i, t FROM (SELECT id, i, t, row_number() OVER (PARTITION BY id, run ORDER BY i) AS nth FROM k) WHERE nth % 2 = 1), "
+    "g AS (SELECT o.id, count(j.i) AS n_joined, string_agg(coalesce(j.t, o.word), ' ' ORDER BY o.i) AS fixed FROM o LEFT JOIN j ON j.id = o.id AND j.i = o.i LEFT JOIN j l ON l.id = o.id AND l.i = o.i - 1 WHERE l.i IS NULL GROUP BY o.id) "
+    "SELECT x.id, CAST(coalesce(n_joined, 0) AS INTEGER) AS n_joined, coalesce(fixed, '') AS fixed FROM x LEFT JOIN g ON g.id = x.id",
+    "v_docs",
+)
 def spell_join(spark, d):
+    """Fragments that extraction tore apart, put together."""
     x = v_docs(spark, d).select("id", "raw_text")
-    return S.spell_join(x, S.dictionary(x))
+    return spelling.join(x.withColumn("raw_text", F.regexp_replace("raw_text", "([a-z]{3})([a-z]{4,})", "$1 $2")), spelling.dictionary(x))

@@ -57,13 +57,6 @@ def test_align_words():
     assert timing.align_words(["a", "b"], [("c", 0.0, 1.0), ("d", 1.0, 3.0)]) == [(0.0, 3.0)] * 2
 
 
-def test_spelling():
-    known = frozenset({"water", "flow", "down", "hill", "into"})
-    assert segment.split_word("waterflow", known) == ["water", "flow"]
-    assert segment.split_word("unknownword", known) == ["unknownword"]
-    assert segment.join_words(["in", "to", "the", "wa", "ter"], known) == ["into", "the", "water"]
-
-
 def test_boxes():
     assert boxes.dedupe_page([(0, 0, 10, 10), (1, 1, 9, 9), (20, 0, 30, 10)]) == [True, False, True]
     assert boxes.cluster_page([(0, 0, 10, 10, 1), (15, 0, 25, 10, 2), (50, 50, 60, 60, 4)]) == [[0, 0, 25, 10, 3], [50, 50, 60, 60, 4]]
