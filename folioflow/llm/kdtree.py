@@ -10,9 +10,9 @@ cell or bucket (at most ``BUCKETS`` a cell and round), whatever the number of do
 Cells are split until the wanted number of leaves is there, or until every leaf has at most
 the target bytes. The dimensions are the text's bytes, whole-number metadata columns that
 the caller names (null counts as -1) and, so that ties can be told apart, a hash of the
-text. Where the named columns follow from the text, as n_chars does, equal texts stay
-together; only a group of copies that alone outweighs ``SPLIT`` of a shard is divided, by a
-hash of doc_id. Without named columns all dimensions are functions of the text.
+text. Equal texts stay together whatever their metadata say: all copies of a text take the
+least value that one of them has of a named column (``of_groups``). Only a group of copies
+that alone outweighs ``SPLIT`` of a shard is divided, by a hash of doc_id.
 
 Cuts are CASE expressions over the cells; beyond ``FEW`` cells each level is stored.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import parts, stored
+from ._store import parts, scratch, stored
 
 BUCKETS = 1024
 SPLIT = 0.05
@@ -46,6 +46,16 @@ def measured(docs: DataFrame, dimensions: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def of_groups(meta: DataFrame) -> DataFrame:
+    """``meta``, stored, with each named column's least value among the rows of equal size and text hashes."""
+    named = [c for c in meta.columns if c[0] == "m" and c[1:].isdigit()]
+    if not named:
+        return meta
+    keys = ["d1", "size", "text_crc32"]
+    least = stored(meta.groupBy(*keys).agg(*[F.min(c).alias(c) for c in named]), "kdtree-least")
+    return stored(meta.drop(*named).join(least.hint("merge"), keys).select(*meta.columns), "kdtree-alike")
+
+
 def _case(pairs: list[tuple[int, Column]], key: Column, other: Column) -> Column:
     out = None
     for value, then in pairs:
@@ -182,6 +192,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, split: float = SPLIT, targ
     levels = shards.bit_length() - 1
     if shards != 1 << levels:
         raise ValueError("shards has to be a power of two")
-    meta = stored(measured(docs, dimensions), "kdtree-meta")
-    out = with_slots(stored(leaves(meta, levels, split, target_bytes).select("doc_id", "size", "text_crc32", "shard"), "kdtree-leaves"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    with scratch(docs.sparkSession):
+        meta = of_groups(stored(measured(docs, dimensions), "kdtree-meta"))
+        out = with_slots(stored(leaves(meta, levels, split, target_bytes).select("doc_id", "size", "text_crc32", "shard"), "kdtree-leaves"))
+        out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        return stored(out, "kdtree-out", keep=True)
