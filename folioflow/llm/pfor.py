@@ -6,15 +6,16 @@ need, and those that need more are exceptions: their places and whole difference
 the packed bits. An index holds the start of every block and the end of every document, so
 any range of ids is read from its own blocks alone.
 
-Layout, little endian: a header (magic, ids a block, documents, ids, partition, number),
-document ids, which of them are null, document ends, block starts, blocks (least id, width,
-number of exceptions, packed bits, places, differences), a CRC-32 of all that. What follows
-is ignored: Spark's text sink, which commits the files, puts a line end there.
+Layout, little endian: segments, each a header (magic, ids a block, documents, ids,
+partition, number), document ids, which of them are null, document ends, block starts,
+blocks (least id, width, number of exceptions, packed bits, places, differences), a CRC-32
+of all that and a line end, which is Spark's text sink's, which commits the files.
 
 Documents are dealt to partitions by ranges of doc_id and sorted inside them; a partition
-is written as files of about ``IDS`` ids, so a task holds one such file and one block of
-texts. Partition and number give the files' order, from which, with one row a partition in
-one place, follows how many ids come before each file.
+is written as segments of about ``IDS`` ids, ``SEGMENTS`` a file, so a task holds one segment
+and one block of texts, or one file when it reads. Partition and number give the segments'
+order, from which, with one row a partition in one place, follows how many ids come before
+each segment.
 
 Encoding. The library encodes whole texts at about 1 MB a second, several times the time
 that all else takes, and texts repeat their words. White space and the end of a run of
@@ -47,13 +48,23 @@ from ._store import stored
 BLOCK = 128
 PERCENTILE = 0.9
 IDS = 1 << 20
-KNOWN = 1 << 21
+SEGMENTS = 8
+KNOWN = 1 << 20
+STEP = 512  # blocks that are packed or unpacked at once
 HEADER = struct.Struct("<4sIQQqq")
 MAGIC = b"PFR1"
 HEAD = 6  # bytes before a block's packed bits: least id, width, number of exceptions
 ROWS = "part long, number long, place long, doc_id long, first long, ids binary"
 
 
+def _alike(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of one width, at most ``STEP`` at once."""
+    for w in np.unique(width[width > 0]).tolist():
+        some = np.flatnonzero(width == w)
+        for a in range(0, len(some), STEP):
+            yield w, some[a : a + STEP]
+
+
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, np.ndarray]:
     """The blocks of ``ids`` (unsigned 32 bits) one after another, and the starts of all and the end of the last."""
     n = -(-len(ids) // BLOCK)
@@ -74,9 +85,10 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, n
     head = np.concatenate((least.astype("<u4").view(np.uint8).reshape(n, 4), width.astype(np.uint8)[:, None], extra.astype(np.uint8)[:, None]), 1)
     out[starts[:-1, None] + np.arange(HEAD)] = head
     low = np.where(odd, 0, delta)
-    for w in np.unique(width[width > 0]).tolist():
-        some = np.flatnonzero(width == w)
-        bits = (low[some][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+    for w, some in _alike(width):
+        bits = np.empty((len(some), BLOCK, w), dtype=np.uint8)
+        for i in range(w):
+            bits[:, :, i] = low[some] >> np.uint32(i) & np.uint32(1)
         out[starts[some, None] + HEAD + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
     nth = np.arange(len(row)) - np.concatenate(([0], np.cumsum(extra)))[row]
     tail = starts[row] + HEAD + BLOCK // 8 * width[row]
@@ -92,8 +104,7 @@ def unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     least = head[:, :4].copy().view("<u4")[:, 0]
     width, extra = head[:, 4].astype(np.int64), head[:, 5].astype(np.int64)
     delta = np.zeros((n, BLOCK), dtype=np.uint32)
-    for w in np.unique(width[width > 0]).tolist():
-        some = np.flatnonzero(width == w)
+    for w, some in _alike(width):
         bits = np.unpackbits(data[starts[some, None] + HEAD + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(-1, w)
         kind = np.float32 if w <= 24 else np.float64  # both hold such sums exactly
         delta[some] = (bits.astype(kind) @ (2.0 ** np.arange(w)).astype(kind)).astype(np.uint32).reshape(-1, BLOCK)
@@ -105,7 +116,7 @@ def unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def to_file(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, part: int = 0, number: int = 0, percentile: float = PERCENTILE) -> bytes:
-    """One file: ``ends`` are the documents' ends among ``ids``."""
+    """One segment: ``ends`` are the documents' ends among ``ids``."""
     blocks, starts = pack(ids, percentile)
     null = np.packbits(np.array([d is None for d in doc_ids], dtype=bool), bitorder="little")
     body = [HEADER.pack(MAGIC, BLOCK, len(doc_ids), len(ids), part, number), np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(), null.tobytes(), ends.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), blocks.tobytes()]
@@ -113,10 +124,10 @@ def to_file(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, part:
     return raw + struct.pack("<I", zlib.crc32(raw))
 
 
-class TokenFile:
-    """A file that was read: its documents, and any range of its ids. Raises ValueError where the bytes are damaged."""
+class Segment:
+    """A segment that was read: its documents, and any range of its ids. Raises ValueError where the bytes are damaged."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes | memoryview):
         if len(raw) < HEADER.size or raw[:4] != MAGIC:
             raise ValueError("not a token file")
         _, block, docs, self.n_ids, self.part, self.number = HEADER.unpack_from(raw)
@@ -133,7 +144,16 @@ class TokenFile:
         stop = at + int(self.starts[-1])
         if stop + 4 > len(data) or zlib.crc32(data[:stop]) != struct.unpack_from("<I", raw, stop)[0]:
             raise ValueError("a damaged token file")
-        self.blocks = data[at:stop]
+        self.blocks, self.size = data[at:stop], stop + 4
+
+    @classmethod
+    def all(cls, raw: bytes) -> Iterator[Segment]:
+        """The segments of a file."""
+        at = 0
+        while at < len(raw):
+            found = cls(memoryview(raw)[at:])
+            yield found
+            at += found.size + 1
 
     def ids(self, first: int = 0, end: int | None = None) -> np.ndarray:
         """Ids first to end, from their own blocks."""
@@ -174,7 +194,7 @@ class Encoder:
         return spec
 
     def clear(self) -> None:
-        self.keys, self.at, self.n, self.flat = np.zeros(0, W.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.at, self.n, self.flat = np.zeros(0, W.U), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Has new pieces encoded; ``keys`` are theirs, in ascending order."""
@@ -192,23 +212,26 @@ class Encoder:
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of every piece of the rows of ``data``."""
-        start, end, _ = W.spans(data, offsets)
-        if len(data) > 1:
-            cut = np.flatnonzero(LETTER[data[:-1]] & PLAIN[data[1:]] & ~W.SPACE[data[1:]]) + 1
-            cut = cut[~np.isin(cut, offsets)]
-            raw = data.tobytes() if len(cut) else b""
-            for text in self.special:
-                i = raw.find(text)
-                while i >= 0:
-                    cut = cut[(cut <= i) | (cut >= i + len(text))]
-                    i = raw.find(text, i + 1)
-            start, end = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
-        return start, end
+        solid = ~W.SPACE[data]
+        first = np.zeros(len(data), dtype=bool)
+        first[1:] = LETTER[data[:-1]] & PLAIN[data[1:]]
+        raw = data.tobytes()
+        for text in self.special:
+            i = raw.find(text)
+            while i >= 0:
+                first[i + 1 : i + len(text)] = False
+                i = raw.find(text, i + 1)
+        first[1:] |= ~solid[:-1]
+        first[offsets[:-1][offsets[:-1] < len(data)]] = True
+        first &= solid
+        last = solid.copy()
+        last[:-1] &= first[1:] | ~solid[1:]
+        return np.flatnonzero(first), np.flatnonzero(last) + 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row)."""
         start, end = self.pieces(data, offsets)
-        if not len(start):
+        if not len(start):  # nothing but white space
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         keys, first, back = np.unique(W.word_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.keys) > self.known:
@@ -219,7 +242,7 @@ class Encoder:
             raw = data.tobytes()
             self.learn(keys[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
-        n = self.n[at][back]
+        n = self.n[at][back].astype(np.int64)
         stop = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[at][back] - stop + n, n) + np.arange(int(stop[-1]))]
         sums = np.concatenate(([0], stop))
@@ -269,9 +292,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, i
         part, number, held = None, 0, 0
         end = np.array([end_id], dtype=np.uint32)
 
-        def file() -> pa.RecordBatch:
+        def segment() -> pa.RecordBatch:
             raw = to_file(names, np.cumsum([len(x) for x in have]), np.concatenate(have), part, number, percentile)
-            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["file"])
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["segment"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -282,30 +305,35 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, i
                 have.append(np.concatenate((got, end)))
                 held += len(have[-1])
                 if held >= ids:
-                    yield file()
+                    yield segment()
                     names, have, number, held = [], [], number + 1, 0
         if names:
-            yield file()
+            yield segment()
 
-    files = rows.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "file binary")
-    files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    segments = rows.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "segment binary")
+    segments.select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """part, number and place (a document's order), doc_id, first (its start in its file) and ids (little endian, 32 bits each, with the end id) of every document in the folder."""
 
+    def rows(part: Segment) -> Iterator[pa.RecordBatch]:
+        a, n = 0, len(part.doc_ids)
+        while a < n:
+            low = int(part.ends[a - 1]) if a else 0
+            b = min(n, max(a + 1, int(np.searchsorted(part.ends, low + IDS // 8))))
+            edge = np.concatenate(([low], part.ends[a:b]))
+            raw = part.ids(low, int(edge[-1])).astype("<u4").tobytes()
+            ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(4 * (edge - low)), pa.py_buffer(raw)]).cast(pa.binary())
+            order = [pa.array(np.full(b - a, part.part)), pa.array(np.full(b - a, part.number)), pa.array(np.arange(a, b))]
+            yield pa.RecordBatch.from_arrays([*order, pa.array(part.doc_ids[a:b], mask=part.null[a:b]), pa.array(edge[:-1]), ids], ["part", "number", "place", "doc_id", "first", "ids"])
+            a = b
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in filter(None, batch.column("content").to_pylist()):  # an empty table makes an empty file
-                file = TokenFile(raw)
-                n = len(file.doc_ids)
-                for a in range(0, n, 4096):
-                    b = min(n, a + 4096)
-                    edge = np.concatenate(([file.ends[a - 1] if a else 0], file.ends[a:b]))
-                    raw_ids = file.ids(int(edge[0]), int(edge[-1])).astype("<u4").tobytes()
-                    ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((4 * (edge - edge[0])).astype(np.int64)), pa.py_buffer(raw_ids)]).cast(pa.binary())
-                    order = [pa.array(np.full(b - a, file.part)), pa.array(np.full(b - a, file.number)), pa.array(np.arange(a, b))]
-                    yield pa.RecordBatch.from_arrays([*order, pa.array(file.doc_ids[a:b], mask=file.null[a:b]), pa.array(edge[:-1]), ids], ["part", "number", "place", "doc_id", "first", "ids"])
+            for i in range(batch.num_rows):
+                for part in Segment.all(batch.column("content")[i].as_py()):  # none in the empty file of an empty table
+                    yield from rows(part)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ROWS)
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +37,7 @@ def test_blocks_round_trip(n, high):
     ids[r.random(n) < 0.05] = high - 1
     data, starts = pfor.pack(ids, 0.9)
     assert (pfor.unpack(data, starts[:-1])[:n] == ids).all() and len(starts) == -(-n // pfor.BLOCK) + 1
-    file = pfor.TokenFile(pfor.to_file([1, None, -3], np.array([0, n // 2, n]), ids, 4, 5) + b"\n")
+    file = pfor.Segment(pfor.to_file([1, None, -3], np.array([0, n // 2, n]), ids, 4, 5) + b"\n")
     assert (file.ids() == ids).all() and (file.ids(n // 3, n // 2) == ids[n // 3 : n // 2]).all()
     assert file.doc_ids.tolist() == [1, 0, -3] and file.null.tolist() == [False, True, False] and (file.part, file.number) == (4, 5)
 
@@ -54,7 +56,7 @@ def test_damaged_files_are_told():
     raw = pfor.to_file([1], np.array([300]), np.arange(300, dtype=np.uint32))
     for bad in (b"", raw[:40], raw[:-5], b"x" + raw[1:], raw[:200] + bytes([raw[200] ^ 1]) + raw[201:]):
         with pytest.raises(ValueError):
-            pfor.TokenFile(bad)
+            pfor.Segment(bad)
 
 
 def test_pieces_give_the_library_s_ids(encoder):
@@ -121,7 +123,7 @@ def test_op11_against_the_library(spark, encoder, sf):
 
 def means(vectors, k, scale, rounds, seed):
     """Sort-means by brute force in Python's integers."""
-    kept = [(i, [int(np.floor(np.float64(x) * scale)) if abs(x) < 1e15 else max(-(1 << 62), min(1 << 62, int(x) * scale)) for x in v]) for i, v in vectors]
+    kept = [(i, [max(-(1 << 62), min(1 << 62, math.floor(Fraction(x) * scale))) for x in v]) for i, v in vectors]
     order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1]))
     centres = [v for _, v in order[:k]]
     far = lambda v, c: sum((a - b) ** 2 for a, b in zip(v, c))
