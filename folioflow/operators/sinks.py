@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 
 def sequential_ids(rows: DataFrame, key: str, last: Column, width: int = 100_000) -> DataFrame:
     """``rows`` with ``id`` = ``last`` + 1, 2, ... by the integer ``key``, which is unique.
@@ -14,11 +16,12 @@ def sequential_ids(rows: DataFrame, key: str, last: Column, width: int = 100_000
     Rows are numbered inside ranges of ``width`` keys; only the ranges' counts, a row each,
     go through one window over all.
     """
-    part = F.floor(F.col(key) / width)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
-    x = rows.withColumn("_part", part).withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    return x.join(starts, "_part").withColumn("id", last + F.col("_before") + F.col("_rn")).drop("_part", "_before", "_rn")
+    part, n, first, rn = fresh(["part_", "n_", "before_", "rn_"], rows)
+    place = F.floor(F.col(key) / width)
+    before = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy(place.alias(part)).agg(F.count("*").alias(n)).select(part, before.alias(first))
+    x = rows.withColumn(part, place).withColumn(rn, F.row_number().over(Window.partitionBy(part).orderBy(key)))
+    return x.join(starts, part).withColumn("id", last + F.col(first) + F.col(rn)).drop(part, first, rn)
 
 
 def append_rows(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -44,7 +47,8 @@ def left_to_do(todo: DataFrame, done: DataFrame, keys: list[str], error: str = "
 def latest_results(done: DataFrame, keys: list[str], batch: str = "batch", error: str = "error") -> DataFrame:
     """One result for each key: one without an error before one with, then that of the latest batch."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(error).isNotNull(), F.desc(batch)))
-    return done.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
+    (rn,) = fresh(["rn_"], done)
+    return done.withColumn(rn, rank).where(F.col(rn) == 1).drop(rn)
 
 
 def batches(pages: DataFrame, keys: list[str], order: str, size: int = 3) -> DataFrame:
