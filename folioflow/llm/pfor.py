@@ -49,7 +49,7 @@ BLOCK = 128
 PERCENTILE = 0.9
 IDS = 1 << 20
 SEGMENTS = 8
-KNOWN = 1 << 20
+KNOWN = 1 << 21
 STEP = 512  # blocks that are packed or unpacked at once
 HEADER = struct.Struct("<4sIQQqq")
 MAGIC = b"PFR1"
@@ -176,11 +176,16 @@ class Encoder:
     #: The pattern of such vocabularies.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    #: Put between pieces that are encoded in one call; a token that no piece without it can give.
+    MARK = "~"
+
     def __init__(self, spec: str, known: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.library, self.known = Tokenizer.from_str(spec), known
         self.special = [t["content"].encode() for t in json.loads(spec)["added_tokens"]]
+        mark = self.library.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.clear()
 
     @classmethod
@@ -197,15 +202,25 @@ class Encoder:
         self.keys, self.at, self.n, self.flat = np.zeros(0, W.U), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Has new pieces encoded; ``keys`` are theirs, in ascending order."""
-        parts, counts = [], []
-        for i in range(0, len(pieces), 4096):
+        """Has new pieces encoded; ``keys`` are theirs."""
+        plain = np.array([self.mark is not None and self.MARK not in p for p in pieces])
+        keys, pieces = np.concatenate((keys[plain], keys[~plain])), [p for p, x in zip(pieces, plain) if x] + [p for p, x in zip(pieces, plain) if not x]
+        parts, counts, split = [], [], int(plain.sum())
+        for i in range(0, split, 256):
+            some = pieces[i : min(i + 256, split)]
+            ids = np.array(self.library.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            counts.append(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+            parts.append(np.delete(ids, at))
+        for i in range(split, len(pieces), 4096):
             some = pieces[i : i + 4096]
             got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
             parts.append(np.array(got.ids, dtype=np.uint32))
             counts.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(some)) if got.ids else np.zeros(len(some), np.int64))
         n = np.concatenate(counts)
         at = len(self.flat) + np.cumsum(n) - n
+        order = np.argsort(keys)
+        keys, at, n = keys[order], at[order], n[order]
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
         self.flat = np.concatenate((self.flat, *parts))

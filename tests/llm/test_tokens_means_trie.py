@@ -61,7 +61,7 @@ def test_damaged_files_are_told():
 
 def test_pieces_give_the_library_s_ids(encoder):
     r = random.Random(1)
-    some = ["a", "B", "s", "'", "'s", "'re", "t", "1", "23", ",", "!", "é", "é", "́", "Σ", "ς", "İ", "İ", " ", "\n", "\t", " ", "\u0085", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "startoftext", "ß", "日本", "😀", "‍", "ﬁ", "½", "."]
+    some = ["a", "B", "s", "'", "'s", "'re", "t", "1", "23", ",", "!", "é", "é", "́", "Σ", "ς", "İ", "İ", " ", "\n", "\t", " ", "\u0085", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "startoftext", "~", "~~", "ß", "日本", "😀", "‍", "ﬁ", "½", "."]
     texts = ["".join(r.choice(some) for _ in range(r.randint(0, 40))) for _ in range(6000)] + [None, "", "  "]
     got = [x.tolist() for x in encoder.rows(pa.array(texts))]
     assert got == [x.ids for x in encoder.library.encode_batch([x or "" for x in texts], add_special_tokens=False)]
