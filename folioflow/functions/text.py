@@ -66,9 +66,13 @@ def compact(c: Column) -> Column:
     return R(title_normalize(c), r"(?U)\s+", "")
 
 
+# A letter apart from its word, space before punctuation, wide space.
+SPACED = [(r"(?U)\b([A-Za-z])\s(?=[a-z]{2,}\b)", "$1"), (r"(?U)\s+([:;,.])\s*", "$1 "), (r"(?U)\s{2,}", " ")]
+
+
 def despace(c: Column) -> Column:
     """Joins a letter to the rest of its word, as letter-spaced headers need."""
-    return strip(chain(c, (r"(?U)\b([A-Za-z])\s(?=[a-z]{2,}\b)", "$1"), (r"(?U)\s+([:;,.])\s*", "$1 "), (r"(?U)\s{2,}", " ")))
+    return strip(chain(c, *SPACED))
 
 
 # Page numbers before and after a header, and a school year.
@@ -200,10 +204,13 @@ def keywords(c: Column, most: int = 8) -> Column:
     return F.when(F.size(w) > 0, F.array_join(F.slice(w, 1, most), ", ")).otherwise("educational concept")
 
 
+# Fixed value: a caption's label and title.
+CAPTION = r"(?i)^\s*((?:Fig|Figure|Table)\.?\s*\d+(?:\.\d+)?)\s*[:.\-]?\s*(.*)$"
+
+
 def caption(c: Column) -> tuple[Column, Column]:
     """Label and title of 'Fig. 6.1: Title'; null where absent."""
-    pattern = r"(?i)^\s*((?:Fig|Figure|Table)\.?\s*\d+(?:\.\d+)?)\s*[:.\-]?\s*(.*)$"
-    label, title = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
+    label, title = F.regexp_extract(c, CAPTION, 1), F.regexp_extract(c, CAPTION, 2)
     return F.nullif(label, F.lit("")), F.nullif(title, F.lit(""))
 
 
@@ -226,6 +233,28 @@ def title_from_path(c: Column) -> Column:
     return F.when(rest == "", F.concat(F.lit("Chapter "), F.coalesce(number.cast("string"), F.lit("")))).otherwise(F.initcap(F.lower(rest)))
 
 
+# What a catalogue's titles leave out of file names, and directories whose name they keep.
+CLASS_PREFIX, SUBJECT_PREFIX = r"(?i)class-?\d+[-_]", r"(?i)^(science|maths|mathematics|physics|chemistry|biology|social|english|hindi|sanskrit)-?"
+TITLE_DIRS = ["sanskrit", "hindi"]
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first, whatever stands before it, and the rest small."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2))))), "")
+
+
+def catalogue_title(c: Column) -> Column:
+    """A catalogue's title for a path: the file name without class and subject before it, in title case, after the first language directory that it doesn't name; the file name where nothing is left."""
+    parts = F.split(c, "/")
+    name = F.element_at(parts, -1)
+    base = chain(F.replace(name, F.lit(".pdf"), F.lit("")), (CLASS_PREFIX, ""), (SUBJECT_PREFIX, ""))
+    base = title_case(R(strip(F.translate(base, "-_", "  ")), r"(?U)\s+", " "))
+    folder = F.get(F.filter(parts, lambda p: F.lower(p).isin(TITLE_DIRS) & ~F.contains(F.lower(base), F.lower(p))), F.lit(0))
+    full = F.when(folder.isNotNull(), F.concat(title_case(folder), F.lit(" "), base)).otherwise(base)
+    return F.when(full == "", name).otherwise(full)
+
+
 # Beginnings of directory names and the subjects that they mean, in order of precedence.
 SUBJECT_DIRS = [("social-science", "social-science"), ("social", "social-science"), ("science", "science"), ("physics", "science"), ("chemistry", "science"), ("biology", "science"), ("mathematics", "mathematics"), ("maths", "mathematics"), ("health-and-physical-education", "health-and-physical-education"), ("health", "health-and-physical-education"), ("physical-education", "health-and-physical-education"), ("physical", "health-and-physical-education"), ("english", "english"), ("hindi", "hindi"), ("sanskrit", "sanskrit")]
 # Keywords of paths and their language packs, in order of precedence.
@@ -254,14 +283,17 @@ def html_table_to_text(c: Column) -> Column:
     return F.when(~F.contains(c, F.lit("<table")), c).when(F.size(rows) == 0, tags(c)).otherwise(F.array_join(F.transform(rows, cells), "\n"))
 
 
+# Fixed value: a grounded line's kind, box and content.
+GROUNDED = r"(?s)^\s*(\w+)\s*\[\s*[\d.,\s-]*\]\s*(.*)$"
+
+
 def grounded_to_text(c: Column) -> Column:
     """Grounded layout lines (kind [box] content) as plain text: images, page numbers and refusals go, tables become rows."""
-    pattern = r"(?s)^\s*(\w+)\s*\[\s*[\d.,\s-]*\]\s*(.*)$"
     lines = F.filter(F.transform(F.split(c, r"\r?\n"), strip), lambda x: (x != "") & ~any_of([F.contains(F.lower(x), F.lit(p)) for p in REFUSALS]))
 
     def one(x: Column) -> Column:
-        kind = F.regexp_extract(x, pattern, 1)
-        return F.when(kind.isin("image", "page_number"), "").when(kind != "", strip(html_table_to_text(strip(F.regexp_extract(x, pattern, 2))))).otherwise(x)
+        kind = F.regexp_extract(x, GROUNDED, 1)
+        return F.when(kind.isin("image", "page_number"), "").when(kind != "", strip(html_table_to_text(strip(F.regexp_extract(x, GROUNDED, 2))))).otherwise(x)
 
     return F.array_join(F.filter(F.transform(lines, one), lambda x: x != ""), "\n")
 

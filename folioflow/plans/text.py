@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import identify, spelling, votes
 from ..operators import segment as S
-from ..operators import spelling, votes
-from ..sources.tables import table, v_docs, v_headers, v_page_headers, v_paths, v_versions, with_views
+from ..sources.tables import table, v_book_pages, v_books, v_docs, v_headers, v_page_headers, v_paths, v_versions, with_views
 
 Q: dict = {}
 O: dict = {}
@@ -327,6 +327,72 @@ def identify_cascade(spark, d):
     return x.select("id", name.alias("name"), method.alias("method"))
 
 
+TITLED = "array_to_string(list_transform(regexp_extract_all({c}, '\\p{{L}}+|\\P{{L}}+'), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), '')"
+NAMES = ", n AS (SELECT id, CASE id % 5 WHEN 0 THEN regexp_replace(path, '/([^/]*)$', '/class-9_Science-\\1') WHEN 1 THEN regexp_replace(path, '/([^/]*)$', '/maths') || '.pdf' WHEN 2 THEN regexp_replace(path, '/([^/]*)$', '/physics-it''s 3rd_\\1') ELSE path END AS path FROM v_paths), "
+
+
+@query(
+    NAMES + "b AS (SELECT id, str_split(path, '/') AS parts, " + TITLED.format(c="regexp_replace(" + STRIP.format("translate(regexp_replace(regexp_replace(replace(str_split(path, '/')[-1], '.pdf', ''), '(?i)class-?\\d+[-_]', '', 'g'), '(?i)^(science|maths|mathematics|physics|chemistry|biology|social|english|hindi|sanskrit)-?', ''), '-_', '  ')") + ", '\\s+', ' ', 'g')") + " AS base FROM n), "
+    "f AS (SELECT *, list_filter(parts, lambda p: lower(p) IN ('sanskrit', 'hindi') AND NOT contains(lower(base), lower(p)))[1] AS folder FROM b) SELECT id, CASE WHEN folder IS NOT NULL THEN " + TITLED.format(c="folder") + " || ' ' || base WHEN base = '' THEN parts[-1] ELSE base END AS title FROM f",
+    "v_paths",
+)
+def title_catalogue(spark, d):
+    """The catalogue's title of a path, with its language directory before it."""
+    last = lambda to: F.regexp_replace("path", "/([^/]*)$", to)
+    path = F.when(F.col("id") % 5 == 0, last("/class-9_Science-$1")).when(F.col("id") % 5 == 1, F.concat(last("/maths"), F.lit(".pdf"))).when(F.col("id") % 5 == 2, last("/physics-it's 3rd_$1")).otherwise(F.col("path"))
+    return v_paths(spark, d).select("id", T.catalogue_title(path).alias("title"))
+
+
+@query(", s AS (SELECT id, CASE id % 3 WHEN 0 THEN t || ' (' || left(t, 5) || ')' WHEN 1 THEN t || ' &  ' || left(t, 5) ELSE t END AS t FROM v_headers) SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[()]', '', 'g'), '\\s*&\\s*', '-and-', 'g'), '\\s+', '-', 'g'), '[^a-z0-9-]', '_', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM s", "v_headers")
+def slugify_subject(spark, d):
+    """Subjects as parts of addresses."""
+    t = F.when(F.col("id") % 3 == 0, F.concat("t", F.lit(" ("), F.left("t", F.lit(5)), F.lit(")"))).when(F.col("id") % 3 == 1, F.concat("t", F.lit(" &  "), F.left("t", F.lit(5)))).otherwise(F.col("t"))
+    return v_headers(spark, d).select("id", T.slugify_subject(t).alias("slug"))
+
+
+@query(", s AS (SELECT id, regexp_replace(regexp_replace(t, '[^\\x00-\\x7F]', 'x', 'g'), '\\b([A-Z])([a-z]{2,})', '\\1 \\2 ', 'g') AS t FROM v_headers) SELECT id, " + STRIP.format("regexp_replace(regexp_replace(regexp_replace(t, '\\b([A-Za-z])\\s([a-z]{2,}\\b)', '\\1\\2', 'g'), '\\s+([:;,.])\\s*', '\\1 ', 'g'), '\\s{2,}', ' ', 'g')") + " AS title FROM s", "v_headers")
+def title_despace(spark, d):
+    """Letter-spaced headers, put together again."""
+    return v_headers(spark, d).select("id", T.despace(F.regexp_replace(F.regexp_replace("t", r"[^\x00-\x7F]", "x"), r"\b([A-Z])([a-z]{2,})", "$1 $2 ")).alias("title"))
+
+
+#: The rules that RE2 can run too: all but those that look ahead.
+PLAIN_RULES = {k: [r for r in v if "(?!" not in r[0]] for k, v in identify.RULES.items()}
+PLAIN_RULES = {k: v for k, v in PLAIN_RULES.items() if v}
+TIDY = "regexp_replace(regexp_replace(regexp_replace(" + STRIP.format("{c}") + ", '\\s+', ' ', 'g'), '[.,;:]+$', ''), '\\s+([,;.])', '\\1', 'g')"
+GOOD = "coalesce(length(regexp_replace({c}, '[:;, ]+$', '')) >= 4 AND NOT regexp_matches(regexp_replace({c}, '[:;, ]+$', ''), '(?i)^Chapter\\s+\\d+$') AND NOT regexp_matches(regexp_replace({c}, '[:;, ]+$', ''), '^\\d+$') AND lower(regexp_replace({c}, '[:;, ]+$', '')) NOT IN ('" + "', '".join(T.SUBJECTS) + "'), false)"
+HITS = " UNION ALL ".join(
+    f"SELECT doc, page, {place} AS place, regexp_extract(text, '(?m){pattern}', {title}) AS name, " + (f"TRY_CAST(regexp_extract(text, '(?m){pattern}', {number}) AS INTEGER)" if number else "NULL") + f" AS number FROM first_pages WHERE rules = '{subject}'"
+    for subject, each in PLAIN_RULES.items() for place, (pattern, number, title) in enumerate([(p.replace("\\w", "\\pL\\pN_"), n, t) for p, n, t in each])
+)
+RULED = ", first_pages AS (SELECT doc, page, text, CASE WHEN subject IN ('" + "', '".join(PLAIN_RULES) + "') THEN subject ELSE 'social-science' END AS rules FROM v_book_pages WHERE page < 4), hits AS (SELECT doc, page, place, " + TIDY.format(c="name") + " AS name, number FROM (" + HITS + ")), ruled AS (SELECT doc, r.name AS name, r.number AS number, r.page + 1 AS start_page FROM (SELECT doc, arg_min({'name': name, 'number': number, 'page': page}, {'p': page, 'q': place}) AS r FROM hits WHERE name <> '' GROUP BY doc))"
+
+
+@query(RULED + " SELECT doc, name, number, start_page FROM ruled", "v_book_pages")
+def rule_titles(spark, d):
+    """Chapters by the rules of a book's subject over its first four pages, the first match by page and rule."""
+    return identify.by_rules(v_book_pages(spark, d), identify.rules(spark, PLAIN_RULES), list(PLAIN_RULES))
+
+
+VOTED = (
+    ", said AS (SELECT doc, page, name, " + LOW.format(c="name") + " AS norm FROM (SELECT doc, page, regexp_replace(" + STRIP.format("context") + ", '[:;, ]+$', '') AS name FROM v_book_pages) WHERE " + GOOD.format(c="name") + "), "
+    "fair AS (SELECT * FROM said WHERE NOT (length(norm) >= 10 AND (" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in T.PAGE_HEADERS for c in ("norm", "regexp_replace(norm, '\\s+', '', 'g')")) + "))), "
+    "voted AS (SELECT doc, name FROM (SELECT doc, arg_max(name, {'l': length(name), 'i': -page}) AS name, row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, length(norm) DESC, norm) AS rn FROM fair GROUP BY doc, norm) WHERE rn = 1)"
+)
+
+
+@query(
+    RULED + VOTED + ", f AS (SELECT b.*, v.name AS voted, r.name AS ruled, r.number AS ruled_number, TRY_CAST(nullif(regexp_extract(path, '(?i)ch(\\d+)', 1), '') AS INTEGER) AS chapter FROM v_books b LEFT JOIN voted v ON v.doc = b.doc LEFT JOIN ruled r ON r.doc = b.doc), "
+    "i AS (SELECT *, coalesce(header, known, ruled, line, 'Chapter ' || chapter) AS initial, CASE WHEN header IS NOT NULL THEN 'header' WHEN known IS NOT NULL THEN 'known' WHEN ruled IS NOT NULL THEN 'content' WHEN line IS NOT NULL THEN 'line' WHEN chapter IS NOT NULL THEN 'filename' END AS how FROM f), "
+    "c AS (SELECT doc, CASE WHEN " + GOOD.format(c="current") + " THEN current WHEN voted IS NOT NULL THEN voted WHEN " + GOOD.format(c="initial") + " THEN initial ELSE regexp_replace(coalesce(synthesis, ''), '[:;, ]+$', '') END AS name, CASE WHEN how = 'content' THEN coalesce(ruled_number, chapter) ELSE chapter END AS number, CASE WHEN " + GOOD.format(c="current") + " THEN 'kept' WHEN voted IS NOT NULL THEN 'page-aggregated' WHEN " + GOOD.format(c="initial") + " THEN how ELSE 'comprehensive' END AS method FROM i) "
+    "SELECT doc, name, number, CASE WHEN " + GOOD.format(c="name") + " THEN method ELSE 'heuristic' END AS method FROM c",
+    "v_book_pages", "v_books",
+)
+def identify_votes(spark, d):
+    """A book's chapter: a good name stays, then its pages' vote, its own sources in order, a synthesis; what is no title is flagged."""
+    return identify.identify(v_books(spark, d), v_book_pages(spark, d), identify.rules(spark, PLAIN_RULES), list(PLAIN_RULES))
+
+
 NAMED = "upper(left({w}, 1)) || lower(substr({w}, 2))"
 KEYWORDS = (
     ", w AS (SELECT video_id, version_no, regexp_extract_all(regexp_replace(text, '\\[[A-Z ]+\\]\\s*', '', 'g'), '[A-Za-z]+') AS w FROM v_versions), h AS (SELECT *, list_filter(w, lambda x: lower(x) NOT IN ('" + "', '".join(S.STOPWORDS) + "')) AS h FROM w), "

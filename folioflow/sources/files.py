@@ -31,6 +31,17 @@ def read_whole_texts(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(name, path, length, modified) of the files in a folder whose name fits, by name."""
+    x = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root).drop("content")
+    return x.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", F.col("modificationTime").alias("modified")).orderBy("name")
+
+
+def last_by_name(df: DataFrame, n: int = 1) -> DataFrame:
+    """The last files of a listing by name, as names with dates in them need."""
+    return df.orderBy(F.desc("name")).limit(n)
+
+
 def list_newest(df: DataFrame, n: int = 1) -> DataFrame:
     """The newest files of a listing by time, ties by name from behind."""
     return df.orderBy(F.desc("modified"), F.desc("path")).limit(n)

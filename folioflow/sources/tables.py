@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,36 @@ def v_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.call_function("div", i, F.lit(5)).alias("pdf"), (i % 5).alias("page"), t.alias("t"))
 
 
+#: Titles as books print them, good ones and others, and the subjects of books.
+TITLES = ["Describing Motion Around Us", "Sound Waves: Characteristics", "REAL NUMBERS", "Power Sharing", "Chapter 7", "Mathematics", "Physical Education: Relationship with Other Subjects", "Health and Physical Education - Class X"]
+BOOK_SUBJECTS = ["science", "mathematics", "social-science", "hindi"]
+
+
+def _pick(values: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+
+
+def v_book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of books of five documents: some begin with the chapter's title in one of several layouts; context is the title as a reader found it on the page."""
+    k, p, text = F.call_function("div", F.col("doc_id"), F.lit(5)), F.col("doc_id") % 5, F.col("text")
+    title, n = _pick(TITLES, k), (k % 17 + 1).cast("string")
+    layouts = [F.concat(title, F.lit("\nChapter\n"), n, F.lit("\n"), text), F.concat(title, F.lit("\n"), n, F.lit(".1 "), text), F.concat(title, F.lit("\nChapter "), n, F.lit(" "), text), F.concat(title, F.lit(":\nMore of it\n"), n, F.lit("\n"), text)]
+    page = F.coalesce(*[F.when((k + p) % 6 == i, x) for i, x in enumerate(layouts)], text)
+    context = F.when((k % 3 == 0) | p.isin(1, 3), None).when(p == 2, F.upper(title)).otherwise(F.concat(title, F.lit(": ")))
+    return table(spark, sf_dir, "documents").select(k.alias("doc"), p.alias("page"), _pick(BOOK_SUBJECTS, k).alias("subject"), page.alias("text"), context.alias("context"))
+
+
+def v_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same books with what other sources say of their names."""
+    k = F.col("doc")
+    books = table(spark, sf_dir, "documents").select(F.call_function("div", F.col("doc_id"), F.lit(5)).alias("doc")).distinct()
+    path = F.when(k % 3 == 0, F.concat(F.lit("/books/iesc_ch"), F.lpad((k % 40).cast("string"), 2, "0"), F.lit(".pdf"))).otherwise("/books/notes.pdf")
+    return books.select(
+        "doc", path.alias("path"), F.when(k % 7 == 0, "A Good Name").when(k % 7 == 1, "Chapter 3").alias("current"), F.when(k % 10 == 4, "Tissues in Action").alias("header"), F.when(k % 10 == 5, "Federalism").alias("known"),
+        F.when(k % 10 == 6, "A Line That Looks Like One").alias("line"), F.when(k % 4 == 0, "Chapter 9").when(k % 4 == 1, "Synthesised name:").alias("synthesis"),
+    )
+
+
 def v_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of a library of documents, with codes, chapter numbers and slugs."""
     i = F.col("doc_id")
@@ -123,6 +153,8 @@ SQL = {
     "v_lines": "v_lines AS (SELECT l_orderkey % 500 AS doc, l_orderkey % 7 AS page, l_partkey % 160 + 40 AS x0, l_suppkey * 11 % 700 + l_linenumber AS y0, l_partkey % 160 + 40 + CAST(l_quantity AS BIGINT) * 9 + 20 AS x1, l_suppkey * 11 % 700 + l_linenumber + 12 AS y1 FROM lineitem)",
     "v_images": "v_images AS (SELECT doc, page, x0, y0, x1, y1, CASE WHEN x0 % 3 = 0 THEN 640 ELSE (x1 - x0) * 2 END AS w, CASE WHEN x0 % 3 = 0 THEN 480 ELSE (y1 - y0) * 2 END AS h FROM v_boxes WHERE seq = 1)",
     "v_page_headers": "v_page_headers AS (SELECT doc_id // 5 AS pdf, doc_id % 5 AS page, CASE doc_id % 5 WHEN 0 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1] WHEN 2 THEN upper(['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1]) WHEN 3 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1] || ': ' ELSE left(text, 24) END AS t FROM documents)",
+    "v_book_pages": "v_book_pages AS (SELECT k AS doc, p AS page, ['" + "', '".join(BOOK_SUBJECTS) + "'][k % 4 + 1] AS subject, CASE (k + p) % 6 WHEN 0 THEN t || chr(10) || 'Chapter' || chr(10) || n || chr(10) || text WHEN 1 THEN t || chr(10) || n || '.1 ' || text WHEN 2 THEN t || chr(10) || 'Chapter ' || n || ' ' || text WHEN 3 THEN t || ':' || chr(10) || 'More of it' || chr(10) || n || chr(10) || text ELSE text END AS text, CASE WHEN k % 3 = 0 OR p IN (1, 3) THEN NULL WHEN p = 2 THEN upper(t) ELSE t || ': ' END AS context FROM (SELECT *, doc_id // 5 AS k, doc_id % 5 AS p, CAST(doc_id // 5 % 17 + 1 AS VARCHAR) AS n, ['" + "', '".join(TITLES) + "'][doc_id // 5 % 8 + 1] AS t FROM documents))",
+    "v_books": "v_books AS (SELECT doc, CASE WHEN doc % 3 = 0 THEN '/books/iesc_ch' || lpad(CAST(doc % 40 AS VARCHAR), 2, '0') || '.pdf' ELSE '/books/notes.pdf' END AS path, CASE doc % 7 WHEN 0 THEN 'A Good Name' WHEN 1 THEN 'Chapter 3' END AS current, CASE WHEN doc % 10 = 4 THEN 'Tissues in Action' END AS header, CASE WHEN doc % 10 = 5 THEN 'Federalism' END AS known, CASE WHEN doc % 10 = 6 THEN 'A Line That Looks Like One' END AS line, CASE doc % 4 WHEN 0 THEN 'Chapter 9' WHEN 1 THEN 'Synthesised name:' END AS synthesis FROM (SELECT DISTINCT doc_id // 5 AS doc FROM documents))",
     "v_headers": "v_headers AS (SELECT doc_id AS id, CASE doc_id % 10 WHEN 0 THEN (doc_id % 97)::VARCHAR || ' | ' || left(text, 24) WHEN 1 THEN left(text, 24) || '  ' || (doc_id % 97)::VARCHAR WHEN 2 THEN 'Reprint 2024-25' WHEN 3 THEN left(text, 24) || ' 2023-24' WHEN 4 THEN left(text, 4) WHEN 5 THEN left(text, 24) || ' - Class IX' WHEN 6 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 10 % 8 + 1] WHEN 7 THEN '  7 –  ' || left(text, 24) || '.;' WHEN 8 THEN left(text, 24) || ':;, ' ELSE CASE WHEN doc_id % 50 <> 9 THEN replace(left(text, 24), ' ', '') || ' ' || left(text, 24) END END AS t FROM documents)",
     "v_paths": "v_paths AS (SELECT doc_id AS id, '/books/' || CASE WHEN doc_id % 7 = 0 THEN 'misc' ELSE 'class-' || (doc_id % 12 + 1)::VARCHAR END || '/' || ['" + "', '".join(DIRS) + "'][doc_id % 8 + 1] || '/' || CASE doc_id % 3 WHEN 0 THEN 'iesc_ch' || lpad((doc_id % 40)::VARCHAR, 2, '0') WHEN 1 THEN 'jess_CH' || (doc_id % 9)::VARCHAR || '-' || regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') ELSE regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') END || '.pdf' AS path FROM documents)",
     "v_audit": "v_audit AS (SELECT doc_id // 5 AS pdf_id, doc_id % 5 AS page, CASE n_chars % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE left(text, 40 + n_chars % 300) END AS text, n_chars % 3 AS ours, CASE WHEN n_chars % 4 = 0 THEN 1 ELSE 0 END AS our_tables, n_chars % 6 <> 0 AS has_text, CASE n_chars % 5 WHEN 0 THEN 'garbled' WHEN 1 THEN 'scanned' ELSE 'good' END AS quality, greatest(CASE WHEN doc_id % 4 <> 3 THEN doc_id % 3 ELSE 0 END, n_chars % 4) AS figures, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS equations, doc_id % 3 = 0 AS has_tables, CASE WHEN doc_id % 9 <> 0 THEN 2 ELSE 1 END AS num_tables, doc_id % 6 AS charts, CASE WHEN doc_id % 4 = 1 THEN n_chars % 5 END AS missed, CASE WHEN doc_id % 11 = 0 THEN 'timeout' END AS error FROM documents)",
