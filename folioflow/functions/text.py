@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,13 +23,18 @@ def any_of(terms: list[Column]) -> Column:
 
 # Cleaning rules, in order; the bullets are those of text layers.
 CLEAN = [
-    (r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"), (r"(?U)(?<=\w)\s*\n(?=[a-z])", ""), (r"(?U)(?<=[a-z0-9,;:])\n(?!\s*\n)", " "), (r"(?U)\s*/\s*", " "),
+    (r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"), (r"(?U)(?<=\w)\s*\n(?=[a-z])", ""), (r"(?U)(?<=[a-z0-9,;:])\n(?!\s*\n)", " "), (r"(?U)(?<!\s)\s*+/\s*", " "),
     (" {3,}", "  "), (r"\n\d{1,3}\n", "\n"), (r"\n{3,}", "\n\n"), ("[□■●▪▸➢➤✓✗]", ""),
 ]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return chain(c, (r"(?U)\A\s+", ""), (r"(?U)\s+\z", ""))
+    return chain(c, (r"(?U)\A\s+", ""), (r"(?U)(?<!\s)\s++\z", ""))  # tried once a run of white space
 
 
 def clean_text(c: Column) -> Column:
@@ -48,7 +54,7 @@ def sentences(c: Column, enders: str = ".!?।") -> Column:
 # Left-overs of markup, in order.
 PRECLEAN = [
     ("[□▪•●■◆»›]", ""), (r"(?U)\bsquare6\b", ""), (r"(?U)Activity \d+\.\d+Activity \d+\.\d+(Activity \d+\.\d+)*", "Activity:"), (r"(?U)(Figure|Table) [\d.]+.?", "<figure>"),
-    (r"(?U)\s+[a-zA-Z]\s+", " "), (r"\n{3,}", "\n\n"), ("  +", " "),
+    (r"(?U)(?<!\s)\s++[a-zA-Z]\s+", " "), (r"\n{3,}", "\n\n"), ("  +", " "),
 ]
 
 
@@ -164,20 +170,20 @@ def is_garbled_title(c: Column) -> Column:
 
 def is_garbled(c: Column) -> Column:
     """Text that looks like a font's glyph codes: judged by the first 1500 characters, by consonant runs, vowels, Devanagari and plain words in this order."""
-    sample = strip(F.left(c, F.lit(1500)))
-    tokens = words(sample)
-    alpha = F.filter(tokens, lambda t: t.rlike("^[a-zA-Z]+$"))
-    n_alpha, n = F.size(alpha), F.size(tokens)
-    clusters = F.size(F.filter(alpha, lambda t: F.lower(t).rlike("[^aeiouy]{3,}")))
-    dry = F.size(F.filter(alpha, lambda t: ~F.lower(t).rlike("[aeiouy]")))
-    plain = F.size(F.filter(tokens, lambda t: t.rlike("^[a-zA-Z]{3,}$")))
-    return (
-        F.when(F.coalesce(sample, F.lit("")) == "", True)
-        .when((n_alpha > 0) & (clusters / n_alpha > 0.20), True)
-        .when((n_alpha > 0) & (dry / n_alpha > 0.40), True)
-        .when(F.regexp_count(sample, F.lit("[\\x{0900}-\\x{097F}]")) > 15, False)
-        .otherwise(~(plain / n > 0.35))
-    )
+    count = lambda a, f: F.size(F.filter(a, f))
+
+    def judge(sample: Column, tokens: Column, alpha: Column) -> Column:
+        clusters, dry = count(alpha, lambda t: F.lower(t).rlike("[^aeiouy]{3,}")), count(alpha, lambda t: ~F.lower(t).rlike("[aeiouy]"))
+        return (
+            F.when(F.coalesce(sample, F.lit("")) == "", True)
+            .when((F.size(alpha) > 0) & (clusters / F.size(alpha) > 0.20), True)
+            .when((F.size(alpha) > 0) & (dry / F.size(alpha) > 0.40), True)
+            .when(F.regexp_count(sample, F.lit("[\\x{0900}-\\x{097F}]")) > 15, False)
+            .otherwise(~(count(tokens, lambda t: t.rlike("^[a-zA-Z]{3,}$")) / F.size(tokens) > 0.35))
+        )
+
+    letters = lambda tokens: F.filter(tokens, lambda t: t.rlike("^[a-zA-Z]+$"))
+    return once(strip(F.left(c, F.lit(1500))), lambda s: once(words(s), lambda tokens: once(letters(tokens), lambda alpha: judge(s, tokens, alpha))))
 
 
 def script_guard(c: Column) -> Column:

@@ -19,8 +19,8 @@ def age(at: Column, now: Column) -> Column:
 
 def tasks(steps: DataFrame, task: str, order: Column, fine: Column) -> DataFrame:
     """Of every task its steps, how many went well, the percentage and the state: failed if the last step did."""
-    x = steps.groupBy(task).agg(F.count("*").alias("total"), F.count_if(fine).alias("done"), F.max_by(fine, order).alias("_last"))
-    state = F.when(~F.col("_last"), "failed").when(F.col("done") == F.col("total"), "done").otherwise("running")
+    x = steps.groupBy(task).agg(F.count("*").alias("total"), F.count_if(fine).alias("done"), F.max_by(fine, order).alias("last_"))
+    state = F.when(~F.col("last_"), "failed").when(F.col("done") == F.col("total"), "done").otherwise("running")
     return x.select(task, "total", "done", F.round(100.0 * F.col("done") / F.col("total"), 1).cast("double").alias("percent"), state.alias("state"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
+from ..functions.names import fresh
+
 
 def _before(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -19,7 +21,8 @@ def _before(keys: list[str], order: str):
 def running_offset(df: DataFrame, keys: list[str], order: str, duration: str, total: float) -> DataFrame:
     """``start``: the sum of the durations before; a missing one counts total / n."""
     dur = F.coalesce(F.col(duration), F.lit(total) / F.count("*").over(Window.partitionBy(*keys)))
-    return df.withColumn("_d", dur).withColumn("start", F.coalesce(F.sum("_d").over(_before(keys, order)), F.lit(0.0))).drop("_d")
+    (d,) = fresh(["d_"], df)
+    return df.withColumn(d, dur).withColumn("start", F.coalesce(F.sum(d).over(_before(keys, order)), F.lit(0.0))).drop(d)
 
 
 def proportional(df: DataFrame, keys: list[str], order: str, length: str, full: float, target: float) -> DataFrame:
@@ -34,16 +37,18 @@ def clip_lengths(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def bridge(df: DataFrame, keys: list[str], order: str, text: str, title: str) -> DataFrame:
+    (following,) = fresh(["next_"], df)
     nxt = F.lead(title).over(Window.partitionBy(*keys).orderBy(order))
-    teaser = F.concat(F.rtrim(F.col(text), F.lit(".!?")), F.lit(" — but that's just the beginning. Let's see what happens when we "), F.lower(F.left("_next", F.lit(40))), F.lit("..."))
-    return df.withColumn("_next", nxt).withColumn(text, F.when((F.coalesce("_next", F.lit("")) != "") & ~F.contains(F.lower(text), F.lit("next")), teaser).otherwise(F.col(text))).drop("_next")
+    teaser = F.concat(F.rtrim(F.col(text), F.lit(".!?")), F.lit(" — but that's just the beginning. Let's see what happens when we "), F.lower(F.left(following, F.lit(40))), F.lit("..."))
+    return df.withColumn(following, nxt).withColumn(text, F.when((F.coalesce(following, F.lit("")) != "") & ~F.contains(F.lower(text), F.lit("next")), teaser).otherwise(F.col(text))).drop(following)
 
 
 def join_interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str, high: Column, bucket: float) -> DataFrame:
     """points ⋈ spans on ``keys`` where low <= at < high: spans are listed under each bucket that they touch, so the join has an equality on time too."""
-    s = spans.withColumn("_high", high).withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col("_high") / bucket))))
-    p = points.withColumn("_b", F.floor(F.col(at) / bucket))
-    return p.join(s, [*keys, "_b"]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col("_high"))).drop("_b", "_high")
+    top, b = fresh(["high_", "bucket_"], points, spans)
+    s = spans.withColumn(top, high).withColumn(b, F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(top) / bucket))))
+    p = points.withColumn(b, F.floor(F.col(at) / bucket))
+    return p.join(s, [*keys, b]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(top))).drop(b, top)
 
 
 def align_words(script: list[str], heard: list[tuple[str, float, float]], step: float = 0.4) -> list[tuple[float, float]]:

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import curriculum as C
+from ..functions import text as T
 from ..operators import relational as R
-from ..sources.tables import table, v_docs, v_items, v_labels, v_queue, v_versions, v_videos, with_views
+from ..sources.tables import table, v_catalogue, v_docs, v_items, v_labels, v_parts, v_queue, v_versions, v_videos, with_views
 
 Q: dict = {}
 O: dict = {}
@@ -244,13 +245,22 @@ def lookup_broadcast(spark, d):
     return x.join(F.broadcast(m), (F.col("k") == F.col("class")) & (F.col("no") == F.col("id") % 3), "left").select("id", "name")
 
 
-@query(f"WITH {DIM}, o(code, part1, part2) AS (VALUES ('iesc', 12, 0), ('jess', 5, 4)) , x AS (SELECT d.code, coalesce(o.part1 + o.part2, d.chapters) AS n, o.part1 FROM d LEFT JOIN o ON o.code = d.code) SELECT code, CAST(i AS INTEGER) AS chapter, code || CAST(CASE WHEN part1 IS NOT NULL AND i > part1 THEN 2 ELSE 1 END AS VARCHAR) || lpad(CAST(i AS VARCHAR), 2, '0') || '.pdf' AS file FROM x, unnest(range(1, n + 1)) AS t(i)")
+FILE = "'class-' || class || '/' || regexp_replace(regexp_replace(lower(subject), '\\s+', '-', 'g'), '[^a-z0-9-]', '_', 'g') || '/' || code || '_ch' || lpad(CAST(label AS VARCHAR), CAST(greatest(2, length(CAST(label AS VARCHAR))) AS INTEGER), '0') || '.pdf'"
+
+
+@query(
+    ", o AS (SELECT key, part, chapters, coalesce(sum(chapters) OVER (PARTITION BY key ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v_parts), x AS (SELECT c.class, c.subject, c.code, c.pattern, coalesce(o.part, 1) AS part, coalesce(o.before, 0) AS before, unnest(range(1, coalesce(o.chapters, c.chapters) + 1)) AS chapter FROM v_catalogue c LEFT JOIN o ON o.key = c.key), "
+    "l AS (SELECT *, CAST(chapter + before AS INTEGER) AS label FROM x) SELECT code, label, " + FILE + " AS file, replace(pattern, '{ch}', CAST(part * 100 + chapter AS VARCHAR)) AS url FROM l WHERE length(code || label) % 5 <> 0",
+    "v_catalogue", "v_parts",
+)
 def curriculum_expand(spark, d):
-    """A row per chapter; actual part sizes override the dimension, and labels go on through the second part."""
-    o = spark.createDataFrame([("iesc", 12, 0), ("jess", 5, 4)], "code string, part1 int, part2 int")
-    x = C.curriculum(spark).join(F.broadcast(o), "code", "left").select("code", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("part1") + F.col("part2"), F.col("chapters")))).alias("chapter"), "part1")
-    part = F.when(F.col("chapter") > F.col("part1"), "2").otherwise("1")
-    return x.select("code", "chapter", F.concat("code", part, F.lpad(F.col("chapter").cast("string"), 2, "0"), F.lit(".pdf")).alias("file"))
+    """What is left to fetch of a catalogue: a row a chapter with its file and address; counted parts override the catalogue, labels go on through them, and files that are there already go."""
+    x = R.chapters(v_catalogue(spark, d), v_parts(spark, d), ["key"])
+    label = F.col("label").cast("string")
+    file = F.concat(F.lit("class-"), "class", F.lit("/"), T.slugify_subject(F.col("subject")), F.lit("/"), "code", F.lit("_ch"), F.lpad(label, F.greatest(F.lit(2), F.length(label)), F.lit("0")), F.lit(".pdf"))
+    x = x.select("code", "label", file.alias("file"), "url")
+    there = x.where(F.length(F.concat("code", label)) % 5 == 0).select("file")
+    return x.join(there, "file", "left_anti").select("code", "label", "file", "url")
 
 
 # Keywords in order of precedence.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import identify, spelling, votes
 from ..operators import segment as S
-from ..sources.tables import table, v_book_pages, v_books, v_docs, v_headers, v_page_headers, v_paths, v_versions, with_views
+from ..sources.tables import table, v_book_pages, v_books, v_docs, v_headers, v_page_headers, v_paths, v_versions, with_headers_and_paths, with_views
 
 Q: dict = {}
 O: dict = {}
@@ -282,10 +282,16 @@ def title_extract(spark, d):
 
 
 LINES = "list_filter(list_transform(str_split(raw_text, chr(10)), lambda x: " + STRIP.format("x") + "), lambda x: x <> '')"
-REJECTED, DETECTED, GOING = (p.replace("'", "''") for p in (S.REJECT, S.DETECT, S.GOES_ON))
+ANY = lambda c, ps: "(" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in ps) + ")"
+GOING = lambda c: f"coalesce(regexp_matches({c}, '{S.GOES_ON}'), false)"
+SUBJECT_LINES = "('" + "', '".join([*T.SUBJECTS, *[f"{s}:" for s in T.SUBJECTS if s != "maths"]]) + "')"
+TITLE_LINE = (
+    "length(l[i]) > 10 AND length(l[i]) < 100 AND " + ANY("l[i]", S.DETECT) + " AND NOT " + ANY("l[i]", S.REJECT) + " AND NOT (" + " OR ".join(f"contains(lower(l[i]), '{w}')" for w in S.SKIP) + ") "
+    "AND (lower(l[i]) NOT IN " + SUBJECT_LINES + " OR ends_with(l[i], ':') AND (" + GOING("l[i + 1]") + " OR NOT coalesce(regexp_matches(l[i + 1], '^\\d+$'), false) AND " + GOING("l[i + 2]") + "))"
+)
 HEURISTIC = (
-    f", l AS (SELECT id, {LINES} AS l FROM v_docs), a AS (SELECT id, l, coalesce(list_filter(range(1, len(l) + 1), lambda i: NOT regexp_matches(l[i], '{REJECTED}') AND regexp_matches(l[i], '{DETECTED}') AND length(l[i]) > 10 AND length(l[i]) < 100)[1], 0) AS k FROM l), "
-    f"g AS (SELECT id, l, k, coalesce(list_filter(range(k + 1, least(k + 3, len(l)) + 1), lambda i: regexp_matches(l[i], '{REJECTED}') OR length(l[i]) > 80 OR (ends_with(l[i], '.') AND length(l[i]) > 30) OR NOT regexp_matches(l[i], '{GOING}'))[1], least(k + 3, len(l)) + 1) AS stop FROM a), "
+    f", l AS (SELECT id, {LINES} AS l FROM v_docs), a AS (SELECT id, l, coalesce(list_filter(range(1, len(l) + 1), lambda i: {TITLE_LINE})[1], 0) AS k FROM l), "
+    "g AS (SELECT id, l, k, coalesce(list_filter(range(k + 1, least(k + 3, len(l)) + 1), lambda i: NOT " + GOING("l[i]") + " OR (ends_with(l[i], '.') AND length(l[i]) > 30))[1], least(k + 3, len(l)) + 1) AS stop FROM a), "
     "t AS (SELECT id, CASE WHEN k > 0 THEN regexp_replace(" + STRIP.format("regexp_replace(array_to_string(l[k:stop - 1], ' '), '\\s+', ' ', 'g')") + ", '[.,;: ]+$', '') END AS title FROM g)"
 )
 
@@ -320,8 +326,8 @@ def identify_cascade(spark, d):
     sound = T.name_ok(h) & ~T.is_page_header(h) & ~T.is_book_header(h) & ~T.is_callout(h) & ~T.is_garbled_title(h)
     stem, chapter, _ = T.path_parts(F.col("path"))
     known = F.coalesce(*[F.when(F.startswith(stem, F.lit(f"{k}_")) & (chapter == n), t) for k, n, t in KNOWN])
-    x = S.title_by_patterns(v_docs(spark, d).select("id", "raw_text"), "raw_text").withColumnRenamed("title", "by_pattern")
-    x = x.join(v_headers(spark, d), "id").join(v_paths(spark, d), "id")
+    every = with_headers_and_paths(spark, d)
+    x = S.title_by_patterns(every, "raw_text").withColumnRenamed("title", "by_pattern")
     strategies = [("header", F.when(sound, h)), ("known", known), ("pattern", F.col("by_pattern")), ("heuristic", S.heuristic_title(F.col("raw_text"))), ("file", T.title_from_path(F.col("path")))]
     name, method = votes.cascade(strategies)
     return x.select("id", name.alias("name"), method.alias("method"))

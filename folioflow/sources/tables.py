@@ -63,21 +63,43 @@ def v_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("doc", "page", "x0", "y0", "x1", "y1", F.when(back, 640).otherwise((F.col("x1") - F.col("x0")) * 2).alias("w"), F.when(back, 480).otherwise((F.col("y1") - F.col("y0")) * 2).alias("h"))
 
 
+def v_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books to be fetched: class, subject, code, chapters and the pattern of their chapters' addresses."""
+    code = F.concat(F.lower(F.left("p_brand", F.lit(2))), F.col("p_partkey").cast("string"))
+    pattern = F.concat(F.lit("https://books.example/"), code, F.lit("${ch}.pdf"))
+    return table(spark, sf_dir, "part").select((F.col("p_size") % 12 + 1).cast("string").alias("class"), F.col("p_type").alias("subject"), code.alias("code"), F.col("p_size").cast("int").alias("chapters"), pattern.alias("pattern"), F.col("p_partkey").alias("key"))
+
+
+def v_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted chapters of books in parts: key, part, chapters."""
+    x = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") <= 3) & (F.col("l_returnflag") == "R") & (F.col("l_partkey") % 4 > 0))
+    return x.groupBy(F.col("l_partkey").alias("key"), F.col("l_linenumber").cast("int").alias("part")).agg((F.max(F.col("l_quantity").cast("long")) % 20).cast("int").alias("chapters"))
+
+
 #: Subjects, imprints and labels of boxes among the headers.
 HEADINGS = ["Physics", "Mathematics", "Social  Science", "Chapter 7", "1234", "Do You Know? more", "INDIA : PHYSICAL  ENVIRONMENT", "THEMES IN WORLD HISTORY"]
 #: Directories of a library.
 DIRS = ["science", "social-science-hindi", "physics-part-1", "health-and-physical-education", "misc", "sanskrit", "maths", "tamil"]
 
 
-def v_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header lines: the beginnings of documents as books print them, with page numbers, imprints, classes and stray punctuation."""
-    d, w, i = table(spark, sf_dir, "documents"), F.left("text", F.lit(24)), F.col("doc_id")
+def _header() -> Column:
+    w, i = F.left("text", F.lit(24)), F.col("doc_id")
     number = (i % 97).cast("string")
     kinds = [
         F.concat(number, F.lit(" | "), w), F.concat(w, F.lit("  "), number), F.lit("Reprint 2024-25"), F.concat(w, F.lit(" 2023-24")), F.left(w, F.lit(4)), F.concat(w, F.lit(" - Class IX")),
         F.element_at(F.array(*map(F.lit, HEADINGS)), (F.call_function("div", i, F.lit(10)) % 8 + 1).cast("int")), F.concat(F.lit("  7 –  "), w, F.lit(".;")), F.concat(w, F.lit(":;, ")), F.when(i % 50 != 9, F.concat(F.replace(w, F.lit(" "), F.lit("")), F.lit(" "), w)),
     ]
-    return d.select(i.alias("id"), F.element_at(F.array(*kinds), (i % 10 + 1).cast("int")).alias("t"))
+    return F.element_at(F.array(*kinds), (i % 10 + 1).cast("int"))
+
+
+def v_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header lines: the beginnings of documents as books print them, with page numbers, imprints, classes and stray punctuation."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _header().alias("t"))
+
+
+def with_headers_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, raw_text, t and path of ``v_docs``, ``v_headers`` and ``v_paths`` together: all come from one row."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"), _header().alias("t"), _path().alias("path"))
 
 
 def v_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +140,18 @@ def v_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def v_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of a library of documents, with codes, chapter numbers and slugs."""
+def _path() -> Column:
     i = F.col("doc_id")
     slug = F.regexp_replace(F.lower(F.left("text", F.lit(18))), "[^a-z]+", "_")
     folder = F.when(i % 7 == 0, F.lit("misc")).otherwise(F.concat(F.lit("class-"), (i % 12 + 1).cast("string")))
     name = F.when(i % 3 == 0, F.concat(F.lit("iesc_ch"), F.lpad((i % 40).cast("string"), 2, "0"))).when(i % 3 == 1, F.concat(F.lit("jess_CH"), (i % 9).cast("string"), F.lit("-"), slug)).otherwise(slug)
     place = F.element_at(F.array(*map(F.lit, DIRS)), (i % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(i.alias("id"), F.concat(F.lit("/books/"), folder, F.lit("/"), place, F.lit("/"), name, F.lit(".pdf")).alias("path"))
+    return F.concat(F.lit("/books/"), folder, F.lit("/"), place, F.lit("/"), name, F.lit(".pdf"))
+
+
+def v_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a library of documents, with codes, chapter numbers and slugs."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), _path().alias("path"))
 
 
 def v_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +181,8 @@ SQL = {
     "v_page_headers": "v_page_headers AS (SELECT doc_id // 5 AS pdf, doc_id % 5 AS page, CASE doc_id % 5 WHEN 0 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1] WHEN 2 THEN upper(['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1]) WHEN 3 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 5 % 8 + 1] || ': ' ELSE left(text, 24) END AS t FROM documents)",
     "v_book_pages": "v_book_pages AS (SELECT k AS doc, p AS page, ['" + "', '".join(BOOK_SUBJECTS) + "'][k % 4 + 1] AS subject, CASE (k + p) % 6 WHEN 0 THEN t || chr(10) || 'Chapter' || chr(10) || n || chr(10) || text WHEN 1 THEN t || chr(10) || n || '.1 ' || text WHEN 2 THEN t || chr(10) || 'Chapter ' || n || ' ' || text WHEN 3 THEN t || ':' || chr(10) || 'More of it' || chr(10) || n || chr(10) || text ELSE text END AS text, CASE WHEN k % 3 = 0 OR p IN (1, 3) THEN NULL WHEN p = 2 THEN upper(t) ELSE t || ': ' END AS context FROM (SELECT *, doc_id // 5 AS k, doc_id % 5 AS p, CAST(doc_id // 5 % 17 + 1 AS VARCHAR) AS n, ['" + "', '".join(TITLES) + "'][doc_id // 5 % 8 + 1] AS t FROM documents))",
     "v_books": "v_books AS (SELECT doc, CASE WHEN doc % 3 = 0 THEN '/books/iesc_ch' || lpad(CAST(doc % 40 AS VARCHAR), 2, '0') || '.pdf' ELSE '/books/notes.pdf' END AS path, CASE doc % 7 WHEN 0 THEN 'A Good Name' WHEN 1 THEN 'Chapter 3' END AS current, CASE WHEN doc % 10 = 4 THEN 'Tissues in Action' END AS header, CASE WHEN doc % 10 = 5 THEN 'Federalism' END AS known, CASE WHEN doc % 10 = 6 THEN 'A Line That Looks Like One' END AS line, CASE doc % 4 WHEN 0 THEN 'Chapter 9' WHEN 1 THEN 'Synthesised name:' END AS synthesis FROM (SELECT DISTINCT doc_id // 5 AS doc FROM documents))",
+    "v_catalogue": "v_catalogue AS (SELECT CAST(p_size % 12 + 1 AS VARCHAR) AS class, p_type AS subject, lower(left(p_brand, 2)) || p_partkey AS code, CAST(p_size AS INTEGER) AS chapters, 'https://books.example/' || lower(left(p_brand, 2)) || p_partkey || '${ch}.pdf' AS pattern, p_partkey AS key FROM part)",
+    "v_parts": "v_parts AS (SELECT l_partkey AS key, CAST(l_linenumber AS INTEGER) AS part, CAST(max(CAST(l_quantity AS BIGINT)) % 20 AS INTEGER) AS chapters FROM lineitem WHERE l_linenumber <= 3 AND l_returnflag = 'R' AND l_partkey % 4 > 0 GROUP BY l_partkey, l_linenumber)",
     "v_headers": "v_headers AS (SELECT doc_id AS id, CASE doc_id % 10 WHEN 0 THEN (doc_id % 97)::VARCHAR || ' | ' || left(text, 24) WHEN 1 THEN left(text, 24) || '  ' || (doc_id % 97)::VARCHAR WHEN 2 THEN 'Reprint 2024-25' WHEN 3 THEN left(text, 24) || ' 2023-24' WHEN 4 THEN left(text, 4) WHEN 5 THEN left(text, 24) || ' - Class IX' WHEN 6 THEN ['" + "', '".join(HEADINGS) + "'][doc_id // 10 % 8 + 1] WHEN 7 THEN '  7 –  ' || left(text, 24) || '.;' WHEN 8 THEN left(text, 24) || ':;, ' ELSE CASE WHEN doc_id % 50 <> 9 THEN replace(left(text, 24), ' ', '') || ' ' || left(text, 24) END END AS t FROM documents)",
     "v_paths": "v_paths AS (SELECT doc_id AS id, '/books/' || CASE WHEN doc_id % 7 = 0 THEN 'misc' ELSE 'class-' || (doc_id % 12 + 1)::VARCHAR END || '/' || ['" + "', '".join(DIRS) + "'][doc_id % 8 + 1] || '/' || CASE doc_id % 3 WHEN 0 THEN 'iesc_ch' || lpad((doc_id % 40)::VARCHAR, 2, '0') WHEN 1 THEN 'jess_CH' || (doc_id % 9)::VARCHAR || '-' || regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') ELSE regexp_replace(lower(left(text, 18)), '[^a-z]+', '_', 'g') END || '.pdf' AS path FROM documents)",
     "v_audit": "v_audit AS (SELECT doc_id // 5 AS pdf_id, doc_id % 5 AS page, CASE n_chars % 7 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE left(text, 40 + n_chars % 300) END AS text, n_chars % 3 AS ours, CASE WHEN n_chars % 4 = 0 THEN 1 ELSE 0 END AS our_tables, n_chars % 6 <> 0 AS has_text, CASE n_chars % 5 WHEN 0 THEN 'garbled' WHEN 1 THEN 'scanned' ELSE 'good' END AS quality, greatest(CASE WHEN doc_id % 4 <> 3 THEN doc_id % 3 ELSE 0 END, n_chars % 4) AS figures, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS equations, doc_id % 3 = 0 AS has_tables, CASE WHEN doc_id % 9 <> 0 THEN 2 ELSE 1 END AS num_tables, doc_id % 6 AS charts, CASE WHEN doc_id % 4 = 1 THEN n_chars % 5 END AS missed, CASE WHEN doc_id % 11 = 0 THEN 'timeout' END AS error FROM documents)",

@@ -70,3 +70,61 @@ def test_listings_and_whole_texts(spark, tmp_path):
     assert [r.name for r in files.list_newest(listing).collect()] == ["b.txt"] and [r.name for r in files.last_by_name(listing, 2).collect()] == ["b.txt", "a.txt"]
     texts = {os.path.basename(r.path): r.text for r in files.read_whole_texts(spark, str(tmp_path)).collect()}
     assert len(texts) == 4 and texts["c.md"] == "line one of c.md\nline two"
+
+
+LINES = [
+    "page 3\nCHEMICAL REACTIONS AND\nEquations around us\n12\nmore", "Physical Education:\nRelationship with Other Subjects\n3\nx", "Physical Education:\n3\nRelationship", "Table 4 Something: else\nSound Waves: how they move\nSee also.", "Introduction to Everything: part one\nForces and Motion: a start", "lower case only\nshort: x",
+    "Forces and Motion: a start\nThis line ends with a stop and is far too long.\nNever", "THE EVENTS OF THE YEAR...,", "", "A" * 120 + ":", "List of Things: many",
+]
+
+
+def title_by_hand(text):
+    from folioflow.operators import segment as S
+
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    subjects = {*T.SUBJECTS, *(f"{s}:" for s in T.SUBJECTS if s != "maths")}
+    for i, x in enumerate(lines):
+        if any(re.match(p, x) for p in S.REJECT):
+            continue
+        if x.lower() in subjects:
+            after = [bool(re.match(S.GOES_ON, y)) if not re.match(r"^\d+$", y) else None for y in lines[i + 1 : i + 3]]
+            if not x.endswith(":") or True not in after or None in after[: after.index(True)]:
+                continue
+        if any(re.match(p, x) for p in S.DETECT) and not any(w in x.lower() for w in S.SKIP) and 10 < len(x) < 100:
+            parts = [x]
+            for y in lines[i + 1 : i + 4]:
+                if re.match(r"^\d+$", y) or len(y) > 80 or y.endswith(".") and len(y) > 30 or not re.match(S.GOES_ON, y):
+                    break
+                parts.append(y)
+            return re.sub(r"\s+", " ", " ".join(parts)).strip().rstrip(".,;: ")
+    return None
+
+
+def test_title_lines_by_hand(spark):
+    from folioflow.operators import segment as S
+
+    got = {r.id: r.title for r in S.heuristic_titles(spark.createDataFrame(list(enumerate(LINES)), "id int, raw_text string")).collect()}
+    assert got == {i: title_by_hand(t) for i, t in enumerate(LINES)}
+    assert got[0] == "CHEMICAL REACTIONS AND Equations around us" and got[1] == "Physical Education: Relationship with Other Subjects" and got[3] == "Sound Waves: how they move" and got[4] is None
+
+
+def test_long_white_space_is_cleaned_in_time(spark):
+    text = "a" + " " * 200_000 + "b / c" + "\n" * 50 + " " * 200_000 + "x" + " " * 200_000
+    row = spark.createDataFrame([(text,)], "t string").select(T.strip(F.col("t")).alias("s"), F.length(T.clean_text(F.col("t"))).alias("n")).first()
+    assert row.s == text.strip() and row.n < 100
+
+
+def test_chapters_of_a_catalogue(spark):
+    from folioflow.operators import relational as R
+
+    books = spark.createDataFrame([("b1", 3, "u/b1${ch}.pdf", 7), ("b2", 2, "u/b2${ch}.pdf", 8), ("b3", 0, "u", 9)], "code string, chapters int, pattern string, part_ int")
+    parts = spark.createDataFrame([("b2", 1, 2), ("b2", 2, 0), ("b2", 3, 1)], "code string, part int, chapters int")
+    got = sorted((r.code, r.label, r.url, r.part_) for r in R.chapters(books, parts, ["code"]).collect())
+    assert got == [("b1", i, f"u/b1$10{i}.pdf", 7) for i in (1, 2, 3)] + [("b2", 1, "u/b2$101.pdf", 8), ("b2", 2, "u/b2$102.pdf", 8), ("b2", 3, "u/b2$301.pdf", 8)]
+
+
+def test_search_has_no_wildcards(spark):
+    from folioflow.operators import relational as R
+
+    df = spark.createDataFrame([("100% sure",), ("1000 sure",), ("a_b",), ("axb",), ("c\\d",)], "t string")
+    assert [[r.t for r in R.search_multi(df, q, "t").collect()] for q in ("0% S", "a_B", "c\\")] == [["100% sure"], ["a_b"], ["c\\d"]]
