@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._store import fresh, scratch, stored
+from ._store import fresh, parts, scratch, stored
 from .ordinal import BREAKS
 
 SPAN = 10
@@ -197,14 +197,16 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     pairs = stored(hits.groupBy("doc", "tag", "item_id", "itag").agg(F.collect_set("shift").alias("shifts")), "seeds-pairs")  # no more shifts than the two have tokens
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, text = None, None
+        last, text = None, None  # a document's text comes once, before its pairs
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 key = batch.column("doc")[i].as_py(), batch.column("tag")[i].as_py()
-                if key != last:
-                    raw, offsets = W.buffers(pc.utf8_lower(batch.column("text").slice(i, 1)))
-                    last, text = key, tokens(raw, offsets)[0]
+                if batch.column("text")[i].is_valid:
+                    if key != last:  # rows equal in doc_id and text
+                        raw, offsets = W.buffers(pc.utf8_lower(batch.column("text").slice(i, 1)))
+                        last, text = key, tokens(raw, offsets)[0]
+                    continue
                 item = np.frombuffer(batch.column("words")[i].as_py(), dtype=U)
                 for shift in batch.column("shifts")[i].as_py():
                     a, b = max(0, shift), min(len(text), shift + len(item))
@@ -212,9 +214,9 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "tag", "item_id", "low", "high", "matches"])
 
-    wanted = pairs.select("doc", "tag").distinct()
-    texts = rows.select("doc", "tag", "text").join(wanted, ["doc", "tag"], "left_semi").groupBy("doc", "tag").agg(F.first("text").alias("text"))
-    checked = pairs.join(items, ["item_id", "itag"]).join(texts, ["doc", "tag"]).select("doc", "tag", "item_id", "shifts", "words", "text")
+    texts = rows.join(pairs.select("doc", "tag").distinct(), ["doc", "tag"], "left_semi").select("doc", "tag", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("array<long>").alias("shifts"), F.lit(None).cast("binary").alias("words"), "text")
+    met = pairs.join(items, ["item_id", "itag"]).select("doc", "tag", "item_id", "shifts", "words", F.lit(None).cast("string").alias("text"))
+    checked = texts.unionByName(met).repartition(parts(spark), "doc", "tag").sortWithinPartitions("doc", "tag", F.col("text").isNull())
     return scanned.select("doc", "tag", "doc_id", "n_tokens"), stored(checked.mapInArrow(verify, "doc long, tag long, item_id long, low long, high long, matches long"), "seeds-verified", keep=True)
 
 
