@@ -356,7 +356,7 @@ def test_recall_by_share_of_substitutions(spark, share):
     meet = {i for i, e in enumerate(equal) if spacedseed.stretches(e, 40)}  # what the rule accepts, without seeds
     close = {i for i, e in enumerate(equal) if e.mean() >= 0.8}
     print(f"substituted {share}: {len(found)} of 300; {len(meet)} meet the rule, {len(close)} agree in four fifths of all tokens")
-    assert len(found & meet) >= 0.99 * len(meet) and len(found & close) >= 0.95 * len(close)
+    assert len(found & meet) >= 0.99 * len(meet) and len(found & close) >= 0.9 * len(close)
 
 
 # --- op4
