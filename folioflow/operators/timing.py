@@ -51,6 +51,24 @@ def join_interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return p.join(s, [*keys, b]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(top))).drop(b, top)
 
 
+def normal_token(c: Column) -> Column:
+    """A word as alignment compares it: lower case, only a-z and digits."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def fill_gaps(words: DataFrame, keys: list[str], order: str, start: str, end: str, first: Column, step: float = 0.4) -> DataFrame:
+    """``words`` whose missing times (both null) are filled: words of a gap follow on each other ``step`` seconds long from the end before it, or from ``first``; the last one reaches to the next word that has a time."""
+    at, nth, since, upto = fresh(["at_", "nth_", "since_", "upto_"], words)
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = words.withColumn(at, F.row_number().over(w))
+    x = x.withColumn(nth, F.col(at) - F.coalesce(F.last(F.when(F.col(start).isNotNull(), F.col(at)), ignorenulls=True).over(before), F.lit(0)))
+    x = x.withColumn(since, F.coalesce(F.last(end, ignorenulls=True).over(before), first)).withColumn(upto, F.lead(start).over(w))
+    missing = F.col(start).isNull()
+    low, high = F.col(since) + step * (F.col(nth) - 1), F.coalesce(F.col(upto), F.col(since) + step * F.col(nth))
+    return x.withColumn(end, F.when(missing, high).otherwise(F.col(end))).withColumn(start, F.when(missing, low).otherwise(F.col(start))).drop(at, nth, since, upto)
+
+
 def align_words(script: list[str], heard: list[tuple[str, float, float]], step: float = 0.4) -> list[tuple[float, float]]:
     """Times of a script's words, out of heard words (word, start, end).
 

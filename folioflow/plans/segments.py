@@ -199,6 +199,34 @@ def join_interval(spark, d):
     return timing.join_interval(w, s, ["user_id"], "t", "s", F.col("s") + F.col("d") + 0.001, 3600.0).select("seg", "event_id")
 
 
+SPOKEN = ", s AS (SELECT video_id, version_no, w, unnest(range(0, len(w))) AS word_no FROM (SELECT video_id, version_no, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM v_versions)), h AS (SELECT video_id, version_no, word_no, w[word_no + 1] AS word, CASE WHEN (word_no + version_no) % 7 < 3 THEN NULL ELSE 0.5::DOUBLE * word_no END AS t0, CASE WHEN (word_no + version_no) % 7 < 3 THEN NULL ELSE 0.5::DOUBLE * word_no + 0.25::DOUBLE END AS t1 FROM s)"
+
+
+def _spoken(spark, d):
+    """Words of turns, of which some have a time."""
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    x = v_versions(spark, d).select("video_id", "version_no", F.posexplode(w).alias("word_no", "word"))
+    known = (F.col("word_no") + F.col("version_no")) % 7 >= 3
+    return x.withColumn("t0", F.when(known, 0.5 * F.col("word_no"))).withColumn("t1", F.when(known, 0.5 * F.col("word_no") + 0.25))
+
+
+@query(SPOKEN + " SELECT video_id, version_no, CAST(word_no AS INTEGER) AS word_no, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS token FROM h", "v_versions")
+def token_normalize(spark, d):
+    """Words as alignment compares them."""
+    return _spoken(spark, d).select("video_id", "version_no", "word_no", timing.normal_token(F.col("word")).alias("token"))
+
+
+@query(
+    SPOKEN + ", k AS (SELECT *, max(CASE WHEN t0 IS NOT NULL THEN word_no END) OVER w AS last, lead(t0) OVER v AS upto FROM h WINDOW v AS (PARTITION BY video_id, version_no ORDER BY word_no), w AS (PARTITION BY video_id, version_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "f AS (SELECT *, coalesce(0.5::DOUBLE * last + 0.25::DOUBLE, 1.0::DOUBLE) AS since, word_no - coalesce(last, -1) AS nth FROM k) SELECT video_id, version_no, CAST(word_no AS INTEGER) AS word_no, round(coalesce(t0, since + 0.4::DOUBLE * (nth - 1)), 3) AS t0, round(coalesce(t1, upto, since + 0.4::DOUBLE * nth), 3) AS t1 FROM f",
+    "v_versions",
+)
+def gap_fill(spark, d):
+    """Words without a time get theirs from the words around them."""
+    x = timing.fill_gaps(_spoken(spark, d), ["video_id", "version_no"], "word_no", "t0", "t1", F.lit(1.0))
+    return x.select("video_id", "version_no", "word_no", F.round("t0", 3).alias("t0"), F.round("t1", 3).alias("t1"))
+
+
 @query(None)
 def align_words(spark, d):
     """Each conversation's turns against the next ones, word by word: the next one's words as if they were heard half a second each."""

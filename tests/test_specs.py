@@ -206,3 +206,18 @@ def test_generate_scripts_falls_back(spark):
 @pytest.mark.parametrize("reply, want", [("[1]", ["1"]), ('{"scripts": ["a"]}', ["a"]), ("no", None), (None, None), ('{"x": 1}', None)])
 def test_parse_reply(reply, want):
     assert enrich.parse_reply(reply) == want
+
+
+def test_gaps_are_filled_as_one_walks(spark):
+    words = [(k, i, *t) for k, times in enumerate([[None, None, (1.0, 1.5), None, (2.0, 2.25), None, None], [None, None], [(0.0, 0.5)], [None, (0.9, 1.0), None, None, None, (1.5, 2.0)]]) for i, t in enumerate([x or (None, None) for x in times])]
+    df = spark.createDataFrame([(*w, 1) for w in words], "k int, i int, t0 double, t1 double, at_ int")
+    got = {(r.k, r.i): (round(r.t0, 6), round(r.t1, 6)) for r in timing.fill_gaps(df, ["k"], "i", "t0", "t1", F.lit(0.25)).collect()}
+    for k in range(4):
+        mine = [w for w in words if w[0] == k]
+        end = 0.25
+        for n, (_, i, t0, t1) in enumerate(mine):
+            if t0 is None:
+                after = mine[n + 1][2] if n + 1 < len(mine) else None
+                t0, t1 = end, after if after is not None else end + 0.4
+            assert got[k, i] == (round(t0, 6), round(t1, 6))
+            end = t1
