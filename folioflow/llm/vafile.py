@@ -8,8 +8,12 @@ A search reads the file twice. The first reading takes the column of cells only:
 vector's score lies within the query's product with the cells' middles plus or minus a term
 that depends on the query and the block, which gives bounds for all vectors of a block from
 one matrix product. The k-th best lower bound over the whole file is each query's threshold.
-The second reading takes from the exact column what has an upper bound at the threshold or
-above, in order of its bound, a slice at a time, until the task's k-th result is certain.
+The second reading has the exact column beside the cells: from a block in memory those
+vectors are scored whose upper bound is at a query's threshold or above, in order of their
+bounds, a slice at a time, until the task's k-th result is certain. A block holds thousands
+of vectors and a search thousands of queries, so nearly every block holds a vector that some
+query needs, and its exact column is read from the file with it; what bounds save is the
+scoring, not that reading.
 Ties go to the smaller id.
 
 Queries come in blocks of ``QUERIES``: each is sent to all tasks (its size is bounded by that
@@ -113,11 +117,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
     for batch in batches:
         names = batch.schema.names
         for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in names}
-            d, n = r["d"], r["n"]
-            low, width = np.frombuffer(r["low"]), np.frombuffer(r["width"])
-            data = np.frombuffer(r["exact"], dtype=r["kind"]).reshape(n, d) if "exact" in names else None
-            yield d, np.frombuffer(r["ids"], dtype="<i8"), Approximation(low, width, np.frombuffer(r["cells"], dtype=np.uint8).reshape(n, d)), data
+            d, n = batch.column("d")[i].as_py(), batch.column("n")[i].as_py()
+            part = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind)  # noqa: B023, E731  no copy
+            data = part("exact", batch.column("kind")[i].as_py()).reshape(n, d) if "exact" in names else None
+            yield d, part("ids", "<i8"), Approximation(part("low", "<f8"), part("width", "<f8"), part("cells", np.uint8).reshape(n, d)), data
 
 
 def _scored(batch_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, file: Approximation) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:

@@ -753,7 +753,7 @@ def test_against_sql(spark, name):
 
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.queries()[name](spark, sf)
     r = con.execute(queries.oracle_sql()[name])
