@@ -1,6 +1,8 @@
 """Operators against their plain-Python specifications, and properties that hold whatever the data."""
 
+import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +223,17 @@ def test_gaps_are_filled_as_one_walks(spark):
                 t0, t1 = end, after if after is not None else end + 0.4
             assert got[k, i] == (round(t0, 6), round(t1, 6))
             end = t1
+
+
+def test_queue_states_by_walking(spark):
+    r = random.Random(8)
+    kinds = ["queued", "claimed", "claimed", "rendering", "preview_ready", "preview_rejected", "ready", "failed", "nonsense", None]
+    events = [(r.randrange(12), r.randrange(40), r.randrange(9), r.choice(kinds), r.choice([None, "a", "b"])) for _ in range(500)] + [(50, 1, 1, "claimed", "a"), (51, 1, 1, None, None)]
+    got = {x.item: tuple(x)[1:] for x in queue.states(spark.createDataFrame([(i, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), e, s, a) for i, t, e, s, a in events], "item long, ts timestamp, event_id long, status string, agent string")).collect()}
+    want = {}
+    for i, *_ in events:
+        now = ("none", 1, None, 0, 0)
+        for _, _, _, s, a in sorted((e for e in events if e[0] == i), key=lambda e: (e[1], e[2], e[3] or "", e[4] or "")):
+            now = queue.fold(now, s, a)
+        want[i] = now
+    assert got == want
