@@ -538,19 +538,25 @@ def test_slots_of_many_equal_rows(spark):
     assert len(out) == 3000 and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
 
 
-def test_leaves_reach_the_target_bytes(spark, monkeypatch):
+def test_leaves_reach_the_target_bytes(spark):
     r = random.Random(9)
     rows = [(i, "word " * r.choice([1, 1, 2, 30, 200]) + str(r.randrange(500)), r.choice([None, 1, 2, 900])) for i in range(3000)] + [(9000, "same " * 4000, 7)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, year int")
-    for few in (64, 1):
-        monkeypatch.setattr(kdtree, "FEW", few)
-        out = kdtree.shard_documents(df, target_bytes=100_000, dimensions=("year",)).toPandas()
-        sums = out.groupby("shard")["size"].sum()
-        whole = out["size"].sum()
-        lone = set(out[out["size"] > 20_000].shard)
-        assert len(out) == len(rows) and sorted(sums.index) == list(range(len(sums)))
-        assert all(n <= 100_000 for s, n in sums.items() if s not in lone) and whole / 100_000 <= len(sums) <= 1.6 * whole / 100_000
-        assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    out = kdtree.shard_documents(df, target_bytes=100_000, dimensions=("year",)).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    whole = out["size"].sum()
+    lone = set(out[out["size"] > 20_000].shard)
+    assert len(out) == len(rows) and sorted(sums.index) == list(range(len(sums)))
+    assert all(n <= 100_000 for s, n in sums.items() if s not in lone) and whole / 100_000 <= len(sums) <= 1.6 * whole / 100_000
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    assert kdtree.shard_documents(df.where("false"), target_bytes=10).count() == 0
+    assert kdtree.shard_documents(df.limit(5), target_bytes=1 << 40).toPandas().shard.tolist() == [0] * 5
+
+
+def test_thousands_of_leaves(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") * 7919 % 100_003).cast("string"), F.repeat(F.lit(" x"), (F.col("id") % 13).cast("int"))).alias("text"))
+    out = kdtree.shard_documents(rows, target_bytes=500).groupBy("shard").agg(F.sum("size").alias("n"), F.max("slot").alias("last"), F.count("*").alias("rows")).toPandas()
+    assert len(out) >= 2_000 and out.n.max() <= 500 and (out["last"] == out["rows"] - 1).all() and out["rows"].sum() == 40_000 and sorted(out.shard) == list(range(len(out)))
 
 
 # --- op7 and op10
