@@ -56,12 +56,11 @@ ORACLE_SQL = None  # model scores, links on estimates and chance are beyond SQL;
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    from folioflow.llm._store import stored
+    """The rows of the last stage, stored; the tables of the stages before are deleted."""
+    from folioflow.llm._store import scratch, stored
 
     docs = _table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+    with scratch(spark):
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=k == len(STAGES) - 1)
     return docs
