@@ -250,3 +250,16 @@ def test_rebuilding_takes_the_head_of_the_group(spark):
 
 def test_specification_is_json():
     assert json.loads(pfor.Encoder.checked(open(VOCABULARY, encoding="utf-8").read()))["model"]["type"] == "BPE"
+
+
+def test_pipeline_leaves_its_result_alone(spark, sf):
+    import os
+
+    import corpus_pipeline
+    from folioflow.llm._store import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = corpus_pipeline.run(spark, sf).count()
+    left = {x.split("-", 2)[2] for x in set(os.listdir(folder)) - before}
+    assert rows > 0 and left == {"pipeline-sharding"}
