@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._store import stored
 
 MOST = 100_000  # edges that one task contracts; 16 bytes each
@@ -53,7 +54,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60, mos
     count, seen = now.count(), None
     for k in range(1, rounds + 1):
         tasks = -(-count // most)
-        forest = (now.coalesce(1) if tasks <= 1 else now.repartition(tasks, "v")).mapInArrow(_forest, "u long, v long")
+        forest = (now.coalesce(1) if tasks <= 1 else now.repartition(tasks, "v")).mapInArrow(W.tidy(_forest), "u long, v long")
         if tasks <= 1:
             now = forest
             break

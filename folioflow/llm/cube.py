@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _words as W
 from ._store import fresh, parts, stored
 
 BLOCK = 4096
@@ -183,7 +184,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         blocks = rows.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
         dealt = by_source(rows, blocks).withColumn("block", F.pmod(F.xxhash64("doc", "salt", F.lit(len(done))), F.col("blocks")).cast("long")).drop("blocks")
         spread = max(1, min(4 * parts(spark), -(-total // block)))
-        flown = stored(dealt.repartition(spread, "source", "block").sortWithinPartitions("source", "block", "size", "doc", "salt").mapInArrow(_fly(last), ROW), "cube-flight")
+        flown = stored(dealt.repartition(spread, "source", "block").sortWithinPartitions("source", "block", "size", "doc", "salt").mapInArrow(W.tidy(_fly(last)), ROW), "cube-flight")
         done.append(flown if last else flown.where("p <= 0 or p >= 1"))
         if last:
             break

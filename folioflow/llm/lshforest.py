@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                         sig[r] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(number), pa.array(digest, pa.binary()), pa.array([x and int.from_bytes(x[:8], "big", signed=True) for x in digest], pa.int64()), pa.array(sig, pa.binary())], ["doc", "text_hash", "n", "digest", "rep", "sig"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc long, text_hash long, n long, digest binary, rep long, sig binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(W.tidy(run), "doc long, text_hash long, n long, digest binary, rep long, sig binary")
 
 
 def level(depth: int, threshold: float) -> np.ndarray:
@@ -440,11 +440,11 @@ def _prefixes(size: int, percent: int, rarity):
 def prefix_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label) of the classes among ``rows`` (c, node, z) that an exact prefix filter leaves together with others of their group c. No link is lost by it."""
     spark = rows.sparkSession
-    counts = rows.select("z").mapInArrow(_counted(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
+    counts = rows.select("z").mapInArrow(W.tidy(_counted(size)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # SKETCH rows at most
     often = np.zeros(SKETCH, dtype=np.int64)
     often[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     rarity = spark.sparkContext.broadcast(often)
-    keys = stored(rows.select("c", "node", "z").mapInArrow(_prefixes(size, percent, rarity), "c long, key long, band long, node long, first boolean"), "forest-prefixes")
+    keys = stored(rows.select("c", "node", "z").mapInArrow(W.tidy(_prefixes(size, percent, rarity)), "c long, key long, band long, node long, first boolean"), "forest-prefixes")
     hubs = stored(keys.groupBy("c", "key", "band").agg(F.min(F.when(F.col("first"), F.col("node"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1").drop("n"), "forest-hubs")
     edges = keys.join(hubs.hint("merge"), ["c", "key", "band"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     out = stored(components(edges, "forest-divided"), "forest-divided")
@@ -469,7 +469,7 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     for depth in range(DEPTH, DEEPEST + 1, 2):
         rows = classes.select("rep", "n", "sig").mapInArrow(_ordered(level(depth, threshold), depth), "tree int, k1 long, k2 long, region long, rep long, n long, sig binary")
         dealt = rows.repartitionByRange(n, "tree", "k1", "k2", "rep").sortWithinPartitions("tree", "k1", "k2", "rep")
-        found = stored(dealt.mapInArrow(neighbours(threshold), "a long, b long").distinct(), "forest-found")
+        found = stored(dealt.mapInArrow(W.tidy(neighbours(threshold)), "a long, b long").distinct(), "forest-found")
         edges = found.where("b is not null")
         out = edges if out is None else out.unionByName(edges)
         # Regions that neighbours didn't settle.
@@ -485,7 +485,7 @@ def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
         own = here.select(F.col("region").alias("h"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("guest"), "part", "other", "rep", "n", "sig")
         sent = here.where("other = 1").select(F.col("region").alias("h"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("guest"), "part", "other", "rep", "n", "sig")
         met = own.unionByName(sent).repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "guest", "n", "rep")
-        out = out.unionByName(stored(met.mapInArrow(_met(threshold), "a long, b long"), "forest-met"))
+        out = out.unionByName(stored(met.mapInArrow(W.tidy(_met(threshold)), "a long, b long"), "forest-met"))
         if not sizes.where("wide").head(1):
             break
         classes = stored(rows.join(sizes.where("wide").select("region").hint("merge"), "region", "left_semi").select("rep", "n", "sig").dropDuplicates(["rep"]), "forest-wide")
@@ -509,7 +509,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: b
         groups = _blocks(groups.withColumnRenamed("label", "c"))
     # A class's text is that of its least row.
     members = groups.join(classes.select(F.col("rep").alias("node"), "doc", "text_hash"), "node")
-    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_pressed, "doc long, text_hash long, z binary")
+    texts = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(W.tidy(_pressed), "doc long, text_hash long, z binary")
     texts = texts.groupBy("doc", "text_hash").agg(F.first("z").alias("z"))  # rows equal in doc_id and text; dealt as the join wants them
     members = stored(members.join(texts.hint("merge"), ["doc", "text_hash"]).select("node", "c", "blocks", "z"), "forest-members")
     wide = members.where("blocks > 1")
@@ -518,7 +518,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: b
         members = stored(members.where("blocks = 1").unionByName(wide.select("node", "z").join(parted.hint("merge"), "node").select(*members.columns)), "forest-divided")
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).select("c", "block", "node", "blocks", "z")
     dealt = members.repartition(n, "c", "block").sortWithinPartitions("c", "block", "node")
-    local = stored(dealt.mapInArrow(_inside(size, percent), "node long, label long, c long, blocks long"), "forest-parts")
+    local = stored(dealt.mapInArrow(W.tidy(_inside(size, percent)), "node long, label long, c long, blocks long"), "forest-parts")
     out = local.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     if not local.where("blocks > 1").head(1):
         return out
@@ -529,7 +529,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, exact: b
         here = own.select("c", "block", "node", "part", F.lit(0).alias("guest"), "z")
         sent = own.join(guests.hint("merge"), "node", "left_semi").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to"), "block", "node", "part", F.lit(1).alias("guest"), "z").where("to <> block")
         rows = here.unionByName(sent.select("c", F.col("to").alias("block"), "node", "part", "guest", "z"))
-        return stored(rows.repartition(n, "c", "block").sortWithinPartitions("c", "block", "guest", "node").mapInArrow(_across(size, percent), "a long, b long"), "forest-across")
+        return stored(rows.repartition(n, "c", "block").sortWithinPartitions("c", "block", "guest", "node").mapInArrow(W.tidy(_across(size, percent)), "a long, b long"), "forest-across")
 
     many = local.where("blocks > 1")
     first = compare(many.select("node", F.col("label").alias("part")), many.where("node = label").select("node"))

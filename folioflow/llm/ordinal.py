@@ -121,7 +121,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[i:j], pa.int32()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(bucket, pa.int32()))], ["toxic", "found"])
 
-    fitted = stored(known.select("toxic", "text").mapInArrow(sparse, "toxic int, found array<int>"), "ordinal-fit")
+    fitted = stored(known.select("toxic", "text").mapInArrow(W.tidy(sparse), "toxic int, found array<int>"), "ordinal-fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -140,7 +140,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
     n_toxic, n_clean = totals.get(1, 0), max(1, totals.get(0, 0))
     if not n_toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([2.0, 3.0, 4.0]))
-    sums = fitted.coalesce(8).mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = fitted.coalesce(8).mapInArrow(W.tidy(count), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
     best = sums.where((F.col("toxic") >= 2) & (lift >= 20)).orderBy(F.desc("toxic"), "bucket").limit(FEATURES).collect()
     best = sorted((r["bucket"], r["toxic"]) for r in best)
@@ -161,7 +161,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
             edge = np.searchsorted(row, np.arange(len(sizes) + 1))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(at[keep], pa.int32()))], ["toxic", "found"])
 
-    sample = fitted.mapInArrow(select, "toxic int, found array<int>").toPandas()  # as many rows as ``rows`` says, a few features each
+    sample = fitted.mapInArrow(W.tidy(select), "toxic int, found array<int>").toPandas()  # as many rows as ``rows`` says, a few features each
     order = sorted(range(len(sample)), key=lambda i: (int(sample.toxic[i]), sorted(sample.found[i])))  # whatever order rows came in
     toxic, found = sample.toxic.to_numpy()[order], [sample.found[i] for i in order]
     sizes = np.array([len(x) for x in found])
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = _chances(batch.column("text"), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1), pa.int32()), pa.array(p[:, 0])], ["doc_id", "expected_severity", "grade", "p_toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(W.tidy(run), "doc_id long, expected_severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -205,7 +205,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_chances(batch.column("text"), *shared.value)[:, 0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)
 
 
 def _weighed(column: pa.Array, weights: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -124,7 +124,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(i, j - i), batch.column("itag").slice(i, j - i), pa.array(each, pa.binary())], ["item_id", "itag", "words"])
 
     known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("itag"), "text").where("item_id is not null and text is not null")
-    return stored(known.mapInArrow(run, "item_id long, itag long, words binary").dropDuplicates(["item_id", "itag"]), "seeds-items")
+    return stored(known.mapInArrow(W.tidy(run), "item_id long, itag long, words binary").dropDuplicates(["item_id", "itag"]), "seeds-items")
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     doc, tag = _named(docs)
     items = _items(benchmark)
-    found = stored(items.mapInArrow(_item_seeds, "h long, mask int, item_id long, itag long, place long"), "seeds-seeds")
+    found = stored(items.mapInArrow(W.tidy(_item_seeds), "h long, mask int, item_id long, itag long, place long"), "seeds-seeds")
     masks = sorted(r["mask"] for r in found.select("mask").distinct().collect())  # six at most
     known = spark.sparkContext.broadcast(_bitmap(found))
 
@@ -191,7 +191,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
                 )
 
     rows = docs.select(doc.alias("doc"), tag.alias("tag"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = stored(rows.mapInArrow(scan, "doc long, tag long, doc_id long, n_tokens long, h array<long>, at array<long>"), "seeds-scanned", keep=True)
+    scanned = stored(rows.mapInArrow(W.tidy(scan), "doc long, tag long, doc_id long, n_tokens long, h array<long>, at array<long>"), "seeds-scanned", keep=True)
     hits = scanned.where(F.size("h") > 0).select("doc", "tag", F.explode(F.arrays_zip("h", "at")).alias("x")).select("doc", "tag", "x.h", "x.at")
     hits = hits.join(found.select("h", "item_id", "itag", "place").hint("merge"), "h").select("doc", "tag", "item_id", "itag", (F.col("at") - F.col("place")).alias("shift"))
     pairs = stored(hits.groupBy("doc", "tag", "item_id", "itag").agg(F.collect_set("shift").alias("shifts")), "seeds-pairs")  # no more shifts than the two have tokens
@@ -217,7 +217,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     texts = rows.join(pairs.select("doc", "tag").distinct(), ["doc", "tag"], "left_semi").select("doc", "tag", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("array<long>").alias("shifts"), F.lit(None).cast("binary").alias("words"), "text")
     met = pairs.join(items, ["item_id", "itag"]).select("doc", "tag", "item_id", "shifts", "words", F.lit(None).cast("string").alias("text"))
     checked = texts.unionByName(met).repartition(parts(spark), "doc", "tag").sortWithinPartitions("doc", "tag", F.col("text").isNull())
-    return scanned.select("doc", "tag", "doc_id", "n_tokens"), stored(checked.mapInArrow(verify, "doc long, tag long, item_id long, low long, high long, matches long"), "seeds-verified", keep=True)
+    return scanned.select("doc", "tag", "doc_id", "n_tokens"), stored(checked.mapInArrow(W.tidy(verify), "doc long, tag long, item_id long, low long, high long, matches long"), "seeds-verified", keep=True)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
