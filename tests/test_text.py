@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.plans import registry
 from folioflow.plans import text as P
 
 
@@ -27,3 +28,13 @@ def test_capitals_inside_words_between_letters_of_any_script(spark):
     sql = in_sql(texts, r"regexp_matches(t, '\b[a-z]+[A-Z][a-z]+\b')")
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.is_garbled_title(F.col("t"))).collect()
     assert {r[0]: r[1] for r in got} == sql and sql["vequilleEtoiêleaneux"]
+
+
+def test_cascade_leaves_garbled_headers_as_its_sql(spark, tmp_path):
+    texts = ["vequille Etoiê leaneux and more", "veju éeLe entreque èque", "Asóado Asóado Asóado Asóado", "A plain title of a page"]
+    rows = [(10 * i + 19, t, "fr", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["identify_cascade"](spark, str(tmp_path)).select("id", "name", "method").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute("SELECT id, name, method FROM (" + registry.ORACLES["identify_cascade"] + ")").fetchall())
